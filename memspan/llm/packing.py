@@ -38,7 +38,7 @@ ITEMS_PER_TASK = 50_000
 CACHE_SIZE = 500_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _state: dict = {}
 
 
