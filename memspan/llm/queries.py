@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspan.llm import chat, decontaminate, fingerprints, neardup, packing, secrets, tokencount
+from memspan.llm import chat, decontaminate, fingerprints, language, neardup, packing, secrets, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents, F.col("doc_id").isNotNull() & ~language.held_out())
+    found = language.identify(documents, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
