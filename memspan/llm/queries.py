@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspan.llm import chat, decontaminate, fingerprints, language, neardup, packing, secrets, substrings, tokencount
+from memspan.llm import chat, decontaminate, fingerprints, language, neardup, packing, pseudolm, secrets, substrings, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document under a network trained on all of them."""
+    return pseudolm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, base spans hashed and all spans listed."""
     found = secrets.scan_documents(table(spark, sf_dir, "documents"))
