@@ -15,7 +15,9 @@
    five standard errors of the threshold, or above, are verified on the full sets. A search
    from each document visits only documents that are not yet connected with it.
 5. A family of more than ``block_tokens`` hashes is split into blocks, and every pair of
-   blocks is searched by a task of its own; their links are united by connected components.
+   blocks is searched on its own, in bounded memory; their links are united by connected
+   components. Only texts of family members are shuffled (a Bloom filter of fixed size keeps
+   most others back).
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased; shorter texts are one
 shingle. Defined cases: null, empty and wordless texts have an empty set and are linked with
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from memspan.llm.components import connected_components
 from memspan.llm.durable import map_columns, stored
 from memspan.llm.fingerprints import mix, shingle_hashes, word_hashes
+from memspan.llm.membership import bloom_filter, possible_members
 
 DEPTH, CLASSES, SKETCH = 6, 36, 64
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -68,14 +71,18 @@ def linked(common, size_a, size_b, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
 
-def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int = SKETCH) -> list[tuple]:
-    """(id, smallest id of its component) for the members of one family that have a link."""
+def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int = SKETCH, sides: list[int] | None = None) -> list[tuple]:
+    """(id, smallest id of its component) for the members of one family that have a link; with
+    ``sides``, links within a side are left to other calls."""
     n = len(ids)
+    if sides is not None and len(set(sides)) < 2:
+        sides = None
     if n == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(max(ids), min(ids)), (min(ids), min(ids))] if linked(common, len(sets[0]), len(sets[1]), percent) else []
     order = sorted(range(n), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    side = None if sides is None else np.array([sides[i] for i in order])
     sizes = np.array([len(s) for s in sets])
     vocabulary, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     tokens = tokens.astype(np.int32)
@@ -97,6 +104,8 @@ def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int =
             lo = np.searchsorted(sizes[unseen], np.ceil(ratio * sizes[x] - 1e-9), side="left")
             hi = np.searchsorted(sizes[unseen], np.floor(sizes[x] / ratio + 1e-9), side="right")
             near = unseen[lo:hi]
+            if side is not None:
+                near = near[side[near] != side[x]]
             if not len(near):
                 continue
             own = tokens[starts[x] : ends[x]]
@@ -164,7 +173,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
 
         return step
 
-    sets = map_columns(rows.join(families, "id").select("id", "family", "text"), make_sets, "id long, family long, hashes binary")
+    members = possible_members(rows, "id", bloom_filter(families.select("id")))
+    sets = map_columns(members.join(families.hint("merge"), "id").select("id", "family", "text"), make_sets, "id long, family long, hashes binary")
     sizes = usable.select("id", "n").join(families, "id").groupBy("family").agg(F.sum("n").alias("tokens"))
     large = sizes.where(F.col("tokens") > block_tokens).select("family", F.ceil(F.col("tokens") / (block_tokens / 2)).cast("int").alias("blocks"))
     large = stored(large, "large")
@@ -174,29 +184,30 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         sets = sets.withColumn("own", own).withColumn("other", other)
-        sets = sets.select("id", "family", "hashes", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("block"))
+        sets = sets.select("id", "family", "hashes", "own", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("block"))
     else:
-        sets = sets.withColumn("block", F.lit(0).cast("long"))
+        sets = sets.withColumn("own", F.lit(0)).withColumn("block", F.lit(0).cast("long"))
 
     def search(batches):
         import pyarrow as pa
 
-        key, ids, held = None, [], []
+        key, ids, held, sides = None, [], [], []
 
         def finish():
-            links = family_links(ids, held, percent) if len(ids) > 1 else []
+            links = family_links(ids, held, percent, sides=sides) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["id", "root"])
 
         for batch in batches:
-            for family, block, doc, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, block, doc, own, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (family, block) != key:
                     yield finish()
-                    key, ids, held = (family, block), [], []
+                    key, ids, held, sides = (family, block), [], [], []
                 ids.append(doc)
+                sides.append(own)
                 held.append(np.frombuffer(hashes, np.uint64))
         yield finish()
 
-    dealt = sets.select("family", "block", "id", "hashes").repartition(max(parts, 1), "family", "block").sortWithinPartitions("family", "block")
+    dealt = sets.select("family", "block", "id", "own", "hashes").repartition(max(parts, 1), "family", "block").sortWithinPartitions("family", "block")
     links = dealt.mapInArrow(search, "id long, root long")
     if split:
         links = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("id"), F.col("component").alias("root"))
@@ -208,6 +219,19 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
 
 
 def drop_near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each component, the one with the smallest id."""
-    found = near_duplicates(df, percent, width, id_col, text_col)
-    return df.join(found.where("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``df`` with one row of each component, the one with the smallest id (of repeated rows with
+    that id, any one); rows with a null id stay.
+
+    Rows that surely stay pass a Bloom filter of fixed size unshuffled; only rows that may be
+    dropped or repeated meet the exact list of ids.
+    """
+    found = stored(near_duplicates(df, percent, width, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "kept"), "kept")
+    judged = found.groupBy("_id").agg(F.min("kept").alias("_kept"), F.count("*").alias("_n")).where("NOT _kept OR _n > 1")
+    bits = bloom_filter(judged.select("_id"))
+    key = F.col(id_col).cast("long")
+    sure = possible_members(df.withColumn("_key", key), "_key", bits, absent=True).drop("_key")
+    maybe = possible_members(df.withColumn("_key", key), "_key", bits)
+    maybe = maybe.join(judged.hint("merge"), F.col("_key") == F.col("_id"), "left").where("_kept IS NULL OR _kept OR _n > 1")
+    single = maybe.where("_n IS NULL").drop("_key", "_id", "_kept", "_n")
+    repeated = maybe.where("_kept").dropDuplicates(["_id"]).drop("_key", "_id", "_kept", "_n")
+    return sure.unionByName(single).unionByName(repeated)
