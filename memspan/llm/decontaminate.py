@@ -21,7 +21,6 @@ Defined cases
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from itertools import chain
 
@@ -114,57 +113,80 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def _judge(words: list[bytes], index: dict[bytes, list]) -> tuple:
+    """n_words, n_hit, n_items, items, spans, contaminated of one document."""
+    spans, items = occurrences(words, index)
+    spans = united(spans)
+    hit = sum(b - a for a, b in spans)
+    return len(words), hit, len(items), sorted(items), [{"start": a, "end": b} for a, b in spans], hit > 0 and 20 * hit >= len(words)
+
+
+RESULTS = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
+
+
+def _sent_index(documents: DataFrame, block: dict | None, text_col: str):
+    index = {}
+    if block:
+        index = _index(block, word_frequencies(documents, text_col, {w for window in block for w in window}))
+    return documents.sparkSession.sparkContext.broadcast(index)
+
+
+def _first_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int):
+    """The first block (None without windows) and, if there are several, all of them."""
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_words, n_hit, n_items, items (sorted as strings), spans (hit word intervals),
-    contaminated; with the columns ``keep`` of documents, which must not bear those names."""
-    spark = documents.sparkSession
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
-    columns = [id_col, text_col, *(c for c in keep if c not in (id_col, text_col))]
-    wide = [c for c in columns if c == id_col or c in keep]
-    passed = ", ".join(f"`{c}` {kinds[c]}" for c in wide)
-    results = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
-    schema = f"{passed}, _text long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
-
-    def joined(block: dict | None):
-        index = {}
-        if block:
-            index = _index(block, word_frequencies(documents, text_col, {w for window in block for w in window}))
-        sent = spark.sparkContext.broadcast(index)
+    contaminated for each row of ``documents``."""
+    kind = documents.schema[id_col].dataType.simpleString()
+    schema = f"_id {kind}, _text long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
 
+    def joined(sent) -> DataFrame:
         def make():
             look = sent.value
 
-            def step(*values):
-                rows = dict(zip((*columns, "_text"), values, strict=True))
-                out: dict[str, list] = {c: rows[c] for c in (*wide, "_text")} | {c: [] for c in results}
-                for text in rows[text_col]:
-                    words = words_of(text)
-                    spans, items = occurrences(words, look)
-                    spans = united(spans)
-                    hit = sum(b - a for a, b in spans)
-                    found = (len(words), hit, len(items), sorted(items), [{"start": a, "end": b} for a, b in spans], hit > 0 and 20 * hit >= len(words))
-                    for name, value in zip(results, found, strict=True):
-                        out[name].append(value)
-                return out
+            def step(ids, texts, hashes):
+                found = [_judge(words_of(t), look) for t in texts]
+                return {"_id": ids, "_text": hashes} | {name: [f[k] for f in found] for k, name in enumerate(RESULTS)}
 
             return step
 
-        return map_columns(documents.select(*columns, F.xxhash64(text_col).alias("_text")), make, schema), sent
+        return map_columns(documents.select(id_col, text_col, F.xxhash64(text_col)), make, schema)
 
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks, None), next(blocks, None)
-    if second is None:
-        return joined(first)[0].drop("_text")
+    first, several = _first_blocks(benchmark, item_col, item_text_col, block_bytes)
+    if several is None:
+        return joined(_sent_index(documents, first, text_col)).drop("_text").withColumnRenamed("_id", id_col)
     found = None
-    for block in chain([first, second], blocks):
-        part, sent = joined(block)
-        hits = stored(part.where("n_hit > 0").select(F.col(id_col).alias("_id"), "_text", "items", "spans").dropDuplicates(["_id", "_text"]), "hits")
+    for block in several:
+        sent = _sent_index(documents, block, text_col)
+        hits = stored(joined(sent).where("n_hit > 0").select("_id", "_text", "items", "spans").dropDuplicates(["_id", "_text"]), "hits")
         sent.destroy()
         found = hits if found is None else found.unionByName(hits)
-    return _united_blocks(joined(None)[0], found, id_col)
+    return _united_blocks(joined(_sent_index(documents, None, text_col)), found).withColumnRenamed("_id", id_col)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``documents`` that are not contaminated, all columns untouched."""
+    first, several = _first_blocks(benchmark, item_col, item_text_col, block_bytes)
+    if several is None:
+        from pyspark.sql.types import BooleanType
 
+        sent = _sent_index(documents, first, text_col)
 
-def _united_blocks(documents: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+        @F.pandas_udf(BooleanType())
+        def clean(texts):
+            return texts.map(lambda t: not _judge(words_of(t), sent.value)[-1]).astype(bool)
+
+        return documents.where(clean(F.col(text_col)))
+    found = contamination(documents, benchmark, id_col, text_col, item_col, item_text_col, block_bytes)
+    gone = found.where("contaminated").select(F.col(id_col).alias("_gone")).distinct()
+    return documents.join(gone, documents[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def _united_blocks(documents: DataFrame, found: DataFrame) -> DataFrame:
     """Hits of several blocks, added up for each document (rows alike in id and text share them)."""
 
     def make():
@@ -183,17 +205,15 @@ def _united_blocks(documents: DataFrame, found: DataFrame, id_col: str) -> DataF
     gathered = found.groupBy("_id", "_text").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     kind = found.schema["_id"].dataType.simpleString()
     merged = map_columns(gathered, make, f"_id {kind}, _text long, _items array<string>, _spans array<struct<start:long,end:long>>, _hit long")
-    rows = documents.join(merged, documents[id_col].eqNullSafe(merged["_id"]) & (documents["_text"] == merged["_text"]), "left").drop("_id").drop(merged["_text"])
-    hit = F.coalesce("_hit", F.lit(0))
+    merged = merged.withColumnsRenamed({"_id": "_key", "_text": "_hash"})
+    rows = documents.join(merged, documents["_id"].eqNullSafe(merged["_key"]) & (documents["_text"] == merged["_hash"]), "left")
+    hit = F.coalesce("_hit", F.lit(0)).cast("long")
     return rows.select(
-        *(c for c in documents.columns if c not in ("n_hit", "n_items", "items", "spans", "contaminated", "_text")),
+        "_id",
+        "n_words",
         hit.alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("_spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
     )
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
