@@ -11,8 +11,9 @@ Defined cases
 * null text: the empty string, no spans; a text without encoded parts has its base spans only;
 * the same kind and span found in several layers is reported once;
 * undecodable bytes, or bytes that are not printable UTF-8, form no layer;
-* a decompressed layer is read up to ``max_layer_bytes``; the number of layers that were larger
-  is returned as ``n_oversize``, so nothing is dropped unseen;
+* a decompressed layer of more than ``max_layer_bytes`` is read to its end in overlapping windows
+  of that size, so memory stays bounded; their number is returned as ``n_oversize`` (what spans
+  more than the overlap at a window's edge is found on one side of it);
 * repeated rows are scanned as rows of their own; extra columns are not read.
 One row is handled at a time; there is no shuffle.
 """
@@ -41,6 +42,8 @@ WORDS = ("passw", "secret", "token", "api")
 #: Nothing is decoded from runs shorter than this.
 LEAST_RUN = 16
 MAX_LAYER_BYTES = 16_000_000
+#: Bytes that neighbouring windows of a long decompressed layer share.
+OVERLAP = 4096
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
@@ -166,19 +169,29 @@ def _printable(data: bytes) -> str | None:
     return text if text and not odd else None
 
 
-def _inflated(data: bytes, limit: int) -> tuple[bytes | None, bool]:
+def _inflated(data: bytes, limit: int) -> Iterator[bytes]:
+    """Decompressed ``data`` in windows of ``limit`` bytes that overlap; nothing if it is not
+    compressed, or as far as it can be read if it is damaged."""
     for magic, make in MAGIC:
         if data.startswith(magic):
-            try:
-                out = make().decompress(data, limit + 1)
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                return None, False
-            return out[:limit], len(out) > limit
-    return None, False
+            machine, rest, before = make(), data, b""
+            while True:
+                try:
+                    out = machine.decompress(rest, limit)
+                except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                    return
+                if not out:
+                    return
+                yield before + out
+                before = out[-OVERLAP:]
+                rest = getattr(machine, "unconsumed_tail", b"")
+                if machine.eof:
+                    return
 
 
 def base64_layers(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
-    """A layer for each run that decodes to text, directly or through compression."""
+    """A layer for each run that decodes to text, directly or through compression; text beyond
+    ``limit`` bytes comes as several layers of the same source interval."""
     for m in BASE64_RUN.finditer(layer.text):
         run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -187,18 +200,24 @@ def base64_layers(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        large = False
-        for _ in range(64):  # compressed data inside compressed data
-            more, big = _inflated(data, limit)
-            large |= big
-            if more is None or more == data:
-                break
-            data = more
-        if large:  # the cut may fall inside a character
-            data = data.decode(errors="ignore").encode()
-        text = _printable(data)
-        if text:
-            yield Layer(text, [(0, *layer.source(m.start(), m.end()), 0)]), large
+        yield from _unwrapped(layer, m, data, limit, {data})
+
+
+def _unwrapped(layer: Layer, m: re.Match, data: bytes, limit: int, seen: set[bytes]) -> Iterator[tuple[Layer, bool]]:
+    """Layers of ``data``, through any number of compressions; ``seen`` ends a cycle."""
+    windows = 0
+    for window in _inflated(data, limit):
+        windows += 1
+        if window not in seen:
+            yield from _unwrapped(layer, m, window, limit, {*seen, window})
+    if not windows:
+        yield from _texts(layer, m, data, len(data) >= limit)
+
+
+def _texts(layer: Layer, m: re.Match, data: bytes, cut: bool) -> Iterator[tuple[Layer, bool]]:
+    text = _printable(data.decode(errors="ignore").encode() if cut else data)
+    if text:
+        yield Layer(text, [(0, *layer.source(m.start(), m.end()), 0)]), cut
 
 
 def scan(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
