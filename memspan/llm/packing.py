@@ -25,9 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +35,23 @@ from memspan.llm.durable import map_columns, stored
 
 CAPACITY = 2048
 ITEMS_PER_TASK = 50_000
-CACHE_SIZE = 500_000
+CACHE_SIZE = 700_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Characters whose lower case is one character and that no normalisation changes.
+_PLAIN = re.compile("[ -~\xa1-\xac\xae-\u0129\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Fixed value: the tokenizer's own pattern.
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _state: dict = {}
 
 
 class WordTokens:
-    """Little-endian ids of texts, word by word through a cache."""
+    """Little-endian ids of texts, by two caches: of blank-separated words, and of the tokenizer's own
+    pre-tokens (runs of letters, digits and other characters), from which new words are put
+    together. New pre-tokens go to the library many at once, with blanks between them; the
+    end-of-word mark of the tokens tells them apart again."""
 
     def __init__(self, path: str):
         import os
@@ -53,7 +61,11 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -72,14 +84,7 @@ class WordTokens:
         if len(self.cache) + len(missing) > CACHE_SIZE:
             self.cache.clear()
             missing = set().union(*filter(None, words))
-        missing = list(missing)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            encoded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            sizes = [len(e.ids) for e in encoded]
-            raw = np.fromiter(chain.from_iterable(e.ids for e in encoded), "<u4", sum(sizes)).tobytes()
-            ends = np.cumsum([0, *sizes]) * 4
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        self._learn(list(missing))
         known = self.cache.__getitem__
         out = [self.whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
         for w in missing:
@@ -87,6 +92,36 @@ class WordTokens:
                 del self.cache[w]
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        plain = words if _PLAIN.fullmatch(" ".join(words)) else [w for w in words if _PLAIN.fullmatch(w)]
+        parts = []
+        for w in plain:
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                parts.append((core.lower(),) if len(core) == len(w) else (core.lower(), w[len(core) :]))
+            else:
+                parts.append(tuple(_PRE_TOKEN.findall(w.lower())))
+        if len(self.pieces) > CACHE_SIZE:
+            self.pieces.clear()
+        pieces = self.pieces
+        missing = [p for p in set().union(*parts).difference(pieces)]
+        for at in range(0, len(missing), 1000):
+            part = missing[at : at + 1000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, last = ids.tobytes(), 0
+                for p, end in zip(part, (ends * 4).tolist(), strict=True):
+                    pieces[p] = raw[last:end]
+                    last = end
+            else:  # never met; the library decides one by one
+                pieces.update((p, self.whole(p)) for p in part)
+        cache = self.cache
+        for w, p in zip(plain, parts, strict=True):
+            cache[w] = pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p])
+        if plain is not words:
+            cache.update((w, self.whole(w)) for w in words if w not in cache)
+
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", separator: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row; the separator id
