@@ -1,10 +1,17 @@
 """One Spark session for all tests."""
 
+import os
+from pathlib import Path
+
 import pytest
 
 from memspan.session import build_session
 
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))  # for the Python workers
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
