@@ -17,45 +17,41 @@ from memspan.functions.sequences import normalize, normalize_name
 LINE = 100
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str], acgt_only: bool = False, min_size: int = 0, name_contains: str | None = None, keep_empty: bool = False) -> DataFrame:
-    """file, ord (1-based in its file), name, chars, size.
-
-    ``>`` begins a record even inside a line; the header ends at the first line feed or carriage
-    return; bodies are normalised (see :func:`memspan.functions.sequences.normalize`). A file whose
-    first byte is not ``>`` has no records. Filters apply in this order: name, empty, size.
-    """
+def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, ord, name and body of every record, as they stand in the files."""
     raw = spark.read.option("lineSep", ">").text(paths)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
     splits = raw.groupBy("file", "_at").agg(F.min("_id").alias("_from"), F.count("*").alias("_n"), F.min_by(F.length("value"), "_id").alias("_lead"))
     order = Window.partitionBy("file").orderBy("_at")
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lead = F.first("_lead").over(order)
-    splits = splits.select("file", "_at", "_from", before.alias("_before"), lead.alias("_lead")).where("_lead = 0")  # nothing may stand before the first '>'
+    splits = splits.select("file", "_at", "_from", before.alias("_before"), F.first("_lead").over(order).alias("_lead")).where("_lead = 0")  # nothing may stand before the first '>'
     rows = raw.join(splits, ["file", "_at"]).withColumn("ord", F.col("_before") + F.col("_id") - F.col("_from")).where("ord > 0")
     header = F.regexp_extract("value", r"^([^\n\r]*)", 1)
-    rows = rows.select("file", "ord", header.alias("name"), normalize(F.substr("value", F.length(header) + 1), acgt_only).alias("chars"))
+    return rows.select("file", "ord", header.alias("name"), F.substr("value", F.length(header) + 1).alias("body"))
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str], acgt_only: bool = False, min_size: int = 0, name_contains: str | None = None) -> DataFrame:
+    """file, ord (1-based in its file), name, chars, size.
+
+    ``>`` begins a record even inside a line; the header ends at the first line feed or carriage
+    return; bodies are normalised (see :func:`memspan.functions.sequences.normalize`). A file whose
+    first byte is not ``>`` has no records. Filters apply in this order: name, empty, size.
+    """
+    rows = _records(spark, paths)
     if name_contains is not None:
         rows = rows.where(F.col("name").contains(name_contains))
-    rows = rows.withColumn("size", F.length("chars").cast("long"))
-    if not keep_empty:
-        rows = rows.where("size > 0")
-    return rows.where(F.col("size") >= min_size)
+    rows = rows.select("file", "ord", "name", normalize(F.col("body"), acgt_only).alias("chars")).withColumn("size", F.length("chars").cast("long"))
+    return rows.where((F.col("size") > 0) & (F.col("size") >= min_size))
 
 
 def cleaned(spark: SparkSession, path: str) -> DataFrame:
     """name (of the file), chars (ACGT of all records, joined in order), kept, removed, records:
     one row. The joined sequence is one string, as the cleaned file is one record."""
-    records = read_fasta(spark, path, acgt_only=True, keep_empty=True)
-    full = read_bodies(spark, path)
-    sums = full.agg(F.sum(F.length(normalize_name(F.col("body"), 2))).alias("printable"))
-    joined = records.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "chars"))), lambda x: x["chars"]), "").alias("chars"), F.sum("size").alias("kept"), F.count("*").alias("records"))
-    return joined.join(sums).select(F.lit(os.path.basename(path)).alias("name"), "chars", F.coalesce("kept", F.lit(0)).alias("kept"), (F.coalesce("printable", F.lit(0)) - F.coalesce("kept", F.lit(0))).alias("removed"), "records")
-
-
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """body of every record, as it stands in the file."""
-    rows = spark.read.option("lineSep", ">").text(path)
-    return rows.select(F.substr("value", F.length(F.regexp_extract("value", r"^([^\n\r]*)", 1)) + 1).alias("body"))
+    rows = _records(spark, path).select("ord", normalize(F.col("body"), acgt_only=True).alias("chars"), F.length(normalize_name(F.col("body"), 2)).alias("printable"))
+    kept = F.coalesce(F.sum(F.length("chars")), F.lit(0))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "chars"))), lambda x: x["chars"]), "")
+    sums = rows.agg(joined.alias("chars"), kept.alias("kept"), (F.coalesce(F.sum("printable"), F.lit(0)) - kept).alias("removed"), F.count("*").alias("records"))
+    return sums.select(F.lit(os.path.basename(path)).alias("name"), "chars", "kept", "removed", "records")
 
 
 def fasta_lines(sequences: DataFrame, width: int = LINE) -> DataFrame:
