@@ -70,8 +70,8 @@ class Centroids:
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, least: np.ndarray):
         self.languages, self.idf, self.centroids, self.of, self.least = languages, idf, centroids, of, least
 
-    def vectors(self, counts: list[np.ndarray]) -> np.ndarray:
-        x = np.sqrt(np.array(counts, np.float32)) * self.idf
+    def vectors(self, counts: list[np.ndarray] | np.ndarray) -> np.ndarray:
+        x = np.sqrt(np.asarray(counts, np.float32)) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
@@ -94,18 +94,25 @@ class Centroids:
         return names, scores, rejected
 
 
-def fit(samples: dict[str, list[np.ndarray]], clusters: int = 4, margin: float = 0.3, rounds: int = 12) -> Centroids:
-    """Centroids from n-gram counts by language."""
+def fit(samples: dict[str, list[tuple[np.ndarray, np.ndarray]]], clusters: int = 4, margin: float = 0.3, rounds: int = 12) -> Centroids:
+    """Centroids from n-gram counts by language, each sample as its places and their counts; the
+    vectors of one language are held at a time."""
     languages = sorted(samples)
-    every = [c for name in languages for c in samples[name]]
-    if not every:
-        return Centroids([], np.ones(DIMENSIONS, np.float32), np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0))
-    there = sum((c > 0).astype(np.float64) for c in every)
-    idf = np.log((1 + len(every)) / (1 + there)).astype(np.float32) + np.float32(0.1)
-    model = Centroids(languages, idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0))
+    n = sum(map(len, samples.values()))
+    model = Centroids(languages if n else [], np.ones(DIMENSIONS, np.float32), np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0))
+    if not n:
+        return model
+    there = np.zeros(DIMENSIONS)
+    for name in languages:
+        for places, _ in samples[name]:
+            there[places] += 1
+    model.idf = np.log((1 + n) / (1 + there)).astype(np.float32) + np.float32(0.1)
     centroids, of, least = [], [], []
     for k, name in enumerate(languages):
-        x = model.vectors(samples[name])
+        counts = np.zeros((len(samples[name]), DIMENSIONS), np.float32)
+        for row, (places, values) in zip(counts, samples[name], strict=True):
+            row[places] = values
+        x = model.vectors(counts)
         own = _spherical_means(x, min(clusters, len(x)), rounds)
         lowest = float((x @ own.T).max(1).min())
         for c in own:
@@ -160,9 +167,7 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     samples: dict[str, list] = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["label"], r["draw"], bytes(r["places"]), bytes(r["counts"]))):
         if len(samples[r["label"]]) < per_language:
-            counts = np.zeros(DIMENSIONS, np.int64)
-            counts[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["counts"], "<u4")
-            samples[r["label"]].append(counts)
+            samples[r["label"]].append((np.frombuffer(r["places"], "<u2"), np.frombuffer(r["counts"], "<u4")))
     return fit(dict(samples), clusters)
 
 
