@@ -35,7 +35,9 @@ from memspan.llm.durable import map_columns, stored
 
 CAPACITY = 2048
 ITEMS_PER_TASK = 50_000
-CACHE_SIZE = 700_000
+CACHE_SIZE = 600_000
+#: The tokenizer's own pre-tokens kept in a worker; new words are put together from them.
+PIECE_CACHE_SIZE = 1_200_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -80,13 +82,16 @@ class WordTokens:
                 words.append([w for w in _BLANKS.split(t) if w])
             else:
                 words.append(t.split())
-        missing = set().union(*filter(None, words)).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_SIZE:
+        if len(self.cache) > CACHE_SIZE:
             self.cache.clear()
-            missing = set().union(*filter(None, words))
+        get = self.cache.get
+        found = [None if w is None else list(map(get, w)) for w in words]
+        gaps = [i for i, f in enumerate(found) if f is not None and None in f]
+        missing = {w for i in gaps for w, f in zip(words[i], found[i], strict=True) if f is None}
         self._learn(list(missing))
-        known = self.cache.__getitem__
-        out = [self.whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
+        for i in gaps:
+            found[i] = [f or get(w) for w, f in zip(words[i], found[i], strict=True)]
+        out = [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
         for w in missing:
             if len(w) > 256:
                 del self.cache[w]
@@ -101,7 +106,7 @@ class WordTokens:
                 parts.append((core.lower(),) if len(core) == len(w) else (core.lower(), w[len(core) :]))
             else:
                 parts.append(tuple(_PRE_TOKEN.findall(w.lower())))
-        if len(self.pieces) > CACHE_SIZE:
+        if len(self.pieces) > PIECE_CACHE_SIZE:
             self.pieces.clear()
         pieces = self.pieces
         missing = [p for p in set().union(*parts).difference(pieces)]
