@@ -1,47 +1,30 @@
-"""Tables that outlive executors, and Arrow helpers shared by the operators.
+"""Arrow helpers shared by the operators, and tables that outlive executors.
 
-Every operator that cuts lineage writes a Parquet table below ``spark.checkpoint.dir``,
-which all executors share, so a lost executor costs a re-read and never a recomputation
-of the whole plan. Where the session does not name that folder (tests on one machine),
-one is made under the system's temporary folder.
+Every operator that cuts lineage writes a Parquet table below ``spark.checkpoint.dir``, which all
+executors share, so a lost executor costs a re-read and never a recomputation of the whole plan.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from memspan.plans.tables import shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="memspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, with its schema."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/memspan-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["map_columns", "rows_of", "shared_folder", "stored"]
+#: Rows that are Python objects at a time.
+ROWS = 1000
 
 
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterator[dict] | dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over Python lists.
 
     ``make`` runs once per task and returns a function of the input columns (one list per
-    column of a batch), which returns or yields dictionaries of output columns.
+    column, at most ``ROWS`` rows), which returns or yields dictionaries of output columns.
     """
     target = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(target)
@@ -49,9 +32,16 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterator[dict] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                made = step(*(column.to_pylist() for column in batch.columns))
+            for at in range(0, batch.num_rows, ROWS):
+                made = step(*(column.to_pylist() for column in batch.slice(at, ROWS).columns))
                 for out in [made] if isinstance(made, dict) else made:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, at most ``ROWS`` of them as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield from zip(*(column.to_pylist() for column in batch.slice(at, ROWS).columns), strict=True)
