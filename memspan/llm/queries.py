@@ -10,20 +10,26 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memspan.llm import chat, decontaminate, fingerprints, language, neardup, packing, pseudolm, secrets, substrings, tokencount
+from memspan.operators.kmers import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out if they come in fewer splits than there are cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that documents share, with one partner document each."""
-    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    return substrings.repeated_passages(all_documents(spark, sf_dir))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
-    documents = table(spark, sf_dir, "documents")
+    documents = all_documents(spark, sf_dir)
     model = language.train(documents, F.col("doc_id").isNotNull() & ~language.held_out())
     found = language.identify(documents, model)
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
@@ -31,39 +37,39 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.85 or more."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
+    return neardup.near_duplicates(all_documents(spark, sf_dir), percent=85, width=3)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows, and the items they belong to."""
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(all_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-log-likelihood of every document under a network trained on all of them."""
-    return pseudolm.score_documents(table(spark, sf_dir, "documents"))
+    return pseudolm.score_documents(all_documents(spark, sf_dir))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, base spans hashed and all spans listed."""
-    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    found = secrets.scan_documents(all_documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_layers", "n_oversize")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 32k piece model."""
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(all_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
-    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_edits(all_documents(spark, sf_dir))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(all_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
