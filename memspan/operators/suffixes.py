@@ -113,15 +113,33 @@ def smaller_values(lcps: DataFrame) -> DataFrame:
     return lcps.select("rank", "pos", "lcp").groupBy().applyInPandas(stacked, schema)
 
 
+def enclosing_intervals(lcps: DataFrame) -> DataFrame:
+    """rank, depth, top, bottom: the longest prefix a suffix shares with a neighbour, and the rank
+    interval of all suffixes that begin with it."""
+    near = stored(smaller_values(lcps), "smaller")
+    n = near.agg((F.max("rank") + 1).alias("n")).first().n or 0
+    ahead = near.select((F.col("rank") - 1).alias("rank"), F.col("lcp").alias("_lcp"), F.col("next_smaller").alias("_next"))
+    rows = near.join(ahead, "rank", "left")
+    with_next = F.coalesce(F.col("_lcp") > F.col("lcp"), F.lit(False))
+    return rows.select(
+        "rank",
+        F.when(with_next, F.col("_lcp")).otherwise(F.col("lcp")).alias("depth"),
+        F.when(with_next, F.col("rank")).otherwise(F.coalesce("previous_smaller", F.lit(0))).alias("top"),
+        (F.coalesce(F.when(with_next, F.col("_next")).otherwise(F.col("next_smaller")), F.lit(n)) - 1).cast("long").alias("bottom"),
+    )
+
+
 def lcp_stats(lcps: DataFrame) -> DataFrame:
     """mean_lcp (truncated), max_lcp and n over all ranks."""
     return lcps.agg(F.floor(F.sum(F.greatest("lcp", F.lit(0))) / F.count("*")).cast("long").alias("mean_lcp"), F.max("lcp").alias("max_lcp"), F.count("*").alias("n"))
 
 
 def bwt_runs(suffixes: DataFrame) -> DataFrame:
-    """n_runs and longest of equal letters in the BWT."""
+    """n_runs, longest and most_common (the shorter of equally common lengths) of the runs of equal
+    letters in the BWT."""
     run = F.col("rank") - F.row_number().over(Window.partitionBy("bwt").orderBy("rank"))
-    return suffixes.withColumn("_g", run).groupBy("bwt", "_g").agg(F.count("*").alias("_n")).agg(F.count("*").alias("n_runs"), F.max("_n").alias("longest"))
+    lengths = suffixes.withColumn("_g", run).groupBy("bwt", "_g").agg(F.count("*").alias("_n")).groupBy("_n").agg(F.count("*").alias("_k"))
+    return lengths.agg(F.sum("_k").alias("n_runs"), F.max("_n").alias("longest"), F.max_by("_n", F.struct("_k", -F.col("_n"))).alias("most_common"))
 
 
 def prefix_intervals(refs: DataFrame, k: int) -> DataFrame:

@@ -299,13 +299,20 @@ def smaller_values(spark, sf_dir):
     return suffixes.smaller_values(suffixes.lcp_array(_letters(spark, sf_dir))).select("rank", "previous_smaller", "next_smaller")
 
 
+@query(_suffix_sql(""", d AS (SELECT rank, greatest(lcp, coalesce(lead(lcp) OVER (ORDER BY rank), -1)) AS depth FROM l)
+SELECT rank, CAST(depth AS BIGINT) AS depth, (SELECT coalesce(max(b.rank), 0) FROM l b WHERE b.rank <= d.rank AND b.lcp < d.depth) AS top,
+(SELECT coalesce(min(b.rank), (SELECT count(*) FROM l)) - 1 FROM l b WHERE b.rank > d.rank AND b.lcp < d.depth) AS bottom FROM d"""))
+def enclosing_intervals(spark, sf_dir):
+    return suffixes.enclosing_intervals(suffixes.lcp_array(_letters(spark, sf_dir)))
+
+
 @query(_suffix_sql("SELECT CAST(sum(lcp) FILTER (lcp > 0) // count(*) AS BIGINT) AS mean_lcp, CAST(max(lcp) AS BIGINT) AS max_lcp, count(*) AS n FROM l"))
 def lcp_stats(spark, sf_dir):
     return suffixes.lcp_stats(suffixes.lcp_array(_letters(spark, sf_dir)))
 
 
 @query(_suffix_sql(""", r AS (SELECT bwt, rank - row_number() OVER (PARTITION BY bwt ORDER BY rank) AS g FROM k), c AS (SELECT bwt, g, count(*) AS n FROM r GROUP BY bwt, g)
-SELECT count(*) AS n_runs, max(n) AS longest FROM c"""))
+SELECT count(*) AS n_runs, max(n) AS longest, (SELECT n FROM c GROUP BY n ORDER BY count(*) DESC, n LIMIT 1) AS most_common FROM c"""))
 def bwt_runs(spark, sf_dir):
     return suffixes.bwt_runs(_suffixes(spark, sf_dir))
 

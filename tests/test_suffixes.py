@@ -51,7 +51,10 @@ def test_what_follows_from_the_order(spark):
         assert values[i] == (before, after)
     bwt = "".join("$" if p == 0 else merged[p - 1] for p in order)
     runs = [len(x) for x in __import__("re").findall(r"((.)\2*)", bwt) for x in x[:1]]
-    assert tuple(suffixes.bwt_runs(array).first()) == (len(runs), max(runs))
+    assert tuple(suffixes.bwt_runs(array).first())[:2] == (len(runs), max(runs))
+    for r in suffixes.enclosing_intervals(suffixes.lcp_array(refs(spark, texts))).collect():
+        prefix = merged[order[r.rank] :][: r.depth]
+        assert (r.top, r.bottom) == (min(own := [i for i, p in enumerate(order) if merged[p:].startswith(prefix)]), max(own))
     spans = {r.prefix: (r.top, r.bottom, r.n) for r in suffixes.prefix_intervals(refs(spark, texts), 3).collect()}
     for prefix, (top, bottom, n) in spans.items():
         own = [i for i, p in enumerate(order) if merged[p : p + 3].replace("N", "@") == prefix]
