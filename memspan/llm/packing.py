@@ -23,6 +23,7 @@ empty table packs into nothing; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 
@@ -35,7 +36,7 @@ from memspan.llm.durable import map_columns, stored
 
 CAPACITY = 2048
 ITEMS_PER_TASK = 50_000
-CACHE_SIZE = 600_000
+CACHE_SIZE = 1_200_000
 #: The tokenizer's own pre-tokens kept in a worker; new words are put together from them.
 PIECE_CACHE_SIZE = 1_200_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
@@ -59,21 +60,30 @@ class WordTokens:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.library.model)  # for text that is normalised and split already
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; a text that contains a special token goes to the library whole."""
+        gc.disable()  # nothing here is cyclic, and the caches are large to walk through
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         words = []
         for t in texts:
             if "<|" in t and any(s in t for s in self.special):
@@ -90,7 +100,10 @@ class WordTokens:
         missing = {w for i in gaps for w, f in zip(words[i], found[i], strict=True) if f is None}
         self._learn(list(missing))
         for i in gaps:
-            found[i] = [f or get(w) for w, f in zip(words[i], found[i], strict=True)]
+            line, row, at = words[i], found[i], -1
+            for _ in range(row.count(None)):
+                at = row.index(None, at + 1)
+                row[at] = get(line[at])
         out = [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
         for w in missing:
             if len(w) > 256:
@@ -98,32 +111,32 @@ class WordTokens:
         return out
 
     def _learn(self, words: list[str]) -> None:
+        """Puts ``words`` into the cache. Most are a run of letters with marks behind it."""
         plain = words if _PLAIN.fullmatch(" ".join(words)) else [w for w in words if _PLAIN.fullmatch(w)]
-        parts = []
-        for w in plain:
-            core = w.rstrip(_MARKS)
-            if core.isalpha():
-                parts.append((core.lower(),) if len(core) == len(w) else (core.lower(), w[len(core) :]))
-            else:
-                parts.append(tuple(_PRE_TOKEN.findall(w.lower())))
+        cores = [w.rstrip(_MARKS) for w in plain]
+        simple = [c.isalpha() for c in cores]
+        mixed = [w for w, s in zip(plain, simple, strict=True) if not s]
+        regular = plain if not mixed else [w for w, s in zip(plain, simple, strict=True) if s]
+        if mixed:
+            cores = [c for c, s in zip(cores, simple, strict=True) if s]
+        tails = [w[len(c) :] for w, c in zip(regular, cores, strict=True)]
+        cores = [c.lower() for c in cores]
+        split = [_PRE_TOKEN.findall(w.lower()) for w in mixed]
         if len(self.pieces) > PIECE_CACHE_SIZE:
-            self.pieces.clear()
-        pieces = self.pieces
-        missing = [p for p in set().union(*parts).difference(pieces)]
+            self.pieces = {"": b""}
+        pieces, cache = self.pieces, self.cache
+        missing = list(set(cores).union(tails, *split).difference(pieces))
         for at in range(0, len(missing), 1000):
             part = missing[at : at + 1000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
-                raw, last = ids.tobytes(), 0
-                for p, end in zip(part, (ends * 4).tolist(), strict=True):
-                    pieces[p] = raw[last:end]
-                    last = end
+                raw, ends = ids.tobytes(), (ends * 4).tolist()
+                pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
             else:  # never met; the library decides one by one
                 pieces.update((p, self.whole(p)) for p in part)
-        cache = self.cache
-        for w, p in zip(plain, parts, strict=True):
-            cache[w] = pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p])
+        cache.update(zip(regular, [pieces[c] + pieces[t] for c, t in zip(cores, tails, strict=True)], strict=True))
+        cache.update((w, b"".join([pieces[x] for x in p])) for w, p in zip(mixed, split, strict=True))
         if plain is not words:
             cache.update((w, self.whole(w)) for w in words if w not in cache)
 
