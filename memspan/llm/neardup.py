@@ -22,8 +22,8 @@
 Words are runs of anything but ASCII white space, with A-Z lower-cased; shorter texts are one
 shingle. Defined cases: null, empty and wordless texts have an empty set and are linked with
 nothing; repeated rows and ties link as equal sets; rows that share an id but not a text are judged
-each by its own set, and links of either count for that id; a null id is a component of its own, never
-a partner; extra columns are not read.
+each by its own set, and links of either count for that id; a null id has a null component, is kept
+and is never a partner; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -214,7 +214,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: st
     links = stored(links, "links")
     named = classes.join(links.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = sketches.join(named, "digest", "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 

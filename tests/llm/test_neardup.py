@@ -62,6 +62,8 @@ def test_dropping(spark):
     texts = [(5, "a b c d e f"), (3, "a b c d e f"), (9, "x y z u v w"), (9, "x y z u v w"), (7, None), (None, "a b c d e f"), (8, "")]
     df = spark.createDataFrame([(i, t, "k") for i, t in texts], "doc_id long, text string, _n string")
     df = df.withColumnRenamed("_n", "note")
+    judged = [(r.component_id, r.kept) for r in neardup.near_duplicates(df).where("doc_id IS NULL").collect()]
+    assert judged == [(None, True)]
     left = neardup.drop_near_duplicates(df)
     assert left.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "a b c d e f"), (3, "a b c d e f"), (7, ""), (8, ""), (9, "x y z u v w")]
