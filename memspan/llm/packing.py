@@ -26,6 +26,7 @@ from __future__ import annotations
 import gc
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import regex
@@ -36,9 +37,15 @@ from memspan.llm.durable import map_columns, stored
 
 CAPACITY = 2048
 ITEMS_PER_TASK = 50_000
-CACHE_SIZE = 1_200_000
+CACHE_SIZE = 700_000
+#: The most frequent words of a worker's first ``HOT_SAMPLE`` words have a table of their own, small
+#: enough to stay near the processor; it changes only where a word is looked up first.
+HOT_SIZE, HOT_SAMPLE = 20_000, 1_000_000
 #: The tokenizer's own pre-tokens kept in a worker; new words are put together from them.
-PIECE_CACHE_SIZE = 1_200_000
+PIECE_CACHE_SIZE = 700_000
+#: The most frequent words of a worker's first ``HOT_SAMPLE`` words have a table of their own, small
+#: enough to stay near the processor; it changes only where a word is looked up first.
+HOT_SIZE, HOT_SAMPLE = 20_000, 1_000_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -71,6 +78,8 @@ class WordTokens:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
+        self.hot: dict[str, bytes] = {}
+        self.seen: Counter[str] | None = Counter()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -94,17 +103,35 @@ class WordTokens:
                 words.append(t.split())
         if len(self.cache) > CACHE_SIZE:
             self.cache.clear()
-        get = self.cache.get
-        found = [None if w is None else list(map(get, w)) for w in words]
-        gaps = [i for i, f in enumerate(found) if f is not None and None in f]
-        missing = {w for i in gaps for w, f in zip(words[i], found[i], strict=True) if f is None}
+        hot, get = self.hot.get, self.cache.get
+        found = [None if w is None else list(map(hot, w)) for w in words]
+        gaps = []
+        missing = set()
+        for line, row in zip(words, found, strict=True):
+            if row is not None and None in row:
+                at, holes = -1, []
+                for _ in range(row.count(None)):
+                    at = row.index(None, at + 1)
+                    word = line[at]
+                    known = row[at] = get(word)
+                    if known is None:
+                        row[at] = b""  # for now; the search goes on behind it
+                        holes.append(at)
+                        missing.add(word)
+                if holes:
+                    gaps.append((line, row, holes))
         self._learn(list(missing))
-        for i in gaps:
-            line, row, at = words[i], found[i], -1
-            for _ in range(row.count(None)):
-                at = row.index(None, at + 1)
+        for line, row, holes in gaps:
+            for at in holes:
                 row[at] = get(line[at])
         out = [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
+        if self.seen is not None:
+            for line in filter(None, words):
+                self.seen.update(line)
+            if self.seen.total() >= HOT_SAMPLE:
+                frequent = [w for w, _ in self.seen.most_common(HOT_SIZE) if w in self.cache]
+                self.hot = {w: bytes(bytearray(self.cache[w])) for w in frequent}  # copies lie side by side
+                self.seen = None
         for w in missing:
             if len(w) > 256:
                 del self.cache[w]
