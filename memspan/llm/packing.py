@@ -37,15 +37,12 @@ from memspan.llm.durable import map_columns, stored
 
 CAPACITY = 2048
 ITEMS_PER_TASK = 50_000
-CACHE_SIZE = 700_000
+CACHE_SIZE = 2_500_000
 #: The most frequent words of a worker's first ``HOT_SAMPLE`` words have a table of their own, small
 #: enough to stay near the processor; it changes only where a word is looked up first.
 HOT_SIZE, HOT_SAMPLE = 20_000, 1_000_000
 #: The tokenizer's own pre-tokens kept in a worker; new words are put together from them.
-PIECE_CACHE_SIZE = 700_000
-#: The most frequent words of a worker's first ``HOT_SAMPLE`` words have a table of their own, small
-#: enough to stay near the processor; it changes only where a word is looked up first.
-HOT_SIZE, HOT_SAMPLE = 20_000, 1_000_000
+PIECE_CACHE_SIZE = 2_000_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
