@@ -9,9 +9,9 @@ Tokens are blank-separated words (A-Z lower-cased): the corpus's most frequent w
 all documents, have an id each, all others share ``BUCKETS`` ids by hash, and id 0 stands
 beyond both ends of a document.
 
-Training covers the corpus: in each round every task trains the current network in numpy on
-every ``stride``-th position of every document in its partition, and the tasks' networks are
-averaged, weighted by their positions. What the tasks send grows with the input; it is summed in
+Training covers the corpus: in each of ``rounds`` rounds every task trains the current network in
+numpy on every ``stride``-th position of its partition, each round on others (with as many rounds
+as ``stride``, on every token once), and the tasks' networks are averaged, weighted by their positions. What the tasks send grows with the input; it is summed in
 two steps (by block of the network and a salt, then by block), each row holding one block of
 fixed size, so no task gathers more than a stream of blocks. The driver gets one network.
 
@@ -81,9 +81,9 @@ class Network:
         back = (p @ self.out.T) * (1 - h * h)
         grad.hidden_bias[:] = back.sum(0)
         for j, a in enumerate(around):
-            one_hot = np.zeros((self.tokens, n), np.float32)
-            one_hot[a, np.arange(n)] = 1
-            np.matmul(one_hot, back, out=grad.embed[j])
+            order = np.argsort(a, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(a[order]) != 0)))
+            grad.embed[j][a[order[first]]] = np.add.reduceat(back[order], first, axis=0)
         g = grad.vector
         state += g * g
         self.vector -= rate * g / np.sqrt(state + 1e-8)
@@ -126,7 +126,12 @@ def joined_ids(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndar
     return ids, positions.astype(np.int64), of
 
 
-def train(df: DataFrame, text_col: str = "text", frequent: int = 191, rounds: int = 2, stride: int = 16, batch: int = 512, rate: float = 0.1) -> tuple[Vocabulary, Network]:
+def positions_of(positions: np.ndarray, turn: int, rounds: int, stride: int) -> np.ndarray:
+    """Those that one round trains on."""
+    return positions[turn * (stride // rounds) % stride :: stride]
+
+
+def train(df: DataFrame, text_col: str = "text", frequent: int = 191, rounds: int = 2, stride: int = 2, batch: int = 512, rate: float = 0.1) -> tuple[Vocabulary, Network]:
     """The vocabulary and the network of a corpus."""
     spark = df.sparkSession
     vocabulary = Vocabulary([w for w, _ in frequent_words(df, text_col, words_of, frequent)])
@@ -147,7 +152,7 @@ def train(df: DataFrame, text_col: str = "text", frequent: int = 191, rounds: in
                 texts = rows.column(0).to_pylist()
                 for at in range(0, len(texts), 512):
                     ids, positions, _ = joined_ids(words, texts[at : at + 512])
-                    positions = positions[turn * (stride // rounds) % stride :: stride]
+                    positions = positions_of(positions, turn, rounds, stride)
                     positions = positions[np.random.default_rng(len(positions)).permutation(len(positions))]
                     for i in range(0, len(positions), batch):
                         own.train(ids, positions[i : i + batch], state, rate)

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -65,3 +66,10 @@ def test_nothing_to_learn_from(spark):
     assert lm.score_documents(df).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_tokens, r.log_prob) for r in lm.score_documents(blank).collect()) == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+def test_every_token_is_trained_on():
+    given = {k: p.default for k, p in inspect.signature(lm.train).parameters.items()}
+    for n in (1, 7, 1000):
+        seen = [lm.positions_of(np.arange(n), turn, given["rounds"], given["stride"]) for turn in range(given["rounds"])]
+        assert sorted(np.concatenate(seen).tolist()) == list(range(n))
