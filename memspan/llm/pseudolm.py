@@ -7,7 +7,11 @@ its tokens' conditional probabilities.
 
 Tokens are blank-separated words (A-Z lower-cased): the corpus's most frequent words, counted over
 all documents, have an id each, all others share ``BUCKETS`` ids by hash, and id 0 stands
-beyond both ends of a document.
+beyond both ends of a document. The network predicts ids; a word of a bucket is predicted within it
+by corpus counts: of the ``n`` tokens of its bucket, its own (if it is one of the ``TABLE`` most
+frequent words) and, for all words outside the table, their share of the bucket times the word's
+probability under a letter model, in which each byte follows from the two before it. Both are
+counted over all documents; buckets are taken to be equally likely under the letter model.
 
 Training covers the corpus: in each of ``rounds`` rounds every task trains the current network in
 numpy on every ``stride``-th position of its partition, each round on others (with as many rounds
@@ -32,6 +36,8 @@ from memspan.llm.wordpieces import frequent_words
 
 WINDOW, HIDDEN, BUCKETS = 2, 32, 64
 OFFSETS = (-2, -1, 1, 2)
+#: Words that have a count of their own, and contexts of the letter model (two bytes, folded).
+TABLE, CONTEXTS = 32_768, 1024
 #: Rows of one block of the network that travels.
 BLOCK = 4096
 #: Logits stay within the range of a 32-bit exponential.
@@ -89,24 +95,92 @@ class Network:
         self.vector -= rate * g / np.sqrt(state + 1e-8)
 
 
+def _distinct(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, without repeats, in their order, and where they come first."""
+    hashes = np.concatenate([word_hashes(w, wide=False)[:1] for w in words]) if words else np.empty(0, np.uint64)
+    first = np.sort(np.unique(hashes, return_index=True)[1])
+    return hashes[first], first
+
+
+def _at(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where hashes stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
+
+
 class Vocabulary:
-    """Ids of words: 0 the edge, then the frequent words, then the buckets."""
+    """Ids of words: 0 the edge, then the frequent words, then the buckets; and the probabilities
+    of words within their bucket, from the counts of ``others`` and those of ``learn``."""
 
-    def __init__(self, words: list[str]):
-        hashes = np.concatenate([word_hashes(w, wide=False)[:1] for w in words]) if words else np.empty(0, np.uint64)
-        _, first = np.unique(hashes, return_index=True)
-        hashes = hashes[np.sort(first)]
+    def __init__(self, words: list[str], others: list[tuple[str, int]] = ()):
+        hashes, _ = _distinct(words)
         self.order = np.argsort(hashes).astype(np.int64)
         self.sorted = hashes[self.order]
         self.size = 1 + len(hashes) + BUCKETS
+        table, first = _distinct([w for w, _ in others])
+        order = np.argsort(table)
+        self.table, self.counts = table[order], np.array([n for _, n in others], np.float64)[first[order]]
+        self.learn(np.zeros(CONTEXTS * 256 + 2 * BUCKETS))
 
     def ids(self, text: str | None) -> np.ndarray:
-        h = word_hashes(text, wide=False) if text else np.empty(0, np.uint64)
+        return self.ids_of(self.hashes(text))
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        return word_hashes(text, wide=False) if text else np.empty(0, np.uint64)
+
+    def ids_of(self, h: np.ndarray) -> np.ndarray:
         other = (1 + len(self.sorted) + (h % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int32)
         if not len(self.sorted) or not len(h):
             return other
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, (1 + self.order[at]).astype(np.int32), other)
+        at, found = _at(self.sorted, h)
+        return np.where(found, (1 + self.order[at]).astype(np.int32), other)
+
+    def cells(self, text: str, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """What one text adds to: letters of words in buckets, these words' buckets, and the
+        buckets of those outside the table."""
+        bucket = ids.astype(np.int64) - 1 - len(self.sorted)
+        inside = bucket >= 0
+        letters, starts = _letters(text)
+        sizes = np.diff(np.concatenate((starts, [len(letters)])))
+        new = inside & ~_at(self.table, h)[1]
+        return np.concatenate((letters[np.repeat(inside, sizes)], CONTEXTS * 256 + bucket[inside], CONTEXTS * 256 + BUCKETS + bucket[new]))
+
+    def learn(self, cells: np.ndarray) -> None:
+        """Takes the corpus's counts of ``cells``."""
+        n = cells[: CONTEXTS * 256].reshape(CONTEXTS, 256)
+        single = (n.sum(0) + 1) / (n.sum() + 256)
+        self.spelling = np.log((n + 4 * single) / (n.sum(1, keepdims=True) + 4)).astype(np.float32)
+        self.total, self.rest = cells[CONTEXTS * 256 :].reshape(2, BUCKETS)
+
+    def within(self, text: str | None, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logarithms of the words' probabilities within their buckets, 0 for frequent words."""
+        out = np.zeros(len(h))
+        bucket = ids.astype(np.int64) - 1 - len(self.sorted)
+        inside = np.flatnonzero(bucket >= 0)
+        if not len(inside):
+            return out
+        letters, starts = _letters(text)
+        spelled = np.add.reduceat(self.spelling.ravel()[letters].astype(np.float64), starts)[inside]
+        h, bucket = h[inside], bucket[inside]
+        at, found = _at(self.table, h)
+        own = np.full(len(h), -np.inf)
+        own[found] = np.log(self.counts[at[found]])
+        other = np.log(self.rest[bucket] + 1) + np.minimum(spelled + np.log(BUCKETS), 0)
+        out[inside] = np.logaddexp(own, other) - np.log(self.total[bucket] + 1)
+        return out
+
+
+def _letters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The cell (context, byte) of every byte of the words and of the blank behind each, and
+    where words start."""
+    data = np.frombuffer(b" ".join(text.encode(errors="replace").lower().split()) + b" ", np.uint8).astype(np.int64)
+    blank = data == 32
+    before = np.concatenate(([32], data[:-1]))
+    second = np.where(before == 32, 32, np.concatenate(([32, 32], data[:-2]))[: len(data)])
+    starts = np.concatenate(([0], np.flatnonzero(blank)[:-1] + 1))
+    return (before + 31 * second) % CONTEXTS * 256 + data, starts
 
 
 def words_of(text: str) -> list[str]:
@@ -114,9 +188,8 @@ def words_of(text: str) -> list[str]:
     return [w.decode(errors="replace") for w in text.encode(errors="replace").lower().split()]
 
 
-def joined_ids(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids with edges around every text, the positions of real tokens, and their text's number."""
-    parts = [vocabulary.ids(t) for t in texts]
+def joined_ids(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' ids with edges around every text, the positions of real tokens, and their text's number."""
     edge = np.zeros(WINDOW, np.int32)
     sizes = np.array([len(p) for p in parts], np.int64)
     ids = np.concatenate([edge, *(x for p in parts for x in (p, edge))])
@@ -134,9 +207,11 @@ def positions_of(positions: np.ndarray, turn: int, rounds: int, stride: int) ->
 def train(df: DataFrame, text_col: str = "text", frequent: int = 191, rounds: int = 2, stride: int = 2, batch: int = 512, rate: float = 0.1) -> tuple[Vocabulary, Network]:
     """The vocabulary and the network of a corpus."""
     spark = df.sparkSession
-    vocabulary = Vocabulary([w for w, _ in frequent_words(df, text_col, words_of, frequent)])
-    network = Network(vocabulary.size)
+    counted = frequent_words(df, text_col, words_of, max(TABLE, frequent), exact=True)
+    vocabulary = Vocabulary([w for w, _ in counted[:frequent]], counted[frequent:])
     texts = df.select(text_col)
+    vocabulary.learn(_cells(texts, vocabulary))
+    network = Network(vocabulary.size)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((vocabulary, network.vector))
 
@@ -151,7 +226,7 @@ def train(df: DataFrame, text_col: str = "text", frequent: int = 191, rounds: in
             for rows in batches:
                 texts = rows.column(0).to_pylist()
                 for at in range(0, len(texts), 512):
-                    ids, positions, _ = joined_ids(words, texts[at : at + 512])
+                    ids, positions, _ = joined_ids([words.ids(t) for t in texts[at : at + 512]])
                     positions = positions_of(positions, turn, rounds, stride)
                     positions = positions[np.random.default_rng(len(positions)).permutation(len(positions))]
                     for i in range(0, len(positions), batch):
@@ -177,6 +252,31 @@ def train(df: DataFrame, text_col: str = "text", frequent: int = 191, rounds: in
     return vocabulary, network
 
 
+def _cells(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often each cell occurs in all texts."""
+    size = CONTEXTS * 256 + 2 * BUCKETS
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches):
+        import pyarrow as pa
+
+        words, total = sent.value, np.zeros(size, np.int64)
+        for rows in batches:
+            given = rows.column(0).to_pylist()
+            for at in range(0, len(given), 256):
+                made = [words.cells(t, h, words.ids_of(h)) for t in given[at : at + 256] if len(h := words.hashes(t))]
+                if made:
+                    total += np.bincount(np.concatenate(made), minlength=size)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    found = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most one row a cell
+    sent.destroy()
+    out = np.zeros(size)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 def _summed(batches):
     """(block, salt, seen, values) in order of block and salt, added up by both."""
     import pyarrow as pa
@@ -210,11 +310,15 @@ def score(df: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str =
         def step(ids, texts):
             counts, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for at in range(0, len(texts), 256):
-                tokens, positions, of = joined_ids(words, texts[at : at + 256])
+                some = texts[at : at + 256]
+                hashes = [words.hashes(t) for t in some]
+                parts = [words.ids_of(h) for h in hashes]
+                tokens, positions, of = joined_ids(parts)
+                sums[at : at + 256] += [words.within(*x).sum() for x in zip(some, hashes, parts, strict=True)]
                 for i in range(0, len(positions), 4096):
                     part = positions[i : i + 4096]
                     np.add.at(sums, at + of[i : i + 4096], own.log_probs(tokens, part).astype(np.float64))
-                counts[at : at + 256] += np.bincount(of, minlength=len(texts[at : at + 256]))
+                counts[at : at + 256] += np.bincount(of, minlength=len(some))
             means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist(), strict=True)]
             return {"id": ids, "n_tokens": counts, "log_prob": sums, "mean_log_prob": means}
 

@@ -1,5 +1,6 @@
 import inspect
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -61,6 +62,31 @@ def test_gradient():
     assert network.log_probs(ids, positions).mean() > before + 1
 
 
+def test_words_within_a_bucket(spark):
+    rng = random.Random(4)
+    known = [f"{a}{b}{c}{d}" for a in "bdklmnprst" for b in "aeiou" for c in "lmnrst" for d in ("a", "er", "ing", "o")]
+    rows = [(i, " ".join(rng.choice(known) for _ in range(60))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocabulary, network = lm.train(df, frequent=20)
+    counts = Counter(w for _, t in rows for w in t.split())
+
+    def within(w):
+        h = vocabulary.hashes(w)
+        return vocabulary.within(w, h, vocabulary.ids_of(h))[0]
+
+    listed = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    assert all(within(w) == 0 for w in listed[:20])
+    buckets = {w: int(vocabulary.ids(w)[0]) for w in listed}
+    for w in listed[20::50]:
+        total = sum(counts[x] for x in listed[20:] if buckets[x] == buckets[w])
+        assert abs(np.exp(within(w)) - counts[w] / (total + 1)) < 0.5 / (total + 1)
+    new = ["xqzv", "qqxj", "zvxqw"], ["lanera", "tomera", "saning"]
+    assert max(map(within, new[0])) < min(map(within, new[1])) < min(within(w) for w in listed)
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((*new, listed[100:103]))], "doc_id long, text string")
+    scores = [r.mean_log_prob for r in lm.score(texts, vocabulary, network).orderBy("doc_id").collect()]
+    assert scores[0] < scores[1] - 1 < scores[2] - 2
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_documents(df).count() == 0

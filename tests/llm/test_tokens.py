@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,13 @@ def test_ids_equal_the_library():
     assert tokens.encode(texts) == [tokens.whole(t) for t in texts]
 
 
+def test_exact_counts(spark):
+    rows = [(f"a{i % 7} b{i % 3} " + "c" * 80,) for i in range(60)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    counts = Counter(w for r in rows for w in r[0].split() if len(w) < 65)
+    assert wordpieces.frequent_words(df, "text", str.split, per_task=1, exact=True) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+
+
 def test_frequent_words(spark):
     df = spark.createDataFrame([("a b a",), (None,), ("b a c",), ("",), ("z" * 100,)], "text string").repartition(2)
     assert wordpieces.frequent_words(df, "text", str.split, top=2) == [("a", 3), ("b", 2)]
