@@ -47,7 +47,12 @@ OVERLAP = 4096
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: Runs over both alphabets; one that mixes them is also taken apart.
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64_PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+#: Lines of base64 (the last may be short), perhaps indented or with escaped line ends.
+BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:[ \t]*\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*|(?:\\r)?\\n[ \t]*")
 MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x\x01", zlib.decompressobj), (b"x\x5e", zlib.decompressobj), (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
 
 
@@ -192,32 +197,63 @@ def _inflated(data: bytes, limit: int) -> Iterator[bytes]:
 def base64_layers(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
     """A layer for each run that decodes to text, directly or through compression; text beyond
     ``limit`` bytes comes as several layers of the same source interval."""
-    for m in BASE64_RUN.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+    for start, end, run in _base64_runs(layer.text):
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
             continue
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        yield from _unwrapped(layer, m, data, limit, {data})
-
-
-def _unwrapped(layer: Layer, m: re.Match, data: bytes, limit: int, seen: set[bytes]) -> Iterator[tuple[Layer, bool]]:
+        yield from _unwrapped(layer, (start, end), data, limit, {data})
+
+
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of runs in a line; and of neighbouring lines, those of one length with and
+    without the shorter one behind them, and all of them, as one run."""
+    for m in BASE64_RUN.finditer(text):
+        run = m.group()
+        yield m.start(), m.end(), run
+        mixed = ("+" in run or "/" in run) and ("-" in run or "_" in run)
+        for pattern in BASE64_PARTS if mixed else ():
+            for p in pattern.finditer(run):
+                yield m.start() + p.start(), m.start() + p.end(), p.group()
+    if "\n" not in text and "\\n" not in text:
+        return
+    for m in BASE64_LINES.finditer(text):
+        lines, at = [], m.start()
+        for gap in LINE_END.finditer(text, m.start(), m.end()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, m.end()))
+        i = 0
+        while i < len(lines):
+            size, j = lines[i][1] - lines[i][0], i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == size:
+                j += 1
+            shorter = j < len(lines) and len(text[slice(*lines[j])].rstrip("=")) < size
+            for last in (j, j + 1) if shorter else (j,):
+                if last > i + 1:
+                    yield lines[i][0], lines[last - 1][1], "".join(text[a:b] for a, b in lines[i:last])
+            i = j
+        yield m.start(), m.end(), "".join(text[a:b] for a, b in lines)
+
+
+def _unwrapped(layer: Layer, at: tuple[int, int], data: bytes, limit: int, seen: set[bytes]) -> Iterator[tuple[Layer, bool]]:
     """Layers of ``data``, through any number of compressions; ``seen`` ends a cycle."""
     windows = 0
     for window in _inflated(data, limit):
         windows += 1
         if window not in seen:
-            yield from _unwrapped(layer, m, window, limit, {*seen, window})
+            yield from _unwrapped(layer, at, window, limit, {*seen, window})
     if not windows:
-        yield from _texts(layer, m, data, len(data) >= limit)
+        yield from _texts(layer, at, data, len(data) >= limit)
 
 
-def _texts(layer: Layer, m: re.Match, data: bytes, cut: bool) -> Iterator[tuple[Layer, bool]]:
+def _texts(layer: Layer, at: tuple[int, int], data: bytes, cut: bool) -> Iterator[tuple[Layer, bool]]:
     text = _printable(data.decode(errors="ignore").encode() if cut else data)
     if text:
-        yield Layer(text, [(0, *layer.source(m.start(), m.end()), 0)]), cut
+        yield Layer(text, [(0, *layer.source(*at), 0)]), cut
 
 
 def scan(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:

@@ -1,6 +1,8 @@
 import base64
 import gzip
+import random
 import re
+import string
 import urllib.parse
 import zlib
 
@@ -85,3 +87,27 @@ def test_frames(spark):
     assert found == [(0, 0, "", ""), (1, 0, "", ""), (2, 1, "assign:0:14", "assign:0:14"), (2, 1, "assign:0:14", "assign:0:14")]
     assert sorted((r.doc_id or 0, r.text, r.spans) for r in secrets.redacted(df).collect() if r.text) == [(0, "x", 7), (2, "[secret]", 7), (2, "[secret]", 7)]
     assert secrets.scan_documents(df.where("false")).count() == 0
+
+
+def test_url_safe_and_wrapped_payloads():
+    rng = random.Random(3)
+    for n in range(200):
+        junk = "".join(rng.choice(string.ascii_letters + string.digits + " ") for _ in range(250))
+        data = (junk + " token=abcdefgh12").encode()
+        packed = rng.choice((zlib.compress, gzip.compress))(data)
+        for coded in (base64.urlsafe_b64encode(packed), base64.b64encode(packed), base64.urlsafe_b64encode(data)):
+            coded = coded.decode()
+            assert (coded, "assign") in added(f"one {coded} two")
+            assert (coded.rstrip("="), "assign") in added(f"one {coded.rstrip('=')} two")
+        for width, end in ((76, "\n"), (64, "\r\n"), (64, "\n  "), (76, "\\n")):
+            plain = base64.b64encode(packed).decode()
+            lines = end.join(plain[i : i + width] for i in range(0, len(plain), width))
+            assert (lines, "assign") in added(f"data: {lines} two")
+            assert (lines, "assign") in added(f"averyveryverylongfirstline\n{lines}\nnext")
+    across = base64.encodebytes(b"x" * 50 + b" password=abcdefghijklmnop " + b"y" * 50).decode().rstrip("\n")
+    assert (across, "assign") in added(across)
+    parts = base64.b64encode(b"???>>> token=abcdefgh12").decode().rstrip("="), base64.urlsafe_b64encode(b"???>>> secret=abcdefgh12").decode().rstrip("=")
+    assert "+" in parts[0] and "-" in parts[1]
+    assert (parts[0], "assign") in added("-".join(parts)) and (parts[1], "assign") in added("/".join(parts))
+    whole = "\n".join(base64.b64encode((b"x" * 100 + b" token=abcdefgh12" + b"y" * 57)[:171]).decode()[i : i + 76] for i in range(0, 228, 76))
+    assert added(f"{whole}\nnext words")
