@@ -61,21 +61,27 @@ def mix(h: np.ndarray) -> np.ndarray:
 _WIDE_SPACES = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
-def word_hashes(text: str, wide: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; ``wide`` counts spaces beyond ASCII as separators too."""
+def words_at(text: str, wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and where it starts; ``wide`` counts spaces beyond ASCII as
+    separators too."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     if wide and not text.isascii():
         space |= np.isin(codes, _WIDE_SPACES)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     if not len(edges):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), edges
     starts, ends = edges[::2], edges[1::2]
     lower = codes + np.where((codes >= 65) & (codes <= 90), np.uint32(32), np.uint32(0))
     up, down = _power_tables(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(mix(lower.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(text: str, wide: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return words_at(text, wide)[0]
 
 
 def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
