@@ -59,23 +59,38 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 #: Spaces beyond ASCII.
 _WIDE_SPACES = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_tables: list[np.ndarray] = []
+
+
+def _scattered(codes: np.ndarray) -> np.ndarray:
+    """A hash of each character, A-Z as a-z."""
+    return mix((codes + np.where((codes >= 65) & (codes <= 90), np.uint32(32), np.uint32(0))).astype(np.uint64) + np.uint64(1))
+
+
+def _char_tables() -> list[np.ndarray]:
+    """For the first 65,536 code points: their hashes, and whether they are spaces (ASCII only, all)."""
+    if not _tables:
+        codes = np.arange(1 << 16, dtype=np.uint32)
+        narrow = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        _tables.extend((_scattered(codes), narrow, narrow | np.isin(codes, _WIDE_SPACES)))
+    return _tables
 
 
 def words_at(text: str, wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word and where it starts; ``wide`` counts spaces beyond ASCII as
     separators too."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    if wide and not text.isascii():
-        space |= np.isin(codes, _WIDE_SPACES)
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    hashes, *spaces = _char_tables()
+    high = len(codes) > 0 and int(codes.max()) >= len(hashes)  # no such character is a space
+    low = np.minimum(codes, np.uint32(len(hashes) - 1)) if high else codes
+    space = spaces[wide][low]
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
     if not len(edges):
         return np.empty(0, np.uint64), edges
     starts, ends = edges[::2], edges[1::2]
-    lower = codes + np.where((codes >= 65) & (codes <= 90), np.uint32(32), np.uint32(0))
     up, down = _power_tables(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(lower.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
+    np.cumsum((_scattered(codes) if high else hashes[low]) * up[: len(codes)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
