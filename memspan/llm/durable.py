@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from memspan.plans.tables import shared_folder, stored
 
-__all__ = ["map_columns", "rows_of", "shared_folder", "stored"]
+__all__ = ["free_names", "map_columns", "rows_of", "shared_folder", "stored"]
 #: Rows that are Python objects at a time.
 ROWS = 1000
 
@@ -45,3 +45,14 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             yield from zip(*(column.to_pylist() for column in batch.slice(at, ROWS).columns), strict=True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,29 +1,31 @@
 """MinHash near-duplicates from bottom-k sketches of one hash function.
 
 1. Each document becomes its set of ``width``-word shingle hashes (one 64-bit hash function).
-   Documents with equal sets collapse into their smallest id.
-2. The retained values are each document's ``depth`` smallest hashes in each of ``classes``
-   residue classes of that one hash function. Inverted lists are kept of the retained values,
-   a class's values together forming the list's key. Two documents of Jaccard similarity ``s``
-   share a key of one class with probability about ``s ** depth``; at s = 0.85 with 6 values and
-   36 classes a linked pair misses all lists with probability 4e-8, at 0.8 with 1.8e-5, and documents that only
+   Documents with equal sets are one *class*, and only classes go on.
+2. The retained values are each class's ``depth`` smallest hashes in each of ``classes`` residue
+   classes of that one hash function. Inverted lists are kept of the retained values, those of a
+   residue together forming the list's key. Two documents of Jaccard similarity ``s`` share a key
+   of one residue with probability about ``s ** depth``; at s = 0.85 with 6 values and 36 residues a
+   linked pair misses all lists with probability 4e-8, at 0.8 with 1.8e-5, and documents that only
    share a common passage hardly ever meet.
-3. Members of a list are tied to its smallest id (one edge a member, never all pairs), and
+3. Members of a list are tied to its smallest class (one edge a member, never all pairs), and
    connected components of these ties are the *families* within which links can exist.
-4. Within a family, union sketches (the ``sketch`` smallest hashes of two documents together)
-   estimate the similarity of pairs that are not connected yet; pairs whose estimate is within
-   five standard errors of the threshold, or above, are verified on the full sets. A search
-   from each document visits only documents that are not yet connected with it.
-5. A family of more than ``block_tokens`` hashes is split into blocks, and every pair of
-   blocks is searched on its own, in bounded memory; their links are united by connected
-   components. Only texts of family members are shuffled (a Bloom filter of fixed size keeps
+4. Within a family, each class is a sketch of its ``sketch`` smallest hashes. Inverted lists of these
+   retained values generate the overlaps of one class with all that are not connected with it yet; the
+   union sketch of two classes turns an overlap into an estimate, and pairs whose estimate is within
+   five standard errors of the threshold, or above, are verified on the full sets.
+5. A family of more than ``block_tokens`` hashes or ``block_rows`` classes is searched in blocks of
+   that size. First each block is searched together with the family's first class; what is not connected with it
+   then visits all other blocks, so that a large group of near copies is never gathered and only what
+   is left over moves more than once. Only texts of family members are shuffled (a Bloom filter keeps
    most others back).
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased; shorter texts are one
 shingle. Defined cases: null, empty and wordless texts have an empty set and are linked with
 nothing; repeated rows and ties link as equal sets; rows that share an id but not a text are judged
-each by its own set, and links of either count for that id; a null id has a null component, is kept
-and is never a partner; extra columns are not read.
+each by its own set; a null id has a null component, is kept and is never a partner; an empty table gives an
+empty result; very long texts take part whole (a set of eight bytes a word); extra columns, whatever
+their names, are not read, and ``drop_near_duplicates`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -35,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspan.llm.components import connected_components
-from memspan.llm.durable import map_columns, stored
+from memspan.llm.durable import free_names, map_columns, rows_of, stored
 from memspan.llm.fingerprints import mix, shingle_hashes, word_hashes
-from memspan.llm.membership import bloom_filter, possible_members
+from memspan.llm.membership import bloom_filter, members_of, possible_members
 
 DEPTH, CLASSES, SKETCH = 6, 36, 64
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS, BLOCK_ROWS = 1_000_000, 400
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -71,53 +73,59 @@ def linked(common, size_a, size_b, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
 
-def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int = SKETCH, sides: list[int] | None = None) -> list[tuple]:
-    """(id, smallest id of its component) for the members of one family that have a link; with
-    ``sides``, links within a side are left to other calls."""
+def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int = SKETCH, visiting: list[bool] | None = None) -> list[tuple]:
+    """(id, smallest id of its component) for the members of one family that have a link; links
+    between two members that are only ``visiting`` are left to other calls."""
     n = len(ids)
-    if sides is not None and len(set(sides)) < 2:
-        sides = None
-    if n == 2:
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(max(ids), min(ids)), (min(ids), min(ids))] if linked(common, len(sets[0]), len(sets[1]), percent) else []
+    if visiting is not None and all(visiting):
+        return []
     order = sorted(range(n), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    side = None if sides is None else np.array([sides[i] for i in order])
+    guest = None if visiting is None or not any(visiting) else np.array([visiting[i] for i in order])
+    if n == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(i, min(ids)) for i in ids] if linked(common, len(sets[0]), len(sets[1]), percent) else []
     sizes = np.array([len(s) for s in sets])
     vocabulary, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     tokens = tokens.astype(np.int32)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    low = np.full((n, sketch), len(vocabulary) + 1, np.int32)  # ranks of the smallest hashes: the vocabulary is sorted
-    for i in range(n):
-        low[i, : min(sketch, sizes[i])] = tokens[starts[i] : starts[i] + min(sketch, sizes[i])]
-    whole = np.where(sizes <= sketch, len(vocabulary), low[:, sketch - 1])  # up to here a sketch is complete
-    flag = np.zeros(len(vocabulary) + 2, bool)
+    kept = np.minimum(sizes, sketch)  # the vocabulary is sorted, and so is each set: its first tokens are its smallest
+    whole = np.where(sizes <= sketch, len(vocabulary), tokens[starts + kept - 1])  # up to here a sketch is complete
+    retained = tokens[np.arange(kept.sum()) + np.repeat(starts - np.cumsum(kept) + kept, kept)]
+    by = np.argsort(retained, kind="stable")
+    lists = np.repeat(np.arange(n), kept)[by]  # members by retained value
+    edges = np.searchsorted(retained[by], np.arange(len(vocabulary) + 1))
+    flag = np.zeros(len(vocabulary) + 1, bool)
     ratio = percent / 100
-    unseen = np.arange(n)
+    open_ = np.ones(n, bool)
+    left, first = n, 0
     found = []
-    while len(unseen):
-        queue, unseen = [int(unseen[0])], unseen[1:]
-        members = [queue[0]]
-        while queue and len(unseen):
+    while left:
+        first += int(open_[first:].argmax())
+        queue, members = [first], [first]
+        open_[first] = False
+        left -= 1
+        while queue and left:
             x = queue.pop()
-            lo = np.searchsorted(sizes[unseen], np.ceil(ratio * sizes[x] - 1e-9), side="left")
-            hi = np.searchsorted(sizes[unseen], np.floor(sizes[x] / ratio + 1e-9), side="right")
-            near = unseen[lo:hi]
-            if side is not None:
-                near = near[side[near] != side[x]]
+            lo = np.searchsorted(sizes, np.ceil(ratio * sizes[x] - 1e-9), side="left")
+            hi = np.searchsorted(sizes, np.floor(sizes[x] / ratio + 1e-9), side="right")
+            own = tokens[starts[x] : ends[x]]
+            low = own[: kept[x]]
+            near = lists[_ranges(edges[low], edges[low + 1])]  # of each of its retained values, the list
+            near = near[open_[near] & (near >= lo) & (near < hi)]
+            if guest is not None and guest[x]:
+                near = near[~guest[near]]
             if not len(near):
                 continue
-            own = tokens[starts[x] : ends[x]]
+            near, overlap = np.unique(near, return_counts=True)
+            limit = np.minimum(whole[x], whole[near])
             flag[own] = True
-            limit = np.minimum(whole[x], whole[near])[:, None]
-            inside = low[near] <= limit
-            common = (flag[low[near]] & inside).sum(1)
-            union = inside.sum(1) + np.searchsorted(own, limit[:, 0], side="right") - common
+            # of the union's sketch, what lies up to the smaller limit
+            theirs = _below(retained, kept, near, limit)
+            union = np.searchsorted(own, limit, side="right") + theirs - overlap
             error = np.sqrt(ratio * (1 - ratio) / np.maximum(union, 1))
-            exact = limit[:, 0] >= len(vocabulary)
-            likely = common >= (ratio - np.where(exact, 1e-9, 5 * error)) * union
-            near = near[likely]
+            near = near[overlap >= (ratio - np.where(limit >= len(vocabulary), 1e-9, 5 * error)) * union]
             if len(near):
                 counts = _overlaps(flag, tokens, starts[near], ends[near])
                 near = near[linked(counts, sizes[x], sizes[near], percent)]
@@ -125,13 +133,28 @@ def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int =
             if len(near):
                 queue += near.tolist()
                 members += near.tolist()
-                unseen = unseen[~np.isin(unseen, near, assume_unique=True)]
+                open_[near] = False
+                left -= len(near)
         if len(members) > 1:
             root = min(ids[m] for m in members)
             found += [(ids[m], root) for m in members]
     return found
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All of starts..ends (exclusive), one after the other."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _below(retained: np.ndarray, kept: np.ndarray, near: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many of the retained values of each of ``near`` are at most its ``limit``."""
+    begins = (np.cumsum(kept) - kept)[near]
+    values = retained[_ranges(begins, begins + kept[near])]
+    inside = values <= np.repeat(limit, kept[near])
+    return np.add.reduceat(inside.astype(np.int64), np.cumsum(kept[near]) - kept[near])
+
+
 def _overlaps(flag: np.ndarray, tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """How many of each token run are flagged."""
     sizes = ends - starts
@@ -140,98 +163,145 @@ def _overlaps(flag: np.ndarray, tokens: np.ndarray, starts: np.ndarray, ends: np
     return np.add.reduceat(flag[tokens[at]].astype(np.int64), firsts)
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """id, n_shingles, component_id, kept for each row; links are pairs of sets with
-    100 * intersection >= percent * union."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str, block_tokens: int, block_rows: int) -> DataFrame:
+    """id, text_key (a hash of the text), n, component (null for a null id) and root (that names the
+    component, where rows share an id) of each row of ``df``."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def make_sketches():
-        def step(ids, texts):
-            out: dict[str, list] = {"id": ids, "n": [], "digest": [], "keys": []}
+        def step(ids, text_keys, texts):
+            out: dict[str, list] = {"id": ids, "text_key": text_keys, "n": [], "class": [], "keys": []}
             for text in texts:
                 hashes = shingle_set(text, width)
                 out["n"].append(len(hashes))
-                out["digest"].append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
+                out["class"].append(int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else None)
                 out["keys"].append(list_keys(hashes))
             return out
 
         return step
 
-    sketches = stored(map_columns(rows, make_sketches, "id long, n long, digest binary, keys array<long>"), "sketches")
+    sketches = stored(map_columns(rows.select("id", F.xxhash64("text"), "text"), make_sketches, "id long, text_key long, n long, class long, keys array<long>"), "sketches")
     usable = sketches.where("id IS NOT NULL AND n > 0")
-    classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    lists = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    heads = lists.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head")
-    ties = lists.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    families = stored(connected_components(ties).select(F.col("vertex").alias("id"), F.col("component").alias("family")), "families")
+    classes = stored(usable.groupBy("class").agg(F.min(F.struct("id", "text_key")).alias("first"), F.first("n").alias("n")).select("class", "first.id", "first.text_key", "n"), "classes")
+    firsts = usable.join(classes.select("class", "id", "text_key"), ["class", "id", "text_key"], "left_semi")  # repeated rows give the same lists
+    lists = firsts.select("class", F.explode(F.array_distinct("keys")).alias("key"))
+    heads = lists.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head <> last").select("key", "head")
+    ties = lists.join(heads, "key").where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
+    families = stored(connected_components(ties).select(F.col("vertex").alias("class"), F.col("component").alias("family")), "families")
 
     def make_sets():
-        def step(ids, fams, texts):
-            return {"id": ids, "family": fams, "hashes": [shingle_set(t, width).tobytes() for t in texts]}
+        def step(classes, fams, texts):
+            return {"class": classes, "family": fams, "hashes": [shingle_set(t, width).tobytes() for t in texts]}
 
         return step
 
-    members = possible_members(rows, "id", bloom_filter(families.select("id")))
-    sets = map_columns(members.join(families.hint("merge"), "id").select("id", "family", "text"), make_sets, "id long, family long, hashes binary")
-    sizes = usable.select("id", "n").join(families, "id").groupBy("family").agg(F.sum("n").alias("tokens"))
-    large = sizes.where(F.col("tokens") > block_tokens).select("family", F.ceil(F.col("tokens") / (block_tokens / 2)).cast("int").alias("blocks"))
-    large = stored(large, "large")
+    members = stored(classes.join(families, "class"), "members")  # class, id, text_key, n, family
+    texts = members_of(rows, "id", members.select("id")).withColumn("text_key", F.xxhash64("text"))
+    met = texts.join(members.hint("merge"), ["id", "text_key"]).select("class", "family", "text")
+    sets = map_columns(met, make_sets, "class long, family long, hashes binary")
+    sizes = members.groupBy("family").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+    blocks = F.greatest(F.ceil(F.col("tokens") / (block_tokens / 2)), F.ceil(F.col("rows") / block_rows)).cast("int")
+    large = stored(sizes.where((F.col("tokens") > block_tokens) | (F.col("rows") > block_rows)).select("family", "tokens", "rows", blocks.alias("blocks")), "large")
     split = large.limit(1).count() > 0
-    if split:
-        sets = sets.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        sets = sets.withColumn("own", own).withColumn("other", other)
-        sets = sets.select("id", "family", "hashes", "own", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("block"))
-    else:
-        sets = sets.withColumn("own", F.lit(0)).withColumn("block", F.lit(0).cast("long"))
+    if not split:
+        links = stored(_searched(sets.withColumn("block", F.lit(0).cast("long")).withColumn("guest", F.lit(False)), percent, parts), "links")
+        return _components(sketches, classes, links)
+    sets = stored(sets, "sets")
+    # small families whole; of large ones each block with the family's first class
+    dealt = sets.join(large.select("family", "blocks"), "family", "left")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("long")
+    leader = F.col("class") == F.col("family")  # a family is named after its smallest class
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
+    where = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(leader, every).otherwise(F.array(own))
+    once = dealt.select("class", "family", "hashes", F.explode(where).alias("block"), F.lit(False).alias("guest"))
+    found = stored(_searched(once, percent, parts), "links")
+    joined = stored(connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("class"), F.col("component").alias("root")), "joined")
+    # what is not connected with the first class visits all blocks of its family
+    inside = sets.join(large, "family").join(joined, "class", "left").withColumn("root", F.coalesce("root", F.col("class")))
+    heads = inside.where(leader).select("family", F.col("root").alias("head_root"))
+    state = inside.join(heads, "family").withColumn("apart", F.col("root") != F.col("head_root"))
+    apart = stored(state.where("apart").groupBy("family").agg(F.sum(F.octet_length("hashes") / 8).alias("apart_tokens"), F.count("*").alias("apart_rows")), "apart")
+    if not apart.limit(1).count():
+        return _components(sketches, classes, found)
+    again = state.select("class", "family", "hashes", "apart", "tokens", "rows").join(apart, "family")
+    blocks = F.greatest(F.ceil(F.col("tokens") / (block_tokens / 2)), F.ceil(F.col("rows") / F.greatest(F.lit(block_rows), F.col("apart_rows")))).cast("long")
+    again = again.withColumn("blocks", blocks).withColumn("lots", F.ceil(F.col("apart_tokens") / (block_tokens / 2)).cast("long"))
+    own, lot = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("long"), F.pmod(F.xxhash64(F.lit(1), "class"), F.col("lots")).cast("long")
+
+    def all_of(n):
+        return F.sequence(F.lit(0).cast("long"), n - 1)
+
+    home = F.transform(all_of(F.col("lots")), lambda x: F.struct((own * F.col("lots") + x).alias("block"), F.lit(False).alias("guest")))
+    away = F.transform(F.filter(all_of(F.col("blocks")), lambda x: x != own), lambda x: F.struct((x * F.col("lots") + lot).alias("block"), F.lit(True).alias("guest")))
+    spots = F.explode(F.when(F.col("apart"), F.concat(home, away)).otherwise(home)).alias("spot")
+    visits = again.select("class", "family", "hashes", spots).select("class", "family", "hashes", "spot.block", "spot.guest")
+    more = _searched(visits, percent, parts)
+    return _components(sketches, classes, stored(found.unionByName(more), "links"))
+
+
+def _searched(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(class, root) of the links within each block of (class, family, hashes, block, guest)."""
 
     def search(batches):
         import pyarrow as pa
 
-        key, ids, held, sides = None, [], [], []
+        key, classes, held, guests = None, [], [], []
 
         def finish():
-            links = family_links(ids, held, percent, sides=sides) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["id", "root"])
-
-        for batch in batches:
-            for family, block, doc, own, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (family, block) != key:
-                    yield finish()
-                    key, ids, held, sides = (family, block), [], [], []
-                ids.append(doc)
-                sides.append(own)
-                held.append(np.frombuffer(hashes, np.uint64))
+            links = family_links(classes, held, percent, visiting=guests) if len(classes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["class", "root"])
+
+        for family, block, one, guest, hashes in rows_of(batches):
+            if (family, block) != key:
+                yield finish()
+                key, classes, held, guests = (family, block), [], [], []
+            classes.append(one)
+            guests.append(guest)
+            held.append(np.frombuffer(hashes, np.uint64))
         yield finish()
 
-    dealt = sets.select("family", "block", "id", "own", "hashes").repartition(max(parts, 1), "family", "block").sortWithinPartitions("family", "block")
-    links = dealt.mapInArrow(search, "id long, root long")
-    if split:
-        links = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("id"), F.col("component").alias("root"))
-    links = stored(links, "links")
-    named = classes.join(links.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    out = sketches.join(named, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    dealt = sets.select("family", "block", "class", "guest", "hashes").repartition(parts, "family", "block").sortWithinPartitions("family", "block")
+    return dealt.mapInArrow(search, "class long, root long")
+
+
+def _components(sketches: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Each row's component: the smallest id of all classes that links connect."""
+    joined = connected_components(links.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("class"), F.col("component").alias("root"))
+    named = classes.select("class", "id").join(joined, "class")
+    lowest = named.groupBy("root").agg(F.min("id").alias("component"))
+    known = classes.select("class", "id").join(named.select("class", "root").join(lowest, "root").select("class", "root", "component"), "class", "left")
+    known = known.select("class", F.coalesce("root", "class").alias("root"), F.coalesce("component", "id").alias("component"))
+    out = sketches.select("id", "text_key", "n", "class").join(known, "class", "left")
+    return out.select("id", "text_key", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"), "root")
+
+
+def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id, n_shingles, component_id, kept for each row; links are pairs of sets with
+    100 * intersection >= percent * union."""
+    found = _judged(df, percent, width, id_col, text_col, block_tokens, block_rows)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component, the one with the smallest id (of repeated rows with
-    that id, any one); rows with a null id stay.
+    """``df`` with one row of each component: of the rows with its smallest id, one of those with the smallest
+    hash of their text. Rows with a null id or without a word stay, and so do rows that
+    share an id but are in no component with another.
 
-    Rows that surely stay pass a Bloom filter of fixed size unshuffled; only rows that may be
-    dropped or repeated meet the exact list of ids.
+    Rows that surely stay pass a Bloom filter unshuffled; only rows that may be dropped or
+    repeated meet the exact list.
     """
-    found = stored(near_duplicates(df, percent, width, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "kept"), "kept")
-    judged = found.groupBy("_id").agg(F.min("kept").alias("_kept"), F.count("*").alias("_n")).where("NOT _kept OR _n > 1")
-    bits = bloom_filter(judged.select("_id"))
-    key = F.col(id_col).cast("long")
-    sure = possible_members(df.withColumn("_key", key), "_key", bits, absent=True).drop("_key")
-    maybe = possible_members(df.withColumn("_key", key), "_key", bits)
-    maybe = maybe.join(judged.hint("merge"), F.col("_key") == F.col("_id"), "left").where("_kept IS NULL OR _kept OR _n > 1")
-    single = maybe.where("_n IS NULL").drop("_key", "_id", "_kept", "_n")
-    repeated = maybe.where("_kept").dropDuplicates(["_id"]).drop("_key", "_id", "_kept", "_n")
-    return sure.unionByName(single).unionByName(repeated)
+    found = stored(_judged(df, percent, width, id_col, text_col, BLOCK_TOKENS, BLOCK_ROWS).where("id IS NOT NULL AND n > 0"), "judged")
+    first = found.where("id = component").groupBy("root").agg(F.min("text_key").alias("winner"), F.count("*").alias("rows")).where("rows > 1")
+    judged = found.join(first, "root", "left")
+    fate = F.when(F.col("id") != F.col("component"), "drop").when(F.col("text_key") != F.col("winner"), "drop").when(F.col("rows") > 1, "once").otherwise("keep")
+    judged = stored(judged.select("id", "text_key", fate.alias("fate")).where("fate <> 'keep'").distinct(), "fates")
+    key, hashed, fate_ = free_names(df, "key", "hashed", "fate")
+    keyed = df.withColumn(key, F.col(id_col).cast("long")).withColumn(hashed, F.xxhash64(text_col))
+    bits = bloom_filter(judged.select("id"))
+    sure = possible_members(keyed, key, bits, absent=True).select(*(F.col(f"`{c}`") for c in df.columns))
+    fates = judged.select(F.col("id").alias(key), F.col("text_key").alias(hashed), F.col("fate").alias(fate_))
+    maybe = possible_members(keyed, key, bits).join(fates.hint("merge"), [key, hashed], "left")
+    single = maybe.where(F.col(fate_).isNull())
+    repeated = maybe.where(F.col(fate_) == "once").dropDuplicates([key, hashed])
+    return sure.unionByName(single.select(*sure.columns)).unionByName(repeated.select(*sure.columns))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -50,43 +51,87 @@ def corpus(seed):
     return [(1000 - 3 * i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("seed,percent,width,block", [(1, 85, 3, 10**6), (2, 80, 5, 10**6), (1, 85, 3, 800)])
-def test_components_equal_brute_force(spark, seed, percent, width, block):
+@pytest.mark.parametrize("seed,percent,width,block,lot", [(1, 85, 3, 10**6, 400), (2, 80, 5, 10**6, 400), (1, 85, 3, 800, 400), (3, 85, 3, 10**6, 5), (4, 85, 3, 600, 3)])
+def test_components_equal_brute_force(spark, seed, percent, width, block, lot):
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, True) for i, t in texts], "doc_id long, text string, component_id int, kept boolean").repartition(3)
-    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, percent, width, block_tokens=block).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, percent, width, block_tokens=block, block_rows=lot).collect()}
     assert found == brute(texts, percent, width)
 
 
 def test_dropping(spark):
-    texts = [(5, "a b c d e f"), (3, "a b c d e f"), (9, "x y z u v w"), (9, "x y z u v w"), (7, None), (None, "a b c d e f"), (8, "")]
-    df = spark.createDataFrame([(i, t, "k") for i, t in texts], "doc_id long, text string, _n string")
-    df = df.withColumnRenamed("_n", "note")
+    texts = [(5, "a b c d e f"), (3, "a b c d e f"), (9, "x y z u v w"), (9, "x y z u v w"), (7, None), (None, "a b c d e f"), (None, "a b c d e f"), (8, ""), (8, "")]
+    texts += [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five"), (2, "ONE two three four five"), (4, "m n o p q r"), (4, "M n o p q r"), (6, "a b c d e f"), (6, "quite other words than these here")]
+    columns = ["_n", "_key", "_kept", "_id", "key", "KEY_", "hashed", "fate", "class", "text_key", "block"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in columns)
+    df = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in columns)) for r in texts], schema).repartition(3)
     judged = [(r.component_id, r.kept) for r in neardup.near_duplicates(df).where("doc_id IS NULL").collect()]
-    assert judged == [(None, True)]
+    assert judged == [(None, True)] * 2
     left = neardup.drop_near_duplicates(df)
     assert left.columns == df.columns
-    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "a b c d e f"), (3, "a b c d e f"), (7, ""), (8, ""), (9, "x y z u v w")]
-    assert neardup.near_duplicates(df.where("false")).count() == 0
+    found = left.collect()
+    assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in columns)
+    kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in found)
+    assert kept == [(0, "a b c d e f")] * 2 + [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five"), (3, "a b c d e f"), (4, "m n o p q r"), (6, "quite other words than these here"), (7, ""), (8, ""), (8, ""), (9, "x y z u v w")]
+    assert neardup.near_duplicates(df.where("false")).count() == 0 and neardup.drop_near_duplicates(df.where("false")).count() == 0
 
 
-def test_family_search_by_sides():
-    rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
-    sets = [base[rng.random(len(base)) < 0.96] for _ in range(40)]
-    ids = list(range(40))
-    whole = {a: b for a, b in neardup.family_links(ids, sets, 85)}
-    sides = [i % 2 for i in ids]
-    parts = neardup.family_links(ids, sets, 85, sides=sides)
-    exact = {i: i for i in ids}
-    for a in ids:
-        for b in ids[:a]:
+def exact_components(sets, percent):
+    exact = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
             n = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                 x, y = exact[a], exact[b]
-                exact = {k: min(x, y) if v in (x, y) else v for k, v in exact.items()}
-    assert {i: whole.get(i, i) for i in ids} == exact
-    assert all(exact[a] == exact[b] for a, b in parts)
+                exact = [min(x, y) if v in (x, y) else v for v in exact]
+    return exact
+
+
+def test_family_search_with_guests():
+    rng = np.random.default_rng(1)
+    for size, chance in ((200, 0.96), (30, 0.96), (400, 0.93), (90, 0.8)):
+        base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        sets = [base[rng.random(len(base)) < chance] for _ in range(40)]
+        ids = list(range(40))
+        exact = exact_components(sets, 85)
+        whole = dict(neardup.family_links(ids, sets, 85))
+        assert [whole.get(i, i) for i in ids] == exact
+        guests = [i % 2 == 0 for i in ids]
+        for a, b in neardup.family_links(ids, sets, 85, visiting=guests):
+            assert exact[a] == exact[b]
+        parent = dict(neardup.family_links(ids, sets, 85, visiting=guests))
+        for a in ids:
+            for b in range(1, 40, 2):  # b is at home
+                n = len(np.intersect1d(sets[a], sets[b]))
+                if a != b and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                    assert parent[a] == parent[b]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of 100 to 140 words with similarities from 0.85 to 0.88: at least 0.999 of 2,000 are linked."""
+    rng = random.Random(9)
+    rows, wanted = [], 0
+    for k in range(2000):
+        words = [f"w{k}_{i}" for i in range(rng.randrange(100, 140))]
+        other = list(words)
+        for at in range(len(words) // 5, len(words), len(words) // 3 + 1)[: rng.choice((2, 3))]:
+            other[at] = "new"
+        a, b = (neardup.shingle_set(" ".join(w), 3) for w in (words, other))
+        n = len(np.intersect1d(a, b))
+        wanted += 100 * n >= 85 * (len(a) + len(b) - n)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85, width=3).where("NOT kept").collect()
+    assert all(r.component_id == r.doc_id - 1 for r in found)
+    assert wanted > 1000 and wanted >= len(found) >= 0.999 * wanted
+
+
+def test_large_families_end_in_time():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 2).astype(np.uint64)
+    sets = [np.unique(np.concatenate((common, rng.integers(0, 2**63, 8).astype(np.uint64)))) for _ in range(4000)]
+    began = time.process_time()
+    assert neardup.family_links(list(range(4000)), sets, 85) == []
+    assert time.process_time() - began < 10
 
 
 def test_connected_components(spark):
