@@ -5,16 +5,25 @@ base64, and gzip, zlib, bzip2 or xz data inside base64) are unwrapped into furth
 are scanned and unwrapped in turn until nothing new appears. Every layer knows which source
 interval each of its characters came from, so a secret found at any depth is reported as a
 span of the original text. A layer seen before with the same source interval ends its branch
-(a compressed file may contain itself).
+(a compressed file may contain itself); layers are remembered by their digests.
+
+Escapes of escapes (``%252541``) are peeled to the last one in one step. Escapes that stand for no
+character stay as they are, and do not keep their neighbours from being read. Decoded bytes form a layer
+if they hold 14 printable ASCII characters in a row, the least that a secret or a further
+encoding needs; other bytes among them are characters that no pattern has.
+
+All characters of a decompressed layer stand for the same source interval, so only the kinds found in it
+matter. Compressed data are read as a stream, member after member and through any number of compressions, in
+windows of about ``window_bytes`` that end behind a character which no pattern has, so nothing is cut. If there is none in
+four windows (one endless run), all of it is also read as one run of base64, as a stream again, and windows
+overlap. So memory stays bounded and no layer is left out; ``n_oversize`` counts windows beyond the first.
 
 Defined cases
 * null text: the empty string, no spans; a text without encoded parts has its base spans only;
 * the same kind and span found in several layers is reported once;
-* undecodable bytes, or bytes that are not printable UTF-8, form no layer;
-* a decompressed layer of more than ``max_layer_bytes`` is read to its end in overlapping windows
-  of that size, so memory stays bounded; their number is returned as ``n_oversize`` (what spans
-  more than the overlap at a window's edge is found on one side of it);
-* repeated rows are scanned as rows of their own; extra columns are not read.
+* damaged compressed data are read as far as they go;
+* repeated rows are scanned as rows of their own; an empty table gives an empty one; extra columns, whatever their
+  names, are not read (``redacted`` keeps them as they are); very long texts are scanned whole.
 One row is handled at a time; there is no shuffle.
 """
 
@@ -23,10 +32,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import contextlib
+import hashlib
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +51,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("passw", "secret", "token", "api")
-#: Nothing is decoded from runs shorter than this.
-LEAST_RUN = 16
-MAX_LAYER_BYTES = 16_000_000
-#: Bytes that neighbouring windows of a long decompressed layer share.
-OVERLAP = 4096
-
-URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: Nothing shorter can hold a secret or an encoding.
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
+WINDOW_BYTES = 16_000_000
+#: Bytes that neighbouring windows of an endless run share.
+OVERLAP = 65_536
+#: The last character of a window: one that no pattern has, in any layer.
+APART = re.compile(rb"[^A-Za-z0-9+/_.=%\\{}\"':\s-]")
+BLANKS = re.compile(rb" {3,}")
+NOT_BASE64 = re.compile(rb"[^A-Za-z0-9+/_-]+")
+
+#: Escapes, where an escaped percent sign or backslash in front belongs to the next one.
+URL_ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+URL_RUN = re.compile(f"(?:{URL_ESCAPE.pattern})+")
+UNICODE_RUN = re.compile(r"\\(?:u005[cC]|x5[cC]|U0000005[cC]|u\{0{0,4}5[cC]\})*(?:u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 #: Runs over both alphabets; one that mixes them is also taken apart.
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 BASE64_PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
@@ -104,18 +122,6 @@ class Layer:
         return out
 
 
-def _url(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except ValueError:
-        return None
-
-
-def _unicode_char(run: str) -> int | None:
-    code = int(run.strip("\\uUx{}"), 16)
-    return code if code <= 0x10FFFF else None
-
-
 def substituted(layer: Layer, runs: list[tuple[int, int, str]]) -> Layer:
     """``layer`` with each (start, end, decoded) put in place."""
     text, pieces, size, last = [], [], 0, 0
@@ -138,65 +144,184 @@ def substituted(layer: Layer, runs: list[tuple[int, int, str]]) -> Layer:
 def url_layer(layer: Layer) -> Layer | None:
     runs = []
     for m in URL_RUN.finditer(layer.text):
-        decoded = _url(m.group())
-        if decoded:
-            at = m.start()  # one escaped character at a time, so that spans stay exact
-            for c in decoded:
-                n = 3 * len(c.encode())
-                runs.append((at, at + n, c))
-                at += n
+        escapes = list(URL_ESCAPE.finditer(m.group()))
+        decoded = bytes(int(e.group(1), 16) for e in escapes).decode(errors="surrogateescape")
+        k = 0  # one character at a time, so that spans stay exact
+        for c in decoded:
+            n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+            if n > 1 or c < "\x80":
+                runs.append((m.start() + escapes[k].start(), m.start() + escapes[k + n - 1].end(), c))
+            k += n
     return substituted(layer, runs) if runs else None
 
 
 def unicode_layer(layer: Layer) -> Layer | None:
-    found = [(m.start(), m.end(), _unicode_char(m.group())) for m in UNICODE_RUN.finditer(layer.text)]
+    found = [(m.start(), m.end(), int(next(filter(None, m.groups())), 16)) for m in UNICODE_RUN.finditer(layer.text)]
     runs, i = [], 0
     while i < len(found):
         start, end, code = found[i]
         i += 1
-        if code is None:
-            continue
-        if 0xD800 <= code < 0xDC00 and i < len(found) and found[i][0] == end and found[i][2] is not None and 0xDC00 <= found[i][2] < 0xE000:
+        if 0xD800 <= code < 0xDC00 and i < len(found) and found[i][0] == end and 0xDC00 <= found[i][2] < 0xE000:
             code = 0x10000 + ((code - 0xD800) << 10) + found[i][2] - 0xDC00
             end = found[i][1]
             i += 1
-        if not 0xD800 <= code < 0xE000:
+        if code <= 0x10FFFF and not 0xD800 <= code < 0xE000:
             runs.append((start, end, chr(code)))
     return substituted(layer, runs) if runs else None
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text)
-    return text if text and not odd else None
-
-
-def _inflated(data: bytes, limit: int) -> Iterator[bytes]:
-    """Decompressed ``data`` in windows of ``limit`` bytes that overlap; nothing if it is not
-    compressed, or as far as it can be read if it is damaged."""
-    for magic, make in MAGIC:
-        if data.startswith(magic):
-            machine, rest, before = make(), data, b""
-            while True:
-                try:
-                    out = machine.decompress(rest, limit)
-                except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                    return
-                if not out:
-                    return
-                yield before + out
-                before = out[-OVERLAP:]
-                rest = getattr(machine, "unconsumed_tail", b"")
-                if machine.eof:
-                    return
+def _machine(data: bytes):
+    return next((make for magic, make in MAGIC if data.startswith(magic)), None)
 
 
-def base64_layers(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
-    """A layer for each run that decodes to text, directly or through compression; text beyond
-    ``limit`` bytes comes as several layers of the same source interval."""
+def _members(chunks: Iterator[bytes], size: int = 1 << 18) -> Iterator[bytes]:
+    """What compressed members that follow each other hold, in pieces of up to ``size`` bytes; damage or
+    anything else behind a member ends them."""
+    machine, held, begun = None, b"", False
+    for chunk in chunks:
+        held += chunk
+        while True:
+            if machine is None:
+                held = held.lstrip(b"\0") if begun else held  # padding
+                make = _machine(held)
+                if make is None and len(held) >= 6:
+                    return
+                if make is None or len(held) < 6:
+                    break
+                machine, begun = make(), True
+            before = machine.copy() if hasattr(machine, "copy") else None
+            try:
+                out = machine.decompress(held, size)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                if before is not None:  # a byte at a time up to the damage
+                    with contextlib.suppress(zlib.error):
+                        for b in held:
+                            yield before.decompress(bytes((b,)))
+                return
+            if out:
+                yield out
+            if machine.eof:
+                held, machine = machine.unused_data, None
+                continue
+            held = getattr(machine, "unconsumed_tail", b"")
+            if not held and getattr(machine, "needs_input", not out):
+                break
+
+
+def _inflated(chunks: Iterator[bytes], above: tuple = ()) -> Iterator[bytes]:
+    """A stream, decompressed as often as it begins like compressed data; one that holds itself ends, and so
+    does one of more than 200 compressions."""
+    head = b""
+    for chunk in chunks:
+        head += chunk
+        if len(head) >= 6:
+            break
+    made = None
+    if _machine(head):
+        if (mark := _digest(head)) in above or len(above) == 200:
+            return
+        inner = _members(chain([head], chunks))
+        made = next(filter(None, inner), None)
+    if made is None:
+        yield head
+        yield from chunks
+    else:
+        yield from _inflated(chain([made], inner), (*above, mark))
+
+
+def _windows(chunks: Iterator[bytes], window: int) -> Iterator[tuple[bytes, bool]]:
+    """A stream in windows that end behind a character which no pattern has, and whether one had to end
+    elsewhere. Runs of blanks are cut to three, which means the same to all patterns."""
+    held, size = [], 0
+    searched = 0
+    for chunk in chunks:
+        held.append(BLANKS.sub(b"   ", chunk))
+        size += len(held[-1])
+        if size < window or size < searched + window:
+            continue
+        data = BLANKS.sub(b"   ", b"".join(held))
+        at = max((m.end() for m in APART.finditer(data, max(0, len(data) - 4096))), default=0) or max((m.end() for m in APART.finditer(data, searched)), default=0)
+        if at:
+            yield data[:at], False
+            held, size, searched = [data[at:]], len(data) - at, 0
+        elif len(data) >= 4 * window:
+            yield data, True
+            held, size, searched = [data[-OVERLAP:]], OVERLAP, 0
+        else:
+            held, size, searched = [data], len(data), len(data)
+    if size:
+        yield b"".join(held), False
+
+
+def _kinds_of(data: bytes, window: int, tally: dict, seen: set) -> set[int]:
+    """The kinds of secrets in some (perhaps compressed) bytes, at any depth."""
+    met = set()
+    while _machine(data):
+        if (mark := _digest(data)) in met:
+            return set()
+        met.add(mark)
+        inner, pieces, size = _members(iter([data])), [], 0
+        for piece in inner:
+            pieces.append(piece)
+            size += len(piece)
+            if size > window:
+                return _kinds_in(chain(pieces, inner), window, tally, seen)
+        if not size:
+            break
+        data = b"".join(pieces)
+    return _kinds_in(iter([data]), window, tally, seen)
+
+
+def _kinds_in(chunks: Iterator[bytes], window: int, tally: dict, seen: set) -> set[int]:
+    """The same of a stream."""
+    kinds: set[int] = set()
+    stream = _inflated(chunks)
+    for k, (data, endless) in enumerate(_windows(stream, window)):
+        tally["large"] += k > 0
+        kinds |= _kinds_here(data, window, tally, seen)
+        if endless:  # the same bytes, and all that follow, as one run of base64
+            kinds |= _kinds_in(_decoded(_watched(chain([data], stream), window, kinds, tally, seen)), window, tally, seen)
+        if len(kinds) == len(KINDS):
+            break
+    return kinds
+
+
+def _kinds_here(data: bytes, window: int, tally: dict, seen: set) -> set[int]:
+    return {kind for _, kind, _ in _all_spans(data.decode("latin-1"), window, tally, seen, True)} if PRINTABLE.search(data) else set()
+
+
+def _watched(chunks: Iterator[bytes], window: int, kinds: set[int], tally: dict, seen: set) -> Iterator[bytes]:
+    """The same chunks; all but the first are scanned in overlapping windows."""
+    held = None
+    for chunk in chunks:
+        yield chunk
+        if held is None:
+            held = chunk[-OVERLAP:]
+            continue
+        held += chunk
+        if len(held) >= window + OVERLAP:
+            tally["large"] += 1
+            kinds |= _kinds_here(held, window, tally, seen)
+            held = held[-OVERLAP:]
+    kinds |= _kinds_here(held or b"", window, tally, seen)
+
+
+def _decoded(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Base64 in chunks, other characters left out."""
+    rest = b""
+    for chunk in chunks:
+        rest += NOT_BASE64.sub(b"", chunk).replace(b"-", b"+").replace(b"_", b"/")
+        whole = len(rest) // 4 * 4
+        if whole:
+            yield base64.b64decode(rest[:whole])
+            rest = rest[whole:]
+    if len(rest) > 1:
+        yield base64.b64decode(rest + b"=" * (-len(rest) % 4))
+
+
+def base64_layers(layer: Layer, window: int, found: set, tally: dict, seen: set, inside: bool) -> Iterator[Layer]:
+    """A layer for each run that decodes to text; of runs that hold compressed data, the kinds of secrets
+    in them go to ``found`` as spans of the source."""
     for start, end, run in _base64_runs(layer.text):
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -205,7 +330,15 @@ def base64_layers(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        yield from _unwrapped(layer, (start, end), data, limit, {data})
+        source = layer.source(start, end)
+        if _machine(data):
+            key = (_digest(data), *((0, 0) if inside else source))
+            if key not in seen:
+                seen.add(key)
+                tally["layers"] += 1
+                found |= {(source[0], kind, source[1]) for kind in _kinds_of(data, window, tally, seen if inside else set())}
+        if PRINTABLE.search(data):
+            yield Layer(data.decode("latin-1"), [(0, *source, 0)])
 
 
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -239,46 +372,36 @@ def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "".join(text[a:b] for a, b in lines)
 
 
-def _unwrapped(layer: Layer, at: tuple[int, int], data: bytes, limit: int, seen: set[bytes]) -> Iterator[tuple[Layer, bool]]:
-    """Layers of ``data``, through any number of compressions; ``seen`` ends a cycle."""
-    windows = 0
-    for window in _inflated(data, limit):
-        windows += 1
-        if window not in seen:
-            yield from _unwrapped(layer, at, window, limit, {*seen, window})
-    if not windows:
-        yield from _texts(layer, at, data, len(data) >= limit)
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _texts(layer: Layer, at: tuple[int, int], data: bytes, cut: bool) -> Iterator[tuple[Layer, bool]]:
-    text = _printable(data.decode(errors="ignore").encode() if cut else data)
-    if text:
-        yield Layer(text, [(0, *layer.source(*at), 0)]), cut
-
-
-def scan(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans (both sorted by start, then kind, then end), layers, oversize layers."""
-    base = sorted(base_spans(text))
-    spans, n_layers, n_large = set(base), 0, 0
+def _all_spans(text: str, window: int, tally: dict, seen: set, inside: bool = False) -> set[tuple[int, int, int]]:
+    """All spans of a text and of the layers in it; ``inside`` compressed data places do not matter."""
+    spans = set(base_spans(text))
     work = [Layer(text, [(0, 0, len(text), 1)])]
-    seen: set[tuple[str, int, int]] = set()
     while work:
         layer = work.pop()
         made: list[Layer] = [x for x in (url_layer(layer) if "%" in layer.text else None, unicode_layer(layer) if "\\" in layer.text else None) if x]
-        for inner, large in base64_layers(layer, limit):
-            made.append(inner)
-            n_large += large
+        made += base64_layers(layer, window, spans, tally, seen, inside)
         for new in made:
-            key = (new.text, new.pieces[0][1], new.pieces[-1][2])
+            key = (_digest(new.text.encode(errors="surrogatepass")), *((0, 0) if inside else (new.pieces[0][1], new.pieces[-1][2])))
             if not new.text or key in seen:
                 continue
             seen.add(key)
-            n_layers += 1
+            tally["layers"] += 1
             for start, kind, end in base_spans(new.text):
                 s, e = new.source(start, end)
                 spans.add((s, kind, e))
             work.append(new)
-    return base, sorted(spans), n_layers, n_large
+    return spans
+
+
+def scan(text: str, window: int = WINDOW_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
+    """Base spans, all spans (both sorted by start, then kind, then end), layers, further windows of long layers."""
+    tally = {"layers": 0, "large": 0}
+    spans = _all_spans(text, window, tally, set())
+    return sorted(base_spans(text)), sorted(spans), tally["layers"], tally["large"]
 
 
 def joined(spans) -> str:
@@ -300,7 +423,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
     return "".join(out) + text[last:]
 
 
-def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer_bytes: int = MAX_LAYER_BYTES) -> DataFrame:
+def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_bytes: int = WINDOW_BYTES) -> DataFrame:
     """id, counts by kind of base spans, base_spans, spans, n_layers, n_oversize for each row."""
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -308,7 +431,7 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def step(ids, texts):
             out: dict[str, list] = {k: [] for k in ("id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "n_layers", "n_oversize")}
             for key, text in zip(ids, texts, strict=True):
-                base, spans, layers, large = scan(text or "", max_layer_bytes)
+                base, spans, layers, large = scan(text or "", window_bytes)
                 counts = [sum(s[1] == k for s in base) for k in range(3)]
                 for name, value in zip(out, (key, *counts, joined(base), joined(spans), layers, large), strict=True):
                     out[name].append(value)
@@ -320,12 +443,12 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(df.select(id_col, text_col), make, schema).withColumnRenamed("id", id_col)
 
 
-def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer_bytes: int = MAX_LAYER_BYTES) -> DataFrame:
+def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_bytes: int = WINDOW_BYTES) -> DataFrame:
     """``df`` with every secret span of ``text_col`` replaced; other columns untouched, null stays null."""
     from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())
     def cleaned(texts):
-        return texts.map(lambda t: t if t is None else redact(t, scan(t, max_layer_bytes)[1]))
+        return texts.map(lambda t: t if t is None else redact(t, scan(t, window_bytes)[1]))
 
-    return df.withColumn(text_col, cleaned(F.col(text_col)))
+    return df.withColumn(text_col, cleaned(F.col(f"`{text_col}`")))

@@ -1,8 +1,12 @@
 import base64
+import bz2
+import contextlib
 import gzip
+import lzma
 import random
 import re
 import string
+import time
 import urllib.parse
 import zlib
 
@@ -64,13 +68,143 @@ def test_escapes_keep_exact_spans():
     assert ("token=abcdefghi\\u006a", "assign") in added(pair)
 
 
-def test_limits_cycles_and_junk():
-    coded = base64.b64encode(gzip.compress(b"xyz " * 9_000 + b" token=abcdefgh " + b"xyz " * 9_000)).decode()
-    base, spans, layers, large = secrets.scan(coded, 10_000)
-    assert large > 3 and (0, 0, len(coded)) in spans
-    assert secrets.scan(base64.b64encode(gzip.compress(zlib.compress(b"one token=abcdefgh"))).decode())[1][0][1] == 0
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def test_long_layers_are_read_to_their_end():
+    hexes = "0123456789abcdef" * 3
+    noise = random.Random(1)
+    filler = " ".join("".join(noise.choice(string.ascii_letters) for _ in range(12)) + "," for _ in range(4000)).encode()
+    for limit in (secrets.WINDOW_BYTES, 10_000, 700):
+        for data in (filler + b" token=abcdefgh12 " + filler, filler * 2 + zlib.compress(b"x") + b" token=abcdefgh12"):
+            coded = b64(gzip.compress(data))
+            assert (coded, "assign") in added_at(coded, limit)
+        inner = gzip.compress(zlib.compress(filler + f" {hexes} token=abcdefgh12".encode()))
+        assert {(b64(inner), "assign"), (b64(inner), "hex")} <= set(added_at(b64(inner), limit))
+        nested = b64(gzip.compress(filler + b" " + base64.b64encode(gzip.compress(filler + b" token=abcdefgh12")) + b" " + filler))
+        assert (nested, "assign") in added_at(nested, limit)
+        wrapped = b64(gzip.compress(base64.encodebytes(zlib.compress(filler + b" AKIA" + b"Z" * 16))))
+        assert (wrapped, "access") in added_at(wrapped, limit)
+        endless = b64(gzip.compress(base64.b64encode(gzip.compress(filler + b" token=abcdefgh12") + bytes(noise.randrange(256) for _ in range(20_000)))))
+        assert (endless, "assign") in added_at(endless, limit)
+        blanks = b64(gzip.compress(b"," * 20 + b"token" + b" " * 30_000 + b"= abcdefgh12"))
+        assert (blanks, "assign") in added_at(blanks, limit)
+    assert secrets.scan(coded, 700)[3] > 0
+
+
+def added_at(text, limit):
+    base, spans, _, _ = secrets.scan(text, limit)
+    return [(text[a:b], secrets.KINDS[k]) for a, k, b in spans if (a, k, b) not in base]
+
+
+def test_members_damage_and_controls():
+    secret = b"one token=abcdefgh12 two"
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        for joined in (pack(b"first") + pack(secret), pack(b"first") + bytes(9) + pack(secret), pack(b"a" * 90_000) + gzip.compress(secret)):
+            assert (b64(joined), "assign") in added(b64(joined))
+    broken = gzip.compress(secret + bytes(range(256)) * 40)
+    assert (b64(broken[:-9]), "assign") in added(b64(broken[:-9]))
+    assert (b64(broken[:-6] + b"123456"), "assign") in added(b64(broken[:-6] + b"123456"))
+    for junk in (b"\0", b"\x0c", b"\xff\xfe", b"\x7f", "é漢".encode()):
+        coded = b64(junk + secret + junk)
+        assert (coded, "assign") in added(coded)
+    assert ("%74oken=abcdefgh12", "assign") in added("%ff%74oken=abcdefgh12") and ("token%3dabcdefgh12", "assign") in added("%e9%fftoken%3dabcdefgh12%ff")
+    assert (b64(b"x^ token=abcdefgh12"), "assign") in added(b64(b"x^ token=abcdefgh12"))
+    twice = b64(gzip.compress(b"a " + base64.b64encode(secret)))
+    other = b64(gzip.compress(b"b " + base64.b64encode(secret)))
+    assert {(twice, "assign"), (other, "assign")} <= set(added(f"{twice} {other} {twice}"))
+
+
+def test_cycles_and_junk():
+    assert secrets.scan(b64(gzip.compress(zlib.compress(b"one token=abcdefgh"))))[1][0][1] == 0
     assert secrets.scan("%zz %F %ff%fe \\u12 \\ud800 \\U00110000 " + "A" * 5000)[1] == []
     assert secrets.scan("a" * 200_000)[1] == [(0, 2, 200_000)]
+    deep = b"token=abcdefgh12"
+    for _ in range(500):
+        deep = zlib.compress(deep)
+    assert (b64(deep), "assign") in added(b64(deep))
+
+
+def test_many_levels_of_escapes_end_in_time():
+    began = time.process_time()
+    for text in ("%" + "25" * 500_000 + "41KIA" + "B" * 16, "\\" + "u005c" * 200_000 + "u0041KIA" + "B" * 16, "%25" * 300_000, "\\u005c" * 100_000):
+        secrets.scan(text)
+    assert time.process_time() - began < 30
+    assert ("%" + "25" * 4000 + "41KIA" + "B" * 16, "access") in added("x %" + "25" * 4000 + "41KIA" + "B" * 16)
+    assert ("\\u005cx5cu0041KIA" + "B" * 16, "access") in added("\\u005cx5cu0041KIA" + "B" * 16)
+    bomb = b64(gzip.compress(b"A" * 50_000_000))
+    assert secrets.scan(bomb, 1_000_000)[1] == []
+
+
+def brute_layers(text):
+    """All (kind, start, end), by lists of characters with their source intervals, one decoding at a time."""
+    spans, todo, known = set(), [[(c, i, i + 1) for i, c in enumerate(text)]], set()
+    while todo:
+        cells = todo.pop()
+        plain = "".join(c for c, _, _ in cells)
+        if (plain, cells[0][1], cells[-1][2]) in known:
+            continue
+        known.add((plain, cells[0][1], cells[-1][2]))
+        spans |= {(cells[a][1], k, cells[b - 1][2]) for a, k, b in brute_base(plain)}
+        out, i = [], 0
+        while i < len(plain):  # percent signs: the shortest run of escapes that is one character
+            for n in (1, 2, 3, 4):
+                try:
+                    c = bytes.fromhex(re.fullmatch("(?:%[0-9A-Fa-f]{2})+", plain[i : i + 3 * n])[0].replace("%", "")).decode()
+                except (TypeError, ValueError):
+                    continue
+                out.append((c, cells[i][1], cells[i + 3 * n - 1][2]))
+                i += 3 * n
+                break
+            else:
+                out.append(cells[i])
+                i += 1
+        todo.append(out)
+        out, i = [], 0
+        while i < len(plain):
+            if m := re.match(r"\\u[0-9a-f]{4}", plain[i:]):
+                out.append((chr(int(m[0][2:], 16)), cells[i][1], cells[i + 5][2]))
+                i += 6
+            else:
+                out.append(cells[i])
+                i += 1
+        todo.append(out)
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", plain):
+            run = m.group().rstrip("=")
+            if len(run) % 4 != 1:
+                data = base64.b64decode(run + "=" * (-len(run) % 4))
+                if data[:2] == b"\x1f\x8b":
+                    machine, got = zlib.decompressobj(31), b""
+                    with contextlib.suppress(zlib.error):
+                        for b in data:
+                            got += machine.decompress(bytes((b,)))
+                    data = got or data
+                said = data.decode("latin-1")
+                if re.search("[\t\n\r -~]{14}", said):
+                    todo.append([(c, cells[m.start()][1], cells[m.end() - 1][2]) for c in said])
+    return sorted(spans)
+
+
+def test_spans_equal_brute_force():
+    rng = random.Random(5)
+    pieces = ["token = abcdefgh12", "AKIA" + "Q" * 14, "0123456789abcdef" * 2, "password:\"hunter2hunter2\"", "plain words", "api_key=zz", "é漢", "; "]
+
+    def wrap(text, depth):
+        kind = rng.randrange(4) if depth else 9
+        if kind == 0:
+            return wrap("".join(urllib.parse.quote(c, safe="") if rng.random() < 0.3 else c for c in text), depth - 1)
+        if kind == 1:
+            return wrap("".join(f"\\u{ord(c):04x}" if rng.random() < 0.3 and ord(c) < 65536 else c for c in text), depth - 1)
+        if kind == 2:
+            return wrap(f"<{b64(text.encode())}>", depth - 1)
+        if kind == 3:
+            return wrap(f"({b64(gzip.compress(text.encode()))})", depth - 1)
+        return text
+
+    for _ in range(400):
+        text = ", ".join(wrap(" ; ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 4))), rng.randrange(4)) for _ in range(rng.randrange(1, 5)))
+        assert secrets.scan(text)[1] == brute_layers(text), text
 
 
 def test_redaction():
