@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     every edge leads to a vertex that has no smaller neighbour.
     """
     pairs = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    while pairs.join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() or _several_parents(pairs):
+    while pairs.select("v").distinct().join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() or _several_parents(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = _dealt_anew(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -3,31 +3,32 @@
 A text becomes the counts of its 1- to 3-grams of letters (lower-cased; each run of other
 characters is one gap), hashed to ``DIMENSIONS`` places; the vector is the square roots of the
 counts times the inverse document frequencies, scaled to length one. Each language has several
-centroids, found by spherical k-means. The prediction is the language of the centroid with the
-greatest cosine, which is the score; a text farther from its centroid than any training text
-of that language by a margin is *rejected*.
+centroids, found by spherical k-means (clusters of a few odd texts have none). The prediction is the language of the centroid with the
+greatest cosine, which is the score; a text is *rejected* if that cosine is less than ``margin`` times the
+``quantile`` of the cosines of the centroid's own training texts, so a few odd training texts do not
+matter.
 
 The model is fitted on a bounded sample of the labelled rows: at most ``per_language`` documents
-of each of at most ``max_languages`` languages, those with the smallest hash of their id. Only
-their vectors travel to the driver, of at most ``DIMENSIONS`` entries each, and only the
-centroids are broadcast (bounded by languages, clusters and dimensions). Predictions cover
+of each of the ``max_languages`` most frequent languages, those with the smallest hash of id and text (rows
+alike in both count once). Document frequencies are added up over the sample, and each language is
+clustered in a task of its own, on at most ``per_language`` vectors of at most ``DIMENSIONS`` entries. Only centroids
+travel to the driver and are broadcast (bounded by languages, clusters and dimensions). Predictions cover
 every row, whole texts, without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; null
 labels and null texts are not learned from; equal cosines go to the language that sorts first;
-without training rows everything is ``und`` and rejected; repeated rows get equal predictions;
-extra columns are not read.
+without training rows everything is ``und`` and rejected; repeated rows get equal predictions; an empty table
+gives an empty one; very long texts are read whole; extra columns, whatever their names, are not read
+(``keep_identified`` returns them as they are).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspan.llm.durable import map_columns
+from memspan.llm.durable import map_columns, stored
 
 DIMENSIONS = 8192
 UNKNOWN = "und"
@@ -64,6 +65,11 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     return np.bincount((grams * np.uint32(0x2C1B3C6D)) >> np.uint32(19), minlength=DIMENSIONS)
 
 
+def _unit_vectors(counts: list[np.ndarray] | np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = np.sqrt(np.asarray(counts, np.float32)) * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 class Centroids:
     """The fitted model: centroids, their languages and the least cosine that each accepts."""
 
@@ -71,8 +77,7 @@ class Centroids:
         self.languages, self.idf, self.centroids, self.of, self.least = languages, idf, centroids, of, least
 
     def vectors(self, counts: list[np.ndarray] | np.ndarray) -> np.ndarray:
-        x = np.sqrt(np.asarray(counts, np.float32)) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return _unit_vectors(counts, self.idf)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and rejection of each text."""
@@ -94,43 +99,29 @@ class Centroids:
         return names, scores, rejected
 
 
-def fit(samples: dict[str, list[tuple[np.ndarray, np.ndarray]]], clusters: int = 4, margin: float = 0.3, rounds: int = 12) -> Centroids:
-    """Centroids from n-gram counts by language, each sample as its places and their counts; the
-    vectors of one language are held at a time."""
-    languages = sorted(samples)
-    n = sum(map(len, samples.values()))
-    model = Centroids(languages if n else [], np.ones(DIMENSIONS, np.float32), np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0))
-    if not n:
-        return model
-    there = np.zeros(DIMENSIONS)
-    for name in languages:
-        for places, _ in samples[name]:
-            there[places] += 1
-    model.idf = np.log((1 + n) / (1 + there)).astype(np.float32) + np.float32(0.1)
-    centroids, of, least = [], [], []
-    for k, name in enumerate(languages):
-        counts = np.zeros((len(samples[name]), DIMENSIONS), np.float32)
-        for row, (places, values) in zip(counts, samples[name], strict=True):
-            row[places] = values
-        x = model.vectors(counts)
-        own = _spherical_means(x, min(clusters, len(x)), rounds)
-        lowest = float((x @ own.T).max(1).min())
-        for c in own:
-            centroids.append(c)
-            of.append(k)
-            least.append(margin * lowest)
-    model.centroids, model.of, model.least = np.array(centroids, np.float32), np.array(of), np.array(least)
-    return model
+def fit_language(x: np.ndarray, clusters: int = 4, margin: float = 0.3, quantile: float = 0.05, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language's vectors, and the least cosine that each accepts. Clusters of fewer than two
+    texts, or a fiftieth of them, are odd ones out and have no centroid."""
+    own = _spherical_means(x, min(clusters, len(x)), rounds)
+    members = np.bincount((x @ own.T).argmax(1), minlength=len(own))
+    own = own[(members >= max(2, len(x) / 50)) | (np.arange(len(own)) == members.argmax())]
+    cosines = x @ own.T
+    nearest, best = cosines.argmax(1), cosines.max(1)
+    least = [margin * np.quantile(best[nearest == k], quantile) if (nearest == k).any() else 0.0 for k in range(len(own))]
+    return own.astype(np.float32), np.array(least, np.float64)
 
 
 def _spherical_means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Farthest-first seeds, then means by cosine; an empty cluster keeps its centroid."""
+    """The text nearest to all as first seed, others drawn by their squared distance from those before, then means by cosine; an empty cluster keeps its
+    centroid."""
     def unit(v):
         return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
-    seeds = [unit(x.mean(0))]
+    rng = np.random.default_rng(0)
+    seeds = [x[int((x @ unit(x.mean(0))).argmax())]]
     for _ in range(k - 1):
-        seeds.append(x[int((x @ np.array(seeds).T).max(1).argmin())])
+        away = np.maximum(1 - (x @ np.array(seeds).T).max(1), 0) ** 2
+        seeds.append(x[int(rng.choice(len(x), p=away / away.sum()))] if away.sum() > 0 else x[0])
     own = np.array(seeds)
     for _ in range(rounds):
         nearest = (x @ own.T).argmax(1)
@@ -140,15 +131,15 @@ def _spherical_means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 500, max_languages: int = 500, clusters: int = 4) -> Centroids:
     """Fits on the rows where ``usable`` holds and text and label are not null."""
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 40))
     labelled = df.where(usable & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label_col).agg(F.count("*")).limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages are labelled")
+    labelled = labelled.select(F.col(label_col).cast("string").alias("label"), draw.alias("draw"), F.col(text_col).alias("text"))
+    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_languages).collect()}
+    model = Centroids([], np.ones(DIMENSIONS, np.float32), np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0))
     if not sizes:
-        return fit({})
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
+        return model
     share = F.create_map(*(x for name, n in sizes.items() for x in (F.lit(name), F.lit(int(min(1.0, 1.5 * per_language / n + 8 / n) * (1 << 40))))))
-    drawn = labelled.where(draw < share[F.col(label_col)]).select(F.col(label_col).alias("label"), draw.alias("draw"), F.col(text_col).alias("text"))
+    drawn = labelled.where(F.col("draw") < share[F.col("label")]).dropDuplicates(["label", "draw"])
 
     def make():
         def step(labels, draws, texts):
@@ -163,12 +154,46 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
         return step
 
-    rows = map_columns(drawn, make, "label string, draw long, places binary, counts binary").collect()
-    samples: dict[str, list] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r["label"], r["draw"], bytes(r["places"]), bytes(r["counts"]))):
-        if len(samples[r["label"]]) < per_language:
-            samples[r["label"]].append((np.frombuffer(r["places"], "<u2"), np.frombuffer(r["counts"], "<u4")))
-    return fit(dict(samples), clusters)
+    vectors = map_columns(drawn.select("label", "draw", "text"), make, "label string, draw long, places binary, counts binary")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw"))
+    sample = stored(vectors.withColumn("place", place).where(F.col("place") <= per_language).select("label", "draw", "places", "counts"), "sample")
+
+    def frequencies(batches):
+        import pyarrow as pa
+
+        n, there = 0, np.zeros(DIMENSIONS + 1, np.int64)
+        for batch in batches:
+            for places in batch.column(0):
+                there[np.frombuffer(places.as_py(), "<u2")] += 1
+                n += 1
+        there[DIMENSIONS] = n  # the last place counts the texts
+        at = np.flatnonzero(there)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(there[at])], names=["place", "n"])
+
+    there = np.zeros(DIMENSIONS + 1)
+    for r in sample.select("places").mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # a row a place
+        there[r.place] = r.n
+    if not there[DIMENSIONS]:
+        return model
+    model.idf = np.log((1 + there[DIMENSIONS]) / (1 + there[:DIMENSIONS])).astype(np.float32) + np.float32(0.1)
+    idf = model.idf
+
+    def fitted(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("draw")
+        counts = np.zeros((len(rows), DIMENSIONS), np.float32)
+        for row, places, values in zip(counts, rows["places"], rows["counts"], strict=True):
+            row[np.frombuffer(places, "<u2")] = np.frombuffer(values, "<u4")
+        own, least = fit_language(_unit_vectors(counts, idf), clusters)
+        return pd.DataFrame({"label": [rows["label"].iloc[0]], "centroids": [own.tobytes()], "least": [least.tobytes()]})
+
+    found = sorted(sample.groupBy("label").applyInPandas(fitted, "label string, centroids binary, least binary").collect(), key=lambda r: r.label)  # a row a language
+    least = [np.frombuffer(r.least, np.float64) for r in found]
+    model.languages = [r.label for r in found]
+    model.centroids = np.concatenate([np.frombuffer(r.centroids, np.float32).reshape(-1, DIMENSIONS) for r in found])
+    model.least, model.of = np.concatenate(least), np.repeat(np.arange(len(found)), [len(x) for x in least])
+    return model
 
 
 def held_out(id_col: str = "doc_id") -> Column:
