@@ -5,9 +5,11 @@ neither to the left nor to the right. With ``stride + k - 1 = min_len`` every su
 query k-mer at a multiple of ``stride``, so only those are joined with the reference's k-mers
 (all positions). Hits on one diagonal at consecutive multiples overlap (``k > stride``), hence an
 unbroken run of them is one match; less than ``stride`` characters of context settle its
-ends. For short ``min_len`` the stride is 1 and the k-mer the whole minimal match.
+ends. For short ``min_len`` the stride is 1 and the k-mer the whole minimal match; one letter on either
+side tells whether a hit is the first or the last of its match, and only those leave the join, at
+most two a match: along a diagonal each last one closes the first one before it.
 
-Shuffles: none for the join if the reference is small (its size is summed up first), else one on
+Shuffles: none for the join if the reference's k-mers are small (their bytes are reckoned first), else one on
 the k-mer hash; one of the hits on the diagonal, which serves window and aggregation alike.
 """
 
@@ -19,11 +21,16 @@ from pyspark.sql import functions as F
 from memspan.functions.sequences import common_prefix, reverse_complement
 from memspan.operators.kmers import kmers, spread
 
-#: Reference characters up to which its k-mers are broadcast.
-BROADCAST_CHARS = 2_000_000
+#: Bytes of the reference's k-mers up to which they are broadcast, and of a row besides its letters.
+BROADCAST_BYTES, ROW_BYTES = 128_000_000, 64
 DIAGONAL = ("query_id", "strand", "ref_id", "_diag")
 
 
+def fits_broadcast(refs: DataFrame, letters: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a row of ``letters`` characters for each character of the references is small enough."""
+    return (refs.agg(F.sum(F.length("chars"))).first()[0] or 0) * (letters + ROW_BYTES) <= limit
+
+
 def seed_shape(min_len: int) -> tuple[int, int]:
     """(k, stride) for a least match length."""
     return (min_len, 1) if min_len < 32 else (min_len // 2 + 1, min_len - min_len // 2)
@@ -37,7 +44,7 @@ def with_strands(queries: DataFrame, both: bool) -> DataFrame:
     return queries.withColumn("_s", F.explode(strands)).withColumn("strand", F.col("_s.strand")).withColumn("chars", F.col("_s.chars")).drop("_s")
 
 
-def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: str = "mem", both_strands: bool = False, boundary: str = "isolated", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: str = "mem", both_strands: bool = False, boundary: str = "isolated", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, strand, ref_id, ref_pos, query_pos (1-based, in the strand's own coordinates), len.
 
     ``refs`` and ``queries`` have columns id and chars. ``kind`` is ``mem``, ``mam`` (the string
@@ -48,9 +55,9 @@ def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: s
     if kind not in ("mem", "mam", "mum"):
         raise ValueError(f"no such kind of match: {kind}")
     if boundary == "merged":
-        found = _merged(refs, queries, min_len, both_strands, broadcast_chars)
+        found = _merged(refs, queries, min_len, both_strands, broadcast_bytes)
     elif boundary == "isolated":
-        found = _maximal(refs.select(F.col("id").alias("ref_id"), "chars"), queries, min_len, both_strands, broadcast_chars)
+        found = _maximal(refs.select(F.col("id").alias("ref_id"), "chars"), queries, min_len, both_strands, broadcast_bytes)
     else:
         raise ValueError(f"no such boundary: {boundary}")
     if kind != "mem":
@@ -60,28 +67,37 @@ def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: s
     return found
 
 
-def _maximal(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_chars: int) -> DataFrame:
+def _maximal(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int) -> DataFrame:
     k, stride = seed_shape(min_len)
-    context = stride if stride > 1 else 0
-    small = (refs.agg(F.sum(F.length("chars"))).first()[0] or 0) <= broadcast_chars
-    r = kmers(refs if small else spread(refs), "chars", k, 1, context, ("ref_id",))
-    names = ["pos", "kmer", *(["left", "right"] if context else [])]
-    r = r.select("ref_id", F.xxhash64("kmer").alias("_h"), *(F.col(n).alias(f"_r_{n}") for n in names))
+    small = fits_broadcast(refs, k + 2 * stride, broadcast_bytes)
+    r = kmers(refs if small else spread(refs), "chars", k, 1, stride, ("ref_id",))
+    r = r.select("ref_id", F.xxhash64("kmer").alias("_h"), *(F.col(n).alias(f"_r_{n}") for n in ("pos", "kmer", "left", "right")))
     q = with_strands(spread(queries.select(F.col("id").alias("query_id"), "chars")), both_strands)
-    q = kmers(q, "chars", k, stride, context, ("query_id", "strand")).withColumn("_h", F.xxhash64("kmer"))
+    q = kmers(q, "chars", k, stride, stride, ("query_id", "strand")).withColumn("_h", F.xxhash64("kmer"))
     hits = q.join(F.broadcast(r) if small else r, "_h").where("kmer = _r_kmer").drop("kmer", "_r_kmer", "_h")
     hits = hits.withColumn("_diag", F.col("_r_pos") - F.col("pos"))
+    return _closed(hits, min_len) if stride == 1 else _runs(hits, min_len, k, stride)
+
+
+def _closed(hits: DataFrame, min_len: int) -> DataFrame:
+    """Matches from hits of the whole least length: first and last hits, paired along each diagonal."""
+    first = (F.col("left") == "") | (F.col("_r_left") == "") | (F.col("left") != F.col("_r_left"))
+    last = (F.col("right") == "") | (F.col("_r_right") == "") | (F.col("right") != F.col("_r_right"))
+    ends = hits.where(first | last).select(*DIAGONAL, "pos", F.when(first, F.col("pos")).alias("_first"), last.alias("_last"))
+    opened = F.max("_first").over(Window.partitionBy(*DIAGONAL).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    runs = ends.withColumn("_from", opened).where("_last")
+    length = F.col("pos") - F.col("_from") + min_len
+    return runs.select("query_id", "strand", "ref_id", (F.col("_from") + F.col("_diag") + 1).alias("ref_pos"), (F.col("_from") + 1).alias("query_pos"), length.cast("int").alias("len"))
+
+
+def _runs(hits: DataFrame, min_len: int, k: int, stride: int) -> DataFrame:
+    """Matches from hits at multiples of ``stride``: unbroken runs along each diagonal, lengthened by their context."""
     run = F.col("pos") - stride * F.row_number().over(Window.partitionBy(*DIAGONAL).orderBy("pos"))
-    hits = hits.withColumn("_run", run)
     ends = [F.min("pos").alias("_first"), F.max("pos").alias("_last")]
-    if context:
-        for n in ("left", "_r_left"):
-            ends.append(F.min_by(n, "pos").alias(n))
-        for n in ("right", "_r_right"):
-            ends.append(F.max_by(n, "pos").alias(n))
-    runs = hits.groupBy(*DIAGONAL, "_run").agg(*ends)
-    before = common_prefix(F.col("left"), F.col("_r_left"), context) if context else F.lit(0)
-    behind = common_prefix(F.col("right"), F.col("_r_right"), context) if context else F.lit(0)
+    ends += [F.min_by(n, "pos").alias(n) for n in ("left", "_r_left")] + [F.max_by(n, "pos").alias(n) for n in ("right", "_r_right")]
+    runs = hits.withColumn("_run", run).groupBy(*DIAGONAL, "_run").agg(*ends)
+    before = common_prefix(F.col("left"), F.col("_r_left"), stride)
+    behind = common_prefix(F.col("right"), F.col("_r_right"), stride)
     runs = runs.select(*DIAGONAL, (F.col("_first") - before).alias("_q"), (F.col("_last") - F.col("_first") + k + before + behind).alias("len"))
     return runs.where(F.col("len") >= min_len).select("query_id", "strand", "ref_id", (F.col("_q") + F.col("_diag") + 1).alias("ref_pos"), (F.col("_q") + 1).alias("query_pos"), F.col("len").cast("int").alias("len"))
 
@@ -110,10 +126,10 @@ def locate_reference(positions: DataFrame, offsets: DataFrame, pos: str = "pos",
     return met.where(inside).withColumn("local_pos", F.col(pos) - F.col("_start")).drop("_start", "size", "_bin")
 
 
-def _merged(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_chars: int) -> DataFrame:
+def _merged(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int) -> DataFrame:
     key = F.struct(*(["ord"] if "ord" in refs.columns else []), "id", "chars")
     text = refs.agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["chars"]), "N").alias("chars"))
-    found = _maximal(text.select(F.lit(0).alias("ref_id"), "chars"), queries, min_len, both_strands, broadcast_chars)
+    found = _maximal(text.select(F.lit(0).alias("ref_id"), "chars"), queries, min_len, both_strands, broadcast_bytes)
     placed = locate_reference(found.drop("ref_id").withColumn("_at", F.col("ref_pos") - 1), merged_offsets(refs), "_at")
     return placed.select("query_id", "strand", "ref_id", (F.col("local_pos") + 1).alias("ref_pos"), "query_pos", "len")
 
@@ -173,25 +189,58 @@ def output_order(matches: DataFrame) -> DataFrame:
 
 def matching_statistics(matches: DataFrame, queries: DataFrame, min_len: int) -> DataFrame:
     """query_id, pos (1-based), depth: for each position of a query (forward strand) the longest
-    match that starts there, 0 below ``min_len``."""
+    match that starts there, 0 below ``min_len``.
+
+    The longest match at a place ends where the farthest match that starts there or before ends; so places
+    between two starts share an end, and each place is made once however many matches cover it."""
     forward = matches.where("strand = '+'")
-    places = forward.select("query_id", F.explode(F.sequence("query_pos", F.col("query_pos") + F.col("len") - min_len)).alias("pos"), (F.col("query_pos") + F.col("len")).alias("_end"))
-    depth = places.groupBy("query_id", "pos").agg((F.max("_end") - F.col("pos")).alias("depth"))
+    starts = forward.groupBy("query_id", "query_pos").agg(F.max(F.col("query_pos") + F.col("len")).alias("_end"))
+    order = Window.partitionBy("query_id").orderBy("query_pos")
+    far = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    steps = starts.select("query_id", "query_pos", far.alias("_far"), F.lead("query_pos").over(order).alias("_next"))
+    last = F.least(F.col("_far") - min_len, F.coalesce(F.col("_next") - 1, F.col("_far")))
+    places = steps.where(last >= F.col("query_pos")).select("query_id", F.explode(F.sequence("query_pos", last)).alias("pos"), "_far")
     every = queries.where(F.length("chars") > 0).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.length("chars").cast("long"))).alias("pos"))
-    return every.join(depth, ["query_id", "pos"], "left").select("query_id", "pos", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    depth = F.coalesce(F.col("_far") - F.col("pos"), F.lit(0)).cast("long")
+    return every.join(places, ["query_id", "pos"], "left").select("query_id", "pos", depth.alias("depth"))
+
+
+def _shared_kmers(refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k-mers that a reference and a query have: queries meet the references' first, so that only those
+    both have are shuffled."""
+    known = kmers(refs, "chars", k).select("kmer").distinct()
+    known = F.broadcast(known) if fits_broadcast(refs, k) else known
+    return kmers(spread(queries), "chars", k).select("kmer").join(known, "kmer", "left_semi").distinct()
 
 
 def kmer_counts(refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """kmer and how often it occurs in the references, for every k-mer of a query that does."""
-    r = kmers(refs, "chars", k).groupBy("kmer").agg(F.count("*").alias("n"))
-    return r.join(kmers(spread(queries), "chars", k).select("kmer").distinct(), "kmer", "left_semi")
+    counts = kmers(refs, "chars", k).groupBy("kmer").agg(F.count("*").alias("n"))
+    return counts.join(_shared_kmers(refs, queries, k), "kmer", "left_semi")
 
 
 def kmer_positions(refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """kmer, ref_id and ref_pos (1-based) of every occurrence in the references of a query's k-mers."""
     r = kmers(refs.select(F.col("id").alias("ref_id"), "chars"), "chars", k, keep=("ref_id",))
-    hit = r.join(kmers(spread(queries), "chars", k).select("kmer").distinct(), "kmer", "left_semi")
-    return hit.select("kmer", "ref_id", (F.col("pos") + 1).alias("ref_pos"))
+    return r.join(_shared_kmers(refs, queries, k), "kmer", "left_semi").select("kmer", "ref_id", (F.col("pos") + 1).alias("ref_pos"))
+
+
+def match_context(matches: DataFrame, refs: DataFrame, queries: DataFrame, show: int = 4) -> DataFrame:
+    """Adds ref_context and query_context: the letter before (lower-cased, ``$`` at an end), the first and
+    the last ``show`` letters of the match, and the letter behind. ``queries`` have a column strand if both strands were
+    searched (see :func:`with_strands`)."""
+    def around(chars: str, pos: str) -> Column:
+        text, start, size = F.col(chars), F.col(pos).cast("int"), F.col("len")
+        before = F.when(start == 1, "$").otherwise(F.lower(F.substr(text, start - 1, F.lit(1))))
+        behind = F.when(start + size > F.length(text), "$").otherwise(F.lower(F.substr(text, start + size, F.lit(1))))
+        first = F.substr(text, start, F.lit(show))
+        last = F.substr(text, F.greatest(start + size - show, F.lit(1)), F.lit(show))
+        return F.concat(before, first, F.lit("..."), last, behind)
+
+    r = refs.select(F.col("id").alias("ref_id"), F.col("chars").alias("_r"))
+    q = queries if "strand" in queries.columns else queries.withColumn("strand", F.lit("+"))
+    met = matches.join(q.select(F.col("id").alias("query_id"), "strand", F.col("chars").alias("_q")), ["query_id", "strand"]).join(r, "ref_id")
+    return met.select(*matches.columns, around("_r", "ref_pos").alias("ref_context"), around("_q", "query_pos").alias("query_context"))
 
 
 def left_char_histogram(refs: DataFrame, k: int) -> DataFrame:

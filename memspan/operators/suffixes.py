@@ -88,29 +88,70 @@ def lf_mapping(suffixes: DataFrame) -> DataFrame:
     return suffixes.withColumn("_o", within).join(F.broadcast(smaller.select("bwt", "_c")), "bwt").withColumn("jump", (F.col("_c") + F.col("_o")).cast("long")).drop("_o", "_c")
 
 
-def smaller_values(lcps: DataFrame) -> DataFrame:
+#: Ranks searched together, and ranks left over that one task holds.
+BLOCK_RANKS = 1 << 16
+
+
+def _smaller(values: list[int], ranks: list[int]) -> tuple[list, list]:
+    """The nearest rank with a smaller value on either side of each (None if there is none), in linear time."""
+    found = []
+    for order in (range(len(values)), range(len(values) - 1, -1, -1)):
+        out, stack = [None] * len(values), []
+        for i in order:
+            while stack and values[stack[-1]] >= values[i]:
+                stack.pop()
+            out[i] = ranks[stack[-1]] if stack else None
+            stack.append(i)
+        found.append(out)
+    return found[0], found[1]
+
+
+def _skyline(values: list[int], backwards: bool) -> list[int]:
+    """Places whose value is smaller than all before (behind, if ``backwards``)."""
+    out, least = [], None
+    for i in range(len(values) - 1, -1, -1) if backwards else range(len(values)):
+        if least is None or values[i] < least:
+            out.append(i)
+            least = values[i]
+    return out
+
+
+def smaller_values(lcps: DataFrame, block: int = BLOCK_RANKS) -> DataFrame:
     """Adds previous_smaller and next_smaller: the nearest ranks with a smaller lcp (null if none).
 
-    A stack over the ranks, in one pass of a grouped map: no window expresses it."""
-    schema = "rank long, pos long, lcp long, previous_smaller long, next_smaller long"
+    Blocks of ranks are searched by themselves, with a stack. What a place does not find in its block lies in
+    the nearest block beyond that has it, at a place smaller than all behind it (before it); only those places of a
+    block, and those that are still searching with a new least value, are searched once more, all together."""
+    schema = "rank long, pos long, lcp long, previous_smaller long, next_smaller long, leads boolean, trails boolean"
 
-    def stacked(frame):
+    def within(frame):
         frame = frame.sort_values("rank").reset_index(drop=True)
-        values, ranks = frame["lcp"].tolist(), frame["rank"].tolist()
-        before, after, stack = [None] * len(values), [None] * len(values), []
-        for i, v in enumerate(values):
-            while stack and values[stack[-1]] > v:
-                after[stack.pop()] = ranks[i]
-            j = len(stack) - 1
-            while j >= 0 and values[stack[j]] >= v:
-                j -= 1
-            before[i] = ranks[stack[j]] if j >= 0 else None
-            stack.append(i)
+        values = frame["lcp"].tolist()
+        before, after = _smaller(values, frame["rank"].tolist())
         out = frame[["rank", "pos", "lcp"]].copy()
         out["previous_smaller"], out["next_smaller"] = before, after
+        out["leads"] = out["trails"] = False
+        out.loc[_skyline(values, False), "leads"] = True
+        out.loc[_skyline(values, True), "trails"] = True
         return out.astype({"previous_smaller": "Int64", "next_smaller": "Int64"})
 
-    return lcps.select("rank", "pos", "lcp").groupBy().applyInPandas(stacked, schema)
+    def over(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("rank")
+        before, after = _smaller(frame["lcp"].tolist(), frame["rank"].tolist())
+        return pd.DataFrame({"rank": frame["rank"], "far_before": pd.array(before, "Int64"), "far_after": pd.array(after, "Int64")})
+
+    blocks = lcps.select("rank", "pos", "lcp", F.floor(F.col("rank") / block).alias("block"))
+    near = stored(blocks.groupBy("block").applyInPandas(within, schema), "smaller")
+    far = stored(near.where("leads OR trails").select("rank", "lcp").groupBy().applyInPandas(over, "rank long, far_before long, far_after long"), "edges")
+    # a value that is still searching equals a new least one of its block, and has the same answer
+    at = F.floor(F.col("rank") / block)
+    edges = near.select("rank", "lcp", "leads", "trails", at.alias("block")).join(far, "rank")
+    rows = near.withColumn("block", at)
+    rows = rows.join(edges.where("leads").select("block", "lcp", "far_before"), ["block", "lcp"], "left")
+    rows = rows.join(edges.where("trails").select("block", "lcp", "far_after"), ["block", "lcp"], "left")
+    return rows.select("rank", "pos", "lcp", F.coalesce("previous_smaller", "far_before").alias("previous_smaller"), F.coalesce("next_smaller", "far_after").alias("next_smaller"))
 
 
 def enclosing_intervals(lcps: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def test_worked_examples(spark):
 def test_shuffled_join_gives_the_same(spark):
     refs, queries = cases()
     a = rows(matches.find_matches(frame(spark, refs), frame(spark, queries), 3))
-    b = rows(matches.find_matches(frame(spark, refs), frame(spark, queries), 3, broadcast_chars=0))
+    b = rows(matches.find_matches(frame(spark, refs), frame(spark, queries), 3, broadcast_bytes=0))
     assert a == b
 
 
@@ -121,3 +121,18 @@ def test_positions_and_counts(spark):
     assert {(r.kmer, r.n) for r in matches.kmer_counts(refs, frame(spark, ["xABx"]), 2).collect()} == {("AB", 3)}
     assert {(r.ref_id, r.ref_pos) for r in matches.kmer_positions(refs, frame(spark, ["xABx"]), 2).collect()} == {(0, 1), (0, 3), (1, 1)}
     assert {(r.kmer, r.before, r.n) for r in matches.left_char_histogram(refs, 2).collect()} == {("AB", "$", 2), ("AB", "B", 1), ("BA", "A", 1)}
+
+
+def test_long_runs_of_one_letter(spark):
+    """Runs of N of lengths a and b have a + b - 2 L + 1 matches, whatever the number of hits."""
+    refs, queries = ["A" + "N" * 300 + "C"], ["G" + "N" * 200 + "T"]
+    found = rows(matches.find_matches(frame(spark, refs), frame(spark, queries), 20))
+    assert len(found) == 300 + 200 - 2 * 20 + 1
+    assert found == rows(matches.find_matches(frame(spark, refs), frame(spark, queries), 20, broadcast_bytes=0))
+
+
+def test_context(spark):
+    refs, queries = ["ACGTACGTTA"], ["TACGTTGACG"]
+    strands = matches.with_strands(frame(spark, queries).select("id", "chars"), True)
+    found = matches.match_context(matches.find_matches(frame(spark, refs), frame(spark, queries), 4, both_strands=True), frame(spark, refs), strands)
+    assert {(r.strand, r.ref_pos, r.query_pos, r.len, r.ref_context, r.query_context) for r in found.collect()} >= {("+", 4, 1, 6, "gTACG...CGTT" + "a", "$TACG...CGTT" + "g"), ("+", 1, 2, 4, "$ACGT...ACGTa", "tACGT...ACGTt")}

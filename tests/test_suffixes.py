@@ -60,3 +60,21 @@ def test_what_follows_from_the_order(spark):
         own = [i for i, p in enumerate(order) if merged[p : p + 3].replace("N", "@") == prefix]
         assert (top, bottom, n) == (own[0], own[-1], len(own))
     assert {(r.letter, r.n) for r in suffixes.char_counts(refs(spark, ["AAC", None, ""])).collect()} == {("A", 2), ("C", 1)}
+
+
+def test_smaller_values_over_blocks(spark):
+    rng = random.Random(6)
+    for values, block in (([rng.randrange(4) for _ in range(300)], 7), (list(range(100)), 9), (list(range(100, 0, -1)), 9), ([3] * 50, 8), ([rng.randrange(50) for _ in range(400)], 32)):
+        frame = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "rank long, pos long, lcp long").repartition(3)
+        found = {r["rank"]: (r.previous_smaller, r.next_smaller) for r in suffixes.smaller_values(frame, block).collect()}
+        for i, v in enumerate(values):
+            before = next((j for j in range(i - 1, -1, -1) if values[j] < v), None)
+            after = next((j for j in range(i + 1, len(values)) if values[j] < v), None)
+            assert found[i] == (before, after)
+
+
+def test_many_equal_values(spark):
+    frame = spark.range(100_000).selectExpr("id AS rank", "id AS pos", "CASE WHEN id = 0 THEN -1L WHEN id = 70000 THEN 4L ELSE 5L END AS lcp")
+    found = suffixes.smaller_values(frame)
+    assert found.count() == 100_000
+    assert {(r["rank"], r.previous_smaller, r.next_smaller) for r in found.where("rank IN (0, 1, 69999, 70000, 70001, 99999)").collect()} == {(0, None, None), (1, 0, 70000), (69999, 0, 70000), (70000, 0, None), (70001, 70000, None), (99999, 70000, None)}
