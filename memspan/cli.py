@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import argparse
+import resource
 import sys
 import time
 
@@ -43,7 +44,7 @@ def run_match(spark: SparkSession, a: argparse.Namespace) -> int:
     target = a.output or matchfile.output_name(a.reference)
     matchfile.write_matches(matchfile.match_lines(found, queries, refs, a.both), target)
     total = matches.match_stats_global(found, queries).first()
-    print(f"{total.n_matches} matches, mean length {total.mean_len}, {total.mean_per_query} per query, in {target} ({time.perf_counter() - began:.1f} s)")
+    print(f"{total.n_matches} matches, mean length {total.mean_len}, {total.mean_per_query} per query, in {target} ({time.perf_counter() - began:.1f} s, peak {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1000} MB)")
     return 0
 
 
@@ -60,9 +61,8 @@ def run_map(spark: SparkSession, a: argparse.Namespace) -> int:
         return 1
     forward = F.when(F.col("strand") == "-", F.col("_size") - (F.col("query_pos") - 1 + F.col("len")) + 1).otherwise(F.col("query_pos"))
     found = rows.join(known, "query_name").select("query_id", "strand", F.lit(refs.first().id).alias("ref_id"), "ref_pos", forward.alias("query_pos"), F.col("len").cast("int"))
-    most = max(refs.agg(F.max("size")).first()[0], queries.agg(F.max("size")).first()[0] or 1)
-    order = [r.id for r in queries.select("id").orderBy("id").toLocalIterator()]
-    picture = bitmap.render_map(mapping.map_pixels(found, refs, queries), order, mapping.sequence_pixels(refs.first().size, most))
+    order = [(r.id, r.size) for r in queries.select("id", "size").orderBy("id").toLocalIterator()]
+    picture = bitmap.render_map(mapping.map_pixels(found, refs, queries), order, refs.first().size)
     with open(a.output, "wb") as f:
         f.write(bitmap.bitmap_bytes(picture, bitmap.palette(), compress=True))
     return 0
@@ -78,6 +78,7 @@ def parser() -> argparse.ArgumentParser:
     match.add_argument("-n", "--acgt-only", action="store_true", help="drop all but A, C, G and T")
     match.add_argument("-m", "--min-size", type=int, default=0)
     match.add_argument("-r", "--name", help="only references whose name contains this")
+    match.add_argument("--mem", action="store_true", help="all matches (the default)")
     match.add_argument("--mam", action="store_true", help="only matches that are unique in the references")
     match.add_argument("--boundary", choices=("isolated", "merged"), default="isolated")
     match.add_argument("reference")
@@ -94,8 +95,32 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def spanned(argv: list[str]) -> list[str]:
+    """Options without regard to case, and the name behind ``-r`` as one argument: if it begins with a quotation
+    mark, it reaches to the next one, over several arguments if need be."""
+    out: list[str] = []
+    k = 0
+    while k < len(argv):
+        arg = argv[k]
+        if arg[:1] == "-" and arg[1:2].isalpha() or arg[:2] == "--":
+            arg = arg.lower()
+        out.append({"-mem": "--mem", "-mam": "--mam"}.get(arg, arg))
+        k += 1
+        if arg in ("-r", "--name") and k < len(argv) and argv[k][:1] in ("'", '"') and argv[k]:
+            quote, words = argv[k][0], [argv[k][1:]]
+            while quote not in words[-1] and k + 1 < len(argv):
+                k += 1
+                words.append(argv[k])
+            out.append(" ".join(words).split(quote)[0])
+            k += 1
+        elif arg in ("-o", "--output", "-r", "--name", "-l", "--length", "-m", "--min-size") and k < len(argv):
+            out.append(argv[k])
+            k += 1
+    return out
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    a = parser().parse_args(argv)
+    a = parser().parse_args(spanned(sys.argv[1:] if argv is None else argv))
     spark = spark or build_session()
     if a.command == "match":
         return run_match(spark, a)

@@ -371,9 +371,12 @@ def clean_fasta_counts(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     """All registered queries."""
+    from memspan.plans import filequeries  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     """Their DuckDB statements."""
+    queries()
     return dict(_sql)

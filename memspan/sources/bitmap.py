@@ -1,65 +1,74 @@
-"""The match map as a bitmap file: 8-bit palette, plain or run-length encoded.
+"""The match map as a bitmap file: 8-bit palette, plain or run-length encoded, written and read.
 
-The picture has a row of pixels for the reference and one for each query; what is drawn comes from
+The picture has a ruler, a bar for the reference and one for each query; what is drawn comes from
 :func:`memspan.operators.mapping.map_pixels`, at most ``WIDTH`` pixels a query, on the driver.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from memspan.operators.mapping import MARGIN, WIDTH
+from memspan.operators.mapping import BAR, CHAR_HEIGHT, CHAR_SPACE, CHAR_WIDTH, GAP, HEADER, MARGIN, V_MARGIN, WIDTH, axis_marks, sequence_pixels
 
 WHITE, BLACK, GREY = 0, 1, 2
 RAMP = 126
+_RUN = re.compile(rb"(.)\1{0,254}", re.DOTALL)
+#: The strokes of a digit: top, upper left, upper right, middle, lower left, lower right, bottom.
+STROKES = ("1110111", "0010010", "1011101", "1011011", "0111010", "1101011", "1101111", "1010010", "1111111", "1111011")
+
+
+#: The colours at the stops of the two gradients, and how many steps lie between them.
+FORWARD_STOPS, FORWARD_STEPS = ((255, 0, 128), (255, 0, 0), (255, 255, 0)), (128, 256)
+REVERSE_STOPS, REVERSE_STEPS = ((0, 255, 0), (0, 255, 255), (0, 0, 255), (128, 0, 255)), (256, 256, 128)
+
+
+def gradient(at: int, width: int, stops: tuple, steps: tuple) -> tuple[int, int, int]:
+    """The colour of pixel ``at`` of ``width``: whole steps along the stops, of one channel each."""
+    n, base = at * sum(steps) // max(1, width), 0
+    for k, (a, b, size) in enumerate(zip(stops, stops[1:], steps, strict=False)):
+        if n < base + size or k == len(steps) - 1:
+            return tuple(x + (n - base) * ((y > x) - (y < x)) for x, y in zip(a, b, strict=True))
+        base += size
 
 
 def palette() -> list[tuple[int, int, int]]:
-    """White, black, grey, then two ramps: forward magenta-red-yellow, reverse green-cyan-blue-purple."""
-    def ramp(stops, n):
-        out = []
-        for i in range(n):
-            x = i * (len(stops) - 1) / max(1, n - 1)
-            k = min(int(x), len(stops) - 2)
-            out.append(tuple(round(a + (b - a) * (x - k)) for a, b in zip(stops[k], stops[k + 1], strict=True)))
-        return out
-
-    forward = ramp([(255, 0, 255), (255, 0, 0), (255, 255, 0)], RAMP)
-    backward = ramp([(0, 255, 0), (0, 255, 255), (0, 0, 255), (128, 0, 255)], RAMP)
-    colours = [(255, 255, 255), (0, 0, 0), (192, 192, 192), *forward, *backward]
+    """White, black, grey, then two gradients: forward magenta-red-yellow, reverse green-cyan-blue-purple."""
+    colours = [(255, 255, 255), (0, 0, 0), (192, 192, 192)]
+    colours += [gradient(i, RAMP, stops, steps) for stops, steps in ((FORWARD_STOPS, FORWARD_STEPS), (REVERSE_STOPS, REVERSE_STEPS)) for i in range(RAMP)]
     return colours + [(0, 0, 0)] * (256 - len(colours))
 
 
-def nearest_colour(colours: list[tuple[int, int, int]], wanted: tuple[int, int, int]) -> int:
-    """The index with the least sum of absolute differences, the first among equals."""
-    return min(range(len(colours)), key=lambda i: sum(abs(a - b) for a, b in zip(colours[i], wanted, strict=True)))
+def gradient_columns(at: Column, width: Column, stops: tuple, steps: tuple) -> Column:
+    """An array (red, green, blue): :func:`gradient` for columns."""
+    n = F.floor(at * sum(steps) / F.greatest(width, F.lit(1))).cast("int")
+    bases = [sum(steps[:k]) for k in range(len(steps))]
+    parts = [F.array(*(F.lit(x) + (n - base) * ((y > x) - (y < x)) for x, y in zip(a, b, strict=True))) for a, b, base in zip(stops, stops[1:], bases, strict=False)]
+    out = parts[-1]
+    for part, end in reversed(list(zip(parts, bases[1:], strict=False))):
+        out = F.when(n < end, part).otherwise(out)
+    return out
 
 
-def tick_step(span: float, ticks: int = 10) -> int:
-    """The smallest of 1, 2, 5, 10, 20, ... that needs at most ``ticks`` steps for ``span``."""
-    step, base = 1, 1
-    while True:
-        for m in (1, 2, 5):
-            step = m * base
-            if span / step <= ticks:
-                return step
-        base *= 10
+def nearest_colour(red: Column, green: Column, blue: Column, colours: list[tuple[int, int, int]]) -> Column:
+    """The palette index with the least sum of absolute differences, the first among equals."""
+    table = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"), F.lit(i).alias("i")) for i, (r, g, b) in enumerate(colours)))
+    away = F.transform(table, lambda c: F.struct((F.abs(red - c["r"]) + F.abs(green - c["g"]) + F.abs(blue - c["b"])).alias("d"), c["i"].alias("i")))
+    return F.array_min(away)["i"]
 
 
 def rle8(rows: list[bytes]) -> bytes:
     """Run-length encoding of rows from the bottom up: (count, value) pairs, row and file ends."""
+    known: dict[bytes, bytes] = {}
     out = bytearray()
     for row in rows:
-        i = 0
-        while i < len(row):
-            n = 1
-            while n < 255 and i + n < len(row) and row[i + n] == row[i]:
-                n += 1
-            out += bytes((n, row[i]))
-            i += n
-        out += b"\0\0"
+        if row not in known:
+            runs = (m.group() for m in _RUN.finditer(row))
+            known[row] = b"".join(bytes((len(r), r[0])) for r in runs)
+        out += known[row] + b"\0\0"
     out[-2:] = b"\0\1"
     return bytes(out)
 
@@ -75,24 +84,98 @@ def bitmap_bytes(rows: list[bytes], colours: list[tuple[int, int, int]], compres
     return b"BM" + struct.pack("<IHHI", offset + len(data), 0, 0, offset) + info + table + data
 
 
-def render_map(pixels: DataFrame, queries: list, ref_pixels: int, width: int = WIDTH, bar: int = 6, gap: int = 4) -> list[bytes]:
-    """Picture rows: the reference's colour bar, then a bar for each query of ``queries`` (ids in
-    order) with every matched pixel in the colour of the reference pixel it comes from."""
-    colours_from = {"+": 3, "-": 3 + RAMP}
-
-    def colour(strand: str, ref_pixel: int) -> int:
-        return colours_from[strand] + min(RAMP - 1, ref_pixel * RAMP // max(1, ref_pixels))
-
-    bars = {q: bytearray([GREY] * width) for q in queries}
+def bitmap_info(data: bytes) -> dict[str, int | str]:
+    """The fields of a bitmap file's two headers, by name."""
+    names = ("filetype", "filesize", "reserved1", "reserved2", "dataoffset", "headersize", "width", "height", "planes", "bits", "compression", "datasize", "horizontal", "vertical", "colours", "important")
+    fields = dict(zip(names, struct.unpack("<2sIHHIIiiHHIIiiII", data[:54]), strict=True))
+    return fields | {"filetype": fields["filetype"].decode("latin-1")}
+
+
+def bitmap_rows(data: bytes) -> list[bytes]:
+    """The rows of palette indices of an 8-bit bitmap file, from the top down."""
+    info = bitmap_info(data)
+    width, at, rows = info["width"], info["dataoffset"], []
+    if not info["compression"]:
+        step = width + -width % 4
+        return [data[at + k * step : at + k * step + width] for k in range(info["height"])][::-1]
+    row = bytearray()
+    while len(rows) < info["height"]:
+        count, value = data[at], data[at + 1]
+        at += 2
+        if count:
+            row += bytes([value]) * count
+        elif value in (0, 1):  # the end of a row, of the picture
+            rows.append(bytes(row))
+            row = bytearray()
+        else:
+            row += data[at : at + value]
+            at += value + value % 2
+    return rows[::-1]
+
+
+class Picture:
+    """Rows of pixels, drawn from the top left corner; what lies outside is not drawn."""
+
+    def __init__(self, width: int, height: int):
+        self.width, self.height = width, height
+        self.rows: list[bytearray] = [bytearray(width) for _ in range(height)]
+
+    def fill(self, x: int, y: int, wide: int, high: int, colour: int) -> None:
+        left, right = max(0, x), min(self.width, x + wide)
+        for row in self.rows[max(0, y) : max(0, min(self.height, y + high))]:
+            row[left:right] = bytes([colour]) * max(0, right - left)
+
+    def frame(self, x: int, y: int, wide: int, high: int, colour: int) -> None:
+        for part in ((x, y, wide, 1), (x, y + high - 1, wide, 1), (x, y, 1, high), (x + wide - 1, y, 1, high)):
+            self.fill(*part, colour)
+
+    def number(self, value: int, x: int, y: int, colour: int) -> None:
+        """Digits by strokes, centred at ``x``."""
+        said = str(value)
+        x = max(1, x - (len(said) * CHAR_WIDTH + (len(said) - 1) * CHAR_SPACE) // 2)
+        right, middle, low = CHAR_WIDTH - 1, CHAR_HEIGHT // 2, CHAR_HEIGHT - 1
+        spots = ((0, 0, CHAR_WIDTH, 1), (0, 0, 1, middle), (right, 0, 1, middle), (0, middle, CHAR_WIDTH, 1), (0, middle, 1, middle), (right, middle, 1, middle), (0, low, CHAR_WIDTH, 1))
+        for k, digit in enumerate(said):
+            for there, (dx, dy, wide, high) in zip(STROKES[int(digit)], spots, strict=True):
+                if there == "1":
+                    self.fill(x + k * (CHAR_WIDTH + CHAR_SPACE) + dx, y + dy, wide, high, colour)
+
+
+def bar_top(place: int) -> int:
+    """The first row of the bar at ``place``: 0 the reference, then the queries."""
+    return V_MARGIN + HEADER + place * (BAR + GAP)
+
+
+def colour_of(strand: str, ref_pixel: int, ref_pixels: int) -> int:
+    """The palette index of a pixel of the reference on one strand."""
+    return (3 if strand == "+" else 3 + RAMP) + min(RAMP - 1, ref_pixel * RAMP // max(1, ref_pixels))
+
+
+def render_map(pixels: DataFrame, queries: list[tuple[object, int]], ref_size: int, width: int = WIDTH) -> list[bytes]:
+    """The picture's rows: a ruler with marks, the reference's colours (forward above, reverse below), and a grey bar
+    in a frame for each query (id, size), in the order given, with every matched pixel in the colour
+    of the reference pixel it comes from. All is drawn on the driver: at most ``width`` pixels a query."""
+    most = max([ref_size, *(n for _, n in queries)])
+    picture = Picture(width, bar_top(len(queries) + 1) - GAP + V_MARGIN)
+    ref_pixels, whole = sequence_pixels(ref_size, most, width), sequence_pixels(most, most, width)
+    picture.fill(MARGIN, V_MARGIN + CHAR_HEIGHT + CHAR_SPACE + CHAR_HEIGHT // 2, whole, 1, BLACK)
+    for mark, pixel in [(1, 0), *axis_marks(most, width), (most, whole - 1)]:
+        picture.number(mark, MARGIN + pixel, V_MARGIN, BLACK)
+        picture.fill(MARGIN + pixel, V_MARGIN + CHAR_HEIGHT + CHAR_SPACE, 1, CHAR_HEIGHT, BLACK)
+    half = BAR // 2 - 1
+    for x in range(ref_pixels):
+        picture.fill(MARGIN + x, bar_top(0), 1, half, colour_of("+", x, ref_pixels))
+        picture.fill(MARGIN + x, bar_top(0) + BAR // 2 + 1, 1, half, colour_of("-", x, ref_pixels))
+    lines: dict[object, bytearray] = {}
+    for k, (query, size) in enumerate(queries):
+        n = sequence_pixels(size, most, width)
+        picture.frame(MARGIN - 1, bar_top(k + 1) - 1, n + 2, BAR + 2, BLACK)
+        picture.fill(MARGIN, bar_top(k + 1), n, BAR, GREY)
+        lines[query] = bytearray(picture.rows[bar_top(k + 1)])
     for row in pixels.toLocalIterator():
-        at = MARGIN + row.pixel
-        if row.query_id in bars and at < width:
-            bars[row.query_id][at] = colour(row.strand, row.ref_pixel)
-    top = bytearray([WHITE] * width)
-    for x in range(min(ref_pixels, width - MARGIN)):
-        top[MARGIN + x] = colour("+", x)
-    blank = bytes([WHITE] * width)
-    out = [blank] * gap
-    for line in (top, *bars.values()):
-        out += [bytes(line)] * bar + [blank] * gap
-    return out
+        if row.query_id in lines and MARGIN + row.pixel < width:
+            lines[row.query_id][MARGIN + row.pixel] = colour_of(row.strand, row.ref_pixel, ref_pixels)
+    for k, (query, _) in enumerate(queries):
+        for y in range(bar_top(k + 1), bar_top(k + 1) + BAR):
+            picture.rows[y] = lines[query]
+    return [bytes(r) for r in picture.rows]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REVERSE = " Reverse"
@@ -19,6 +19,11 @@ def output_name(reference_path: str, extra: str = "-mems.txt") -> str:
     return os.path.splitext(reference_path)[0] + extra
 
 
+def output_names(paths: Column, extra: str = "-mems.txt") -> Column:
+    """The same for a column of paths: what is behind the last dot goes, if a name stands in front of it."""
+    return F.concat(F.regexp_replace(paths, r"(?<=[^/.])\.[^/.]*$", ""), F.lit(extra))
+
+
 def match_lines(matches: DataFrame, queries: DataFrame, refs: DataFrame, both_strands: bool = False) -> DataFrame:
     """query_ord, strand, place, value: every line of a match file, headers at place 0.
 
@@ -41,22 +46,36 @@ def write_matches(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("query_ord", "strand", "place").sortWithinPartitions("query_ord", "strand", "place").select("value").write.mode("overwrite").text(path)
 
 
+def _numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, line (1-based, blank lines left out), block (headers so far) and value of every line. Files split like any
+    text file; a split's lines and headers are counted, then added up over the splits of its file."""
+    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.rtrim(F.regexp_replace("value", "\r", "")).alias("value"))
+    raw = raw.where(F.length("value") > 0).withColumn("head", F.col("value").startswith(">").cast("int"))
+    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "at").agg(F.count("*").alias("lines"), F.sum("head").alias("heads"))
+    splits = splits.select("file", "at", *(F.coalesce(F.sum(n).over(order), F.lit(0)).alias(f"{n}_before") for n in ("lines", "heads")))
+    inside = Window.partitionBy("file", "at").orderBy("id")
+    rows = raw.withColumn("line", F.row_number().over(inside)).withColumn("block", F.sum("head").over(inside)).join(splits, ["file", "at"])
+    return rows.select("file", (F.col("line") + F.col("lines_before")).alias("line"), (F.col("block") + F.col("heads_before")).alias("block"), (F.col("head") == 1).alias("head"), "value")
+
+
 def read_matches(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, block (1-based), query_name, strand, ref_name (null with one reference), place, ref_pos,
     query_pos, len; a block without matches is a row with null positions.
 
-    A file is split at its headers, so blocks come whole; reference names may hold blanks.
+    A line that begins with ``>`` is a header; reference names may hold blanks. Files are read line by line in
+    splits, a block of any size is never held whole; lines before the first header are left out.
     """
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
-    blocks = raw.select("file", F.posexplode(F.split("value", "(?m)^>"))).where("pos > 0").select("file", F.col("pos").alias("block"), F.split("col", "\n").alias("lines"))
-    head = F.element_at("lines", 1)
-    backward = head.endswith(REVERSE)
-    name = F.when(backward, F.left(head, F.length(head) - len(REVERSE))).otherwise(head)
-    rows = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.length(F.trim(x)) > 0)
-    blocks = blocks.select("file", "block", name.alias("query_name"), F.when(backward, "-").otherwise("+").alias("strand"), F.posexplode_outer(rows).alias("pos", "line"))
+    lines = _numbered_lines(spark, paths)
+    title = F.substr("value", F.lit(2))
+    backward = title.endswith(REVERSE)
+    name = F.when(backward, F.left(title, F.length(title) - len(REVERSE))).otherwise(title)
+    heads = lines.where("head").select("file", "block", name.alias("query_name"), F.when(backward, "-").otherwise("+").alias("strand"), F.col("line").alias("first"))
     pattern = r"^\s*(?:(.*\S)\s+)?(\d+)\s+(\d+)\s+(\d+)\s*$"
-    part = [F.regexp_extract("line", pattern, i) for i in range(1, 5)]
-    return blocks.select("file", "block", "query_name", "strand", F.nullif(part[0], F.lit("")).alias("ref_name"), (F.col("pos") + 1).alias("place"), *(F.nullif(p, F.lit("")).cast("long").alias(n) for p, n in zip(part[1:], ("ref_pos", "query_pos", "len"), strict=True)))
+    part = [F.nullif(F.regexp_extract("value", pattern, i), F.lit("")) for i in range(1, 5)]
+    rows = lines.where("NOT head").select("file", "block", "line", part[0].alias("ref_name"), *(p.cast("long").alias(n) for p, n in zip(part[1:], ("ref_pos", "query_pos", "len"), strict=True)))
+    met = heads.join(rows, ["file", "block"], "left")
+    return met.select("file", "block", "query_name", "strand", "ref_name", F.coalesce(F.col("line") - F.col("first"), F.lit(1)).alias("place"), "ref_pos", "query_pos", "len")
 
 
 def sort_match_file(spark: SparkSession, path: str, target: str | None = None) -> str:

@@ -88,6 +88,15 @@ def test_command_line(spark, write, tmp_path, capsys):
     assert cli.main(["map", "-o", picture, one, ref, query], spark) == 0
     assert open(picture, "rb").read(2) == b"BM"
     assert cli.main(["match", ref, write("none.fa", "")], spark) == 1
+    rows = bitmap.bitmap_rows(open(picture, "rb").read())
+    assert len(rows) == bitmap.bar_top(3) - mapping.GAP + mapping.V_MARGIN and len(rows[0]) == 1024
+    assert max(rows[bitmap.bar_top(1) + 9]) > bitmap.GREY >= max(rows[bitmap.bar_top(2) + 9]) and bitmap.BLACK in rows[mapping.V_MARGIN]
+
+
+def test_options():
+    assert cli.spanned(["match", "-R", "'chr", "1", "b'", "-L", "5", "-MAM", "A.fa"]) == ["match", "-r", "chr 1 b", "-l", "5", "--mam", "A.fa"]
+    assert cli.spanned(["match", "-r", "Chr1", "-o", "-X", "f"]) == ["match", "-r", "Chr1", "-o", "-X", "f"]
+    assert cli.spanned(["match", "-r", '"a"', "f"]) == ["match", "-r", "a", "f"]
 
 
 def test_bitmap(spark):
@@ -95,8 +104,11 @@ def test_bitmap(spark):
     plain = bitmap.bitmap_bytes(rows, bitmap.palette())
     assert struct.unpack("<I", plain[2:6])[0] == len(plain) and plain[-8:] == rows[1] + rows[0]
     assert bitmap.rle8(rows) == bytes([3, 1, 1, 2, 0, 0, 2, 3, 2, 4, 0, 1])
-    assert bitmap.nearest_colour(bitmap.palette(), (250, 250, 250)) == bitmap.WHITE
-    assert [bitmap.tick_step(x) for x in (8, 12, 45, 99, 1000)] == [1, 2, 5, 10, 100]
+    assert bitmap.bitmap_rows(plain) == rows == bitmap.bitmap_rows(bitmap.bitmap_bytes(rows, bitmap.palette(), compress=True))
+    assert bitmap.bitmap_info(plain)["filesize"] == len(plain)
+    for n in (1, 9, 10, 99, 1000, 5000, 123_456, 10**9):
+        marks = [(r.mark, r.pixel) for r in mapping.ruler_marks(spark.createDataFrame([(n,)], "n long"), "n").collect()]
+        assert marks == mapping.axis_marks(n)
     refs = spark.createDataFrame([(0, "A" * 5000)], "id long, chars string")
     found = spark.createDataFrame([(5, "+", 0, 1, 1, 100), (5, "-", 0, 50, 60, 200)], "query_id long, strand string, ref_id long, ref_pos long, query_pos long, len int")
     ppp = mapping.positions_per_pixel(5000)
