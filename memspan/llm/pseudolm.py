@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from memspan.llm.durable import rows_of, stored
 from memspan.llm.fingerprints import words_at
+from memspan.llm.wordpieces import most_frequent
 
 WINDOW, HIDDEN = 2, 16
 OFFSETS = (-2, -1, 1, 2)
@@ -49,10 +50,10 @@ WIDE = SLOTS + 1
 EDGE = CLASSES * WIDE
 #: Contexts of the letter model (two bytes, folded).
 CONTEXTS = 1024
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Shares of a shard's positions (of eight) in each round, and the rate of each.
-ROUNDS = ((0, 1, 0.2), (1, 4, 0.1), (4, 8, 0.07))
-BATCH = 2048
+ROUNDS = ((0, 1, 0.4), (1, 4, 0.2), (4, 8, 0.1))
+BATCH = 4096
 #: Values of one block of the network that travels; characters and tokens handled at a time.
 BLOCK = 4096
 CHUNK_CHARS, COUNTED = 1 << 20, 1 << 22
@@ -180,14 +181,25 @@ def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for t in texts)])))
 
 
+#: Bytes with A-Z as a-z and white space as blanks.
+_FOLDED = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
+
+
 def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The cell (context, byte) of every byte of the words and of the blank behind each, and where
     words start."""
-    data = np.frombuffer(b" ".join("\n".join(texts).encode(errors="surrogatepass").lower().split()) + b" ", np.uint8).astype(np.int32)
+    data = _FOLDED[np.frombuffer(("\n".join(texts) + " ").encode(errors="surrogatepass"), np.uint8)]
     blank = data == 32
-    before = np.concatenate(([32], data[:-1])).astype(np.int32)
-    second = np.where(before == 32, 32, np.concatenate(([32, 32], data[:-2]))[: len(data)]).astype(np.int32)
-    return (before + 31 * second) % CONTEXTS * 256 + data, np.concatenate(([0], np.flatnonzero(blank)[:-1] + 1))
+    blank[1:] &= blank[:-1]  # behind another one; and those in front
+    data = data[~blank].astype(np.int32)
+    before = np.empty_like(data)
+    before[:1], before[1:] = 32, data[:-1]
+    second = np.full_like(data, 32)
+    second[2:] = data[:-2]
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    second[starts] = 32
+    return (((before + 31 * second) & (CONTEXTS - 1)) << 8) + data, starts
 
 
 class Vocabulary:
@@ -300,7 +312,7 @@ def count_words(texts: DataFrame) -> tuple[Vocabulary, int]:
 
     found = stored(texts.mapInArrow(count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = found.where("kind = 0")
-    counted = [(r.key, r.n) for r in words.orderBy(F.desc("n"), "key").limit(WORDS + TABLE).select("key", "n").collect()]
+    counted = most_frequent(words.select("key", "n"), "key", WORDS + TABLE)
     buckets, letters = np.zeros(CLASSES), np.zeros(CONTEXTS * 256)
     for r in words.groupBy(F.col("key").bitwiseAND(CLASSES - 1).alias("b")).agg(F.sum("n").alias("n")).collect():  # a row a bucket
         buckets[r.b] = r.n
