@@ -9,14 +9,17 @@ rarity over all documents, hence the probe is each window's rarest word. A probe
 bound ``i >= p``, length bound ``i - p + m <= number of words``; then the ``m`` words are
 compared one by one.
 
-The windows travel to the tasks in blocks of at most ``block_bytes``; however large the
+The windows travel to the tasks in blocks of at most ``block_bytes`` (with what Python adds to them); however large the
 benchmark, each block is joined with all documents in turn and the hits are united, so what is
-broadcast has a fixed bound. Documents are never shuffled while one block suffices.
+broadcast has a fixed bound. Documents are never shuffled while one block suffices. With several, the
+documents' words are counted once for all blocks, so the documents are read once for each block and once more.
 
 Defined cases
 * null or wordless document: no words, no hits, clean; null or wordless item: no windows;
 * the same window in several items counts for each of them; repeated items count once by id;
-* repeated documents are judged one by one; extra columns are not read.
+* repeated documents are judged one by one; an empty table gives an empty one, an empty benchmark no hits; very long
+  texts are judged whole; extra columns, whatever their names, are not read (``drop_contaminated`` returns them
+  as they are).
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspan.llm.durable import map_columns, stored
+from memspan.llm.durable import free_names, map_columns, rows_of, stored
 
 WIDTH = 13
 BLOCK_BYTES = 32_000_000
+#: What a window takes besides its words' bytes: a tuple, a list, a set of items, their entries.
+WINDOW_BYTES = 700
 #: Every byte that separates words becomes a space; A-Z become a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -52,7 +57,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
     size = 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         windows = item_windows(words_of(row.t))
-        cost = sum(120 + sum(map(len, w)) for w in windows)
+        cost = sum(WINDOW_BYTES + sum(map(len, w)) for w in windows)
         if size and size + cost > block_bytes:
             yield dict(block)
             block, size = defaultdict(set), 0
@@ -81,6 +86,26 @@ def word_frequencies(documents: DataFrame, text_col: str, words: set[bytes]) ->
     return Counter({bytes(r.word): r.n for r in summed.collect()})
 
 
+def all_frequencies(documents: DataFrame, text_col: str) -> DataFrame:
+    """(word, n) of all words of all documents, stored."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        counts: Counter = Counter()
+        for (text,) in rows_of(batches):
+            counts.update(words_of(text))
+            if len(counts) >= 500_000:
+                yield told()
+                counts = Counter()
+        yield told()
+
+    return stored(documents.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
 def _index(block: dict[tuple[bytes, ...], set[str]], rarity: Counter) -> dict[bytes, list]:
     """{rarest word: [(its place, window, item ids)]}; ties go to the smaller word."""
     index: dict[bytes, list] = defaultdict(list)
@@ -124,10 +149,16 @@ def _judge(words: list[bytes], index: dict[bytes, list]) -> tuple:
 RESULTS = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
 
 
-def _sent_index(documents: DataFrame, block: dict | None, text_col: str):
+def _sent_index(documents: DataFrame, block: dict | None, text_col: str, counted: DataFrame | None = None):
     index = {}
     if block:
-        index = _index(block, word_frequencies(documents, text_col, {w for window in block for w in window}))
+        words = {w for window in block for w in window}
+        if counted is None:
+            rarity = word_frequencies(documents, text_col, words)
+        else:  # at most as many rows as the block has words
+            wanted = documents.sparkSession.createDataFrame([(bytearray(w),) for w in sorted(words)], "word binary")
+            rarity = Counter({bytes(r.word): r.n for r in counted.join(wanted, "word").collect()})
+        index = _index(block, rarity)
     return documents.sparkSession.sparkContext.broadcast(index)
 
 
@@ -141,6 +172,12 @@ def _first_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_words, n_hit, n_items, items (sorted as strings), spans (hit word intervals),
     contaminated for each row of ``documents``."""
+    found = _judged(documents, *_first_blocks(benchmark, item_col, item_text_col, block_bytes), id_col, text_col)
+    return found.drop("_text").withColumnRenamed("_id", id_col)
+
+
+def _judged(documents: DataFrame, first: dict | None, several, id_col: str, text_col: str) -> DataFrame:
+    """The same as _id, and _text, a hash of the text."""
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, _text long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
 
@@ -156,16 +193,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         return map_columns(documents.select(id_col, text_col, F.xxhash64(text_col)), make, schema)
 
-    first, several = _first_blocks(benchmark, item_col, item_text_col, block_bytes)
     if several is None:
-        return joined(_sent_index(documents, first, text_col)).drop("_text").withColumnRenamed("_id", id_col)
-    found = None
+        return joined(_sent_index(documents, first, text_col))
+    found, counted = None, all_frequencies(documents, text_col)
     for block in several:
-        sent = _sent_index(documents, block, text_col)
+        sent = _sent_index(documents, block, text_col, counted)
         hits = stored(joined(sent).where("n_hit > 0").select("_id", "_text", "items", "spans").dropDuplicates(["_id", "_text"]), "hits")
         sent.destroy()
         found = hits if found is None else found.unionByName(hits)
-    return _united_blocks(joined(_sent_index(documents, None, text_col)), found).withColumnRenamed("_id", id_col)
+    return _united_blocks(joined(_sent_index(documents, None, text_col)), found)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -181,9 +217,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str =
             return texts.map(lambda t: not _judge(words_of(t), sent.value)[-1]).astype(bool)
 
         return documents.where(clean(F.col(text_col)))
-    found = contamination(documents, benchmark, id_col, text_col, item_col, item_text_col, block_bytes)
-    gone = found.where("contaminated").select(F.col(id_col).alias("_gone")).distinct()
-    return documents.join(gone, documents[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    found = _judged(documents, first, several, id_col, text_col)
+    name, text = free_names(documents, "gone", "text_hash")
+    gone = found.where("contaminated").select(F.col("_id").alias(name), F.col("_text").alias(text)).distinct()
+    return documents.join(gone, documents[id_col].eqNullSafe(gone[name]) & (F.xxhash64(documents[text_col]) == gone[text]), "left_anti")
 
 
 def _united_blocks(documents: DataFrame, found: DataFrame) -> DataFrame:
@@ -210,6 +247,7 @@ def _united_blocks(documents: DataFrame, found: DataFrame) -> DataFrame:
     hit = F.coalesce("_hit", F.lit(0)).cast("long")
     return rows.select(
         "_id",
+        "_text",
         "n_words",
         hit.alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),

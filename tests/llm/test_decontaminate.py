@@ -43,7 +43,7 @@ def corpus(seed):
                 a = rng.randrange(len(v) + 1)
                 parts.append(", ".join(v[a:]).upper())
         docs.append((i, ". ".join(parts)))
-    return [*docs, (60, None), (61, ""), (61, ""), (62, "... !!"), (None, items[10][1])], items
+    return [*docs, (3, "clean words only here"), (60, None), (61, ""), (61, ""), (62, "... !!"), (None, items[10][1])], items
 
 
 def rows(df):
@@ -58,8 +58,19 @@ def test_against_brute_force(spark, block_bytes):
     assert rows(d.contamination(documents, benchmark, block_bytes=block_bytes)) == brute(docs, items)
     kept = d.drop_contaminated(documents, benchmark, block_bytes=block_bytes)
     assert kept.columns == documents.columns
-    wanted = {repr(x[0]) for x in brute(docs, items) if not x[-1]}
-    assert {repr(r.doc_id) for r in kept.collect()} == wanted
+    wanted = sorted(repr((i, t)) for i, t in docs if not brute([(i, t)], items)[0][-1])
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == wanted
+
+
+def test_long_texts_and_other_columns(spark):
+    items = [(1, " ".join(f"w{i}" for i in range(20)))]
+    rows = [(1, "x " * 100_000 + items[0][1]), (1, items[0][1]), (2, "a b")]
+    documents = spark.createDataFrame([(*r, "g", 1, "h") for r in rows], "doc_id long, text string, gone string, _text int, `TEXT_HASH` string")
+    for size in (d.BLOCK_BYTES, 2000):
+        found = d.contamination(documents, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in found.collect()) == [(1, 20, 20, True), (1, 100_020, 20, False), (2, 2, 0, False)]
+        kept = d.drop_contaminated(documents, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
+        assert kept.columns == documents.columns and sorted(len(r.text) for r in kept.collect()) == sorted(len(t) for _, t in rows if t != items[0][1])
 
 
 def test_empty_sides(spark):
