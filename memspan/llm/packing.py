@@ -8,8 +8,8 @@ sequences by themselves. All other pieces go through rounds:
 1. items are dealt to tasks of about ``items_per_task``, whatever their number;
 2. each task packs its items best-fit, largest first;
 3. bins filled to ``full`` or more are final and leave; the others become the items of the
-   next round, with an eighth of the tasks (a tree), until one task holds them all or a round
-   no longer saves ``least_gain`` of its bins.
+   next round, with an eighth of the tasks (a tree), until one task has held them all or a round at
+   the least number of tasks saves no bin.
 
 A task never holds more than its share, since the number of tasks follows the number of items.
 A bin carries its pieces (at most as many as it has tokens). Each round is written to the
@@ -18,7 +18,9 @@ shared checkpoint folder, so a lost executor repeats no packing decision.
 Defined cases: a null text is the empty string, which is one piece holding just the separator;
 repeated rows are packed as documents of their own (their ids are then repeated too); ties in
 length go by id, piece and checksum, so the result does not depend on the order of rows; an
-empty table packs into nothing; extra columns are not read.
+empty table packs into nothing; very long texts are cut into pieces, never shortened; extra columns, whatever
+their names, are not read. A tokenizer that does not lower-case, split and mark words like the one this was written for is
+found out by probes when it is loaded, and each text then goes to it whole.
 """
 
 from __future__ import annotations
@@ -77,6 +79,18 @@ class WordTokens:
         self.pieces: dict[str, bytes] = {"": b""}
         self.hot: dict[str, bytes] = {}
         self.seen: Counter[str] | None = Counter()
+        self.fast = True
+        self.fast = self._as_expected()
+
+    def _as_expected(self) -> bool:
+        """Whether the fast path gives the library's own ids for texts of all sorts."""
+        probes = ["", " a", "Hello, World's 123rd \"x-y_z\" I'll we've DON'T", "na\u00efve \u00c9COLE \u6f22\u5b57 \U0001f600 e\u0301", "a\u00a0b\u3000c\x1cd \u0130 \ufb01 \u00df", "x" * 300 + " 12.50%...", "<|endoftext|> </w> a</w>b", "tab\tnew\nline  two "]
+        try:
+            found = self._encode(probes * 2)
+        except (KeyError, IndexError, ValueError):
+            return False
+        self.cache, self.pieces, self.hot, self.seen = {}, {"": b""}, {}, Counter()
+        return found == [self.whole(p) for p in probes * 2]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -90,6 +104,8 @@ class WordTokens:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if not self.fast:
+            return [self.whole(t) for t in texts]
         words = []
         for t in texts:
             if "<|" in t and any(s in t for s in self.special):
@@ -218,7 +234,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 _MEMBER = "struct<doc_id:{0},piece:int,start:long,length:long,ids_crc32:long,offset:long>"
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", items_per_task: int = ITEMS_PER_TASK, full: float = 0.995, least_gain: float = 0.01, fan_in: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", items_per_task: int = ITEMS_PER_TASK, full: float = 0.995, fan_in: int = 8) -> DataFrame:
     """``pieces`` with sequence_id and offset: every piece in one sequence of at most
     ``capacity`` tokens, side by side from 0."""
     kind = pieces.schema[id_col].dataType.simpleString()
@@ -239,7 +255,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", it
         after = left.count()
         done.append(packed.where(F.col("size") >= enough).select("members"))
         bins = packed.count()
-        if tasks == 1 or count - bins < least_gain * count:
+        if tasks == 1 or (tasks == least and bins == count):
             done.append(left.select("members"))
             break
         items, count = left, after

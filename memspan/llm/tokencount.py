@@ -2,20 +2,23 @@
 
 In a sentencepiece BPE model whose pieces hold the word mark only at their start, merges never
 cross from a word into the next mark, so the tokens of a text are those of its *pre-tokens*
-(each a run of spaces and the word behind it). Tier one is a broadcast table of the lengths of
-the corpus's most frequent pre-tokens, at most ``top`` entries of bounded size; tier two is a
-cache in each Python worker, filled by the library in batches of misses and emptied when it
-reaches ``CACHE_SIZE``. No pre-token is ever shuffled. A model with other pieces is refused by
-the fast path and each text goes to the library whole.
+(each a run of spaces and the word behind it). Tier one is a broadcast hash table of the lengths of
+the corpus's most frequent pre-tokens, at most ``top`` entries of bounded size, packed as their joined text and one
+short integer each; tier two is a cache in each Python worker, filled by the library in batches of
+misses and emptied when it reaches ``CACHE_SIZE``. No pre-token is ever shuffled: tasks send summaries of
+their most frequent ones, which are approximate and only decide what is looked up first. A model with
+other pieces is refused by the fast path and each text goes to the library whole.
 
 Defined cases: null and empty texts have no tokens; control strings inside a text are ordinary
-text, as by the library's default; repeated rows are counted one by one.
+text, as by the library's default; repeated rows are counted one by one; an empty table gives an empty one; very long
+texts are counted whole; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +64,18 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     model, splits = load_model(model_path)
     words = [w for w, _ in frequent_words(df, text_col, pre_tokens, top)] if splits else []
     alone = len(model.encode("a ")) - len(model.encode("a"))  # the library gives nothing for an empty text
-    words = [w for w in words if w]
-    table = spark.sparkContext.broadcast([("", alone), *zip(words, map(len, model.encode(words, num_threads=1)), strict=True)])
+    words = [w for w in words if w and " " not in w]
+    words = ["", *words]
+    sizes = np.array([alone, *map(len, model.encode(words[1:], num_threads=1))], np.uint16)  # of at most MAX_WORD_BYTES bytes each
+    table = spark.sparkContext.broadcast((" ".join(words), sizes))  # a pre-token has no space
     id_type = df.schema[id_col].dataType.simpleString()
 
     def make():
         worker_model, may_split = load_model(model_path)
         cache = _caches.setdefault(model_path, {})
-        cache.update(table.value)
+        joined, lengths = table.value
+        frequent = dict(zip(joined.split(" "), lengths.tolist(), strict=True))
+        cache.update(frequent)
 
         def step(ids, texts, n_bytes):
             texts = [t or "" for t in texts]
@@ -79,7 +86,7 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 missing = set().union(*parts).difference(cache)
                 if len(cache) + len(missing) > CACHE_SIZE:
                     cache.clear()
-                    cache.update(table.value)
+                    cache.update(frequent)
                     missing = set().union(*parts).difference(cache)
                 missing = list(missing)
                 cache.update(zip(missing, map(len, worker_model.encode(missing, num_threads=1)), strict=True))

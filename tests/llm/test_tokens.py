@@ -43,11 +43,35 @@ def test_ids_equal_the_library():
     assert tokens.encode(texts) == [tokens.whole(t) for t in texts]
 
 
-def test_exact_counts(spark):
-    rows = [(f"a{i % 7} b{i % 3} " + "c" * 80,) for i in range(60)]
-    df = spark.createDataFrame(rows, "text string").repartition(3)
-    counts = Counter(w for r in rows for w in r[0].split() if len(w) < 65)
-    assert wordpieces.frequent_words(df, "text", str.split, per_task=1, exact=True) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+def test_most_frequent(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"k{i}", rng.choice((1, 1, 1, 2, 3, 5, 8, 100, 1000))) for i in range(500)]
+    spark.createDataFrame(rows, "word string, n long").repartition(5).write.parquet(str(tmp_path / "counts"))
+    counted = spark.read.parquet(str(tmp_path / "counts"))
+    wanted = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for top in (1, 40, 300, 500, 900):
+        assert wordpieces.most_frequent(counted, "word", top) == wanted[:top]
+    assert wordpieces.most_frequent(counted.where("false"), "word", 5) == []
+
+
+def test_odd_tables(spark):
+    """Long texts, rows alike, null ids and columns with names of helpers."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(1, "some words, " * 40_000), (None, "x"), (None, "x"), (2, None)]
+    df = spark.createDataFrame([(*r, "a", "b", 3) for r in rows], "doc_id long, text string, id string, word string, n int")
+    found = sorted(((r.doc_id or 0), r.n_tokens) for r in tokencount.count_tokens(df, path).collect())
+    assert found == sorted([(1, len(model.encode(rows[0][1]))), (0, len(model.encode("x"))), (0, len(model.encode("x"))), (2, 0)])
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = packing.WordTokens(path)
+    assert not other.fast and packing.WordTokens(public_tokenizers.path("word_bpe_49k.json")).fast
+    texts = awkward(50, 6)
+    assert other.encode(texts) == [other.whole(t) for t in texts]
 
 
 def test_frequent_words(spark):
@@ -77,6 +101,8 @@ def test_packing(spark, per_task):
     n = check_packing(packing.pack(df, items_per_task=per_task).collect(), 2048, pieces)
     least = -(-sum(p[3] for p in pieces) // 2048)
     assert n <= least * 1.06 + 2
+    whole = check_packing(packing.pack(df, items_per_task=10_000, full=1.0).collect(), 2048, pieces)
+    assert n <= whole + max(1, whole // 50)  # the tree and the bins that leave it early cost next to nothing
     assert packing.pack(df.where("false")).count() == 0
 
 
