@@ -11,9 +11,12 @@ in hexadecimal and base64; equal texts have equal strings.
 
 Defined cases
 * null text: the empty string; without words there are no shingles;
-* likeness of two equal fingerprints is 1, of two sketches without a kept hash otherwise 0;
+* likeness of two equal fingerprints is 1; otherwise it is 0 if one of the two sketches kept no hash, as happens
+  to texts of few shingles;
 * repeated rows are fingerprinted one by one; for edits, documents with the same id are ordered
-  by text, and a null id comes last.
+  by a hash of their text, then by text, and a null id comes last;
+* an empty table gives an empty one; very long texts are read whole; extra columns, whatever their names, are
+  not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspan.llm.durable import map_columns
+from memspan.llm.durable import ROWS, map_columns, rows_of
 
 SCALE = 8
 SHINGLE = 5
@@ -173,53 +176,75 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _descending(keys: np.ndarray, hashes: np.ndarray, cuts: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The bucket of each (key, hash) in descending order: a bucket reaches down to its cut, and rows of a cut
+    that quantiles met several times go to as many buckets by their hash."""
+    if not len(cuts):
+        return np.zeros(len(keys), np.int64)
+    offsets = np.concatenate((np.cumsum(parts[::-1])[::-1], [0]))  # buckets from each cut on, largest cut first
+    at = np.searchsorted(cuts, keys, side="right")  # 0: below all cuts
+    equal = (at > 0) & (keys == cuts[at - 1])
+    depth = (~hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # 0 for the largest hash
+    return offsets[at] + np.where(equal, (depth.astype(np.int64) * parts[at - 1]) >> 32, 0)
+
+
 def with_next(df: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
-    """Rows (bucket, look, key, text) ordered within partitions so that every document of a
+    """Rows (bucket, look, key, hash, n, text) ordered within partitions so that every document of a
     bucket is followed by the next one in descending id; ``look`` marks the copy of the first
-    document of the next bucket (of all, after the last) that ends a bucket.
+    document of the next bucket (of all, after the last) that ends a bucket, and ``n`` counts rows alike.
 
     Bucket bounds are quantiles of the ids over all rows, so buckets hold about equally many
-    documents at any size. The text moves once; only one copy a bucket is added to it.
+    documents at any size; an id that fills several buckets is split by the hash of the text, and rows alike in
+    both are counted in each task. The text moves once; only one copy a bucket is added to it.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lowest = -(2**63)
-    keyed = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
     count = n * buckets_per_partition
-    cuts = keyed.agg(F.percentile_approx("key", [i / count for i in range(1, count)] or [0.5], 10 * count).alias("q")).first().q or []
-    cuts = np.array(sorted(set(cuts)), np.int64)
+    found = keyed.agg(F.percentile_approx("key", [i / count for i in range(1, count)] or [0.5], 10 * count).alias("q")).first().q or []
+    cuts, parts = np.unique(np.array(found, np.int64), return_counts=True)
 
-    def place(ids: np.ndarray) -> np.ndarray:
-        return len(cuts) - np.searchsorted(cuts, ids, side="right")
+    def place(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return _descending(ids, hashes, cuts, parts)
 
     def firsts(batches):
         import pyarrow as pa
 
-        top: dict[int, int] = {}
+        top: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            where = place(ids)
-            for b in np.unique(where):
-                top[int(b)] = max(top.get(int(b), lowest), int(ids[where == b].max()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int32()), pa.array(list(top.values()), pa.int64())], names=["bucket", "first"])
-
-    heads = keyed.select("key").mapInArrow(firsts, "bucket int, first long").groupBy("bucket").agg(F.max("first").alias("first"))
-    order = sorted((r.bucket, r.first) for r in heads.collect())  # one row a bucket
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            where = place(ids, hashes)
+            order = np.lexsort((hashes, ids, where))
+            last = order[np.flatnonzero(np.concatenate((where[order][1:] != where[order][:-1], [True])))] if len(order) else order
+            for b, k, h in zip(where[last].tolist(), ids[last].tolist(), hashes[last].tolist(), strict=True):
+                top[b] = max(top.get(b, (k, h)), (k, h))
+        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int32()), pa.array([k for k, _ in top.values()], pa.int64()), pa.array([h for _, h in top.values()], pa.int64())], names=["bucket", "key", "hash"])
+
+    heads = keyed.select("key", "hash").mapInArrow(firsts, "bucket int, key long, hash long").groupBy("bucket").agg(F.max(F.struct("key", "hash")).alias("first"))
+    order = sorted((r.bucket, (r.first["key"], r.first["hash"])) for r in heads.collect())  # one row a bucket
     looks = {first: order[i - 1][0] for i, (_, first) in enumerate(order)}
-    look_keys = np.array(sorted(looks), np.int64)
+    look_hashes = np.array(sorted({h for _, h in looks}), np.int64)
 
     def deal(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = pa.array(np.concatenate([np.arange(len(ids)), extra := np.flatnonzero(np.isin(ids, look_keys))]))
-            bucket = np.concatenate([place(ids), [looks[int(k)] for k in ids[extra]]]).astype(np.int32)
-            look = np.concatenate([np.zeros(len(ids), bool), np.ones(len(extra), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(look), batch.column(0).take(rows), batch.column(1).take(rows)], names=["bucket", "look", "key", "text"])
-
-    dealt = keyed.mapInArrow(deal, "bucket int, look boolean, key long, text string")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "look", F.desc("key"), F.desc("text"))
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            group = np.lexsort((hashes, ids))  # rows alike in id and hash of the text are one
+            new = np.concatenate((ids[group][1:] != ids[group][:-1], [True])) | np.concatenate((hashes[group][1:] != hashes[group][:-1], [True])) if len(group) else np.empty(0, bool)
+            last = np.flatnonzero(new)
+            one, times = group[last], np.diff(np.concatenate(([-1], last)))
+            extra = np.array([i for i in np.flatnonzero(np.isin(hashes[one], look_hashes)).tolist() if (int(ids[one[i]]), int(hashes[one[i]])) in looks], np.int64)
+            rows = pa.array(np.concatenate([one, one[extra]]))
+            bucket = np.concatenate([place(ids[one], hashes[one]), [looks[int(ids[one[i]]), int(hashes[one[i]])] for i in extra]]).astype(np.int32)
+            look = np.concatenate([np.zeros(len(one), bool), np.ones(len(extra), bool)])
+            many = np.concatenate([times, np.ones(len(extra), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(look), *(batch.column(i).take(rows) for i in (0, 1)), pa.array(many), batch.column(2).take(rows)], names=["bucket", "look", "key", "hash", "n", "text"])
+
+    dealt = keyed.mapInArrow(deal, "bucket int, look boolean, key long, hash long, n long, text string")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "look", F.desc("key"), F.desc("hash"), F.desc("text"))
 
 
 def fingerprint_edits(df: DataFrame) -> DataFrame:
@@ -234,22 +259,34 @@ def fingerprint_edits(df: DataFrame) -> DataFrame:
 
         types = dict(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()), strict=True))
         waiting = None  # the document whose next one has not come yet
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for bucket, look, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if waiting is None and look:
-                    continue  # a further copy of an id that ends the bucket
-                now = bucket, key, text, Sketch(text)
-                if waiting is not None:
-                    _, old_key, old, sketch = waiting
-                    edited = edited_text(old, text)
-                    other = Sketch(edited)
-                    near, part = likeness(sketch, other)
-                    near_next, part_next = likeness(sketch, now[3])
-                    made = (None if old_key == -(2**63) else old_key, len(old), hashlib.sha256(edited.encode(errors="surrogatepass")).hexdigest(), str(sketch), str(other), near, near_next, part, part_next)
-                    for name, value in zip(names, made, strict=True):
-                        out[name].append(value)
-                waiting = None if look else now
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], types[n]) for n in names], names=list(names))
+        out: dict[str, list] = {n: [] for n in names}
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(out[n], types[n]) for n in names], names=list(names))
+
+        def pair(key, old, sketch, text, following):
+            edited = edited_text(old, text)
+            other = Sketch(edited)
+            near, part = likeness(sketch, other)
+            near_next, part_next = likeness(sketch, following)
+            return None if key == -(2**63) else key, len(old), hashlib.sha256(edited.encode(errors="surrogatepass")).hexdigest(), str(sketch), str(other), near, near_next, part, part_next
+
+        for bucket, look, key, _, many, text in rows_of(batches):
+            if waiting is None and look:
+                continue  # a further copy of an id that ends the bucket
+            now = bucket, key, text, Sketch(text)
+            rows = []
+            if waiting is not None:
+                rows.append(pair(waiting[1], waiting[2], waiting[3], text, now[3]))
+            if many > 1 and not look:  # rows alike follow each other
+                rows += [pair(key, text, now[3], text, now[3])] * (many - 1)
+            for made in rows:
+                for name, value in zip(names, made, strict=True):
+                    out[name].append(value)
+            if len(out["doc_id"]) >= ROWS:
+                yield told()
+                out = {n: [] for n in names}
+            waiting = None if look else now
+        yield told()
 
     return with_next(df).mapInArrow(run, schema)

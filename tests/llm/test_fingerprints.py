@@ -77,3 +77,30 @@ def test_repeated_ids_and_nulls(spark):
     found = fp.fingerprint_edits(df).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in found) == [(0, 1), (1, 1), (1, 1), (1, 1), (2, 0)]
     assert fp.fingerprint_documents(df).count() == 5
+
+
+def test_one_id_holds_most_rows(spark):
+    """A hot id with many texts, rows alike, and a null id: every row is paired with the next in descending order."""
+    rng = random.Random(12)
+    rows = [(5, t) for t in texts(400, 13)] + [(5, "alike words here")] * 300 + [(None, t) for t in texts(60, 14)] + list(enumerate(texts(40, 15), 100)) + [(-3, "low")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, "x", 1, True, 2) for r in rows], "doc_id long, text string, key string, hash int, look boolean, n int").repartition(4)
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t or "" for _, t in rows}], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    low = -(2**63)
+    order = sorted(((low if i is None else i, hashes[t or ""], t or "") for i, t in rows), reverse=True)
+    wanted = []
+    for k, (i, _, t) in enumerate(order):
+        other = order[(k + 1) % len(order)][2]
+        edited = t[: len(t) - len(t) // 3] + other[: len(t) // 3]
+        wanted.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp.likeness(fp.Sketch(t), fp.Sketch(other))[0]))
+    found = [(low if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in fp.fingerprint_edits(df).collect()]
+    assert sorted(found) == sorted(wanted)
+    buckets = fp.with_next(df).where("NOT look").groupBy("bucket").agg({"n": "sum"}).collect()
+    assert len(buckets) > 8 and sum(r[1] for r in buckets) == len(rows)
+
+
+def test_query_values_for_short_and_long_texts(spark):
+    rows = [(3, "one two"), (2, "word " * 100_000), (1, "one two")]
+    found = {r.doc_id: r for r in fp.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[2].n_chars == 500_000 and found[1].fingerprint == found[3].fingerprint
+    assert found[1].near_next == 1.0 and found[3].near_next == 0.0
