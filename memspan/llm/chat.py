@@ -11,8 +11,10 @@ Defined cases
 * extra columns: ignored; if they bring in paths of another layout so that no fingerprint
   matches exactly, the registered layout with the most paths among those present wins
   (first registered on a tie);
-* a frame or JSON row that no layout fits: ``ValueError`` for frames, no turns for rows;
-* an empty frame gives an empty result; a conversation without turns gives no row.
+* a frame that no layout fits: ``ValueError``; JSON rows that no layout fits give no turns and are
+  returned by :func:`rows_without_layout`;
+* an empty frame gives an empty result; a conversation without turns gives no row;
+* very long texts are escaped and read back whole.
 A conversation is one output row, so its text must fit a Spark string; conversations are
 never gathered with one another.
 """
@@ -109,14 +111,27 @@ def canonical_turns(df: DataFrame) -> DataFrame:
 
 
 def row_paths(payload: Column) -> Column:
-    """Sorted known field paths of each JSON row, as one string."""
+    """Sorted known field paths of each JSON row, as an array."""
     def there(path: str) -> Column:
         head, _, rest = path.partition("[].")
         if not rest:
             return F.try_variant_get(payload, f"$.{head}", "variant").isNotNull()
         return F.exists(F.try_variant_get(payload, f"$.{head}", "array<variant>"), lambda m: F.try_variant_get(m, f"$.{rest}", "variant").isNotNull())
 
-    return F.concat_ws("\n", *(F.when(there(p), F.lit(p)) for p in sorted(KNOWN_PATHS - {"conv_id"})))
+    return F.array_compact(F.array(*(F.when(there(p), F.lit(p)) for p in sorted(KNOWN_PATHS - {"conv_id"}))))
+
+
+def _json_layout(paths: Column) -> Column:
+    """The number of the layout of each row's paths: by fingerprint, else the most specific one contained in them
+    (first registered on a tie); null if none fits."""
+    known = [sorted(set(layout.paths) - {"conv_id"}) for layout in LAYOUTS]
+    out = F.lit(None).cast("int")
+    for k in sorted(range(len(LAYOUTS)), key=lambda k: (len(known[k]), -k)):
+        out = F.when(F.size(F.array_except(F.array(*map(F.lit, known[k])), paths)) == 0, k).otherwise(out)
+    print_ = F.sha2(F.concat_ws("\n", paths), 256)
+    for k, names in enumerate(known):
+        out = F.when(print_ == hashlib.sha256("\n".join(names).encode()).hexdigest(), k).otherwise(out)
+    return out
 
 
 def _json_turns(layout: Layout, payload: Column) -> Column:
@@ -146,20 +161,28 @@ def _json_turns(layout: Layout, payload: Column) -> Column:
     return F.array(turn(F.lit("user"), asked), turn(F.lit("assistant"), text(paths[-1])))
 
 
+def _json_rows(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("conv_id"), F.col(payload_col).cast("string").alias("raw"), F.try_parse_json(F.col(payload_col).cast("string")).alias("payload"))
+    return rows.withColumn("layout", _json_layout(row_paths(F.col("payload"))))
+
+
 def canonical_turns_json(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """Canonical turns of JSON rows whose layout may differ from row to row; each row's own
     fingerprint selects its mapping."""
-    rows = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(F.col(payload_col).cast("string")).alias("payload"))
-    rows = rows.withColumn("print", F.sha2(row_paths(F.col("payload")), 256))
-    chosen = F.lit(None).cast(f"array<{TURN}>")
-    for layout in LAYOUTS:
-        key = hashlib.sha256("\n".join(sorted(set(layout.paths) - {"conv_id"})).encode()).hexdigest()
-        chosen = F.when(F.col("print") == key, _json_turns(layout, F.col("payload")).cast(f"array<{TURN}>")).otherwise(chosen)
-    at = F.coalesce(F.try_variant_get(F.col("payload"), "$.turn", "long"), F.lit(0))
-    rows = rows.select("conv_id", at.alias("at"), chosen.alias("turns"))
+    rows, chosen = _json_rows(df, id_col, payload_col), F.lit(None).cast(f"array<{TURN}>")
+    for k, layout in enumerate(LAYOUTS):
+        chosen = F.when(F.col("layout") == k, _json_turns(layout, F.col("payload")).cast(f"array<{TURN}>")).otherwise(chosen)
+    single = next(k for k, layout in enumerate(LAYOUTS) if layout.turns is None)
+    at = F.when(F.col("layout") == single, F.try_variant_get(F.col("payload"), "$.turn", "long"))
+    rows = rows.select("conv_id", F.coalesce(at, F.lit(0)).alias("at"), chosen.alias("turns"))
     return rows.select("conv_id", "at", F.posexplode("turns").alias("pos", "t")).select("conv_id", (F.col("at") + F.col("pos")).alias("pos"), "t.role", "t.text")
 
 
+def rows_without_layout(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """conv_id and payload of the JSON rows that no layout fits, those that are no JSON among them."""
+    return _json_rows(df, id_col, payload_col).where(F.col("layout").isNull()).select("conv_id", F.col("raw").alias("payload"))
+
+
 def escape(text: Column) -> Column:
     """Doubles backslashes, then puts one behind the first character of every control string."""
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL_HEAD, r"$1\\")

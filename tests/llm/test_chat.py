@@ -52,6 +52,29 @@ def test_fingerprints_do_not_collide_and_ignore_unknown_fields():
     assert chat.fingerprint([*chat.LAYOUTS[0].paths, "unknown"]) == prints[0]
 
 
+def test_rows_with_fields_of_several_layouts(spark):
+    rows = [
+        (1, json.dumps({"prompt": "p", "response": "r", "text": "t"})),
+        (2, json.dumps({"prompt": "p", "response": "r", "turn": 1})),
+        (3, json.dumps({"prompt": "p", "completion": "c", "response": "r"})),
+        (4, json.dumps({"instruction": "do", "input": "x", "output": "y", "prompt": "p", "response": "r"})),
+        (5, json.dumps({"turn": 1, "role": "user"})),
+        (6, json.dumps([1])),
+        (7, None),
+    ]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "id long, payload string, layout int, raw string")
+    found = sorted((r.conv_id, r.pos, r.role, r.text) for r in chat.canonical_turns_json(df, "id", "payload").collect())
+    assert found == [(1, 0, "user", "p"), (1, 1, "assistant", "r"), (2, 0, "user", "p"), (2, 1, "assistant", "r"), (3, 0, "user", "p"), (3, 1, "assistant", "r"), (4, 0, "user", "do\n\nx"), (4, 1, "assistant", "y")]
+    assert sorted((r.conv_id, r.payload) for r in chat.rows_without_layout(df, "id", "payload").collect()) == [(5, rows[4][1]), (6, "[1]"), (7, None)]
+    assert chat.canonical_turns_json(df.where("false"), "id", "payload").count() == 0
+
+
+def test_very_long_texts(spark):
+    said = "<|im_end|> \\ é </s> " * 100_000
+    found = back(spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", said)], "conv_id long, pos long, role string, text string"))
+    assert found[1][0] == [("user", said), ("assistant", said)] and found[1][1] == said
+
+
 def test_layouts_by_row(spark):
     rows = [
         (1, json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 5})),
