@@ -5,14 +5,12 @@ Files are written from the tables to the folder that all executors share, then r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspan.operators import mapping, matches, names
 from memspan.plans.catalogue import DNA_LEN, TEXT_LEN, _dna, _mem_sql, dna_corpus, query, table, text_corpus
-from memspan.plans.tables import shared_folder
+from memspan.plans.tables import own_folder
 from memspan.sources import bitmap, fasta, matchfile
 from memspan.streaming.matching import match_stream
 
@@ -20,7 +18,7 @@ _BODY = "regexp_replace(upper(regexp_replace({}, '[^A-Za-z]', '', 'g')), '[^ACGT
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/memspan-files-{uuid.uuid4().hex}"
+    return own_folder(spark, "files")
 
 
 def _fasta(spark: SparkSession, sf_dir: str, name: str, key: str, prefix: str) -> str:

@@ -1,4 +1,7 @@
-"""Tables written once to the folder that all executors share, to cut lineage."""
+"""Tables written once to the folder that all executors share, to cut lineage.
+
+They belong to the session that wrote them: results read them lazily, so they stay until its owner, who knows
+when the results are done with, calls :func:`forget_stored` (as the benchmark does) or clears the folder."""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, as the session names it; one of our own only on
@@ -23,6 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, with its schema."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/memspan-{label}-{uuid.uuid4().hex}"
+    path = own_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which :func:`forget_stored` deletes."""
+    path = f"{shared_folder(spark)}/memspan-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def forget_stored(spark: SparkSession) -> int:
+    """Deletes all that this process has stored for the session so far; returns how many folders."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+    return len(paths)
