@@ -12,7 +12,7 @@ import resource
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspan.operators import mapping, matches
@@ -21,10 +21,13 @@ from memspan.sources import bitmap, fasta, matchfile
 
 
 def _sequences(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Records of several files with one id over all of them, in the order of the files given."""
+    """Records of several files, or folders of files, with one id over all of them, in the order given (files of a
+    folder by name)."""
     found = None
     for k, path in enumerate(paths):
-        rows = fasta.read_fasta(spark, path, **options).withColumn("ord", F.lit(k).cast("long") * (1 << 40) + F.col("ord"))
+        rows = fasta.read_fasta(spark, path, **options)
+        files = rows.select("file").distinct().withColumn("_place", F.row_number().over(Window.orderBy("file")) + k * 4096)  # a row a file
+        rows = rows.join(files, "file").withColumn("ord", (F.col("_place").cast("long") * (1 << 40)) + F.col("ord")).drop("_place")
         found = rows if found is None else found.unionByName(rows)
     return found.withColumn("id", F.col("ord"))
 

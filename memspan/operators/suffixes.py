@@ -175,6 +175,17 @@ def lcp_stats(lcps: DataFrame) -> DataFrame:
     return lcps.agg(F.floor(F.sum(F.greatest("lcp", F.lit(0))) / F.count("*")).cast("long").alias("mean_lcp"), F.max("lcp").alias("max_lcp"), F.count("*").alias("n"))
 
 
+def lcp_samples(lcps: DataFrame, large: int = 255) -> DataFrame:
+    """n_samples, n_oversized and hundredths of a percent of all ranks (truncated): how many ranks a sampled array of
+    lcps keeps, those whose lcp differs from the next one's (behind the last stands -1), and how many of them hold
+    -1 or ``large`` and more."""
+    ahead = lcps.select((F.col("rank") - 1).alias("rank"), F.col("lcp").alias("next"))
+    kept = lcps.select("rank", "lcp").join(ahead, "rank", "left").select("lcp", (F.col("lcp") != F.coalesce("next", F.lit(-1))).alias("kept"))
+    odd = (F.col("lcp") < 0) | (F.col("lcp") >= large)
+    sums = kept.agg(F.count_if("kept").alias("n_samples"), F.count_if(F.col("kept") & odd).alias("n_oversized"), F.count("*").alias("n"))
+    return sums.select("n_samples", "n_oversized", F.floor(F.col("n_samples") * 10_000 / F.greatest("n", F.lit(1))).alias("share"))
+
+
 def bwt_runs(suffixes: DataFrame) -> DataFrame:
     """n_runs, longest and most_common (the shorter of equally common lengths) of the runs of equal
     letters in the BWT."""

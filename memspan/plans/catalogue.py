@@ -311,6 +311,12 @@ def lcp_stats(spark, sf_dir):
     return suffixes.lcp_stats(suffixes.lcp_array(_letters(spark, sf_dir)))
 
 
+@query(_suffix_sql(""", x AS (SELECT lcp, lcp <> coalesce(lead(lcp) OVER (ORDER BY rank), -1) AS kept FROM l)
+SELECT count(*) FILTER (kept) AS n_samples, count(*) FILTER (kept AND (lcp < 0 OR lcp >= 255)) AS n_oversized, CAST(count(*) FILTER (kept) * 10000 // count(*) AS BIGINT) AS share FROM x"""))
+def lcp_samples(spark, sf_dir):
+    return suffixes.lcp_samples(suffixes.lcp_array(_letters(spark, sf_dir)))
+
+
 @query(_suffix_sql(""", r AS (SELECT bwt, rank - row_number() OVER (PARTITION BY bwt ORDER BY rank) AS g FROM k), c AS (SELECT bwt, g, count(*) AS n FROM r GROUP BY bwt, g)
 SELECT count(*) AS n_runs, max(n) AS longest, (SELECT n FROM c GROUP BY n ORDER BY count(*) DESC, n LIMIT 1) AS most_common FROM c"""))
 def bwt_runs(spark, sf_dir):

@@ -78,6 +78,20 @@ def sorted_match_file(spark, sf_dir):
     return found.where("ref_pos IS NOT NULL").select("query_name", "strand", "ref_name", "ref_pos", "query_pos", "len", "place")
 
 
+@query(f"""WITH {_mem_sql(DNA_LEN, True, True)}
+SELECT 'doc ' || q.query_id AS query_name, q.strand, 'item ' || m.ref_id AS ref_name, CAST(m.ref_pos AS BIGINT) AS ref_pos, CAST(m.query_pos AS BIGINT) AS query_pos, CAST(m.len AS BIGINT) AS len
+FROM q LEFT JOIN m USING (query_id, strand) WHERE length(q.chars) > 0""")
+def match_command(spark, sf_dir):
+    """The match command from sequence files to a match file."""
+    from memspan import cli
+
+    refs, docs = _fasta(spark, sf_dir, "benchmark", "item_id", "item"), _fasta(spark, sf_dir, "documents", "doc_id", "doc")
+    target = f"{own_folder(spark, 'files')}/found-mems.txt"
+    if cli.main(["match", "-l", str(DNA_LEN), "-b", "-n", "-o", target, refs, docs], spark):
+        raise RuntimeError("the match command failed")
+    return matchfile.read_matches(spark, target).select("query_name", "strand", "ref_name", "ref_pos", "query_pos", "len")
+
+
 @query(r"SELECT page_id, regexp_replace(url, '([^/.])\.[^/.]*$', '\1') || '-mems.txt' AS target FROM pages")
 def output_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", matchfile.output_names(F.col("url")).alias("target"))
