@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     every edge leads to a vertex that has no smaller neighbour.
     """
     pairs = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    while pairs.select("v").distinct().join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() or _several_parents(pairs):
+    while _unfinished(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = _dealt_anew(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,8 +32,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pairs.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _several_parents(pairs: DataFrame) -> bool:
-    return pairs.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").limit(1).count() > 0
+def _unfinished(pairs: DataFrame) -> bool:
+    """Whether a vertex has several parents, or a parent and children; in one aggregation with partial results."""
+    up = pairs.select(F.col("u").alias("k"), "v", F.lit(True).alias("up"))
+    down = pairs.select(F.col("v").alias("k"), F.lit(None).cast("long").alias("v"), F.lit(False).alias("up"))
+    seen = up.unionByName(down).groupBy("k").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.bool_or("up").alias("child"), F.bool_or(~F.col("up")).alias("parent"))
+    return seen.where("x <> y OR (child AND parent)").limit(1).count() > 0
 
 
 def _dealt_anew(lowest: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ executors share, so a lost executor costs a re-read and never a recomputation of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from memspan.plans.tables import shared_folder, stored
 
-__all__ = ["free_names", "map_columns", "rows_of", "shared_folder", "stored"]
+__all__ = ["free_names", "map_columns", "rows_of", "shared_folder", "stored", "trim_memory"]
 #: Rows that are Python objects at a time.
 ROWS = 1000
 
@@ -30,6 +33,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterator[dict] |
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         step = make()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -56,3 +60,11 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def trim_memory() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -5,9 +5,9 @@
 2. The retained values are each class's ``depth`` smallest hashes in each of ``classes`` residue
    classes of that one hash function. Inverted lists are kept of the retained values, those of a
    residue together forming the list's key. Two documents of Jaccard similarity ``s`` share a key
-   of one residue with probability about ``s ** depth``; at s = 0.85 with 6 values and 36 residues a
-   linked pair misses all lists with probability 4e-8, at 0.8 with 1.8e-5, and documents that only
-   share a common passage hardly ever meet.
+   of one residue with probability about ``s ** depth``, so that documents that only share a common passage
+   hardly ever meet; there are as many residues as it takes for a pair at the threshold to miss all lists with a
+   probability of at most ``MISSED`` (35 for 0.85, 54 for 0.8).
 3. Members of a list are tied to its smallest class (one edge a member, never all pairs), and
    connected components of these ties are the *families* within which links can exist.
 4. Within a family, each class is a sketch of its ``sketch`` smallest hashes. Inverted lists of these
@@ -31,17 +31,18 @@ their names, are not read, and ``drop_near_duplicates`` returns them as they are
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspan.llm.components import connected_components
-from memspan.llm.durable import free_names, map_columns, rows_of, stored
+from memspan.llm.durable import free_names, map_columns, rows_of, stored, trim_memory
 from memspan.llm.fingerprints import mix, shingle_hashes, word_hashes
 from memspan.llm.membership import bloom_filter, members_of, possible_members
 
-DEPTH, CLASSES, SKETCH = 6, 36, 64
+DEPTH, SKETCH, MISSED = 6, 64, 1e-7
 BLOCK_TOKENS, BLOCK_ROWS = 1_000_000, 400
 
 
@@ -50,7 +51,12 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text, wide=False), width)) if text else np.empty(0, np.uint64)
 
 
-def list_keys(hashes: np.ndarray, depth: int = DEPTH, classes: int = CLASSES) -> np.ndarray:
+def residues(percent: int, depth: int = DEPTH) -> int:
+    """How many residue classes a threshold needs."""
+    return 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** depth))
+
+
+def list_keys(hashes: np.ndarray, classes: int, depth: int = DEPTH) -> np.ndarray:
     """One key for each residue class that has a hash: its ``depth`` smallest ones, mixed."""
     if not len(hashes):
         return np.empty(0, np.int64)
@@ -73,9 +79,10 @@ def linked(common, size_a, size_b, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
 
-def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int = SKETCH, visiting: list[bool] | None = None) -> list[tuple]:
+def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int = SKETCH, visiting: list[bool] | None = None, known: list | None = None) -> list[tuple]:
     """(id, smallest id of its component) for the members of one family that have a link; links
-    between two members that are only ``visiting`` are left to other calls."""
+    between two members that are only ``visiting`` are left to other calls. Members with the same entry of ``known``
+    are connected already and not compared."""
     n = len(ids)
     if visiting is not None and all(visiting):
         return []
@@ -101,11 +108,24 @@ def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int =
     open_ = np.ones(n, bool)
     left, first = n, 0
     found = []
+    if known is None:
+        alike = None
+    else:
+        names, group = np.unique(np.array([known[i] for i in order]), return_inverse=True)
+        alike = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
+
+    def taken(near):
+        """``near`` and what is connected with them already, no longer open."""
+        if alike is not None:
+            near = np.concatenate([alike[g] for g in np.unique(group[near])])
+        open_[near] = False
+        return near.tolist()
+
     while left:
         first += int(open_[first:].argmax())
-        queue, members = [first], [first]
-        open_[first] = False
-        left -= 1
+        members = taken(np.array([first]))
+        queue = list(members)
+        left -= len(members)
         while queue and left:
             x = queue.pop()
             lo = np.searchsorted(sizes, np.ceil(ratio * sizes[x] - 1e-9), side="left")
@@ -131,9 +151,9 @@ def family_links(ids: list, sets: list[np.ndarray], percent: int, sketch: int =
                 near = near[linked(counts, sizes[x], sizes[near], percent)]
             flag[own] = False
             if len(near):
-                queue += near.tolist()
-                members += near.tolist()
-                open_[near] = False
+                near = taken(near)
+                queue += near
+                members += near
                 left -= len(near)
         if len(members) > 1:
             root = min(ids[m] for m in members)
@@ -168,6 +188,7 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     component, where rows share an id) of each row of ``df``."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    lots = residues(percent)
 
     def make_sketches():
         def step(ids, text_keys, texts):
@@ -176,7 +197,7 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
                 hashes = shingle_set(text, width)
                 out["n"].append(len(hashes))
                 out["class"].append(int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else None)
-                out["keys"].append(list_keys(hashes))
+                out["keys"].append(list_keys(hashes, lots))
             return out
 
         return step
@@ -205,7 +226,7 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     large = stored(sizes.where((F.col("tokens") > block_tokens) | (F.col("rows") > block_rows)).select("family", "tokens", "rows", blocks.alias("blocks")), "large")
     split = large.limit(1).count() > 0
     if not split:
-        links = stored(_searched(sets.withColumn("block", F.lit(0).cast("long")).withColumn("guest", F.lit(False)), percent, parts), "links")
+        links = stored(_searched(sets.select("*", F.lit(0).cast("long").alias("block"), F.lit(False).alias("guest"), F.col("class").alias("known")), percent, parts), "links")
         return _components(sketches, classes, links)
     sets = stored(sets, "sets")
     # small families whole; of large ones each block with the family's first class
@@ -214,7 +235,7 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     leader = F.col("class") == F.col("family")  # a family is named after its smallest class
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
     where = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(leader, every).otherwise(F.array(own))
-    once = dealt.select("class", "family", "hashes", F.explode(where).alias("block"), F.lit(False).alias("guest"))
+    once = dealt.select("class", "family", "hashes", F.explode(where).alias("block"), F.lit(False).alias("guest"), F.col("class").alias("known"))
     found = stored(_searched(once, percent, parts), "links")
     joined = stored(connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("class"), F.col("component").alias("root")), "joined")
     # what is not connected with the first class visits all blocks of its family
@@ -224,7 +245,7 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     apart = stored(state.where("apart").groupBy("family").agg(F.sum(F.octet_length("hashes") / 8).alias("apart_tokens"), F.count("*").alias("apart_rows")), "apart")
     if not apart.limit(1).count():
         return _components(sketches, classes, found)
-    again = state.select("class", "family", "hashes", "apart", "tokens", "rows").join(apart, "family")
+    again = state.select("class", "family", "hashes", "root", "apart", "tokens", "rows").join(apart, "family")
     blocks = F.greatest(F.ceil(F.col("tokens") / (block_tokens / 2)), F.ceil(F.col("rows") / F.greatest(F.lit(block_rows), F.col("apart_rows")))).cast("long")
     again = again.withColumn("blocks", blocks).withColumn("lots", F.ceil(F.col("apart_tokens") / (block_tokens / 2)).cast("long"))
     own, lot = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("long"), F.pmod(F.xxhash64(F.lit(1), "class"), F.col("lots")).cast("long")
@@ -235,33 +256,35 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     home = F.transform(all_of(F.col("lots")), lambda x: F.struct((own * F.col("lots") + x).alias("block"), F.lit(False).alias("guest")))
     away = F.transform(F.filter(all_of(F.col("blocks")), lambda x: x != own), lambda x: F.struct((x * F.col("lots") + lot).alias("block"), F.lit(True).alias("guest")))
     spots = F.explode(F.when(F.col("apart"), F.concat(home, away)).otherwise(home)).alias("spot")
-    visits = again.select("class", "family", "hashes", spots).select("class", "family", "hashes", "spot.block", "spot.guest")
+    visits = again.select("class", "family", "hashes", F.col("root").alias("known"), spots).select("class", "family", "hashes", "known", "spot.block", "spot.guest")
     more = _searched(visits, percent, parts)
     return _components(sketches, classes, stored(found.unionByName(more), "links"))
 
 
 def _searched(sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(class, root) of the links within each block of (class, family, hashes, block, guest)."""
+    """(class, root) of the links within each block of (class, family, hashes, block, guest, known)."""
 
     def search(batches):
         import pyarrow as pa
 
-        key, classes, held, guests = None, [], [], []
+        trim_memory()
+        key, classes, held, guests, known = None, [], [], [], []
 
         def finish():
-            links = family_links(classes, held, percent, visiting=guests) if len(classes) > 1 else []
+            links = family_links(classes, held, percent, visiting=guests, known=known) if len(classes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["class", "root"])
 
-        for family, block, one, guest, hashes in rows_of(batches):
+        for family, block, one, guest, group, hashes in rows_of(batches):
             if (family, block) != key:
                 yield finish()
-                key, classes, held, guests = (family, block), [], [], []
+                key, classes, held, guests, known = (family, block), [], [], [], []
             classes.append(one)
             guests.append(guest)
+            known.append(group)
             held.append(np.frombuffer(hashes, np.uint64))
         yield finish()
 
-    dealt = sets.select("family", "block", "class", "guest", "hashes").repartition(parts, "family", "block").sortWithinPartitions("family", "block")
+    dealt = sets.select("family", "block", "class", "guest", "known", "hashes").repartition(parts, "family", "block").sortWithinPartitions("family", "block")
     return dealt.mapInArrow(search, "class long, root long")
 
 

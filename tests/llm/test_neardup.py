@@ -96,6 +96,9 @@ def test_family_search_with_guests():
         exact = exact_components(sets, 85)
         whole = dict(neardup.family_links(ids, sets, 85))
         assert [whole.get(i, i) for i in ids] == exact
+        for groups in ([exact[i] for i in ids], [i if rng.random() < 0.5 else exact[i] for i in ids]):
+            joined = dict(neardup.family_links(ids, sets, 85, known=groups))
+            assert [joined.get(i, i) for i in ids] == exact
         guests = [i % 2 == 0 for i in ids]
         for a, b in neardup.family_links(ids, sets, 85, visiting=guests):
             assert exact[a] == exact[b]

@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import os
+import re
 import zlib
 
 import duckdb
@@ -12,7 +13,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from memspan.llm import chat, decontaminate, language, neardup, packing, queries, secrets
+from memspan.llm import chat, decontaminate, fingerprints, language, neardup, packing, pseudolm, queries, secrets
+from tests.llm.test_pseudolm import brute_scores
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -56,6 +58,50 @@ def test_secret_query(spark, documents):
         assert found.base_sha256[i] == hashlib.sha256(secrets.joined(base).encode()).hexdigest() and found.spans[i] == secrets.joined(spans)
 
 
+def test_substring_query(spark, documents):
+    """Words of each document in a run of 50 that a document of a smaller id has too, by plain look-ups."""
+    words = {i: re.findall("[^\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for i, t in documents.text.items()}
+    first = {}
+    for i in sorted(words):
+        for a in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][a : a + 50]), i)
+    covered = {i: set() for i in words}
+    found = queries.op1_substring_dedup(spark, SF).collect()
+    for r in found:
+        assert r.partner_id < r.doc_id and r.end_word - r.start_word >= 50
+        if r.exact:
+            assert words[r.doc_id][r.start_word : r.end_word] == words[r.partner_id][r.partner_start : r.partner_end]
+            covered[r.doc_id].update(range(r.start_word, r.end_word))
+        else:
+            a, b = ({tuple(w[k : k + 5]) for k in range(s, e - 4)} for w, s, e in ((words[r.doc_id], r.start_word, r.end_word), (words[r.partner_id], r.partner_start, r.partner_end)))
+            assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.8
+    for i, w in words.items():
+        wanted = {p for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < i for p in range(a, a + 50)}
+        assert covered[i] == wanted
+
+
+def test_scoring_query(spark, documents):
+    """Scores by a plain loop over the same network, which does not depend on the partitions."""
+    found = queries.op5_lm_scoring(spark, SF).toPandas().set_index("doc_id")
+    assert sorted(found.index) == sorted(documents.index)
+    vocabulary, network = pseudolm.fit(spark.read.parquet(f"{SF}/documents.parquet").repartition(5))
+    for i in sorted(documents.index)[::20]:
+        n, total = brute_scores(vocabulary, network, documents.text[i] or "")
+        within = vocabulary.read([documents.text[i] or ""])[2][0]
+        assert found.n_tokens[i] == n and abs(found.log_prob[i] - total - within) < 1e-2 + 1e-4 * n
+
+
+def test_fingerprint_query(spark, documents):
+    found = queries.op8_document_fingerprints(spark, SF).toPandas().set_index("doc_id")
+    order = sorted(documents.index, reverse=True)
+    for k, i in enumerate(order):
+        text, other = documents.text[i] or "", documents.text[order[(k + 1) % len(order)]] or ""
+        edited = text[: len(text) - len(text) // 3] + other[: len(text) // 3]
+        a, b, c = (fingerprints.Sketch(t) for t in (text, edited, other))
+        assert (found.n_chars[i], found.edited_sha256[i], found.fingerprint[i], found.edited_fingerprint[i]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), str(a), str(b))
+        assert found.near_edited[i] == fingerprints.likeness(a, b)[0] and found.near_next[i] == fingerprints.likeness(a, c)[0]
+
+
 def test_token_query(spark, documents):
     import sentencepiece
 
