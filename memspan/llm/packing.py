@@ -2,7 +2,7 @@
 
 Documents are tokenised in one map-side pass: the tokenizer drops white space, so a text's
 tokens are those of its blank-separated words, and each Python worker keeps the ids of words it
-has met (``CACHE_SIZE`` of them, then it starts anew). Pieces of the full sequence length are
+has met (``cache_size`` of them, and as many pre-tokens, then it starts anew). Pieces of the full sequence length are
 sequences by themselves. All other pieces go through rounds:
 
 1. items are dealt to tasks of about ``items_per_task``, whatever their number;
@@ -39,12 +39,10 @@ from memspan.llm.durable import map_columns, stored
 
 CAPACITY = 2048
 ITEMS_PER_TASK = 50_000
-CACHE_SIZE = 500_000
+CACHE_SIZE = 1_200_000
 #: The most frequent words of a worker's first ``HOT_SAMPLE`` words have a table of their own, small
 #: enough to stay near the processor; it changes only where a word is looked up first.
 HOT_SIZE, HOT_SAMPLE = 20_000, 1_000_000
-#: The tokenizer's own pre-tokens kept in a worker; new words are put together from them.
-PIECE_CACHE_SIZE = 700_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -62,9 +60,11 @@ class WordTokens:
     together. New pre-tokens go to the library many at once, with blanks between them; the
     end-of-word mark of the tokens tells them apart again."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_size: int | None = None):
         import os
 
+        self.limit = cache_size or CACHE_SIZE
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -114,7 +114,7 @@ class WordTokens:
                 words.append([w for w in _BLANKS.split(t) if w])
             else:
                 words.append(t.split())
-        if len(self.cache) > CACHE_SIZE:
+        if len(self.cache) > self.limit:
             self.cache.clear()
         hot, get = self.hot.get, self.cache.get
         found = [None if w is None else list(map(hot, w)) for w in words]
@@ -162,7 +162,7 @@ class WordTokens:
         tails = [w[len(c) :] for w, c in zip(regular, cores, strict=True)]
         cores = [c.lower() for c in cores]
         split = [_PRE_TOKEN.findall(w.lower()) for w in mixed]
-        if len(self.pieces) > PIECE_CACHE_SIZE:
+        if len(self.pieces) > self.limit:
             self.pieces = {"": b""}
         pieces, cache = self.pieces, self.cache
         missing = list(set(cores).union(tails, *split).difference(pieces))
@@ -181,13 +181,14 @@ class WordTokens:
             cache.update((w, self.whole(w)) for w in words if w not in cache)
 
 
-def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", separator: int = 0) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", separator: int = 0, cache_size: int = CACHE_SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row; the separator id
     ends each document."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        tokens = _state.get(tokenizer_path) or _state.setdefault(tokenizer_path, WordTokens(tokenizer_path))
+        key = tokenizer_path, cache_size
+        tokens = _state.get(key) or _state.setdefault(key, WordTokens(*key))
         end = separator.to_bytes(4, "little")
 
         def step(ids, texts):
@@ -300,6 +301,6 @@ def _packed(items: DataFrame, tasks: int, capacity: int, members: str) -> DataFr
     return dealt.mapInArrow(run, f"size long, members array<{members}>")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache_size: int = CACHE_SIZE) -> DataFrame:
     """Tokenises and packs ``df``: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(token_pieces(df, tokenizer_path, capacity, id_col, text_col), "pieces"), capacity, id_col)
+    return pack(stored(token_pieces(df, tokenizer_path, capacity, id_col, text_col, cache_size=cache_size), "pieces"), capacity, id_col)

@@ -29,10 +29,9 @@ def test_counts_equal_the_library(spark):
     assert tokencount.count_tokens(df.where("false"), path).count() == 0
 
 
-def test_cache_starts_anew(monkeypatch):
+def test_cache_starts_anew():
     path = public_tokenizers.path("word_bpe_49k.json")
-    monkeypatch.setattr(packing, "CACHE_SIZE", 5)
-    tokens = packing.WordTokens(path)
+    tokens = packing.WordTokens(path, 5)
     for t in awkward(60, 2):
         assert tokens.encode([t, "the the", ""]) == [tokens.whole(x) for x in (t, "the the", "")]
 
