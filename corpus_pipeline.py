@@ -37,8 +37,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of at most 2048."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Packs the documents' tokens into sequences of at most 2048; the workers have been through four stages, so
+    their caches of words are smaller."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_size=250_000)
 
 
 STAGES = [
