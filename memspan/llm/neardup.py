@@ -293,6 +293,7 @@ def _components(sketches: DataFrame, classes: DataFrame, links: DataFrame) -> Da
     joined = connected_components(links.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("class"), F.col("component").alias("root"))
     named = classes.select("class", "id").join(joined, "class")
     lowest = named.groupBy("root").agg(F.min("id").alias("component"))
+    lowest = lowest.select(F.bitwise_not(F.bitwise_not("root")).alias("root"), "component")  # so that a component of many members may be split
     known = classes.select("class", "id").join(named.select("class", "root").join(lowest, "root").select("class", "root", "component"), "class", "left")
     known = known.select("class", F.coalesce("root", "class").alias("root"), F.coalesce("component", "id").alias("component"))
     out = sketches.select("id", "text_key", "n", "class").join(known, "class", "left")
