@@ -237,11 +237,9 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     where = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(leader, every).otherwise(F.array(own))
     once = dealt.select("class", "family", "hashes", F.explode(where).alias("block"), F.lit(False).alias("guest"), F.col("class").alias("known"))
     found = stored(_searched(once, percent, parts), "links")
-    joined = stored(connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("class"), F.col("component").alias("root")), "joined")
-    # what is not connected with the first class visits all blocks of its family
-    inside = sets.join(large, "family").join(joined, "class", "left").withColumn("root", F.coalesce("root", F.col("class")))
-    heads = inside.where(leader).select("family", F.col("root").alias("head_root"))
-    state = inside.join(heads, "family").withColumn("apart", F.col("root") != F.col("head_root"))
+    # what is not connected with the first class (the smallest, so its component's root) visits all blocks of its family
+    inside = sets.join(large, "family").join(found.where("class <> root"), "class", "left")  # all but the first are in one block
+    state = inside.withColumn("root", F.coalesce("root", "class")).withColumn("apart", F.col("root") != F.col("family"))
     apart = stored(state.where("apart").groupBy("family").agg(F.sum(F.octet_length("hashes") / 8).alias("apart_tokens"), F.count("*").alias("apart_rows")), "apart")
     if not apart.limit(1).count():
         return _components(sketches, classes, found)

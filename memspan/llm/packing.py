@@ -113,7 +113,7 @@ class WordTokens:
             elif _ODD_SPACE.search(t):
                 words.append([w for w in _BLANKS.split(t) if w])
             else:
-                words.append(t.split())
+                words.append((t.lower() if t.isascii() else t).split())
         if len(self.cache) > self.limit:
             self.cache.clear()
         hot, get = self.hot.get, self.cache.get
