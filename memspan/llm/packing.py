@@ -1,8 +1,8 @@
 """Best-fit packing by hierarchical residual packing.
 
 Documents are tokenised in one map-side pass: the tokenizer drops white space, so a text's
-tokens are those of its blank-separated words, and each Python worker keeps the ids of words it
-has met (``cache_size`` of them, and as many pre-tokens, then it starts anew). Pieces of the full sequence length are
+tokens are those of its blank-separated words. The distinct words of many texts are looked up at once, and
+each Python worker keeps the ids of words it has met (``cache_size`` of them, and as many pre-tokens, then it starts anew). Pieces of the full sequence length are
 sequences by themselves. All other pieces go through rounds:
 
 1. items are dealt to tasks of about ``items_per_task``, whatever their number;
@@ -28,9 +28,9 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +40,9 @@ from memspan.llm.durable import map_columns, stored
 CAPACITY = 2048
 ITEMS_PER_TASK = 50_000
 CACHE_SIZE = 500_000
-#: The most frequent words of a worker's first ``HOT_SAMPLE`` words have a table of their own, small
-#: enough to stay near the processor; it changes only where a word is looked up first.
-HOT_SIZE, HOT_SAMPLE = 20_000, 1_000_000
+#: Characters of the texts that are encoded together (a longer text goes alone): each distinct word of
+#: them is looked up once.
+TOGETHER = 5_000_000
 #: What the tokenizer's pattern regards as white space, where Python's split differs from it.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -77,8 +77,6 @@ class WordTokens:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
-        self.hot: dict[str, bytes] = {}
-        self.seen: Counter[str] | None = Counter()
         self.fast = True
         self.fast = self._as_expected()
 
@@ -89,7 +87,7 @@ class WordTokens:
             found = self._encode(probes * 2)
         except (KeyError, IndexError, ValueError):
             return False
-        self.cache, self.pieces, self.hot, self.seen = {}, {"": b""}, {}, Counter()
+        self.cache, self.pieces = {}, {"": b""}
         return found == [self.whole(p) for p in probes * 2]
 
     def whole(self, text: str) -> bytes:
@@ -106,49 +104,36 @@ class WordTokens:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.fast:
             return [self.whole(t) for t in texts]
-        words = []
-        for t in texts:
+        words, counts, alone = [], [], {}
+        for i, t in enumerate(texts):
+            before = len(words)
             if "<|" in t and any(s in t for s in self.special):
-                words.append(None)
+                alone[i] = self.whole(t)
             elif _ODD_SPACE.search(t):
-                words.append([w for w in _BLANKS.split(t) if w])
+                words += [w for w in _BLANKS.split(t) if w]
             else:
-                words.append((t.lower() if t.isascii() else t).split())
+                words += (t.lower() if t.isascii() else t).split()
+            counts.append(len(words) - before)
+        found = pa.array(words, pa.large_string()).dictionary_encode()
+        which, distinct = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del words, found
         if len(self.cache) > self.limit:
             self.cache.clear()
-        hot, get = self.hot.get, self.cache.get
-        found = [None if w is None else list(map(hot, w)) for w in words]
-        gaps = []
-        missing = set()
-        for line, row in zip(words, found, strict=True):
-            if row is not None and None in row:
-                at, holes = -1, []
-                for _ in range(row.count(None)):
-                    at = row.index(None, at + 1)
-                    word = line[at]
-                    known = row[at] = get(word)
-                    if known is None:
-                        row[at] = b""  # for now; the search goes on behind it
-                        holes.append(at)
-                        missing.add(word)
-                if holes:
-                    gaps.append((line, row, holes))
-        self._learn(list(missing))
-        for line, row, holes in gaps:
-            for at in holes:
-                row[at] = get(line[at])
-        out = [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
-        if self.seen is not None:
-            for line in filter(None, words):
-                self.seen.update(line)
-            if self.seen.total() >= HOT_SAMPLE:
-                frequent = [w for w, _ in self.seen.most_common(HOT_SIZE) if w in self.cache]
-                self.hot = {w: bytes(bytearray(self.cache[w])) for w in frequent}  # copies lie side by side
-                self.seen = None
-        for w in missing:
-            if len(w) > 256:
-                del self.cache[w]
-        return out
+        known = list(map(self.cache.get, distinct))
+        holes = [i for i, k in enumerate(known) if k is None]
+        if holes:
+            missing = [distinct[i] for i in holes]
+            self._learn(missing)
+            for i, w in zip(holes, missing, strict=True):
+                known[i] = self.cache[w] if len(w) <= 256 else self.cache.pop(w)
+        # the ids of all words, one after the other
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        each = sizes[which]
+        ids = np.frombuffer(b"".join(known), "<u4")
+        ends = np.cumsum(each)
+        raw = ids[np.arange(each.sum()) + np.repeat((np.cumsum(sizes) - sizes)[which] - ends + each, each)].tobytes()
+        edges = (4 * np.concatenate(([0], ends))[np.cumsum([0, *counts])]).tolist()
+        return [alone.get(i, raw[lo:hi]) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
 
     def _learn(self, words: list[str]) -> None:
         """Puts ``words`` into the cache. Most are a run of letters with marks behind it."""
@@ -181,6 +166,17 @@ class WordTokens:
             cache.update((w, self.whole(w)) for w in words if w not in cache)
 
 
+def _together(texts: list) -> list[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``TOGETHER`` characters at most, or of one longer text."""
+    out, lo, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held > TOGETHER and i > lo:
+            out.append((lo, i))
+            lo, held = i, len(t or "")
+    return [*out, (lo, len(texts))] if texts else out
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", separator: int = 0, cache_size: int = CACHE_SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row; the separator id
     ends each document."""
@@ -193,8 +189,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, i
 
         def step(ids, texts):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for at in range(0, len(texts), 256):
-                for doc, raw in zip(ids[at : at + 256], tokens.encode([t or "" for t in texts[at : at + 256]]), strict=True):
+            for lo, hi in _together(texts):
+                for doc, raw in zip(ids[lo:hi], tokens.encode([t or "" for t in texts[lo:hi]]), strict=True):
                     raw += end
                     for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[start : start + 4 * capacity]

@@ -42,6 +42,16 @@ def test_ids_equal_the_library():
     assert tokens.encode(texts) == [tokens.whole(t) for t in texts]
 
 
+def test_texts_encoded_together(monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 10)
+    texts = ["a b", None, "c" * 30, "", "d e f g", "h i j k l", "m"]
+    ranges = packing._together(texts)
+    assert ranges == [(0, 2), (2, 3), (3, 5), (5, 7)] and packing._together([]) == []
+    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    assert [x for lo, hi in ranges for x in tokens.encode([t or "" for t in texts[lo:hi]])] == [tokens.whole(t or "") for t in texts]
+    assert tokens.encode([]) == [] and tokens.encode([""]) == [b""]
+
+
 def test_most_frequent(spark, tmp_path):
     rng = random.Random(2)
     rows = [(f"k{i}", rng.choice((1, 1, 1, 2, 3, 5, 8, 100, 1000))) for i in range(500)]
