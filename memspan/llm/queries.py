@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from memspan.llm import chat, decontaminate, divergence, fingerprints, language, neardup, packing, pseudolm, secrets, substrings, tokencount
+from memspan.llm import bpe, chat, decontaminate, divergence, fingerprints, language, neardup, packing, pseudolm, repair, secrets, substrings, tokencount
 from memspan.operators.kmers import spread
 
 
@@ -89,6 +89,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text encoded by the byte-level vocabulary and decoded again."""
+    return bpe.token_digests(all_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, its rows damaged first."""
+    return repair.repair_conversations(repair.damage_rows(spread(table(spark, sf_dir, "conversations"))))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ from one another and from their language."""
     return divergence.audit_sources(all_documents(spark, sf_dir))
