@@ -12,10 +12,12 @@ import resource
 import sys
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memspan.operators import mapping, matches
+from memspan.operators import mapping, matches, names
+from memspan.plans.tables import stored
 from memspan.session import build_session
 from memspan.sources import bitmap, fasta, matchfile
 
@@ -56,14 +58,26 @@ def run_map(spark: SparkSession, a: argparse.Namespace) -> int:
     if refs.limit(2).count() != 1:
         print("a map needs one reference sequence", file=sys.stderr)
         return 1
-    rows = matchfile.read_matches(spark, a.matches).where("ref_pos IS NOT NULL")
-    known = queries.select(F.col("id").alias("query_id"), F.col("name").alias("query_name"), F.col("size").alias("_size"))
-    unknown = rows.join(known, "query_name", "left_anti").select("query_name").distinct().limit(1).collect()
+    try:
+        rows = stored(matchfile.read_matches(spark, a.matches), "read")
+    except PySparkException as problem:
+        if "not a match line" not in str(problem):
+            raise
+        print(f"{a.matches} is no match file: {str(problem).splitlines()[0]}", file=sys.stderr)
+        return 1
+    if rows.where("ref_pos < 1 OR query_pos < 1 OR len < 1").limit(1).count():
+        print("matches begin at 1 and have at least one letter", file=sys.stderr)
+        return 1
+    blocks = rows.select("source", "block", F.col("query_name").alias("name"), "strand").distinct()
+    named = queries.select("name", F.col("id").alias("query_id"), F.col("size").alias("_size"))
+    met = [names.by_name_in_order(blocks.where(F.col("strand") == s), named, "block", "query_id") for s in "+-"]
+    known = stored(met[0].unionByName(met[1]), "blocks")
+    unknown = known.where("query_id IS NULL").select("name").limit(1).collect()
     if unknown:
-        print(f"no sequence is named {unknown[0][0]}", file=sys.stderr)
+        print(f"no sequence left is named {unknown[0][0]}", file=sys.stderr)
         return 1
     forward = F.when(F.col("strand") == "-", F.col("_size") - (F.col("query_pos") - 1 + F.col("len")) + 1).otherwise(F.col("query_pos"))
-    found = rows.join(known, "query_name").select("query_id", "strand", F.lit(refs.first().id).alias("ref_id"), "ref_pos", forward.alias("query_pos"), F.col("len").cast("int"))
+    found = rows.where("ref_pos IS NOT NULL").drop("strand").join(known, ["source", "block"]).select("query_id", "strand", F.lit(refs.first().id).alias("ref_id"), "ref_pos", forward.alias("query_pos"), F.col("len").cast("int"))
     order = [(r.id, r.size) for r in queries.select("id", "size").orderBy("id").toLocalIterator()]
     picture = bitmap.render_map(mapping.map_pixels(found, refs, queries), order, refs.first().size)
     with open(a.output, "wb") as f:

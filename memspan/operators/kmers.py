@@ -43,7 +43,13 @@ def kmers(df: DataFrame, text: str, k: int, stride: int = 1, context: int = 0, k
         return F.struct(i.alias("i"), F.length(lead).alias("lead"), F.concat(lead, F.element_at("_chunks", i + 1), F.left(ahead, F.lit(behind))).alias("s"))
 
     pieces = rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("_chunks") - 1), piece)).alias("_p"))
-    pieces = pieces.select(*keep, F.col("_p.i").alias("_i"), F.col("_p.lead").alias("_lead"), F.col("_p.s").alias("_s"))
+    return kmers_of_pieces(pieces.select(*keep, F.col("_p.i").alias("piece"), F.col("_p.lead").alias("lead"), F.col("_p.s").alias("s")), size, k, stride, context, keep)
+
+
+def kmers_of_pieces(pieces: DataFrame, size: int, k: int, stride: int = 1, context: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same from a text in pieces of ``size`` characters (a multiple of ``stride``): ``piece`` is the number of one, ``s`` its
+    characters with ``lead`` of those before it and as many behind it as its k-mers and their context need."""
+    pieces = pieces.select(*keep, F.col("piece").alias("_i"), F.col("lead").alias("_lead"), F.col("s").alias("_s"))
     last = F.least(F.lit(size - stride), F.length("_s") - F.col("_lead") - k)
     rows = pieces.where(last >= 0).select(*keep, "_i", "_lead", "_s", F.explode(F.sequence(F.lit(0), last, F.lit(stride))).alias("_o"))
     at = F.col("_lead") + F.col("_o")

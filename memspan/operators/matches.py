@@ -10,7 +10,7 @@ side tells whether a hit is the first or the last of its match, and only those l
 most two a match: along a diagonal each last one closes the first one before it.
 
 Shuffles: none for the join if the reference's k-mers are small (their bytes are reckoned first), else one on
-the k-mer hash; one of the hits on the diagonal, which serves window and aggregation alike.
+the k-mer hash, of query k-mers that pass a filter of the references' (up to some 16 million letters; beyond, of all); one of the hits on the diagonal, which serves window and aggregation alike.
 """
 
 from __future__ import annotations
@@ -19,16 +19,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspan.functions.sequences import common_prefix, reverse_complement
-from memspan.operators.kmers import kmers, spread
+from memspan.operators.kmers import PIECE, kmers, kmers_of_pieces, spread
+from memspan.operators.pieces import merged_offsets, merged_pieces
+from memspan.operators.scans import BLOCK, covered_blocks, numbered
 
 #: Bytes of the reference's k-mers up to which they are broadcast, and of a row besides its letters.
 BROADCAST_BYTES, ROW_BYTES = 128_000_000, 64
+#: Bits of the filter of k-mers for each letter, and rows of 64 bits that it may have (some 100 MB as a table of the executors').
+FILTER_BITS, FILTER_WORDS = 8, 1 << 21
 DIAGONAL = ("query_id", "strand", "ref_id", "_diag")
 
 
+def letters_of(refs: DataFrame) -> int:
+    """Characters of all references."""
+    return refs.agg(F.sum(F.length("chars"))).first()[0] or 0
+
+
 def fits_broadcast(refs: DataFrame, letters: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a row of ``letters`` characters for each character of the references is small enough."""
-    return (refs.agg(F.sum(F.length("chars"))).first()[0] or 0) * (letters + ROW_BYTES) <= limit
+    return letters_of(refs) * (letters + ROW_BYTES) <= limit
 
 
 def seed_shape(min_len: int) -> tuple[int, int]:
@@ -69,16 +78,64 @@ def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: s
 
 def _maximal(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int) -> DataFrame:
     k, stride = seed_shape(min_len)
-    small = fits_broadcast(refs, k + 2 * stride, broadcast_bytes)
-    r = kmers(refs if small else spread(refs), "chars", k, 1, stride, ("ref_id",))
-    r = r.select("ref_id", F.xxhash64("kmer").alias("_h"), *(F.col(n).alias(f"_r_{n}") for n in ("pos", "kmer", "left", "right")))
+    total = letters_of(refs)
+    small = total * (k + 2 * stride + ROW_BYTES) <= broadcast_bytes
+    return _met(kmers(refs if small else spread(refs), "chars", k, 1, stride, ("ref_id",)), total, small, queries, min_len, both_strands)
+
+
+def kmer_filter(hashes: DataFrame, letters: int) -> DataFrame | None:
+    """word and bits: a filter of column _h with FILTER_BITS bits a letter (rounded up), one row for each 64 of them that
+    are not all zero; none if that would take more than FILTER_WORDS rows."""
+    words = 1 << max(0, (letters * FILTER_BITS // 64)).bit_length()
+    if words > FILTER_WORDS:
+        return None
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_h").bitwiseAND(63).cast("int"))
+    return hashes.select(_word(words).alias("_word"), bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+
+
+def _word(words: int) -> Column:
+    return F.shiftrightunsigned("_h", 6).bitwiseAND(words - 1)
+
+
+def passing(rows: DataFrame, table: DataFrame, letters: int) -> DataFrame:
+    """Rows whose hash _h the filter may hold: all that it was made of, and few others."""
+    words = 1 << max(0, (letters * FILTER_BITS // 64)).bit_length()
+    met = rows.withColumn("_word", _word(words)).join(F.broadcast(table.select("_word", "_bits")), "_word")
+    return met.where(F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_h").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).drop("_word", "_bits")
+
+
+def _met(r: DataFrame, total: int, small: bool, queries: DataFrame, min_len: int, both_strands: bool) -> DataFrame:
+    """Matches of queries with the references of ``total`` letters whose k-mers are ``r``. Where both sides are shuffled, a filter of the
+    references' k-mers goes first, so that of the queries' k-mers little more than those that match are shuffled."""
+    k, stride = seed_shape(min_len)
+    r = r.withColumn("_h", F.xxhash64("kmer"))
     q = with_strands(spread(queries.select(F.col("id").alias("query_id"), "chars")), both_strands)
     q = kmers(q, "chars", k, stride, stride, ("query_id", "strand")).withColumn("_h", F.xxhash64("kmer"))
+    held = None if small else kmer_filter(r.select("_h"), total)
+    if held is not None:
+        q = passing(q, held, total)
+    if stride == 1:
+        r, q = _apart(r, q)
+    r = r.select("ref_id", "_h", *(F.col(n).alias(f"_r_{n}") for n in ("pos", "kmer", "left", "right")))
     hits = q.join(F.broadcast(r) if small else r, "_h").where("kmer = _r_kmer").drop("kmer", "_r_kmer", "_h")
     hits = hits.withColumn("_diag", F.col("_r_pos") - F.col("pos"))
     return _closed(hits, min_len) if stride == 1 else _runs(hits, min_len, k, stride)
 
 
+def _apart(r: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys by which k-mers inside runs of one letter never meet each other.
+
+    Two such k-mers have equal letters on either side, so they are neither first nor last of a match; but runs of a and b
+    letters would make a x b pairs of them. Inside ones of the references have a key of their own, which only the
+    queries' k-mers at the ends of such runs look up besides their own."""
+    letter = F.left("kmer", F.lit(1))
+    one = F.replace("kmer", letter, F.lit("")) == ""
+    inside = one & (F.col("left") == letter) & (F.col("right") == letter)
+    other = F.col("_h").bitwiseXOR(F.lit(1).cast("long"))
+    keys = F.when(one & ~inside, F.array("_h", other)).otherwise(F.array("_h"))
+    return r.withColumn("_h", F.when(inside, other).otherwise(F.col("_h"))), q.withColumn("_h", F.explode(keys))
+
+
 def _closed(hits: DataFrame, min_len: int) -> DataFrame:
     """Matches from hits of the whole least length: first and last hits, paired along each diagonal."""
     first = (F.col("left") == "") | (F.col("_r_left") == "") | (F.col("left") != F.col("_r_left"))
@@ -90,29 +147,25 @@ def _closed(hits: DataFrame, min_len: int) -> DataFrame:
     return runs.select("query_id", "strand", "ref_id", (F.col("_from") + F.col("_diag") + 1).alias("ref_pos"), (F.col("_from") + 1).alias("query_pos"), length.cast("int").alias("len"))
 
 
-def _runs(hits: DataFrame, min_len: int, k: int, stride: int) -> DataFrame:
-    """Matches from hits at multiples of ``stride``: unbroken runs along each diagonal, lengthened by their context."""
-    run = F.col("pos") - stride * F.row_number().over(Window.partitionBy(*DIAGONAL).orderBy("pos"))
-    ends = [F.min("pos").alias("_first"), F.max("pos").alias("_last")]
-    ends += [F.min_by(n, "pos").alias(n) for n in ("left", "_r_left")] + [F.max_by(n, "pos").alias(n) for n in ("right", "_r_right")]
-    runs = hits.withColumn("_run", run).groupBy(*DIAGONAL, "_run").agg(*ends)
+def _runs(hits: DataFrame, min_len: int, k: int, stride: int, block_size: int = BLOCK) -> DataFrame:
+    """Matches from hits at multiples of ``stride``: unbroken runs along each diagonal, lengthened by their context. Runs
+    are found in blocks of positions, then those of neighbouring blocks are joined."""
+    near = ("left", "_r_left", "right", "_r_right")
+    block = F.floor(F.col("pos") / block_size).alias("_block")
+    run = F.col("pos") - stride * F.row_number().over(Window.partitionBy(*DIAGONAL, "_block").orderBy("pos"))
+    ends = [F.min("pos").alias("_first"), F.max("pos").alias("_last"), *(F.min_by(n, "pos").alias(n) for n in near[:2]), *(F.max_by(n, "pos").alias(n) for n in near[2:])]
+    runs = hits.withColumn("_block", block).withColumn("_run", run).groupBy(*DIAGONAL, "_block", "_run").agg(*ends)
+    # a run that reaches the end of its block goes on in the next one: a row a block of each diagonal's long matches
+    order = Window.partitionBy(*DIAGONAL).orderBy("_first")
+    begins = F.coalesce(F.lag("_last").over(order) + stride != F.col("_first"), F.lit(True))
+    runs = runs.withColumn("_begins", begins.cast("int")).withColumn("_run", F.sum("_begins").over(order)).groupBy(*DIAGONAL, "_run")
+    runs = runs.agg(F.min("_first").alias("_from"), F.max("_last").alias("_last"), *(F.min_by(n, "_first").alias(n) for n in near[:2]), *(F.max_by(n, "_first").alias(n) for n in near[2:])).withColumnRenamed("_from", "_first")
     before = common_prefix(F.col("left"), F.col("_r_left"), stride)
     behind = common_prefix(F.col("right"), F.col("_r_right"), stride)
     runs = runs.select(*DIAGONAL, (F.col("_first") - before).alias("_q"), (F.col("_last") - F.col("_first") + k + before + behind).alias("len"))
     return runs.where(F.col("len") >= min_len).select("query_id", "strand", "ref_id", (F.col("_q") + F.col("_diag") + 1).alias("ref_pos"), (F.col("_q") + 1).alias("query_pos"), F.col("len").cast("int").alias("len"))
 
 
-def merged_offsets(refs: DataFrame) -> DataFrame:
-    """id, start and size of each reference in the merged text, where one N separates two.
-
-    A running sum over all references is one sorted task; headers only, bodies stay behind.
-    """
-    order = Window.orderBy(*(["ord"] if "ord" in refs.columns else []), "id")
-    sizes = refs.select(*(c for c in ("id", "ord") if c in refs.columns), F.length("chars").cast("long").alias("size"))
-    before = F.sum(F.col("size") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select("id", F.coalesce(before, F.lit(0)).alias("start"), "size")
-
-
 def locate_reference(positions: DataFrame, offsets: DataFrame, pos: str = "pos", width: int = 4096) -> DataFrame:
     """Adds ref_id and local_pos to 0-based positions of the merged text; a separator belongs to
     the reference before it.
@@ -127,33 +180,39 @@ def locate_reference(positions: DataFrame, offsets: DataFrame, pos: str = "pos",
 
 
 def _merged(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int) -> DataFrame:
-    key = F.struct(*(["ord"] if "ord" in refs.columns else []), "id", "chars")
-    text = refs.agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["chars"]), "N").alias("chars"))
-    found = _maximal(text.select(F.lit(0).alias("ref_id"), "chars"), queries, min_len, both_strands, broadcast_bytes)
+    k, stride = seed_shape(min_len)
+    total = letters_of(refs)
+    small = total * (k + 2 * stride + ROW_BYTES) <= broadcast_bytes
+    pieces = merged_pieces(refs, "N", before=stride, ahead=k - 1 + stride)
+    r = kmers_of_pieces(pieces, PIECE, k, 1, stride).withColumn("ref_id", F.lit(0))
+    found = _met(r, total, small, queries, min_len, both_strands)
     placed = locate_reference(found.drop("ref_id").withColumn("_at", F.col("ref_pos") - 1), merged_offsets(refs), "_at")
     return placed.select("query_id", "strand", "ref_id", (F.col("local_pos") + 1).alias("ref_pos"), "query_pos", "len")
 
 
-def unique_matches(matches: DataFrame) -> DataFrame:
+def _not_contained(matches: DataFrame, group: tuple[str, ...], pos: str, block_size: int) -> DataFrame:
+    """Matches whose interval from ``pos`` no other one of their group contains or equals.
+
+    A match that contains another covers the block of positions in which the other begins. So matches visit all blocks
+    they cover, and a running maximum of ends within each block decides: one shuffle, on group and block."""
+    rows = covered_blocks(matches.withColumn("_end", F.col(pos) + F.col("len")), pos, "_end", block_size)
+    inside = Window.partitionBy(*group, "_block")
+    seen = F.max("_end").over(inside.orderBy(pos, F.desc("_end")).rowsBetween(Window.unboundedPreceding, -1))
+    alike = F.count(F.lit(1)).over(Window.partitionBy(*group, "_block", pos, "_end"))
+    out = rows.withColumn("_n", alike).withColumn("_seen", seen).where("_home")
+    return out.where((F.col("_n") == 1) & (F.coalesce("_seen", F.lit(-1)) < F.col("_end"))).select(*matches.columns)
+
+
+def unique_matches(matches: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """Matches whose string occurs once in all references: those that no other match of the same
     query and strand contains, nor equals, on the query side."""
-    query = Window.partitionBy("query_id", "strand")
-    end = F.col("query_pos") + F.col("len")
-    seen = F.max("_end").over(query.orderBy("query_pos", F.desc("_end")).rowsBetween(Window.unboundedPreceding, -1))
-    alike = F.count(F.lit(1)).over(Window.partitionBy("query_id", "strand", "query_pos", "len"))
-    out = matches.withColumn("_end", end).withColumn("_n", alike).withColumn("_seen", seen)
-    return out.where((F.col("_n") == 1) & (F.coalesce("_seen", F.lit(-1)) < F.col("_end"))).drop("_end", "_n", "_seen")
+    return _not_contained(matches, ("query_id", "strand"), "query_pos", block_size)
 
 
-def unique_in_query(matches: DataFrame) -> DataFrame:
+def unique_in_query(matches: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """Of reference-unique matches, those whose string also occurs once in the query: no other of
     them contains its reference interval."""
-    group = ("query_id", "strand", "ref_id")
-    end = F.col("ref_pos") + F.col("len")
-    seen = F.max("_end").over(Window.partitionBy(*group).orderBy("ref_pos", F.desc("_end")).rowsBetween(Window.unboundedPreceding, -1))
-    alike = F.count(F.lit(1)).over(Window.partitionBy(*group, "ref_pos", "len"))
-    out = matches.withColumn("_end", end).withColumn("_n", alike).withColumn("_seen", seen)
-    return out.where((F.col("_n") == 1) & (F.coalesce("_seen", F.lit(-1)) < F.col("_end"))).drop("_end", "_n", "_seen")
+    return _not_contained(matches, ("query_id", "strand", "ref_id"), "ref_pos", block_size)
 
 
 def match_stats(matches: DataFrame, queries: DataFrame, both_strands: bool = False) -> DataFrame:
@@ -177,9 +236,9 @@ def match_stats_global(matches: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def sort_matches(matches: DataFrame, block: tuple[str, ...] = ("query_id", "strand")) -> DataFrame:
-    """Rank within each block, descending by reference name, reference position and query position."""
-    order = [F.desc("ref_id"), F.desc("ref_pos"), F.desc("query_pos"), F.desc("len")]
-    return matches.withColumn("rank", F.row_number().over(Window.partitionBy(*block).orderBy(*order)))
+    """Rank within each block, descending by reference name, reference position and query position; a block of any size
+    is numbered in parts (see :func:`memspan.operators.scans.numbered`)."""
+    return numbered(matches, block, (("ref_id", True), ("ref_pos", True), ("query_pos", True), ("len", True)), "ref_pos", "rank")
 
 
 def output_order(matches: DataFrame) -> DataFrame:
@@ -187,18 +246,21 @@ def output_order(matches: DataFrame) -> DataFrame:
     return matches.orderBy("query_id", "strand", F.desc("query_pos"), F.desc("len"), "ref_id", "ref_pos")
 
 
-def matching_statistics(matches: DataFrame, queries: DataFrame, min_len: int) -> DataFrame:
+def matching_statistics(matches: DataFrame, queries: DataFrame, min_len: int, block_size: int = BLOCK) -> DataFrame:
     """query_id, pos (1-based), depth: for each position of a query (forward strand) the longest
     match that starts there, 0 below ``min_len``.
 
     The longest match at a place ends where the farthest match that starts there or before ends; so places
-    between two starts share an end, and each place is made once however many matches cover it."""
-    forward = matches.where("strand = '+'")
-    starts = forward.groupBy("query_id", "query_pos").agg(F.max(F.col("query_pos") + F.col("len")).alias("_end"))
-    order = Window.partitionBy("query_id").orderBy("query_pos")
+    between two starts share an end, and each place is made once however many matches cover it. Blocks of a
+    query's positions are worked on by themselves, with the matches that reach into them."""
+    forward = covered_blocks(matches.where("strand = '+'").select("query_id", "query_pos", (F.col("query_pos") + F.col("len")).alias("_end")), "query_pos", "_end", block_size)
+    first = F.greatest(F.col("query_pos"), F.col("_block") * block_size)  # a match from an earlier block begins with this one
+    starts = forward.groupBy("query_id", "_block", first.alias("query_pos")).agg(F.max("_end").alias("_end"))
+    order = Window.partitionBy("query_id", "_block").orderBy("query_pos")
     far = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    steps = starts.select("query_id", "query_pos", far.alias("_far"), F.lead("query_pos").over(order).alias("_next"))
-    last = F.least(F.col("_far") - min_len, F.coalesce(F.col("_next") - 1, F.col("_far")))
+    behind = F.coalesce(F.lead("query_pos").over(order), (F.col("_block") + 1) * block_size)
+    steps = starts.select("query_id", "query_pos", far.alias("_far"), behind.alias("_next"))
+    last = F.least(F.col("_far") - min_len, F.col("_next") - 1)
     places = steps.where(last >= F.col("query_pos")).select("query_id", F.explode(F.sequence("query_pos", last)).alias("pos"), "_far")
     every = queries.where(F.length("chars") > 0).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.length("chars").cast("long"))).alias("pos"))
     depth = F.coalesce(F.col("_far") - F.col("pos"), F.lit(0)).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspan.functions.sequences import normalize, normalize_name
+from memspan.operators.scans import numbered
 
 
 def closest_names(wanted: DataFrame, wanted_key: str, known: DataFrame, known_key: str) -> DataFrame:
@@ -24,10 +25,23 @@ def closest_names(wanted: DataFrame, wanted_key: str, known: DataFrame, known_ke
 
 
 def by_exact_name(blocks: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Match blocks joined to sequences of the same name, and the blocks whose name is unknown."""
+    """Match blocks joined to sequences of the same name, and the blocks whose name is unknown. Names stand for one
+    sequence each here; see :func:`by_name_in_order` for names that stand for several."""
     return blocks.join(sequences, "name"), blocks.join(sequences.select("name").distinct(), "name", "left_anti")
 
 
+def by_name_in_order(blocks: DataFrame, sequences: DataFrame, block_ord: str, sequence_ord: str) -> DataFrame:
+    """Blocks with the sequences they are about, where several may have one name: the k-th block of a name, by
+    ``block_ord``, is about the k-th sequence of it, by ``sequence_ord``. Blocks for which there is none have nulls.
+
+    Match files have a block for each sequence in the order of the sequences, so this is what reading both side by side gives.
+    Occurrences are numbered in parts of the order (see :func:`memspan.operators.scans.numbered`), so a name that very many
+    share is not numbered by one task; the join is on name and number."""
+    mine = numbered(blocks, ("name",), ((block_ord, False),), block_ord, "_k")
+    theirs = numbered(sequences, ("name",), ((sequence_ord, False),), sequence_ord, "_k")
+    return mine.join(theirs, ["name", "_k"], "left").drop("_k")
+
+
 def ordered_by_size(df: DataFrame, size: str, key: str) -> DataFrame:
     """Adds place (1-based) in ascending order of size, then key.
 

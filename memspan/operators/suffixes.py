@@ -4,7 +4,8 @@ The order comes from prefix doubling: suffixes are ranked by their first ``SEED`
 twice as many in each round, where a suffix's second half is the suffix that many letters on. A
 rank is the number of smaller suffixes, so a group of equals is refined within itself: each
 round is one equi-join and one window partitioned by rank, never a global sort, and ends when
-no rank is shared. Matching does not need these views (see :mod:`memspan.operators.matches`).
+no rank is shared. A round is about suffixes whose rank is still shared; of the others it takes along only those that
+they will be compared by. The text itself is a table of pieces, no row holds the whole of it. Matching does not need these views (see :mod:`memspan.operators.matches`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspan.functions.sequences import collation_key, common_prefix
-from memspan.operators.kmers import PIECE
+from memspan.operators.kmers import PIECE, kmers_of_pieces
+from memspan.operators.pieces import merged_pieces
 from memspan.plans.tables import stored
 
 SEED = 8
@@ -25,39 +27,47 @@ def char_counts(df: DataFrame) -> DataFrame:
 
 
 def _heads(refs: DataFrame) -> DataFrame:
-    """pos, head (the first SEED letters) and bwt of every suffix of the merged references; the
-    text is cut into pieces once, positions never slice the whole of it."""
-    text = refs.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "chars"))), lambda x: x["chars"]), "N").alias("t"))
-    chunks = text.select(F.regexp_extract_all(F.concat("t", F.lit("$")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("c"))
-    pieces = chunks.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.struct(
-        (i - 1).alias("i"),
-        F.concat(F.coalesce(F.right(F.try_element_at("c", F.nullif(i - 1, F.lit(0))), F.lit(1)), F.lit("$")), F.element_at("c", i), F.coalesce(F.left(F.try_element_at("c", i + 1), F.lit(SEED)), F.lit(""))).alias("s"),
-        F.length(F.element_at("c", i)).alias("n"),
-    ))).alias("p")).select("p.*")
-    rows = pieces.select("i", "s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-    return rows.select((F.col("i").cast("long") * PIECE + F.col("o")).alias("pos"), F.regexp_replace(F.substr("s", F.col("o") + 2, F.lit(SEED)), r"\$.*", "").alias("head"), F.substr("s", F.col("o") + 1, F.lit(1)).alias("bwt"))
+    """pos, head (the first SEED letters) and bwt of every suffix of the merged references."""
+    pieces = merged_pieces(refs, "N", "$", PIECE, 1, SEED)
+    rows = pieces.select("piece", "lead", "s", F.explode(F.sequence(F.lit(0), F.least(F.lit(PIECE), F.length("s") - F.col("lead")) - 1)).alias("o"))
+    at = F.col("lead") + F.col("o")
+    return rows.select((F.col("piece").cast("long") * PIECE + F.col("o")).alias("pos"), F.regexp_replace(F.substr("s", at + 1, F.lit(SEED)), r"\$.*", "").alias("head"), F.when(at == 0, "$").otherwise(F.substr("s", at, F.lit(1))).alias("bwt"))
 
 
 def suffix_array(refs: DataFrame) -> DataFrame:
     """rank, pos (0-based) and bwt (the letter before, ``$`` at the start) of the merged
-    references, ordered $ < N < A < C < G < T; the empty suffix comes first."""
+    references, ordered $ < N < A < C < G < T; the empty suffix comes first. No references have no suffixes; null
+    texts are left out."""
     return _ranked(refs)[0]
 
 
 def _ranked(refs: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """The suffix array, the tables (pos, rank) of each round, and the heads."""
+    """The suffix array, the tables (pos, rank, tied) of each round, and the heads.
+
+    The first table holds all suffixes, later ones those still tied before their round, and settled ones that the next two
+    rounds may look at: a suffix behind which both are settled is settled itself by then."""
     heads = stored(_heads(refs), "heads")
     counts = heads.groupBy(collation_key(F.col("head")).alias("key")).agg(F.count("*").alias("n"))
     smaller = F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over distinct heads, at most 6 ** SEED
-    ranks = heads.select("pos", collation_key(F.col("head")).alias("key")).join(counts.select("key", smaller.alias("rank")), "key").select("pos", "rank")
+    ranks = heads.select("pos", collation_key(F.col("head")).alias("key")).join(counts.select("key", smaller.alias("rank"), (F.col("n") > 1).alias("tied")), "key").select("pos", "rank", "tied")
     levels, reach = [stored(ranks, "ranks")], SEED
-    while levels[-1].groupBy("rank").count().where("count > 1").limit(1).count():
+    settled = [levels[0].where("NOT tied")]
+    while levels[-1].where("tied").limit(1).count():
         now = levels[-1]
         ahead = now.select((F.col("pos") - reach).alias("pos"), F.col("rank").alias("next"))
-        within = F.rank().over(Window.partitionBy("rank").orderBy(F.coalesce("next", F.lit(-1)))) - 1
-        levels.append(stored(now.join(ahead, "pos", "left").select("pos", (F.col("rank") + within).alias("rank")), "ranks"))
+        met = now.where("tied").select("pos", "rank").join(ahead, "pos", "left").withColumn("next", F.coalesce("next", F.lit(-1)))
+        within = F.rank().over(Window.partitionBy("rank").orderBy("next")) - 1
+        alike = F.count(F.lit(1)).over(Window.partitionBy("rank", "next"))
+        new = stored(met.select("pos", (F.col("rank") + within).alias("rank"), (alike > 1).alias("tied")), "ranks")
+        settled.append(new.where("NOT tied"))
         reach *= 2
-    return levels[-1].join(heads.select("pos", "bwt"), "pos").select("rank", "pos", "bwt"), levels, heads
+        wanted = new.where("tied").select(F.explode(F.array(F.col("pos") + reach, F.col("pos") + 2 * reach)).alias("pos")).distinct()
+        kept = now.where("NOT tied").unionByName(settled[-1]).join(wanted, "pos", "left_semi")
+        levels.append(stored(new.where("tied").unionByName(kept), "ranks"))
+    array = settled[0]
+    for part in settled[1:]:
+        array = array.unionByName(part)
+    return array.select("pos", "rank").join(heads.select("pos", "bwt"), "pos").select("rank", "pos", "bwt"), levels, heads
 
 
 def lcp_array(refs: DataFrame) -> DataFrame:
@@ -70,8 +80,9 @@ def lcp_array(refs: DataFrame) -> DataFrame:
     before = array.select((F.col("rank") + 1).alias("rank"), F.col("pos").alias("other"))
     pairs = array.join(before, "rank", "left").withColumn("lcp", F.lit(0).cast("long"))
     for i in reversed(range(len(levels))):
-        a = levels[i].select(F.col("pos").alias("_a"), F.col("rank").alias("_ra"))
-        b = levels[i].select(F.col("pos").alias("_b"), F.col("rank").alias("_rb"))
+        tied = levels[i].where("tied")
+        a = tied.select(F.col("pos").alias("_a"), F.col("rank").alias("_ra"))
+        b = tied.select(F.col("pos").alias("_b"), F.col("rank").alias("_rb"))
         joined = pairs.join(a, F.col("pos") + F.col("lcp") == F.col("_a"), "left").join(b, F.col("other") + F.col("lcp") == F.col("_b"), "left")
         pairs = joined.withColumn("lcp", F.when(F.col("_ra") == F.col("_rb"), F.col("lcp") + (SEED << i)).otherwise(F.col("lcp"))).drop("_a", "_b", "_ra", "_rb")
     a = heads.select(F.col("pos").alias("_a"), F.col("head").alias("_ha"))
@@ -170,6 +181,26 @@ def enclosing_intervals(lcps: DataFrame) -> DataFrame:
     )
 
 
+def lcp_intervals(lcps: DataFrame) -> DataFrame:
+    """depth, top, bottom and parent_depth, parent_top, parent_bottom of every inner interval of the tree of common
+    prefixes: all suffixes from rank top to bottom, and no others, begin with the same depth letters, and not all with more.
+
+    Each rank lies on the left border of a child of one interval, which reaches to the nearest smaller values on either side. Its parent
+    is the interval of that border of its own which has the larger value; the root, of depth 0, has none."""
+    near = stored(smaller_values(lcps), "smaller")
+    n = near.agg((F.max("rank") + 1).alias("n")).first().n or 0
+
+    def interval(prefix: str) -> list:
+        return [F.col("lcp").alias(f"{prefix}depth"), F.col("previous_smaller").alias(f"{prefix}top"), (F.coalesce("next_smaller", F.lit(n)) - 1).cast("long").alias(f"{prefix}bottom")]
+
+    inner = near.where("lcp >= 0").select(*interval("")).distinct()
+    left = near.where("lcp >= 0").select(F.col("rank").alias("top"), *interval("l_"))
+    right = near.where("lcp >= 0").select((F.col("rank") - 1).alias("bottom"), *interval("r_"))
+    met = inner.join(left, "top", "left").join(right, "bottom", "left")
+    by_left = F.coalesce(F.col("l_depth"), F.lit(-1)) >= F.coalesce(F.col("r_depth"), F.lit(-1))
+    return met.select("depth", "top", "bottom", *(F.when(by_left, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(f"parent_{c}") for c in ("depth", "top", "bottom")))
+
+
 def lcp_stats(lcps: DataFrame) -> DataFrame:
     """mean_lcp (truncated), max_lcp and n over all ranks."""
     return lcps.agg(F.floor(F.sum(F.greatest("lcp", F.lit(0))) / F.count("*")).cast("long").alias("mean_lcp"), F.max("lcp").alias("max_lcp"), F.count("*").alias("n"))
@@ -195,7 +226,77 @@ def bwt_runs(suffixes: DataFrame) -> DataFrame:
 
 
 def prefix_intervals(refs: DataFrame, k: int) -> DataFrame:
-    """prefix, top, bottom, n: the rank interval of every prefix of ``k`` letters, at most SEED (N as @)."""
-    array, _, heads = _ranked(refs)
-    rows = heads.where(F.length("head") >= k).select("pos", F.left(collation_key(F.col("head")), F.lit(k)).alias("prefix")).join(array, "pos")
+    """prefix, top, bottom, n: the rank interval of every prefix of ``k`` letters, however many (N as @)."""
+    array = _ranked(refs)[0]
+    prefixes = kmers_of_pieces(merged_pieces(refs, "N", ahead=k - 1), PIECE, k)
+    rows = prefixes.select("pos", collation_key(F.col("kmer")).alias("prefix")).join(array, "pos")
     return rows.groupBy("prefix").agg(F.min("rank").alias("top"), F.max("rank").alias("bottom"), F.count("*").alias("n"))
+
+
+#: Ranks in a row of the occurrence table, and such rows that are summed up together.
+OCC_RANKS, OCC_ROWS = 256, 4096
+
+
+def occurrence_table(array: DataFrame) -> DataFrame:
+    """block, letters and before: the BWT in blocks of OCC_RANKS ranks and, by letter, how often each stands in the
+    blocks before. Counts are summed within groups of blocks, then over the groups, so no task sums up all of them."""
+    block = F.floor(F.col("rank") / OCC_RANKS)
+    lists = array.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("rank", "bwt"))).alias("l"))  # OCC_RANKS letters
+    rows = lists.select("block", F.floor(F.col("block") / OCC_ROWS).alias("group"), F.array_join(F.transform("l", lambda x: x["bwt"]), "").alias("letters"))
+    counted = array.groupBy(block.alias("block"), "bwt").agg(F.count("*").alias("n"))
+    counted = stored(counted.withColumn("group", F.floor(F.col("block") / OCC_ROWS)), "letters")
+    totals = counted.groupBy("group", "bwt").agg(F.sum("n").alias("n"))
+    before_group = F.coalesce(F.sum("n").over(Window.partitionBy("bwt").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    letters = F.explode(F.array(*map(F.lit, "$NACGT"))).alias("bwt")  # a row in every group and block, also where it does not stand
+    groups = totals.select("group").distinct().select("group", letters).join(totals, ["group", "bwt"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    groups = groups.select("group", "bwt", before_group.alias("far"))
+    every = rows.select("block", "group", letters).join(counted.drop("group"), ["block", "bwt"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("group", "bwt").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = every.select("block", "group", "bwt", inside.alias("near")).join(groups, ["group", "bwt"])
+    before = sums.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bwt", (F.col("near") + F.col("far")).alias("n")))).alias("before"))
+    return rows.select("block", "letters").join(before, "block")
+
+
+def backward_search(refs: DataFrame, patterns: DataFrame, rounds_stored: int = 4) -> DataFrame:
+    """id, pattern, top, bottom, n of each pattern (id, pattern) of letters A, C, G, T and N: the rank interval of the suffixes that
+    begin with it and how many they are; those that do not occur have no rank and n = 0. Null and empty patterns are left out.
+
+    Patterns are read from their ends. One join gives the interval of the last SEED letters (of patterns that have
+    as many); every further letter c narrows [top, bottom] to C(c) plus the occurrences of c before top and before bottom + 1,
+    two look-ups in the occurrence table. All patterns take a letter in the same round, whatever their lengths."""
+    array = stored(_ranked(refs)[0], "suffixes")
+    table = stored(occurrence_table(array), "occurrences")
+    totals = array.groupBy("bwt").agg(F.count("*").alias("n"))
+    first = totals.select(F.col("bwt").alias("c"), F.coalesce(F.sum("n").over(Window.orderBy(F.translate("bwt", "$N", " @")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row a letter
+    n = array.count()
+    wanted = patterns.where(F.length("pattern") > 0).select("id", "pattern")
+    seeds = kmers_of_pieces(merged_pieces(refs, "N", ahead=SEED - 1), PIECE, SEED).join(array.select("pos", "rank"), "pos").groupBy(F.col("kmer").alias("_tail")).agg(F.min("rank").alias("top"), F.max("rank").alias("bottom"))
+    longer = wanted.where(F.length("pattern") >= SEED).withColumn("_tail", F.right("pattern", F.lit(SEED))).join(seeds, "_tail").select("id", "pattern", (F.length("pattern") - SEED).alias("left"), "top", "bottom")
+    shorter = wanted.where(F.length("pattern") < SEED).select("id", "pattern", F.length("pattern").alias("left"), F.lit(0).cast("long").alias("top"), F.lit(n - 1).cast("long").alias("bottom"))
+    state = stored(longer.unionByName(shorter), "intervals")
+    most = state.agg(F.max("left")).first()[0] or 0
+
+    def occurrences(rows: DataFrame, upto: str, out: str) -> DataFrame:
+        """Adds how often letter c stands in the BWT before rank ``upto``."""
+        t = table.select(F.col("block").alias("_block"), F.col("letters").alias("_letters"), F.col("before").alias("_before"))
+        met = rows.join(t, F.floor((F.col(upto) - 1) / OCC_RANKS) == F.col("_block"), "left")
+        inside = F.left("_letters", ((F.col(upto) - 1) % OCC_RANKS + 1).cast("int"))
+        here = F.length(inside) - F.length(F.replace(inside, F.col("c"), F.lit("")))
+        return met.withColumn(out, F.coalesce(F.try_element_at("_before", F.col("c")) + here, F.lit(0))).drop("_block", "_letters", "_before")
+
+    for k in range(most):
+        going = state.where("left > 0").withColumn("c", F.substr("pattern", F.col("left"), F.lit(1))).withColumn("_behind", F.col("bottom") + 1)
+        going = occurrences(occurrences(going.join(F.broadcast(first), "c"), "top", "_above"), "_behind", "_below")
+        top, bottom = F.col("first") + F.col("_above"), F.col("first") + F.col("_below") - 1
+        going = going.select("id", "pattern", (F.col("left") - 1).alias("left"), top.alias("top"), bottom.alias("bottom")).where("top <= bottom")
+        state = state.where("left = 0").unionByName(going)
+        if k % rounds_stored == rounds_stored - 1:
+            state = stored(state, "intervals")
+    found = state.select("id", "pattern", "top", "bottom")
+    return wanted.join(found, ["id", "pattern"], "left").select("id", "pattern", "top", "bottom", F.coalesce(F.col("bottom") - F.col("top") + 1, F.lit(0)).cast("long").alias("n"))
+
+
+def locate_patterns(found: DataFrame, array: DataFrame) -> DataFrame:
+    """id, pattern and pos (0-based in the merged references) of every occurrence of searched patterns."""
+    ranks = found.where("n > 0").select("id", "pattern", F.explode(F.sequence("top", "bottom")).alias("rank"))
+    return ranks.join(array.select("rank", "pos"), "rank").select("id", "pattern", "pos")

@@ -328,6 +328,46 @@ def suffix_intervals(spark, sf_dir):
     return suffixes.prefix_intervals(_letters(spark, sf_dir), 3)
 
 
+@query(_suffix_sql("SELECT substr(s, 1, 11) AS prefix, min(rank) AS top, max(rank) AS bottom, count(*) AS n FROM k WHERE length(s) >= 11 GROUP BY 1"))
+def long_suffix_intervals(spark, sf_dir):
+    """The same for prefixes longer than the rounds of the ranking begin with."""
+    return suffixes.prefix_intervals(_letters(spark, sf_dir), 11)
+
+
+_PATTERNS = f"""p AS (SELECT doc_id AS id, substr({_dna('text')}, 1, CAST(2 + doc_id % 12 AS INTEGER)) AS pattern FROM documents WHERE length({_dna('text')}) > 0)"""
+
+
+def _patterns(spark, sf_dir):
+    """The first 2 to 13 letters of every document."""
+    dna = S.normalize(F.col("text"), acgt_only=True)
+    return table(spark, sf_dir, "documents").where(F.length(dna) > 0).select(F.col("doc_id").alias("id"), F.left(dna, (2 + F.col("doc_id") % 12).cast("int")).alias("pattern"))
+
+
+@query(_suffix_sql(f""", {_PATTERNS}, u AS (SELECT DISTINCT pattern FROM p), f AS (SELECT pattern, min(rank) AS top, max(rank) AS bottom, count(*) AS n FROM u JOIN k ON substr(k.s, 1, length(pattern)) = pattern GROUP BY pattern)
+SELECT id, pattern, top, bottom, coalesce(n, 0) AS n FROM p LEFT JOIN f USING (pattern)"""))
+def backward_search(spark, sf_dir):
+    """The rank interval of patterns of mixed lengths, all narrowed letter by letter in the same rounds."""
+    return suffixes.backward_search(_letters(spark, sf_dir), _patterns(spark, sf_dir))
+
+
+@query(_suffix_sql(f", {_PATTERNS} SELECT id, pattern, pos FROM p JOIN k ON substr(k.s, 1, length(pattern)) = pattern WHERE length(pattern) > 6"))
+def pattern_positions(spark, sf_dir):
+    """Where patterns of more than six letters occur in the merged references."""
+    letters = _letters(spark, sf_dir)
+    found = suffixes.backward_search(letters, _patterns(spark, sf_dir).where(F.length("pattern") > 6))
+    return suffixes.locate_patterns(found, suffixes.suffix_array(letters))
+
+
+@query(_suffix_sql(""", i AS (SELECT DISTINCT lcp AS depth, (SELECT max(b.rank) FROM l b WHERE b.rank < a.rank AND b.lcp < a.lcp) AS top,
+(SELECT coalesce(min(b.rank), (SELECT count(*) FROM l)) - 1 FROM l b WHERE b.rank > a.rank AND b.lcp < a.lcp) AS bottom FROM l a WHERE lcp >= 0),
+j AS (SELECT i.*, p.depth AS parent_depth, p.top AS parent_top, p.bottom AS parent_bottom, row_number() OVER (PARTITION BY i.depth, i.top, i.bottom ORDER BY p.depth DESC) AS n
+FROM i LEFT JOIN i p ON p.top <= i.top AND p.bottom >= i.bottom AND p.depth < i.depth)
+SELECT CAST(depth AS BIGINT) AS depth, top, CAST(bottom AS BIGINT) AS bottom, CAST(parent_depth AS BIGINT) AS parent_depth, parent_top, CAST(parent_bottom AS BIGINT) AS parent_bottom FROM j WHERE n = 1"""))
+def lcp_intervals(spark, sf_dir):
+    """All inner intervals of common prefixes with their parents."""
+    return suffixes.lcp_intervals(suffixes.lcp_array(_letters(spark, sf_dir)))
+
+
 # --- names, numbers, files -----------------------------------------------------------------
 
 @query("""SELECT c_name, regexp_replace(c_name, '[^0-9A-Za-z]', '', 'g') AS plain, regexp_replace(c_name, '[^0-9A-Za-z]+', '_', 'g') AS joined,

@@ -12,6 +12,7 @@ from memspan.operators import mapping, matches, names
 from memspan.plans.catalogue import DNA_LEN, TEXT_LEN, _dna, _mem_sql, dna_corpus, query, table, text_corpus
 from memspan.plans.tables import own_folder
 from memspan.sources import bitmap, fasta, matchfile
+from memspan.sources.lines import ordered_lines
 from memspan.streaming.matching import match_stream
 
 _BODY = "regexp_replace(upper(regexp_replace({}, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g')"
@@ -39,16 +40,19 @@ def fasta_scan_filtered(spark, sf_dir):
     return fasta.read_fasta(spark, _fasta(spark, sf_dir, "benchmark", "item_id", "item"), acgt_only=True, min_size=30, name_contains="item 1").select("name", "chars")
 
 
-@query(f"""SELECT 'benchmark.fasta' AS name, string_agg({_dna('text')}, '' ORDER BY item_id) AS chars, CAST(sum(length({_dna('text')})) AS BIGINT) AS kept,
-CAST(sum(length(regexp_replace(text, '[^!-=?-~]', '', 'g')) - length({_dna('text')})) AS BIGINT) AS removed, count(*) AS records FROM benchmark""")
+@query(f"""WITH t AS (SELECT string_agg({_dna('text')}, '' ORDER BY item_id) AS t, CAST(sum(length({_dna('text')})) AS BIGINT) AS kept,
+CAST(sum(length(regexp_replace(text, '[^!-=?-~]', '', 'g')) - length({_dna('text')})) AS BIGINT) AS removed, count(*) AS records FROM benchmark)
+SELECT 1 AS place, '>benchmark.fasta' AS line, kept, removed, records FROM t
+UNION ALL SELECT CAST(i + 2 AS INTEGER), substr(t, i * 100 + 1, 100), kept, removed, records FROM (SELECT *, unnest(generate_series(0, (length(t) - 1) // 100)) AS i FROM t)""")
 def clean_fasta(spark, sf_dir):
-    """The clean command over one file, its counts and what reading the cleaned file gives."""
+    """The clean command over one file: the lines of the cleaned file, in order over its parts, and its counts."""
     rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"), F.translate("text", ">", " ").alias("chars"), "item_id")
     folder = _folder(spark)
     path = f"{folder}/benchmark.fasta"
     fasta.write_fasta(rows.repartition(1).sortWithinPartitions("item_id"), path)
-    counts = fasta.clean_fasta(spark, path, f"{folder}/clean")
-    return fasta.read_fasta(spark, f"{folder}/clean").select("name", "chars").join(counts, "name")
+    counts = fasta.clean_fasta(spark, path, f"{folder}/clean").first()
+    lines = ordered_lines(spark, f"{folder}/clean", F.col("value").startswith(">"))
+    return lines.select(F.col("line").cast("int").alias("place"), F.col("value").alias("line"), *(F.lit(counts[c]).cast("long").alias(c) for c in ("kept", "removed", "records")))
 
 
 def _match_file(spark: SparkSession, sf_dir: str) -> str:
@@ -106,6 +110,16 @@ def names_exact(spark, sf_dir):
     return found.select("s_suppkey", "name", "n_nationkey").unionByName(unknown.select("s_suppkey", "name", F.lit(None).cast(known.schema["n_nationkey"].dataType).alias("n_nationkey")))
 
 
+@query("""WITH b AS (SELECT doc_id, source AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
+s AS (SELECT o_orderkey, 'src' || o_orderkey % 25 AS name, row_number() OVER (PARTITION BY o_orderkey % 25 ORDER BY o_orderkey) AS k FROM orders)
+SELECT doc_id, name, o_orderkey FROM b LEFT JOIN s USING (name, k)""")
+def names_in_order(spark, sf_dir):
+    """Blocks and sequences where many have one name: the k-th block of a name is about the k-th sequence of it."""
+    blocks = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", F.col("source").alias("name"))
+    known = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("src"), (F.col("o_orderkey") % 25).cast("string")).alias("name"))
+    return names.by_name_in_order(blocks, known, "doc_id", "o_orderkey").select("doc_id", "name", "o_orderkey")
+
+
 @query(f"WITH {_mem_sql(TEXT_LEN, False)} SELECT * FROM m")
 def stream_matches(spark, sf_dir):
     """All documents as a stream, matched in micro-batches."""
@@ -171,7 +185,7 @@ a AS (SELECT *, length(CAST(most AS VARCHAR)) AS digits FROM s),
 b AS (SELECT *, most / CAST(1004 - digits * 7 // 2 AS DOUBLE) AS ppp, digits * 7 - 2 AS taken FROM a),
 c AS (SELECT *, CAST(ceil(most / ppp) AS BIGINT) AS wide FROM b),
 t AS (SELECT m * CAST(pow(10, k) AS BIGINT) AS step FROM (VALUES (1), (2), (5)) x(m), (SELECT unnest(generate_series(0, 12)) AS k)),
-d AS (SELECT *, (SELECT min(step) FROM t WHERE step >= most // ((wide - taken) // (taken + 5) + 1)) AS step, 10 + wide - digits * 7 AS lim FROM c),
+d AS (SELECT *, (SELECT min(step) FROM t WHERE (most - 1) // step * (taken + 5) + taken <= wide) AS step, 10 + wide - digits * 7 AS lim FROM c),
 e AS (SELECT doc_id, step, ppp, lim, unnest(generate_series(1, CAST(ceil(lim * ppp / step) AS BIGINT))) AS k FROM d)
 SELECT doc_id, CAST(k * step AS BIGINT) AS mark, CAST(floor(k * step / ppp) AS BIGINT) AS pixel FROM e WHERE floor(k * step / ppp) < lim"""
 

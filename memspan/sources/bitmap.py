@@ -12,7 +12,7 @@ import struct
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspan.operators.mapping import BAR, CHAR_HEIGHT, CHAR_SPACE, CHAR_WIDTH, GAP, HEADER, MARGIN, V_MARGIN, WIDTH, axis_marks, sequence_pixels
+from memspan.operators.mapping import BAR, CHAR_HEIGHT, CHAR_SPACE, CHAR_WIDTH, GAP, HEADER, MARGIN, V_MARGIN, WIDTH, ruler_marks, sequence_pixels
 
 WHITE, BLACK, GREY = 0, 1, 2
 RAMP = 126
@@ -159,7 +159,8 @@ def render_map(pixels: DataFrame, queries: list[tuple[object, int]], ref_size: i
     picture = Picture(width, bar_top(len(queries) + 1) - GAP + V_MARGIN)
     ref_pixels, whole = sequence_pixels(ref_size, most, width), sequence_pixels(most, most, width)
     picture.fill(MARGIN, V_MARGIN + CHAR_HEIGHT + CHAR_SPACE + CHAR_HEIGHT // 2, whole, 1, BLACK)
-    for mark, pixel in [(1, 0), *axis_marks(most, width), (most, whole - 1)]:
+    inner = ruler_marks(pixels.sparkSession.range(1).select(F.lit(most).cast("long").alias("most")), "most", width)  # at most ``width`` marks
+    for mark, pixel in [(1, 0), *((r.mark, r.pixel) for r in inner.orderBy("mark").collect()), (most, whole - 1)]:
         picture.number(mark, MARGIN + pixel, V_MARGIN, BLACK)
         picture.fill(MARGIN + pixel, V_MARGIN + CHAR_HEIGHT + CHAR_SPACE, 1, CHAR_HEIGHT, BLACK)
     half = BAR // 2 - 1

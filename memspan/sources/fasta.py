@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspan.functions.sequences import normalize, normalize_name
+from memspan.operators.pieces import merged_pieces
+from memspan.plans.tables import stored
 
-LINE = 100
+#: Letters of a line, and lines that are wrapped together.
+LINE, LINES = 100, 64
 
 
 def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -44,14 +47,35 @@ def read_fasta(spark: SparkSession, paths: str | list[str], acgt_only: bool = Fa
     return rows.where((F.col("size") > 0) & (F.col("size") >= min_size))
 
 
-def cleaned(spark: SparkSession, path: str) -> DataFrame:
-    """name (of the file), chars (ACGT of all records, joined in order), kept, removed, records:
-    one row. The joined sequence is one string, as the cleaned file is one record."""
-    rows = _records(spark, path).select("ord", normalize(F.col("body"), acgt_only=True).alias("chars"), F.length(normalize_name(F.col("body"), 2)).alias("printable"))
+def _own_order(files: DataFrame) -> DataFrame:
+    """file and _from: where a file's records begin among those of all files, in the order of their names."""
+    sizes = files.groupBy("file").agg(F.max("ord").alias("_n"))  # a row a file
+    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("file", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_from"))
+
+
+def cleaned_records(spark: SparkSession, path: str) -> DataFrame:
+    """id (over all files of ``path``, by name and place), chars (A, C, G and T only) and printable (how many printable characters
+    there were) of every record."""
+    rows = _records(spark, path)
+    rows = rows.join(F.broadcast(_own_order(rows.select("file", "ord"))), "file")
+    return rows.select((F.col("_from") + F.col("ord")).alias("id"), normalize(F.col("body"), acgt_only=True).alias("chars"), F.length(normalize_name(F.col("body"), 2)).alias("printable"))
+
+
+def clean_counts(records: DataFrame, name: str) -> DataFrame:
+    """name, kept, removed, records of cleaned records: one row."""
     kept = F.coalesce(F.sum(F.length("chars")), F.lit(0))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "chars"))), lambda x: x["chars"]), "")
-    sums = rows.agg(joined.alias("chars"), kept.alias("kept"), (F.coalesce(F.sum("printable"), F.lit(0)) - kept).alias("removed"), F.count("*").alias("records"))
-    return sums.select(F.lit(os.path.basename(path)).alias("name"), "chars", "kept", "removed", "records")
+    return records.agg(kept.alias("kept"), (F.coalesce(F.sum("printable"), F.lit(0)) - kept).alias("removed"), F.count("*").alias("records")).select(F.lit(name).alias("name"), "kept", "removed", "records")
+
+
+def wrapped_lines(records: DataFrame, name: str, width: int = LINE) -> DataFrame:
+    """place and value: the header ``>name`` and the lines of ``width`` letters of all records joined in the order of their
+    ids, several lines to a value. The joined text is wrapped by pieces that are made of whole lines, so no row holds all of it."""
+    size = width * LINES
+    pieces = merged_pieces(records.select("id", "chars"), "", size=size)
+    body = pieces.select((F.col("piece") + 1).alias("place"), F.array_join(F.regexp_extract_all("s", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), "\n").alias("value"))
+    head = records.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(f">{name}").alias("value"))
+    return head.unionByName(body)
 
 
 def fasta_lines(sequences: DataFrame, width: int = LINE) -> DataFrame:
@@ -66,7 +90,8 @@ def write_fasta(sequences: DataFrame, path: str, width: int = LINE) -> None:
 
 
 def clean_fasta(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Writes the cleaned file and returns its counts."""
-    found = cleaned(spark, path)
-    write_fasta(found, target)
-    return found.select("name", "kept", "removed", "records")
+    """Writes the cleaned file, a folder of text files whose lines, file by file, are in order, and returns its counts."""
+    name = os.path.basename(path.rstrip("/"))
+    records = stored(cleaned_records(spark, path), "cleaned")
+    wrapped_lines(records, name).repartitionByRange("place").sortWithinPartitions("place").select("value").write.mode("overwrite").text(target)
+    return clean_counts(records, name)

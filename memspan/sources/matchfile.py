@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspan.sources.lines import ordered_lines
+
 REVERSE = " Reverse"
 
 
@@ -24,69 +26,93 @@ def output_names(paths: Column, extra: str = "-mems.txt") -> Column:
     return F.concat(F.regexp_replace(paths, r"(?<=[^/.])\.[^/.]*$", ""), F.lit(extra))
 
 
+#: The order of a match file's lines: blocks, in each its header, then from the query's end to its start, longer ones first.
+def _file_order() -> list[Column]:
+    return [F.col("query_ord"), F.col("strand"), F.col("body"), F.desc("query_pos"), F.desc("len"), F.col("ref_ord"), F.col("ref_pos")]
+
+
 def match_lines(matches: DataFrame, queries: DataFrame, refs: DataFrame, both_strands: bool = False) -> DataFrame:
-    """query_ord, strand, place, value: every line of a match file, headers at place 0.
+    """query_ord, strand, body (0 for headers), query_pos, len, ref_ord, ref_pos, value: every line of a match file and
+    what it is ordered by.
 
-    ``queries`` and ``refs`` have id, name and, for their order, ord. Rows go from the query's end
-    to its start, longer ones first.
+    ``queries`` and ``refs`` have id, name and, for their order, ord. Nothing is numbered, so a block of any size is
+    spread over tasks when the lines are sorted.
     """
     blocks = queries.select(F.col("id").alias("query_id"), F.col("ord").alias("query_ord"), "name", F.explode(F.array(*(F.lit(s) for s in ("+-" if both_strands else "+")))).alias("strand"))
-    heads = blocks.select("query_ord", "strand", F.lit(0).alias("place"), F.concat(F.lit(">"), "name", F.when(F.col("strand") == "-", REVERSE).otherwise("")).alias("value"))
+    title = F.concat(F.lit(">"), "name", F.when(F.col("strand") == "-", REVERSE).otherwise(""))
+    none = [F.lit(None).cast("long").alias(n) for n in ("query_pos", "len", "ref_ord", "ref_pos")]
+    heads = blocks.select("query_ord", "strand", F.lit(0).alias("body"), *none, title.alias("value"))
     several = refs.limit(2).count() > 1
-    named = matches.join(refs.select(F.col("id").alias("ref_id"), F.col("name").alias("ref_name"), F.col("ord").alias("_ref_ord")), "ref_id")
-    named = named.join(blocks.select("query_id", "query_ord", "strand"), ["query_id", "strand"])
-    order = Window.partitionBy("query_ord", "strand").orderBy(F.desc("query_pos"), F.desc("len"), "_ref_ord", "ref_pos")
-    numbers = F.concat_ws("\t", F.col("ref_pos").cast("string"), F.col("query_pos").cast("string"), F.col("len").cast("string"))
-    value = F.concat(F.lit(" "), "ref_name", F.lit("\t"), numbers) if several else numbers
-    return heads.unionByName(named.select("query_ord", "strand", F.row_number().over(order).alias("place"), value.alias("value")))
+    named = matches.join(refs.select(F.col("id").alias("ref_id"), F.col("name").alias("ref_name"), F.col("ord").cast("long").alias("ref_ord")), "ref_id")
+    named = named.join(queries.select(F.col("id").alias("query_id"), F.col("ord").alias("query_ord")), "query_id")
+    value = F.concat(F.lit(" "), "ref_name", F.lit("\t"), _numbers()) if several else _numbers()
+    return heads.unionByName(named.select("query_ord", "strand", F.lit(1).alias("body"), F.col("query_pos").cast("long"), F.col("len").cast("long"), "ref_ord", F.col("ref_pos").cast("long"), value.alias("value")))
+
+
+def _numbers() -> Column:
+    return F.concat_ws("\t", F.col("ref_pos").cast("string"), F.col("query_pos").cast("string"), F.col("len").cast("string"))
+
+
+def _write_ordered(lines: DataFrame, order: list[Column], path: str) -> None:
+    """A folder of text files whose lines, file by file, are in order; a block may go on in the next file."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def write_matches(lines: DataFrame, path: str) -> None:
-    """A folder of text files whose lines, file by file, are in order."""
-    lines.repartitionByRange("query_ord", "strand", "place").sortWithinPartitions("query_ord", "strand", "place").select("value").write.mode("overwrite").text(path)
+    """Writes the lines of :func:`match_lines` in their order."""
+    _write_ordered(lines, _file_order(), path)
 
 
 def _numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line (1-based, blank lines left out), block (headers so far) and value of every line. Files split like any
-    text file; a split's lines and headers are counted, then added up over the splits of its file."""
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.rtrim(F.regexp_replace("value", "\r", "")).alias("value"))
-    raw = raw.where(F.length("value") > 0).withColumn("head", F.col("value").startswith(">").cast("int"))
-    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    splits = raw.groupBy("file", "at").agg(F.count("*").alias("lines"), F.sum("head").alias("heads"))
-    splits = splits.select("file", "at", *(F.coalesce(F.sum(n).over(order), F.lit(0)).alias(f"{n}_before") for n in ("lines", "heads")))
-    inside = Window.partitionBy("file", "at").orderBy("id")
-    rows = raw.withColumn("line", F.row_number().over(inside)).withColumn("block", F.sum("head").over(inside)).join(splits, ["file", "at"])
-    return rows.select("file", (F.col("line") + F.col("lines_before")).alias("line"), (F.col("block") + F.col("heads_before")).alias("block"), (F.col("head") == 1).alias("head"), "value")
+    """source, line (1-based, blank lines left out), block (headers so far), head and value of every line."""
+    rows = ordered_lines(spark, paths, F.col("value").startswith(">"))
+    return rows.select("source", "line", F.col("marks").alias("block"), F.col("mark").alias("head"), "value")
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """source, block, line, ref_name, ref_pos, query_pos, len of the lines that are no headers. A line that is no match,
+    stands before its source's first header or has a name where the source's first match has none (or none where it
+    has one) is an error when it is read."""
+    pattern = r"^\s*(?:(.*\S)\s+)?(\d+)\s+(\d+)\s+(\d+)\s*$"
+    body = lines.where("NOT head")
+    parts = [F.nullif(F.regexp_extract("value", pattern, i), F.lit("")) for i in range(1, 5)]
+    rows = body.select("source", "block", "line", "value", parts[0].alias("ref_name"), *(p.cast("long").alias(n) for p, n in zip(parts[1:], ("ref_pos", "query_pos", "len"), strict=True)))
+    shape = rows.groupBy("source").agg(F.min_by(F.col("ref_name").isNotNull(), "line").alias("named"))  # a row a source
+    wrong = F.col("ref_pos").isNull() | (F.col("block") < 1) | (F.col("ref_name").isNotNull() != F.col("named"))
+    said = F.raise_error(F.concat(F.lit("not a match line: "), F.col("value"), F.lit(" (line "), F.col("line").cast("string"), F.lit(")")))
+    checked = rows.join(F.broadcast(shape), "source").withColumn("ref_pos", F.when(wrong, said.cast("long")).otherwise(F.col("ref_pos")))
+    return checked.select("source", "block", "line", "ref_name", "ref_pos", "query_pos", "len")
 
 
 def read_matches(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, block (1-based), query_name, strand, ref_name (null with one reference), place, ref_pos,
+    """source, block (1-based), query_name, strand, ref_name (null with one reference), place, ref_pos,
     query_pos, len; a block without matches is a row with null positions.
 
     A line that begins with ``>`` is a header; reference names may hold blanks. Files are read line by line in
-    splits, a block of any size is never held whole; lines before the first header are left out.
+    splits, a block of any size is never held whole, and it may span files of a folder. Malformed lines are errors.
     """
     lines = _numbered_lines(spark, paths)
     title = F.substr("value", F.lit(2))
     backward = title.endswith(REVERSE)
     name = F.when(backward, F.left(title, F.length(title) - len(REVERSE))).otherwise(title)
-    heads = lines.where("head").select("file", "block", name.alias("query_name"), F.when(backward, "-").otherwise("+").alias("strand"), F.col("line").alias("first"))
-    pattern = r"^\s*(?:(.*\S)\s+)?(\d+)\s+(\d+)\s+(\d+)\s*$"
-    part = [F.nullif(F.regexp_extract("value", pattern, i), F.lit("")) for i in range(1, 5)]
-    rows = lines.where("NOT head").select("file", "block", "line", part[0].alias("ref_name"), *(p.cast("long").alias(n) for p, n in zip(part[1:], ("ref_pos", "query_pos", "len"), strict=True)))
-    met = heads.join(rows, ["file", "block"], "left")
-    return met.select("file", "block", "query_name", "strand", "ref_name", F.coalesce(F.col("line") - F.col("first"), F.lit(1)).alias("place"), "ref_pos", "query_pos", "len")
+    heads = lines.where("head").select("source", "block", name.alias("query_name"), F.when(backward, "-").otherwise("+").alias("strand"), F.col("line").alias("first"))
+    met = heads.join(_parsed(lines), ["source", "block"], "full")  # lines before the first header meet none, and are errors
+    return met.select("source", "block", "query_name", "strand", "ref_name", F.coalesce(F.col("line") - F.col("first"), F.lit(1)).alias("place"), "ref_pos", "query_pos", "len")
 
 
 def sort_match_file(spark: SparkSession, path: str, target: str | None = None) -> str:
     """Writes each block's matches in descending order of reference name, reference position and
-    query position; returns where."""
+    query position; returns where. ``path`` is a file or a folder of files; one without any match is an error."""
     target = target or output_name(path, "-sorted.txt")
-    rows = read_matches(spark, path)
-    order = Window.partitionBy("file", "block").orderBy(F.desc("ref_name"), F.desc("ref_pos"), F.desc("query_pos"))
-    numbers = F.concat_ws("\t", F.col("ref_pos").cast("string"), F.col("query_pos").cast("string"), F.col("len").cast("string"))
-    body = rows.where("ref_pos IS NOT NULL").select("block", F.row_number().over(order).alias("place"), F.concat(F.coalesce(F.concat(F.lit(" "), "ref_name", F.lit("\t")), F.lit("")), numbers).alias("value"))
-    heads = rows.select("block", F.lit(0).alias("place"), F.concat(F.lit(">"), "query_name", F.when(F.col("strand") == "-", REVERSE).otherwise("")).alias("value")).distinct()
-    lines = heads.unionByName(body)
-    lines.repartitionByRange("block", "place").sortWithinPartitions("block", "place").select("value").write.mode("overwrite").text(target)
+    lines = _numbered_lines(spark, path)
+    rows = _parsed(lines)
+    if rows.limit(1).count() == 0:
+        raise ValueError(f"no matches in {path}")
+    value = F.concat(F.coalesce(F.concat(F.lit(" "), "ref_name", F.lit("\t")), F.lit("")), _numbers())
+    keys = ("block", "body", "ref_name", "ref_pos", "query_pos", "line", "value")
+    body = rows.withColumn("body", F.lit(1)).withColumn("value", value).select(*keys)
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("ref_name", "string"), ("ref_pos", "long"), ("query_pos", "long"))]
+    heads = lines.where("head").select("block", F.lit(0).alias("body"), *none, "line", "value")
+    order = [F.col("block"), F.col("body"), F.desc("ref_name"), F.desc("ref_pos"), F.desc("query_pos"), F.col("line")]
+    _write_ordered(heads.unionByName(body), order, target)
     return target

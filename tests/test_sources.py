@@ -1,11 +1,13 @@
 import os
+import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from memspan import cli
 from memspan.operators import mapping, matches
-from memspan.sources import bitmap, fasta, matchfile
+from memspan.sources import bitmap, datasource, fasta, lines, matchfile
 from memspan.streaming.matching import match_stream
 
 
@@ -74,6 +76,120 @@ def test_match_file_round_trip(spark, tmp_path):
     assert matchfile.output_name("/a/b.fa") == "/a/b-mems.txt"
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Eight part files for every written folder."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_match_files_of_many_parts(spark, tmp_path, many_parts):
+    """Blocks that go on from part to part, empty ones and equal names keep their matches and their order."""
+    draw = random.Random(8)
+    text = "".join(draw.choice("ACGT") for _ in range(400))
+    refs = spark.createDataFrame([(1, 1, "ref one", text), (2, 2, "two", text[100:300] + "ACGT" * 20)], "id long, ord long, name string, chars string")
+    queries = spark.createDataFrame([(k, k, "same" if k % 2 else f"q {k}", text[k * 30 : k * 30 + 200] if k % 4 else "T" * 5) for k in range(12)], "id long, ord long, name string, chars string")
+    found = matches.find_matches(refs, queries, 6, both_strands=True)
+    target = str(tmp_path / "m")
+    matchfile.write_matches(matchfile.match_lines(found, queries, refs, True), target)
+    assert len([f for f in os.listdir(target) if f.startswith("part-")]) == 8
+    names = {1: "ref one", 2: "two"}
+    wanted = sorted((r.query_id, r.strand, names[r.ref_id], r.ref_pos, r.query_pos, r.len) for r in found.collect())
+    for size in ("128m", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            back = matchfile.read_matches(spark, target).collect()
+            assert len({r.block for r in back}) == 24
+            order = {r.block: (r.block - 1) // 2 for r in back}
+            assert all(r.query_name == ("same" if order[r.block] % 2 else f"q {order[r.block]}") for r in back)
+            assert sorted((order[r.block], r.strand, r.ref_name, r.ref_pos, r.query_pos, r.len) for r in back if r.ref_pos) == wanted
+            twice = matchfile.read_matches(spark, [target, target]).where("ref_pos IS NOT NULL").groupBy("source").count().collect()
+            assert sorted(tuple(r) for r in twice) == [(0, len(wanted)), (1, len(wanted))]
+            placed = matchfile.sort_match_file(spark, target, str(tmp_path / f"sorted{size}"))
+            again = matchfile.read_matches(spark, placed).where("ref_pos IS NOT NULL").collect()
+            assert sorted((order[r.block], r.strand, r.ref_name, r.ref_pos, r.query_pos, r.len) for r in again) == wanted
+            for block in order:
+                mine = [(r.ref_name, r.ref_pos, r.query_pos) for r in sorted(again, key=lambda r: r.place) if r.block == block]
+                assert mine == sorted(mine, reverse=True) and [r.place for r in sorted(again, key=lambda r: r.place) if r.block == block] == list(range(1, len(mine) + 1))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_malformed_match_files(spark, write):
+    for k, text in enumerate((">q\n1\t2\n", ">q\n1\t2\t3\nx\ty\tz\n", "1\t2\t3\n>q\n", ">q\n1\t2\t3\n r\t1\t2\t3\n")):
+        path = write(f"bad{k}.txt", text)
+        with pytest.raises(Exception, match="not a match line"):
+            matchfile.read_matches(spark, path).collect()
+        with pytest.raises(Exception, match="not a match line"):
+            matchfile.sort_match_file(spark, path, path + "-sorted")
+    with pytest.raises(ValueError, match="no matches"):
+        matchfile.sort_match_file(spark, write("empty.txt", ">q\n>r\n"))
+
+
+def test_clean_file_of_many_parts(spark, write, tmp_path, many_parts):
+    body = ["ACGT" * 2000, "", "ACxGT\n" * 900, "T" * 333]
+    path = write("h.fa", "".join(f">r{k}\n{b}\n" for k, b in enumerate(body)))
+    wanted = "".join(c for b in body for c in b if c in "ACGT")
+    assert tuple(fasta.clean_fasta(spark, path, str(tmp_path / "out")).first()) == ("h.fa", len(wanted), 900, 4)
+    found = lines.ordered_lines(spark, str(tmp_path / "out"), F.col("value").startswith(">")).orderBy("line").collect()
+    assert found[0].value == ">h.fa" and [r.value for r in found[1:]] == [wanted[i : i + 100] for i in range(0, len(wanted), 100)]
+    os.mkdir(tmp_path / "two")
+    for name, text in (("b.fa", ">x\nGG\n>y\nTT"), ("a.fa", ">z\nAA\n>w\nCC")):
+        (tmp_path / "two" / name).write_text(text)
+    fasta.clean_fasta(spark, str(tmp_path / "two"), str(tmp_path / "out2"))
+    assert [r.value for r in lines.ordered_lines(spark, str(tmp_path / "out2"), F.lit(False)).orderBy("line").collect()] == [">two", "AACCGGTT"]
+
+
+def test_map_of_equal_names(spark, write, tmp_path, capsys):
+    ref = write("ref.fa", ">r\n" + "ACGTTGCA" * 40 + "\n")
+    query = write("q.fa", ">same\n" + "ACGTTGCA" * 20 + "\n>same\n" + "T" * 160 + "\n")
+    said = write("said.txt", ">same\n1\t1\t160\n>same Reverse\n>same\n>same Reverse\n")
+    picture = str(tmp_path / "map.bmp")
+    assert cli.main(["map", "-o", picture, said, ref, query], spark) == 0
+    rows = bitmap.bitmap_rows(open(picture, "rb").read())
+    assert max(rows[bitmap.bar_top(1) + 9]) > bitmap.GREY >= max(rows[bitmap.bar_top(2) + 9])
+    for text, problem in ((">same\n0\t1\t5\n", "begin at 1"), (">other\n1\t1\t5\n", "named other"), (">same\n" * 3, "named same"), (">same\n1 2\n", "no match file")):
+        assert cli.main(["map", "-o", picture, write("bad.txt", text), ref, query], spark) == 1
+        assert problem in capsys.readouterr().err
+
+
+def test_sequences_as_a_data_source(spark, tmp_path):
+    datasource.register(spark)
+    folder = tmp_path / "seqs"
+    folder.mkdir()
+    draw = random.Random(6)
+    records = [(f"chr{k} of\u00e9 {k % 3}", "".join(draw.choice("ACGTNacgtx-\n1") for _ in range(draw.choice([0, 5, 300, 900])))) for k in range(120)]
+    (folder / "a.fa").write_text("".join(f">{n}\n{b}" + "\n" * (k % 2) for k, (n, b) in enumerate(records[:70])))
+    (folder / "b.fa").write_text("".join(f">{n}\r\n{b}\r\n" for n, b in records[70:]))
+    (folder / "c.fa").write_text("no>record\nACGT")
+
+    def dna(text, keep=False):
+        return "".join(c.upper() if c in "ACGTacgt" else "" if keep else "N" for c in text if c.isascii() and c.isalpha())
+
+    wanted = [(n, d) for n, b in records if (d := dna(b))]
+    for split in (100, 4096, datasource.SPLIT_BYTES):
+        rows = spark.read.format("sequences").option("split_bytes", split).load(str(folder))
+        assert [(r.name, r.chars) for r in rows.orderBy("file", "at").collect()] == wanted
+    some = rows.where(F.col("name").contains("chr1") & (F.col("size") >= 200))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "sequences" in plan and "Contains" not in plan and ">= 200" not in plan  # what the reader takes is not filtered again
+    assert sorted(r.name for r in some.collect()) == sorted(n for n, d in wanted if "chr1" in n and len(d) >= 200)
+    kept = spark.read.format("sequences").option("acgt_only", "true").load(str(folder / "a.fa"))
+    assert {(r.name, r.size) for r in kept.collect()} == {(n, len(d)) for n, b in records[:70] if (d := dna(b, True))}
+    stream = spark.readStream.format("sequences").load(str(folder))
+    for round_ in range(2):
+        stream.select("name", "chars").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted((r.name, r.chars) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(wanted + [("late", "AC")] * round_)
+        (folder / "d.fa").write_text(">late\nAC\n")
+
+
 def test_command_line(spark, write, tmp_path, capsys):
     ref, query = write("ref.fa", ">r\nACGTACGTTA\n"), write("q.fa", ">q one\nTACGTTGACG\n>rest\nGGGG\n")
     out = str(tmp_path / "out")
@@ -106,9 +222,16 @@ def test_bitmap(spark):
     assert bitmap.rle8(rows) == bytes([3, 1, 1, 2, 0, 0, 2, 3, 2, 4, 0, 1])
     assert bitmap.bitmap_rows(plain) == rows == bitmap.bitmap_rows(bitmap.bitmap_bytes(rows, bitmap.palette(), compress=True))
     assert bitmap.bitmap_info(plain)["filesize"] == len(plain)
-    for n in (1, 9, 10, 99, 1000, 5000, 123_456, 10**9):
-        marks = [(r.mark, r.pixel) for r in mapping.ruler_marks(spark.createDataFrame([(n,)], "n long"), "n").collect()]
-        assert marks == mapping.axis_marks(n)
+    sizes = [(n,) for n in (1, 9, 10, 99, 1000, 5000, 123_456, 10**9)]
+    marks = {}
+    for r in mapping.ruler_marks(spark.createDataFrame(sizes, "n long"), "n").collect():
+        marks.setdefault(r.n, []).append((r.mark, r.pixel))
+    for (n,) in sizes:
+        label, ppp, drawn = len(str(n)) * 7 - 2, mapping.positions_per_pixel(n), sorted(marks.get(n, []))
+        step = drawn[0][0] if drawn else 1
+        assert drawn == [(k * step, int(k * step / ppp)) for k in range(1, len(drawn) + 1)] and str(step).rstrip("0") in ("1", "2", "5")
+        assert all(b - a >= label for (_, a), (_, b) in zip(drawn, drawn[1:])), n  # labels do not touch
+        assert not drawn or drawn[-1][1] < mapping.MARGIN + mapping.sequence_pixels(n, n) - label
     refs = spark.createDataFrame([(0, "A" * 5000)], "id long, chars string")
     found = spark.createDataFrame([(5, "+", 0, 1, 1, 100), (5, "-", 0, 50, 60, 200)], "query_id long, strand string, ref_id long, ref_pos long, query_pos long, len int")
     ppp = mapping.positions_per_pixel(5000)

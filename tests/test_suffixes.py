@@ -78,3 +78,72 @@ def test_many_equal_values(spark):
     found = suffixes.smaller_values(frame)
     assert found.count() == 100_000
     assert {(r["rank"], r.previous_smaller, r.next_smaller) for r in found.where("rank IN (0, 1, 69999, 70000, 70001, 99999)").collect()} == {(0, None, None), (1, 0, 70000), (69999, 0, 70000), (70000, 0, None), (70001, 70000, None), (99999, 70000, None)}
+
+
+def test_only_tied_suffixes_travel(spark):
+    rng = random.Random(7)
+    part = "".join(rng.choice("ACGT") for _ in range(400))
+    texts = [part, part[:90] + "A" + part[91:200], "".join(rng.choice("ACGT") for _ in range(3000))]
+    array, levels, _ = suffixes._ranked(refs(spark, texts))
+    merged = "N".join(texts)
+    assert [r.pos for r in array.orderBy("rank").collect()] == naive(merged)[0]
+    rows = [level.count() for level in levels]
+    tied = [level.where("tied").count() for level in levels]
+    assert rows[0] == len(merged) + 1 and all(n <= 3 * t for n, t in zip(rows[1:], tied)) and tied[-1] == 0
+    assert rows[1] < rows[0] / 4 and sorted(rows, reverse=True) == rows
+
+
+def test_no_references(spark):
+    assert suffixes.suffix_array(refs(spark, [])).collect() == []
+    assert [r.pos for r in suffixes.suffix_array(refs(spark, [None, ""])).collect()] == [0]
+
+
+def test_tree_of_intervals(spark):
+    rng = random.Random(8)
+    for texts in (["".join(rng.choice("AC") for _ in range(120)), "ACACAC"], ["A" * 40], ["ACGT"]):
+        merged = "N".join(texts)
+        order, lcp = naive(merged)
+        prefixes = {}
+        for i in range(1, len(order)):
+            prefixes.setdefault(merged[order[i] :][: lcp[i]], None)
+        spans = {}
+        for prefix in prefixes:
+            own = [i for i, p in enumerate(order) if merged[p:].startswith(prefix)]
+            spans[prefix] = (len(prefix), own[0], own[-1])
+        wanted = set()
+        for prefix, span in spans.items():
+            above = max((p for p in spans if p != prefix and prefix.startswith(p)), key=len, default=None)
+            wanted.add((*span, *(spans[above] if above is not None else (None, None, None))))
+        found = suffixes.lcp_intervals(suffixes.lcp_array(refs(spark, texts))).collect()
+        assert {(r.depth, r.top, r.bottom, r.parent_depth, r.parent_top, r.parent_bottom) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_backward_search(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(700)), "ACGT" * 30, "GATTACA"]
+    merged = "N".join(texts)
+    order, _ = naive(merged)
+    patterns = [merged[(a := rng.randrange(len(merged))) : a + rng.choice([1, 2, 5, 8, 9, 12, 30])] for _ in range(40)] + ["GATTACAGATTACA", "T" * 9, "C", "ACGT" * 4, "", None, "X", merged[:1], merged[-3:]]
+    monkeypatch.setattr(suffixes, "OCC_RANKS", 64)
+    monkeypatch.setattr(suffixes, "OCC_ROWS", 3)
+    found = suffixes.backward_search(refs(spark, texts), spark.createDataFrame(list(enumerate(patterns)), "id long, pattern string"))
+    rows = {r.id: r for r in found.collect()}
+    for i, p in enumerate(patterns):
+        own = [k for k, at in enumerate(order) if p and merged[at:].startswith(p)]
+        assert (i in rows) == bool(p)
+        if p:
+            assert (rows[i].top, rows[i].bottom, rows[i].n) == ((own[0], own[-1], len(own)) if own else (None, None, 0)), p
+    places = suffixes.locate_patterns(found.where("id < 5"), suffixes.suffix_array(refs(spark, texts))).collect()
+    assert sorted((r.id, r.pos) for r in places) == sorted((i, a) for i in range(5) for a in range(len(merged)) if merged.startswith(patterns[i], a))
+
+
+def test_intervals_of_long_prefixes(spark):
+    text = "ACGTACGTTACGTACGTTGACA"
+    order, _ = naive(text)
+    for k in (2, 8, 9, 15):
+        found = {r.prefix: (r.top, r.bottom, r.n) for r in suffixes.prefix_intervals(refs(spark, [text]), k).collect()}
+        wanted = {}
+        for i, p in enumerate(order):
+            if p + k <= len(text):
+                wanted.setdefault(text[p : p + k], []).append(i)
+        assert found == {x: (v[0], v[-1], len(v)) for x, v in wanted.items()}
