@@ -1,9 +1,9 @@
 """How the sources of a language differ from each other and from the language: exact counts of kept terms.
 
-Two passes over the documents, which are dealt out once by a hash into *slots* of bounded size (one shuffle of
-the texts, which both passes read). The first counts in how many documents of a language each term stands; terms in at
+Two passes over the documents, which are dealt out once into *slots*: the documents of a source in a language, in as many
+parts as a bound on a slot's bytes needs (one shuffle of the texts, which both passes read). The first counts in how many documents of a language each term stands; terms in at
 least ``min_docs`` of them are kept. Each slot then gets those kept terms that occur in it, and no others, so
-that no vocabulary is ever broadcast; the second pass builds an automaton of them for each language, every term with a
+that no vocabulary is ever broadcast; the second pass builds an automaton of them, every term with a
 delimiter on either side, and counts their occurrences again in one run over each text.
 
 Only counts above zero are kept (postings). A group's smoothed share of a term it lacks is the same for all such terms,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from memspan.llm.durable import rows_of, stored, trim_memory
 
 #: Bytes of text in a slot, and pairs of a term's groups that are worked on at a time.
-SLOT_BYTES, CHUNK_PAIRS = 32_000_000, 500_000
+SLOT_BYTES, CHUNK_PAIRS = 16_000_000, 1_000_000
 #: Terms a task counts before it hands its counts on.
 COUNTER_SIZE = 300_000
 SCALE = 1_000_000_000
@@ -45,29 +45,28 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def _slots(docs: DataFrame, id_col: str, text_col: str, slot_bytes: int) -> DataFrame:
-    """slot, lang, source and text (as bytes), dealt out by slot."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(-(-total // slot_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slot = F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int")
-    rows = docs.select(slot.alias("slot"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in (("lang", "lang"), ("source", "source"))), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.repartition(n, "slot")
+    """lang, source, part and text (as bytes), dealt out by the first three."""
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    rows = docs.select(*names, F.xxhash64(id_col, text_col).alias("_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    parts = stored(rows.groupBy("lang", "source").agg(F.ceil((F.sum(F.length("text")) + 1) / slot_bytes).alias("_parts")), "parts")
+    rows = rows.join(parts, ["lang", "source"]).select("lang", "source", F.pmod("_hash", "_parts").alias("part"), "text")
+    return rows.repartition("lang", "source", "part")
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """slot, lang, term and in how many of the documents read so far it stands; in parts."""
+    """lang, source, part, term and in how many of the documents read so far it stands; in parts."""
     trim_memory()
-    counts: dict[tuple[int, str], Counter] = {}
+    counts: dict[tuple[str, str, int], Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (slot, lang), found in counts.items():
+        for (lang, source, part), found in counts.items():
             k = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([slot] * k, pa.int32()), pa.array([lang] * k, pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["slot", "lang", "term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array([part] * k, pa.int64()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "source", "part", "term", "n"])
         counts.clear()
 
     size = 0
-    for slot, lang, _, text in rows_of(batches):
-        counter = counts.setdefault((slot, lang), Counter())
+    for lang, source, part, text in rows_of(batches):
+        counter = counts.setdefault((lang, source, part), Counter())
         size -= len(counter)
         counter.update(set(terms_of(text)))
         size += len(counter)
@@ -78,41 +77,34 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _recount(docs: pa.Table, kept: pa.Table) -> pa.Table:
-    """lang, source, term and n: occurrences of a slot's kept terms, by one automaton for each language."""
+    """lang, source, term and n: occurrences of a slot's kept terms, by an automaton of them."""
     import ahocorasick
 
-    totals: Counter = Counter()
-    terms = kept.column("term").to_pylist()
-    of_lang: dict[str, list[int]] = {}
-    for i, lang in enumerate(kept.column("lang").to_pylist()):
-        of_lang.setdefault(lang, []).append(i)
-    places: dict[str, list[int]] = {}
-    for i, lang in enumerate(docs.column("lang").to_pylist()):
-        places.setdefault(lang, []).append(i)
-    sources, texts = docs.column("source"), docs.column("text")
-    for lang, known in of_lang.items():
+    terms = kept.column("term").unique().to_pylist()
+    counts = [0] * len(terms)
+    if terms:
         automaton = ahocorasick.Automaton()
-        for i in known:
-            automaton.add_word(f" {terms[i]} ", i)
+        for i, term in enumerate(terms):
+            automaton.add_word(f" {term} ", i)
         automaton.make_automaton()
-        by_source: dict[str, Counter] = {}
-        for i in places.get(lang, ()):
-            padded = b"".join((b" ", texts[i].as_py().translate(_TO_TERMS), b" ")).decode()
-            by_source.setdefault(sources[i].as_py(), Counter()).update(found for _, found in automaton.iter(padded))
-        for source, counter in by_source.items():
-            totals.update({(lang, source, term): n for term, n in counter.items()})
-    keys = list(totals)
-    return pa.table([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([terms[k[2]] for k in keys], pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "source", "term", "n"])
+        for text in docs.column("text"):
+            padded = b"".join((b" ", text.as_py().translate(_TO_TERMS), b" ")).decode()
+            for _, i in automaton.iter(padded):
+                counts[i] += 1
+    n = len(terms)
+    lang, source = (kept.column(c)[0].as_py() if n else "" for c in ("lang", "source"))
+    return pa.table([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["lang", "source", "term", "n"])
 
 
 def term_counts(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """lang, source, term, n: occurrences above zero of every term that at least ``min_docs`` documents of its
     language have."""
     slots = _slots(docs, id_col, text_col, slot_bytes)
-    seen = slots.mapInArrow(_document_counts, "slot int, lang string, term string, n long")
+    seen = slots.mapInArrow(_document_counts, "lang string, source string, part long, term string, n long")
     in_docs = F.sum("n").over(Window.partitionBy("lang", "term"))
-    kept = seen.withColumn("_docs", in_docs).where(F.col("_docs") >= min_docs).select("slot", "lang", "term")
-    counted = slots.groupBy("slot").cogroup(kept.groupBy("slot")).applyInArrow(_recount, "lang string, source string, term string, n long")
+    kept = seen.withColumn("_docs", in_docs).where(F.col("_docs") >= min_docs).select("lang", "source", "part", "term")
+    slot = ("lang", "source", "part")
+    counted = slots.groupBy(*slot).cogroup(kept.groupBy(*slot)).applyInArrow(_recount, "lang string, source string, term string, n long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
@@ -127,57 +119,44 @@ def _term_of_sum(p: Column, q: Column) -> Column:
 
 
 def _common_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, item, high, low: for ordered pairs of groups, summed over the terms that both have, what the
-    sums by constants get wrong. A sum is high * 2**32 + low, so it is exact whatever its size."""
-    sums: dict[str, dict] = {}
-
-    def add(lang: str, names: list, lists: list) -> None:
-        sizes = np.array([len(x) for x in lists])
-        flat = np.array([(names.index_of(s["source"]), s["p"], s["p0"]) for x in lists for s in x], np.int64)
-        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    """lang, a, b, high, low: for ordered pairs of a language's groups (by their numbers), summed over the terms that
+    both have, what the sums by constants get wrong. A sum is high * 2**32 + low, so it is exact whatever its size."""
+    sums: dict[tuple[str, int, int], int] = {}
+
+    def add(lang: str, sizes: np.ndarray, group: np.ndarray, p: np.ndarray, p0: np.ndarray) -> None:
         repeats = np.repeat(sizes, sizes)
-        left = np.repeat(np.arange(len(flat)), repeats)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(repeats) - repeats, repeats) + np.repeat(base, repeats)
-        apart = flat[left, 0] != flat[right, 0]
-        left, right = left[apart], right[apart]
-        p, p0, q, q0 = flat[left, 1], flat[left, 2], flat[right, 1], flat[right, 2]
+        left = np.repeat(np.arange(len(group)), repeats)
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        right = np.arange(len(left)) + np.repeat(begin - np.cumsum(repeats) + repeats, repeats)
+        keys, place = np.unique(group[left] << 32 | group[right], return_inverse=True)
         high, low = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-        for sign, a, b in ((1, p, q), (-1, p, q0), (-1, p0, q), (1, p0, q0)):
-            f = (a - b) * (a - b) // b
+        for sign, x, y in ((1, p[left], p[right]), (-1, p[left], p0[right]), (-1, p0[left], p[right]), (1, p0[left], p0[right])):
+            f = (x - y) ** 2 // y
             high += sign * (f >> 32)
             low += sign * (f & 0xFFFFFFFF)
-        key = flat[left, 0] << 32 | flat[right, 0]
-        keys, place = np.unique(key, return_inverse=True)
-        total = np.zeros((len(keys), 2), np.int64)
-        np.add.at(total, (place, 0), high)
-        np.add.at(total, (place, 1), low)
-        for k, (h, w) in zip(keys.tolist(), total.tolist(), strict=True):
-            names.sums[k] = names.sums.get(k, 0) + (h << 32) + w
-
-    class Names:
-        """Numbers for a language's sources, and its sums by pairs of them."""
-
-        def __init__(self) -> None:
-            self.numbers, self.sums = {}, {}
-
-        def index_of(self, source: str) -> int:
-            return self.numbers.setdefault(source, len(self.numbers))
-
-    waiting: dict[str, list] = {}
-    pairs: Counter = Counter()
-    for lang, groups in rows_of(batches):
-        waiting.setdefault(lang, []).append(groups)
-        pairs[lang] += len(groups) ** 2
-        if pairs[lang] > CHUNK_PAIRS:
-            add(lang, sums.setdefault(lang, Names()), waiting.pop(lang))
-            pairs[lang] = 0
-    for lang, lists in waiting.items():
-        add(lang, sums.setdefault(lang, Names()), lists)
-    for lang, names in sums.items():
-        of = list(names.numbers)
-        rows = [(of[k >> 32], of[k & 0xFFFFFFFF], v >> 32, v & 0xFFFFFFFF) for k, v in names.sums.items()]
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))], names=["lang", "source", "item", "high", "low"])
+        total = np.zeros((2, len(keys)), np.int64)
+        np.add.at(total[0], place, high)
+        np.add.at(total[1], place, low)
+        for k, h, w in zip(keys.tolist(), *total.tolist(), strict=True):
+            key = lang, k >> 32, k & 0xFFFFFFFF
+            sums[key] = sums.get(key, 0) + (h << 32) + w
+
+    for batch in batches:
+        langs, lists = batch.column(0).dictionary_encode(), batch.column(1)
+        codes = langs.indices.to_numpy()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        values = lists.flatten()
+        columns = [values.field(k).to_numpy().astype(np.int64) for k in range(3)]
+        ends = np.cumsum(sizes)
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            rows = np.flatnonzero(codes == code)
+            cut = np.cumsum(sizes[rows] ** 2) // CHUNK_PAIRS
+            for some in np.split(rows, np.flatnonzero(np.diff(cut)) + 1):
+                picked = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in some]) if len(some) else np.zeros(0, np.int64)
+                add(lang, sizes[some], *(c[picked] for c in columns))
+    rows = [(*k, v >> 32, v & 0xFFFFFFFF) for k, v in sums.items() if k[1] != k[2]]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["lang", "a", "b", "high", "low"])
 
 
 def audit_sources(docs: DataFrame, min_docs: int = 3, ranks: int = 200, id_col: str = "doc_id", text_col: str = "text", slot_bytes: int = SLOT_BYTES) -> DataFrame:
@@ -190,8 +169,9 @@ def audit_sources(docs: DataFrame, min_docs: int = 3, ranks: int = 200, id_col:
     of_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = groups.join(of_group, ["lang", "source"], "left").join(sizes, "lang", "left")
     known = known.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("V", F.lit(0)).alias("V"))
-    known = stored(known.withColumn("p0", _share(F.lit(0), F.col("total") + F.col("V"))), "groups")
-    postings = counts.join(known, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total") + F.col("V"))).select("lang", "source", "term", "p", "p0")
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")  # a row a group
+    known = stored(known.withColumn("p0", _share(F.lit(0), F.col("total") + F.col("V"))).withColumn("g", number), "groups")
+    postings = counts.join(known, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total") + F.col("V"))).select("lang", "source", "term", "g", "p", "p0")
     parts = _pairs(postings, known).withColumn("part", F.lit("pair")).unionByName(_terms(postings, of_lang, sizes).withColumn("part", F.lit("term")))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     pairs = parts.where("part = 'pair'").withColumn("rank", rank)
@@ -213,8 +193,10 @@ def _pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     p, p0, q0 = F.col("p"), F.col("p0"), F.col("q0")
     mine = shares.select("lang", "source", "item", change(_term_of_sum(p, q0), _term_of_sum(p0, q0)))
     theirs = shares.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), change(_term_of_sum(q0, p), _term_of_sum(q0, p0)))
-    lists = postings.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("groups")).where(F.size("groups") > 1)
-    common = lists.select("lang", "groups").mapInArrow(_common_terms, "lang string, source string, item string, high long, low long")
+    lists = postings.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "p0")).alias("groups")).where(F.size("groups") > 1)  # at most a language's sources
+    common = lists.select("lang", "groups").mapInArrow(_common_terms, "lang string, a long, b long, high long, low long")
+    named = [known.select("lang", F.col("g").alias(g), F.col("source").alias(name)) for g, name in (("a", "source"), ("b", "item"))]
+    common = common.groupBy("lang", "a", "b").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).join(named[0], ["lang", "a"]).join(named[1], ["lang", "b"])
     common = common.select("lang", "source", "item", (F.col("high").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("low")).cast(big).alias("value"))
     summed = base.unionByName(mine).unionByName(theirs).unionByName(common).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return summed.select("lang", "source", "item", F.col("value").cast("long").alias("value"))
