@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from memspan.llm.durable import rows_of, stored, trim_memory
 
 #: Bytes of text in a slot, and pairs of a term's groups that are worked on at a time.
-SLOT_BYTES, CHUNK_PAIRS = 16_000_000, 1_000_000
+SLOT_BYTES, CHUNK_PAIRS = 32_000_000, 1_000_000
 #: Terms a task counts before it hands its counts on.
 COUNTER_SIZE = 300_000
 SCALE = 1_000_000_000
@@ -77,10 +77,13 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _recount(docs: pa.Table, kept: pa.Table) -> pa.Table:
-    """lang, source, term and n: occurrences of a slot's kept terms, by an automaton of them."""
+    """lang, source, term, n and new: occurrences of a slot's kept terms, by an automaton of them; ``new`` is passed on."""
     import ahocorasick
 
-    terms = kept.column("term").unique().to_pylist()
+    new: dict[str, bool] = {}
+    for term, first in zip(kept.column("term").to_pylist(), kept.column("new").to_pylist(), strict=True):
+        new[term] = first or new.get(term, False)  # a task may hand its counts on in parts
+    terms = list(new)
     counts = [0] * len(terms)
     if terms:
         automaton = ahocorasick.Automaton()
@@ -93,19 +96,24 @@ def _recount(docs: pa.Table, kept: pa.Table) -> pa.Table:
                 counts[i] += 1
     n = len(terms)
     lang, source = (kept.column(c)[0].as_py() if n else "" for c in ("lang", "source"))
-    return pa.table([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["lang", "source", "term", "n"])
+    return pa.table([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(list(new.values()), pa.bool_())], names=["lang", "source", "term", "n", "new"])
 
 
-def term_counts(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", slot_bytes: int = SLOT_BYTES) -> DataFrame:
-    """lang, source, term, n: occurrences above zero of every term that at least ``min_docs`` documents of its
-    language have."""
+def _slot_counts(docs: DataFrame, min_docs: int, id_col: str, text_col: str, slot_bytes: int) -> DataFrame:
+    """lang, source, term, n, new: occurrences of kept terms in each slot; each kept term is new in one of its language's rows."""
     slots = _slots(docs, id_col, text_col, slot_bytes)
     seen = slots.mapInArrow(_document_counts, "lang string, source string, part long, term string, n long")
-    in_docs = F.sum("n").over(Window.partitionBy("lang", "term"))
-    kept = seen.withColumn("_docs", in_docs).where(F.col("_docs") >= min_docs).select("lang", "source", "part", "term")
+    by_term = Window.partitionBy("lang", "term")
+    kept = seen.withColumn("_docs", F.sum("n").over(by_term)).withColumn("_place", F.row_number().over(by_term.orderBy("source", "part")))
+    kept = kept.where(F.col("_docs") >= min_docs).select("lang", "source", "part", "term", (F.col("_place") == 1).alias("new"))
     slot = ("lang", "source", "part")
-    counted = slots.groupBy(*slot).cogroup(kept.groupBy(*slot)).applyInArrow(_recount, "lang string, source string, term string, n long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    return slots.groupBy(*slot).cogroup(kept.groupBy(*slot)).applyInArrow(_recount, "lang string, source string, term string, n long, new boolean")
+
+
+def term_counts(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", slot_bytes: int = SLOT_BYTES) -> DataFrame:
+    """lang, source, term, n: occurrences above zero of every term that at least ``min_docs`` documents of its
+    language have."""
+    return _slot_counts(docs, min_docs, id_col, text_col, slot_bytes).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
 def _share(n: Column, total: Column) -> Column:
@@ -162,17 +170,21 @@ def _common_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def audit_sources(docs: DataFrame, min_docs: int = 3, ranks: int = 200, id_col: str = "doc_id", text_col: str = "text", slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank: part ``pair`` tells how far each other source of the language is from
     a source, part ``term`` which terms a source has more of than its language, at most ``ranks`` of them."""
-    counts = stored(term_counts(docs, min_docs, id_col, text_col, slot_bytes), "postings")
+    counts = stored(_slot_counts(docs, min_docs, id_col, text_col, slot_bytes), "counts")
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("_n"))
-    sizes = of_lang.groupBy("lang").agg(F.count("*").alias("V"), F.sum("_n").alias("_total"))
-    of_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    known = groups.join(of_group, ["lang", "source"], "left").join(sizes, "lang", "left")
-    known = known.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("V", F.lit(0)).alias("V"))
+    of_group = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("new").alias("_new"))
+    sizes = of_group.groupBy("lang").agg(F.sum("_new").alias("V"), F.sum("total").alias("_total"))
+    known = groups.join(of_group.drop("_new"), ["lang", "source"], "left").join(sizes, "lang", "left")
+    known = known.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "V", "_total")))
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")  # a row a group
     known = stored(known.withColumn("p0", _share(F.lit(0), F.col("total") + F.col("V"))).withColumn("g", number), "groups")
-    postings = counts.join(known, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total") + F.col("V"))).select("lang", "source", "term", "g", "p", "p0")
-    parts = _pairs(postings, known).withColumn("part", F.lit("pair")).unionByName(_terms(postings, of_lang, sizes).withColumn("part", F.lit("term")))
+    # one shuffle, by language and term: a slot's counts are added up by group, then a term's groups are put together
+    summed = counts.join(known, ["lang", "source"]).repartition("lang", "term").groupBy("lang", "term", "g").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("total", "V", "_total", "p0")))
+    summed = summed.withColumn("p", _share(F.col("n"), F.col("total") + F.col("V")))
+    postings = summed.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "p0")).alias("groups"), F.sum("n").alias("n"), F.first(F.col("_total") + F.col("V")).alias("_all"))  # at most a language's sources
+    postings = stored(postings.select("lang", "term", "groups", _share(F.col("n"), F.col("_all")).alias("q")), "postings")
+    names = known.select("lang", "g", "source")
+    parts = _pairs(postings, known).withColumn("part", F.lit("pair")).unionByName(_terms(postings, names).withColumn("part", F.lit("term")))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     pairs = parts.where("part = 'pair'").withColumn("rank", rank)
     terms = parts.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= ranks)
@@ -185,7 +197,8 @@ def _pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     other = known.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     both = known.join(other, "lang").where("source <> item")
     base = both.select("lang", "source", "item", (F.col("V").cast(big) * _term_of_sum(F.col("p0"), F.col("q0"))).cast(big).alias("value"))
-    shares = postings.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("m")).join(other, "lang").where("source <> item")
+    shares = postings.select("lang", F.explode("groups").alias("x")).groupBy("lang", "x.g", "x.p", "x.p0").agg(F.count("*").alias("m"))
+    shares = shares.join(known.select("lang", "g", "source"), ["lang", "g"]).join(other, "lang").where("source <> item")
 
     def change(with_share: Column, without: Column) -> Column:
         return (F.col("m").cast("decimal(18,0)") * (with_share - without)).cast(big).alias("value")
@@ -193,8 +206,7 @@ def _pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     p, p0, q0 = F.col("p"), F.col("p0"), F.col("q0")
     mine = shares.select("lang", "source", "item", change(_term_of_sum(p, q0), _term_of_sum(p0, q0)))
     theirs = shares.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), change(_term_of_sum(q0, p), _term_of_sum(q0, p0)))
-    lists = postings.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "p0")).alias("groups")).where(F.size("groups") > 1)  # at most a language's sources
-    common = lists.select("lang", "groups").mapInArrow(_common_terms, "lang string, a long, b long, high long, low long")
+    common = postings.where(F.size("groups") > 1).select("lang", "groups").mapInArrow(_common_terms, "lang string, a long, b long, high long, low long")
     named = [known.select("lang", F.col("g").alias(g), F.col("source").alias(name)) for g, name in (("a", "source"), ("b", "item"))]
     common = common.groupBy("lang", "a", "b").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).join(named[0], ["lang", "a"]).join(named[1], ["lang", "b"])
     common = common.select("lang", "source", "item", (F.col("high").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("low")).cast(big).alias("value"))
@@ -202,8 +214,7 @@ def _pairs(postings: DataFrame, known: DataFrame) -> DataFrame:
     return summed.select("lang", "source", "item", F.col("value").cast("long").alias("value"))
 
 
-def _terms(postings: DataFrame, of_lang: DataFrame, sizes: DataFrame) -> DataFrame:
+def _terms(postings: DataFrame, names: DataFrame) -> DataFrame:
     """lang, source, item, value of the terms that a source has a larger share of than its language."""
-    shares = of_lang.join(sizes, "lang").select("lang", "term", _share(F.col("_n"), F.col("_total") + F.col("V")).alias("q"))
-    met = postings.join(shares, ["lang", "term"]).where("p > q")
-    return met.select("lang", "source", F.col("term").alias("item"), _term_of_sum(F.col("p"), F.col("q")).alias("value"))
+    met = postings.select("lang", "term", "q", F.explode("groups").alias("x")).where("x.p > q").select("lang", "x.g", F.col("term").alias("item"), _term_of_sum(F.col("x.p"), F.col("q")).alias("value"))
+    return met.join(names, ["lang", "g"]).select("lang", "source", "item", "value")

@@ -15,6 +15,7 @@ import pytest
 import corpus_pipeline
 from memspan.llm import chat, decontaminate, fingerprints, language, neardup, packing, pseudolm, queries, secrets
 from tests.llm.test_pseudolm import brute_scores
+from tests.llm.test_repair import whole
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -38,7 +39,7 @@ def test_oracle(spark, name):
 
 
 def test_names():
-    assert [sum(n.startswith(f"op{i}_") for n in queries.queries()) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in queries.queries()) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in queries.queries() and set(queries.oracle_sql()) <= set(queries.queries())
 
 
@@ -125,6 +126,26 @@ def test_packing_query(spark, documents):
     assert found.sequence_id.nunique() <= 1.03 * found.length.sum() / 2048 + 1
 
 
+def test_bpe_query(spark, documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = queries.op11_bpe_codec(spark, SF).toPandas().set_index("doc_id")
+    assert sorted(found.index) == sorted(documents.index)
+    for i, text in documents.text.items():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        wanted = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert tuple(found.loc[i]) == wanted
+
+
+def test_repair_query(spark):
+    rows = pd.read_parquet(f"{SF}/conversations.parquet")
+    said = [tuple(None if pd.isna(v) else v for v in r) for r in rows[["conv_id", "turn", "role", "text"]].itertuples(index=False)]
+    found = queries.op12_conversation_repair(spark, SF)
+    assert found.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    assert sorted(map(tuple, found.collect()), key=repr) == whole(said)
+
+
 def test_chat_query(spark):
     rows = pd.read_parquet(f"{SF}/conversations.parquet").sort_values(["conv_id", "turn"])
     found = queries.op10_chat_formatting(spark, SF).toPandas().set_index("conv_id")
