@@ -78,10 +78,11 @@ def run_map(spark: SparkSession, a: argparse.Namespace) -> int:
         return 1
     forward = F.when(F.col("strand") == "-", F.col("_size") - (F.col("query_pos") - 1 + F.col("len")) + 1).otherwise(F.col("query_pos"))
     found = rows.where("ref_pos IS NOT NULL").drop("strand").join(known, ["source", "block"]).select("query_id", "strand", F.lit(refs.first().id).alias("ref_id"), "ref_pos", forward.alias("query_pos"), F.col("len").cast("int"))
-    order = [(r.id, r.size) for r in queries.select("id", "size").orderBy("id").toLocalIterator()]
-    picture = bitmap.render_map(mapping.map_pixels(found, refs, queries), order, refs.first().size)
-    with open(a.output, "wb") as f:
-        f.write(bitmap.bitmap_bytes(picture, bitmap.palette(), compress=True))
+    sizes = queries.select("id", "size")
+    ref_size = refs.first().size
+    most = max(ref_size, sizes.agg(F.max("size")).first()[0])
+    bars = stored(bitmap.map_bars(mapping.map_pixels(found, refs, queries), sizes, ref_size, most), "bars")
+    bitmap.write_map(a.output, bars, bitmap.map_top(spark, ref_size, most))
     return 0
 
 

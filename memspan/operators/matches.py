@@ -115,24 +115,30 @@ def _met(r: DataFrame, total: int, small: bool, queries: DataFrame, min_len: int
     if held is not None:
         q = passing(q, held, total)
     if stride == 1:
-        r, q = _apart(r, q)
+        r, q = _apart(r, q, k)
     r = r.select("ref_id", "_h", *(F.col(n).alias(f"_r_{n}") for n in ("pos", "kmer", "left", "right")))
     hits = q.join(F.broadcast(r) if small else r, "_h").where("kmer = _r_kmer").drop("kmer", "_r_kmer", "_h")
     hits = hits.withColumn("_diag", F.col("_r_pos") - F.col("pos"))
     return _closed(hits, min_len) if stride == 1 else _runs(hits, min_len, k, stride)
 
 
-def _apart(r: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys by which k-mers inside runs of one letter never meet each other.
+def _apart(r: DataFrame, q: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Keys by which k-mers inside runs of one, two or three letters again and again never meet each other.
 
-    Two such k-mers have equal letters on either side, so they are neither first nor last of a match; but runs of a and b
-    letters would make a x b pairs of them. Inside ones of the references have a key of their own, which only the
-    queries' k-mers at the ends of such runs look up besides their own."""
-    letter = F.left("kmer", F.lit(1))
-    one = F.replace("kmer", letter, F.lit("")) == ""
-    inside = one & (F.col("left") == letter) & (F.col("right") == letter)
+    Two equal ones inside such runs have equal letters on either side, so they are neither first nor last of a match; but runs of a and
+    b letters would make a x b pairs of them. Inside ones of the references have a key of their own, which only those
+    k-mers of the queries look up, besides their own, that stand at the ends of such runs."""
+    def again(period: int) -> tuple[Column, Column]:
+        """Whether a k-mer repeats itself by so many letters, and whether the letters beside it go on with that."""
+        repeats = F.col("kmer").startswith(F.substr("kmer", F.lit(period + 1)))
+        return repeats, repeats & (F.col("left") == F.substr("kmer", F.lit(period), F.lit(1))) & (F.col("right") == F.substr("kmer", F.lit(k - period + 1), F.lit(1)))
+
+    found = [again(period) for period in (1, 2, 3) if period < k]
+    some, inside = F.lit(False), F.lit(False)
+    for repeats, goes_on in reversed(found):  # by the shortest period that a k-mer has
+        some, inside = some | repeats, F.when(repeats, goes_on).otherwise(inside)
     other = F.col("_h").bitwiseXOR(F.lit(1).cast("long"))
-    keys = F.when(one & ~inside, F.array("_h", other)).otherwise(F.array("_h"))
+    keys = F.when(some & ~inside, F.array("_h", other)).otherwise(F.array("_h"))
     return r.withColumn("_h", F.when(inside, other).otherwise(F.col("_h"))), q.withColumn("_h", F.explode(keys))
 
 

@@ -10,6 +10,7 @@ they will be compared by. The text itself is a table of pieces, no row holds the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def lf_mapping(suffixes: DataFrame) -> DataFrame:
     return suffixes.withColumn("_o", within).join(F.broadcast(smaller.select("bwt", "_c")), "bwt").withColumn("jump", (F.col("_c") + F.col("_o")).cast("long")).drop("_o", "_c")
 
 
-#: Ranks searched together, and ranks left over that one task holds.
+#: Ranks searched together.
 BLOCK_RANKS = 1 << 16
 
 
@@ -127,13 +128,31 @@ def _skyline(values: list[int], backwards: bool) -> list[int]:
     return out
 
 
+def _next_below(least: np.ndarray, blocks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each block and value the first block behind it whose least value is smaller (-1 if there is none), by leaps of
+    falling powers of two over the least values of as many blocks."""
+    n, tables = len(least), [least]
+    while 2 << len(tables) <= 2 * n:
+        half = 1 << (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+    at = blocks + 1
+    for k in reversed(range(len(tables))):
+        fits = at + (1 << k) <= n
+        leap = fits & (tables[k][np.where(fits, at, 0)] >= values)
+        at = at + (leap.astype(np.int64) << k)
+    return np.where(at < n, at, -1)
+
+
 def smaller_values(lcps: DataFrame, block: int = BLOCK_RANKS) -> DataFrame:
     """Adds previous_smaller and next_smaller: the nearest ranks with a smaller lcp (null if none).
 
     Blocks of ranks are searched by themselves, with a stack. What a place does not find in its block lies in
-    the nearest block beyond that has it, at a place smaller than all behind it (before it); only those places of a
-    block, and those that are still searching with a new least value, are searched once more, all together."""
-    schema = "rank long, pos long, lcp long, previous_smaller long, next_smaller long, leads boolean, trails boolean"
+    the nearest block beyond whose least value is smaller; the least values, eight bytes a block, are sent to the tasks to find that block.
+    There it is the nearest place that is smaller than all before it (behind it), which a window over that block's
+    such places and the values looked for tells. Places of a block with equal values look for the same."""
+    import pandas as pd
+
+    schema = "rank long, pos long, lcp long, previous_smaller long, next_smaller long, leads boolean, trails boolean, block long"
 
     def within(frame):
         frame = frame.sort_values("rank").reset_index(drop=True)
@@ -144,24 +163,34 @@ def smaller_values(lcps: DataFrame, block: int = BLOCK_RANKS) -> DataFrame:
         out["leads"] = out["trails"] = False
         out.loc[_skyline(values, False), "leads"] = True
         out.loc[_skyline(values, True), "trails"] = True
+        out["block"] = frame["block"]
         return out.astype({"previous_smaller": "Int64", "next_smaller": "Int64"})
 
-    def over(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("rank")
-        before, after = _smaller(frame["lcp"].tolist(), frame["rank"].tolist())
-        return pd.DataFrame({"rank": frame["rank"], "far_before": pd.array(before, "Int64"), "far_after": pd.array(after, "Int64")})
-
     blocks = lcps.select("rank", "pos", "lcp", F.floor(F.col("rank") / block).alias("block"))
     near = stored(blocks.groupBy("block").applyInPandas(within, schema), "smaller")
-    far = stored(near.where("leads OR trails").select("rank", "lcp").groupBy().applyInPandas(over, "rank long, far_before long, far_after long"), "edges")
-    # a value that is still searching equals a new least one of its block, and has the same answer
-    at = F.floor(F.col("rank") / block)
-    edges = near.select("rank", "lcp", "leads", "trails", at.alias("block")).join(far, "rank")
-    rows = near.withColumn("block", at)
-    rows = rows.join(edges.where("leads").select("block", "lcp", "far_before"), ["block", "lcp"], "left")
-    rows = rows.join(edges.where("trails").select("block", "lcp", "far_after"), ["block", "lcp"], "left")
+    least = np.array([r.least for r in near.groupBy("block").agg(F.min("lcp").alias("least")).orderBy("block").collect()], np.int64)
+    held = near.sparkSession.sparkContext.broadcast(least)
+
+    def beyond(backwards: bool):
+        def found(frames):
+            mins = held.value[::-1] if backwards else held.value
+            for frame in frames:
+                own = frame["block"].to_numpy()
+                there = _next_below(mins, len(mins) - 1 - own if backwards else own, frame["lcp"].to_numpy())
+                there = np.where(there < 0, -1, len(mins) - 1 - there) if backwards else there
+                yield pd.DataFrame({"block": own, "lcp": frame["lcp"], "there": there})
+
+        return found
+
+    rows = near
+    for backwards, missing, skyline, out in ((True, "previous_smaller", "trails", "far_before"), (False, "next_smaller", "leads", "far_after")):
+        wanted = near.where(F.col(missing).isNull()).select("block", "lcp").distinct().mapInPandas(beyond(backwards), "block long, lcp long, there long").where("there >= 0")
+        wanted = stored(wanted, "wanted")
+        places = near.where(skyline).select(F.col("block").alias("there"), "lcp", F.col("rank").alias("place"))
+        both = places.unionByName(wanted.select("there", "lcp", F.lit(None).cast("long").alias("place")).distinct())
+        smaller = Window.partitionBy("there").orderBy("lcp", F.col("place").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)  # values looked for stand before places of equal ones
+        answers = both.withColumn(out, F.last("place", ignorenulls=True).over(smaller)).where("place IS NULL").select("there", "lcp", out)
+        rows = rows.join(wanted.join(answers, ["there", "lcp"]).select("block", "lcp", out), ["block", "lcp"], "left")
     return rows.select("rank", "pos", "lcp", F.coalesce("previous_smaller", "far_before").alias("previous_smaller"), F.coalesce("next_smaller", "far_after").alias("next_smaller"))
 
 

@@ -5,6 +5,7 @@ Files are written from the tables to the folder that all executors share, then r
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,12 +198,13 @@ def axis_ticks(spark, sf_dir):
     return mapping.ruler_marks(sizes, "size").select("doc_id", "mark", "pixel")
 
 
-def _picture(spark: SparkSession, sf_dir: str) -> tuple[bytes, list[tuple[int, int]]]:
+def _bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The bars of all documents over the benchmark's passages, the references' size and the longest sequence's."""
     refs, docs = text_corpus(spark, sf_dir)
-    merged = mapping.merged_offsets(refs).agg(F.sum(F.col("size") + 1) - 1).first()[0]
-    order = [(r.id, r.size) for r in docs.select("id", F.coalesce(F.length("chars"), F.lit(0)).alias("size")).orderBy("id").toLocalIterator()]
-    pixels = mapping.map_pixels(matches.find_matches(refs, docs, TEXT_LEN), refs, docs)
-    return bitmap.bitmap_bytes(bitmap.render_map(pixels, order, merged), bitmap.palette(), compress=True), order
+    merged = matches.merged_offsets(refs).agg(F.sum(F.col("size") + 1) - 1).first()[0]
+    sizes = docs.select("id", F.coalesce(F.length("chars"), F.lit(0)).cast("long").alias("size"))
+    most = max(merged, sizes.agg(F.max("size")).first()[0])
+    return bitmap.map_bars(mapping.map_pixels(matches.find_matches(refs, docs, TEXT_LEN), refs, docs), sizes, merged, most), merged, most
 
 
 def _pixel_sql() -> str:
@@ -215,24 +217,26 @@ def _pixel_sql() -> str:
 
 @query(f"{_pixel_sql()} SELECT query_id, pixel, CAST(CASE strand WHEN '+' THEN 3 ELSE 129 END + least(125, floor(ref_pixel * 126 / wide)) AS INTEGER) AS colour FROM y, z WHERE n = 1 AND pixel < 1014")
 def map_bitmap(spark, sf_dir):
-    """The picture of the map, written run-length encoded and read back: the coloured pixels of all bars."""
-    data, order = _picture(spark, sf_dir)
-    rows = bitmap.bitmap_rows(data)
-    found = []
-    for k, (doc, _) in enumerate(order):
-        line = rows[mapping_row(k)]
-        found += [(doc, x - mapping.MARGIN, c) for x, c in enumerate(line) if c > bitmap.GREY]
-    return spark.createDataFrame(found, "query_id long, pixel long, colour int")
+    """The bars of the map as run-length encoded rows, unpacked again: their coloured pixels."""
+    bars = _bars(spark, sf_dir)[0]
 
+    def unpacked(frames):
+        for frame in frames:
+            rows = [(i, x - mapping.MARGIN, c) for i, line in zip(frame["query_id"], frame["line"], strict=True) for x, c in enumerate(bitmap.unpacked_row(line)) if c > bitmap.GREY]
+            yield pd.DataFrame(rows, columns=["query_id", "pixel", "colour"])
 
-def mapping_row(k: int) -> int:
-    """A row of pixels inside the bar of the ``k``-th query."""
-    return bitmap.bar_top(k + 1) + mapping.BAR // 2
+    return bars.select("query_id", "line").mapInPandas(unpacked, "query_id long, pixel long, colour int")
 
 
 @query("""SELECT 'BM' AS filetype, 1024 AS width, CAST(count(*) * 42 + 70 AS INTEGER) AS height, 1 AS planes, 8 AS bits, 1 AS compression, 256 AS colours, 1078 AS dataoffset FROM documents""")
 def bmp_info(spark, sf_dir):
-    """The headers of the map's bitmap file."""
-    info = bitmap.bitmap_info(_picture(spark, sf_dir)[0])
+    """The headers of the map's bitmap file, which follow from its bars."""
+    bars, merged, most = _bars(spark, sf_dir)
     columns = ("filetype", "width", "height", "planes", "bits", "compression", "colours", "dataoffset")
-    return spark.createDataFrame([tuple(info[c] for c in columns)], "filetype string, width int, height int, planes int, bits int, compression int, colours int, dataoffset int")
+
+    def read(frames):
+        for frame in frames:
+            yield pd.DataFrame([[bitmap.bitmap_info(h)[c] for c in columns] for h in frame["header"]], columns=columns)
+
+    heads = bitmap.map_header(bars, bitmap.map_top(spark, merged, most))
+    return heads.mapInPandas(read, "filetype string, width int, height int, planes int, bits int, compression int, colours int, dataoffset int")

@@ -1,7 +1,8 @@
 """The match map as a bitmap file: 8-bit palette, plain or run-length encoded, written and read.
 
 The picture has a ruler, a bar for the reference and one for each query; what is drawn comes from
-:func:`memspan.operators.mapping.map_pixels`, at most ``WIDTH`` pixels a query, on the driver.
+:func:`memspan.operators.mapping.map_pixels`. Bars are drawn and encoded by the tasks, a row of the picture for each
+query; the file is put together from them as they come, so no task and no driver ever holds the picture.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 import re
 import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspan.operators.mapping import BAR, CHAR_HEIGHT, CHAR_SPACE, CHAR_WIDTH, GAP, HEADER, MARGIN, V_MARGIN, WIDTH, ruler_marks, sequence_pixels
+from memspan.operators.scans import numbered
 
 WHITE, BLACK, GREY = 0, 1, 2
 RAMP = 126
@@ -60,17 +62,28 @@ def nearest_colour(red: Column, green: Column, blue: Column, colours: list[tuple
     return F.array_min(away)["i"]
 
 
+def rle8_row(row: bytes) -> bytes:
+    """Run-length encoding of one row: (count, value) pairs."""
+    return b"".join(bytes((len(m.group()), m.group()[0])) for m in _RUN.finditer(row))
+
+
+def unpacked_row(data: bytes) -> bytes:
+    """The row that such pairs stand for."""
+    return b"".join(bytes((value,)) * count for count, value in zip(data[::2], data[1::2], strict=True))
+
+
 def rle8(rows: list[bytes]) -> bytes:
-    """Run-length encoding of rows from the bottom up: (count, value) pairs, row and file ends."""
-    known: dict[bytes, bytes] = {}
-    out = bytearray()
-    for row in rows:
-        if row not in known:
-            runs = (m.group() for m in _RUN.finditer(row))
-            known[row] = b"".join(bytes((len(r), r[0])) for r in runs)
-        out += known[row] + b"\0\0"
-    out[-2:] = b"\0\1"
-    return bytes(out)
+    """Run-length encoding of rows from the bottom up: pairs, row and file ends."""
+    out = b"".join(rle8_row(row) + b"\0\0" for row in rows)
+    return out[:-2] + b"\0\1"
+
+
+def file_header(width: int, height: int, colours: list[tuple[int, int, int]], compress: bool, size: int) -> bytes:
+    """Everything in front of ``size`` bytes of pixels."""
+    table = b"".join(struct.pack("<BBBB", b, g, r, 0) for r, g, b in colours)
+    offset = 14 + 40 + len(table)
+    info = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, int(compress), size, 2835, 2835, len(colours), 0)
+    return b"BM" + struct.pack("<IHHI", offset + size, 0, 0, offset) + info + table
 
 
 def bitmap_bytes(rows: list[bytes], colours: list[tuple[int, int, int]], compress: bool = False) -> bytes:
@@ -78,10 +91,7 @@ def bitmap_bytes(rows: list[bytes], colours: list[tuple[int, int, int]], compres
     height, width = len(rows), len(rows[0])
     upward = rows[::-1]
     data = rle8(upward) if compress else b"".join(r + b"\0" * (-width % 4) for r in upward)
-    table = b"".join(struct.pack("<BBBB", b, g, r, 0) for r, g, b in colours)
-    offset = 14 + 40 + len(table)
-    info = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, int(compress), len(data), 2835, 2835, len(colours), 0)
-    return b"BM" + struct.pack("<IHHI", offset + len(data), 0, 0, offset) + info + table + data
+    return file_header(width, height, colours, compress, len(data)) + data
 
 
 def bitmap_info(data: bytes) -> dict[str, int | str]:
@@ -151,15 +161,43 @@ def colour_of(strand: str, ref_pixel: int, ref_pixels: int) -> int:
     return (3 if strand == "+" else 3 + RAMP) + min(RAMP - 1, ref_pixel * RAMP // max(1, ref_pixels))
 
 
-def render_map(pixels: DataFrame, queries: list[tuple[object, int]], ref_size: int, width: int = WIDTH) -> list[bytes]:
-    """The picture's rows: a ruler with marks, the reference's colours (forward above, reverse below), and a grey bar
-    in a frame for each query (id, size), in the order given, with every matched pixel in the colour
-    of the reference pixel it comes from. All is drawn on the driver: at most ``width`` pixels a query."""
-    most = max([ref_size, *(n for _, n in queries)])
-    picture = Picture(width, bar_top(len(queries) + 1) - GAP + V_MARGIN)
+def map_bars(pixels: DataFrame, queries: DataFrame, ref_size: int, most: int, width: int = WIDTH) -> DataFrame:
+    """query_id, place (1-based, by id), line and frame of each query (id, a number, and size): one row of its bar and of the frame
+    above and below, run-length encoded. Every matched pixel has the colour of the reference pixel it comes from,
+    the rest of the bar is grey; ``most`` is the size of the longest sequence."""
+    ref_pixels = sequence_pixels(ref_size, most, width)
+    step = F.least(F.lit(RAMP - 1), F.floor(F.col("ref_pixel") * RAMP / max(1, ref_pixels)))
+    coloured = pixels.where(F.col("pixel") < width - MARGIN).select("query_id", F.struct(F.col("pixel").cast("int").alias("pixel"), (F.when(F.col("strand") == "+", 3).otherwise(3 + RAMP) + step).cast("int").alias("colour")).alias("p"))
+    lists = coloured.groupBy("query_id").agg(F.collect_list("p").alias("dots"))  # at most ``width``
+    placed = numbered(queries.select(F.col("id").alias("query_id"), "size", F.lit(0).alias("_all")), ("_all",), (("query_id", False),), "query_id", "place")
+    rows = placed.join(lists, "query_id", "left").select("query_id", "place", "size", "dots")
+    id_type = rows.schema["query_id"].dataType.simpleString()
+
+    def drawn(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for size, dots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                n = min(sequence_pixels(size, most, width), width - MARGIN)
+                frame = bytearray(width)
+                frame[MARGIN - 1 : MARGIN + n + 1] = bytes([BLACK]) * (min(MARGIN + n + 1, width) - MARGIN + 1)
+                line = bytearray(frame)
+                line[MARGIN : MARGIN + n] = bytes([GREY]) * n
+                for dot in dots or ():
+                    line[MARGIN + dot["pixel"]] = dot["colour"]
+                out.append((rle8_row(bytes(line)), rle8_row(bytes(frame))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[k] for o in out], pa.binary()) for k in (0, 1))], names=["query_id", "place", "line", "frame"])
+
+    return rows.mapInArrow(drawn, f"query_id {id_type}, place int, line binary, frame binary")
+
+
+def map_top(spark: SparkSession, ref_size: int, most: int, width: int = WIDTH) -> list[bytes]:
+    """The rows above the first query: a ruler with marks and the reference's colours, forward above, reverse below."""
+    picture = Picture(width, bar_top(0) + BAR)
     ref_pixels, whole = sequence_pixels(ref_size, most, width), sequence_pixels(most, most, width)
     picture.fill(MARGIN, V_MARGIN + CHAR_HEIGHT + CHAR_SPACE + CHAR_HEIGHT // 2, whole, 1, BLACK)
-    inner = ruler_marks(pixels.sparkSession.range(1).select(F.lit(most).cast("long").alias("most")), "most", width)  # at most ``width`` marks
+    inner = ruler_marks(spark.range(1).select(F.lit(most).cast("long").alias("most")), "most", width)  # at most ``width`` marks
     for mark, pixel in [(1, 0), *((r.mark, r.pixel) for r in inner.orderBy("mark").collect()), (most, whole - 1)]:
         picture.number(mark, MARGIN + pixel, V_MARGIN, BLACK)
         picture.fill(MARGIN + pixel, V_MARGIN + CHAR_HEIGHT + CHAR_SPACE, 1, CHAR_HEIGHT, BLACK)
@@ -167,16 +205,31 @@ def render_map(pixels: DataFrame, queries: list[tuple[object, int]], ref_size: i
     for x in range(ref_pixels):
         picture.fill(MARGIN + x, bar_top(0), 1, half, colour_of("+", x, ref_pixels))
         picture.fill(MARGIN + x, bar_top(0) + BAR // 2 + 1, 1, half, colour_of("-", x, ref_pixels))
-    lines: dict[object, bytearray] = {}
-    for k, (query, size) in enumerate(queries):
-        n = sequence_pixels(size, most, width)
-        picture.frame(MARGIN - 1, bar_top(k + 1) - 1, n + 2, BAR + 2, BLACK)
-        picture.fill(MARGIN, bar_top(k + 1), n, BAR, GREY)
-        lines[query] = bytearray(picture.rows[bar_top(k + 1)])
-    for row in pixels.toLocalIterator():
-        if row.query_id in lines and MARGIN + row.pixel < width:
-            lines[row.query_id][MARGIN + row.pixel] = colour_of(row.strand, row.ref_pixel, ref_pixels)
-    for k, (query, _) in enumerate(queries):
-        for y in range(bar_top(k + 1), bar_top(k + 1) + BAR):
-            picture.rows[y] = lines[query]
     return [bytes(r) for r in picture.rows]
+
+
+def map_header(bars: DataFrame, top: list[bytes], width: int = WIDTH) -> DataFrame:
+    """header: the file header of a map of these bars, from their number and their summed lengths."""
+    blank, above = len(rle8_row(bytes(width))) + 2, sum(len(rle8_row(r)) + 2 for r in top)
+    size = BAR * (F.length("line") + 2) + 2 * (F.length("frame") + 2) + (GAP - 2) * blank
+    sums = bars.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("size"))
+
+    def made(frames):
+        for frame in frames:
+            heads = [file_header(width, bar_top(n + 1) - GAP + V_MARGIN, palette(), True, size + above + V_MARGIN * blank) for n, size in zip(frame["n"], frame["size"], strict=True)]
+            yield frame.assign(header=heads)[["header"]]
+
+    return sums.mapInPandas(made, "header binary")
+
+
+def write_map(path: str, bars: DataFrame, top: list[bytes], width: int = WIDTH) -> None:
+    """The map as a file, from the bottom up, bar by bar as they arrive."""
+    blank, end = rle8_row(bytes(width)), b"\0\0"
+    with open(path, "wb") as f:
+        f.write(map_header(bars, top, width).first().header)
+        below = V_MARGIN - 1
+        for bar in bars.orderBy(F.desc("place")).toLocalIterator():
+            f.write((blank + end) * below + bar.frame + end + (bar.line + end) * BAR + bar.frame + end)
+            below = GAP - 2
+        f.write((blank + end) * (below + 1))
+        f.write(rle8(top[::-1]))

@@ -113,13 +113,14 @@ def test_filter_before_the_shuffle(spark):
         assert {tuple(x) for x in matches.find_matches(refs, queries, least, boundary="merged", broadcast_bytes=0).collect()} == wide
 
 
-def test_runs_of_one_letter_make_few_pairs(spark):
+def test_repetitive_runs_make_few_pairs(spark):
     a, b = 300, 400
-    ref, query = "C" + "N" * a + "GATNNNNT", "NNNNNNG" + "N" * b + "A"
-    refs, queries = (spark.createDataFrame([(0, t)], "id long, chars string") for t in (ref, query))
-    for limit in (0, 10**9):
-        assert {(x.ref_pos, x.query_pos, x.len) for x in matches.find_matches(refs, queries, 5, broadcast_bytes=limit).collect()} == mems(ref, query, 5)
-    r, q = (matches.kmers(d, "chars", 5, context=1).withColumn("_h", F.xxhash64("kmer")) for d in (refs, queries))
-    plain = r.select("_h").join(q.select("_h"), "_h").count()
-    r, q = matches._apart(r, q)
-    assert plain > (a - 5) * (b - 5) and r.select("_h").join(q.select("_h"), "_h").count() < 5 * (a + b)
+    for unit in ("N", "AC", "GAT"):
+        ref, query = "C" + (unit * a)[:a] + "GATNNNNT", (unit * 6)[:6] + "G" + (unit * b)[1 : b + 1] + "A"
+        refs, queries = (spark.createDataFrame([(0, t)], "id long, chars string") for t in (ref, query))
+        for limit in (0, 10**9) if unit == "AC" else (10**9,):
+            assert {(x.ref_pos, x.query_pos, x.len) for x in matches.find_matches(refs, queries, 5, broadcast_bytes=limit).collect()} == mems(ref, query, 5)
+        r, q = (matches.kmers(d, "chars", 5, context=1).withColumn("_h", F.xxhash64("kmer")) for d in (refs, queries))
+        plain = r.select("_h").join(q.select("_h"), "_h").count()
+        r, q = matches._apart(r, q, 5)
+        assert plain > (a - 8) * (b - 8) // len(unit) and r.select("_h").join(q.select("_h"), "_h").count() < 6 * (a + b)

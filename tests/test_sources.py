@@ -204,7 +204,10 @@ def test_command_line(spark, write, tmp_path, capsys):
     assert cli.main(["map", "-o", picture, one, ref, query], spark) == 0
     assert open(picture, "rb").read(2) == b"BM"
     assert cli.main(["match", ref, write("none.fa", "")], spark) == 1
-    rows = bitmap.bitmap_rows(open(picture, "rb").read())
+    data = open(picture, "rb").read()
+    assert bitmap.bitmap_info(data)["filesize"] == len(data)
+    rows = bitmap.bitmap_rows(data)
+    assert bitmap.bitmap_bytes(rows, bitmap.palette(), compress=True) == data
     assert len(rows) == bitmap.bar_top(3) - mapping.GAP + mapping.V_MARGIN and len(rows[0]) == 1024
     assert max(rows[bitmap.bar_top(1) + 9]) > bitmap.GREY >= max(rows[bitmap.bar_top(2) + 9]) and bitmap.BLACK in rows[mapping.V_MARGIN]
 
