@@ -290,19 +290,20 @@ def backward_search(refs: DataFrame, patterns: DataFrame, rounds_stored: int = 4
     """id, pattern, top, bottom, n of each pattern (id, pattern) of letters A, C, G, T and N: the rank interval of the suffixes that
     begin with it and how many they are; those that do not occur have no rank and n = 0. Null and empty patterns are left out.
 
-    Patterns are read from their ends. One join gives the interval of the last SEED letters (of patterns that have
-    as many); every further letter c narrows [top, bottom] to C(c) plus the occurrences of c before top and before bottom + 1,
+    Patterns are read from their ends. One join gives the interval of the last SEED letters, or of all if there
+    are fewer; every further letter c narrows [top, bottom] to C(c) plus the occurrences of c before top and before bottom + 1,
     two look-ups in the occurrence table. All patterns take a letter in the same round, whatever their lengths."""
-    array = stored(_ranked(refs)[0], "suffixes")
+    array, _, heads = _ranked(refs)
+    array = stored(array, "suffixes")
     table = stored(occurrence_table(array), "occurrences")
     totals = array.groupBy("bwt").agg(F.count("*").alias("n"))
     first = totals.select(F.col("bwt").alias("c"), F.coalesce(F.sum("n").over(Window.orderBy(F.translate("bwt", "$N", " @")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row a letter
-    n = array.count()
-    wanted = patterns.where(F.length("pattern") > 0).select("id", "pattern")
-    seeds = kmers_of_pieces(merged_pieces(refs, "N", ahead=SEED - 1), PIECE, SEED).join(array.select("pos", "rank"), "pos").groupBy(F.col("kmer").alias("_tail")).agg(F.min("rank").alias("top"), F.max("rank").alias("bottom"))
-    longer = wanted.where(F.length("pattern") >= SEED).withColumn("_tail", F.right("pattern", F.lit(SEED))).join(seeds, "_tail").select("id", "pattern", (F.length("pattern") - SEED).alias("left"), "top", "bottom")
-    shorter = wanted.where(F.length("pattern") < SEED).select("id", "pattern", F.length("pattern").alias("left"), F.lit(0).cast("long").alias("top"), F.lit(n - 1).cast("long").alias("bottom"))
-    state = stored(longer.unionByName(shorter), "intervals")
+    wanted = patterns.where(F.length("pattern") > 0).select("id", "pattern", F.least(F.length("pattern"), F.lit(SEED)).alias("_size"))
+    sizes = [r[0] for r in wanted.select("_size").distinct().collect()]  # at most SEED
+    some = F.filter(F.array(*map(F.lit, sizes or [SEED])), lambda k: k <= F.length("head"))
+    tails = heads.join(array.select("pos", "rank"), "pos").select("head", "rank", F.explode(some).alias("_size")).groupBy(F.left("head", F.col("_size")).alias("_tail")).agg(F.min("rank").alias("top"), F.max("rank").alias("bottom"))
+    state = wanted.withColumn("_tail", F.right("pattern", F.col("_size"))).join(tails, "_tail").select("id", "pattern", (F.length("pattern") - F.col("_size")).alias("left"), "top", "bottom")
+    state = stored(state, "intervals")
     most = state.agg(F.max("left")).first()[0] or 0
 
     def occurrences(rows: DataFrame, upto: str, out: str) -> DataFrame:

@@ -109,7 +109,7 @@ def filter_empty(spark, sf_dir):
 
 @query("SELECT item_id AS id, CAST(coalesce(sum(length(text) + 1) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(text) AS size FROM benchmark")
 def merged_offsets(spark, sf_dir):
-    return matches.merged_offsets(text_corpus(spark, sf_dir)[0])
+    return matches.merged_offsets(text_corpus(spark, sf_dir)[0]).select("id", "start", "size")
 
 
 @query("""WITH o AS (SELECT item_id, coalesce(sum(length(text) + 1) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(text) AS size FROM benchmark),
@@ -334,23 +334,23 @@ def long_suffix_intervals(spark, sf_dir):
     return suffixes.prefix_intervals(_letters(spark, sf_dir), 11)
 
 
-_PATTERNS = f"""p AS (SELECT doc_id AS id, substr({_dna('text')}, 1, CAST(2 + doc_id % 12 AS INTEGER)) AS pattern FROM documents WHERE length({_dna('text')}) > 0)"""
+_PATTERNS = """p AS (SELECT doc_id AS id, substr(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g'), 1, CAST(2 + doc_id % 12 AS INTEGER)) AS pattern FROM documents)"""
 
 
 def _patterns(spark, sf_dir):
     """The first 2 to 13 letters of every document."""
-    dna = S.normalize(F.col("text"), acgt_only=True)
-    return table(spark, sf_dir, "documents").where(F.length(dna) > 0).select(F.col("doc_id").alias("id"), F.left(dna, (2 + F.col("doc_id") % 12).cast("int")).alias("pattern"))
+    letters = S.normalize(F.col("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left(letters, (2 + F.col("doc_id") % 12).cast("int")).alias("pattern")).where(F.length("pattern") > 0)
 
 
-@query(_suffix_sql(f""", {_PATTERNS}, u AS (SELECT DISTINCT pattern FROM p), f AS (SELECT pattern, min(rank) AS top, max(rank) AS bottom, count(*) AS n FROM u JOIN k ON substr(k.s, 1, length(pattern)) = pattern GROUP BY pattern)
-SELECT id, pattern, top, bottom, coalesce(n, 0) AS n FROM p LEFT JOIN f USING (pattern)"""))
+@query(_suffix_sql(f""", {_PATTERNS}, u AS (SELECT DISTINCT pattern FROM p), f AS (SELECT pattern, min(rank) AS top, max(rank) AS bottom, count(*) AS n FROM u JOIN k ON substr(k.s, 1, length(pattern)) = translate(pattern, 'N', '@') GROUP BY pattern)
+SELECT id, pattern, top, bottom, coalesce(n, 0) AS n FROM p LEFT JOIN f USING (pattern) WHERE length(pattern) > 0"""))
 def backward_search(spark, sf_dir):
     """The rank interval of patterns of mixed lengths, all narrowed letter by letter in the same rounds."""
     return suffixes.backward_search(_letters(spark, sf_dir), _patterns(spark, sf_dir))
 
 
-@query(_suffix_sql(f", {_PATTERNS} SELECT id, pattern, pos FROM p JOIN k ON substr(k.s, 1, length(pattern)) = pattern WHERE length(pattern) > 6"))
+@query(_suffix_sql(f", {_PATTERNS} SELECT id, pattern, pos FROM p JOIN k ON substr(k.s, 1, length(pattern)) = translate(pattern, 'N', '@') WHERE length(pattern) > 6"))
 def pattern_positions(spark, sf_dir):
     """Where patterns of more than six letters occur in the merged references."""
     letters = _letters(spark, sf_dir)
