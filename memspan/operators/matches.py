@@ -35,6 +35,13 @@ def letters_of(refs: DataFrame) -> int:
     return refs.agg(F.sum(F.length("chars"))).first()[0] or 0
 
 
+def _told_of(refs: DataFrame, k: int) -> tuple[int, bool]:
+    """Characters of all references, and whether any has a run of one, two or three letters again and again that k-mers can lie inside of."""
+    again = "|".join(f"(.{{{p}}})\\{p}{{{(k + 2) // p - 1},}}" for p in (1, 2, 3) if p < k)
+    found = refs.agg(F.sum(F.length("chars")).alias("n"), F.max(F.col("chars").rlike(f"(?s){again}")).alias("again") if again else F.lit(True).alias("again")).first()
+    return found.n or 0, bool(found.again)
+
+
 def fits_broadcast(refs: DataFrame, letters: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a row of ``letters`` characters for each character of the references is small enough."""
     return letters_of(refs) * (letters + ROW_BYTES) <= limit
@@ -78,9 +85,9 @@ def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: s
 
 def _maximal(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int) -> DataFrame:
     k, stride = seed_shape(min_len)
-    total = letters_of(refs)
+    total, repetitive = _told_of(refs, k)
     small = total * (k + 2 * stride + ROW_BYTES) <= broadcast_bytes
-    return _met(kmers(refs if small else spread(refs), "chars", k, 1, stride, ("ref_id",)), total, small, queries, min_len, both_strands)
+    return _met(kmers(refs if small else spread(refs), "chars", k, 1, stride, ("ref_id",)), total, repetitive, small, queries, min_len, both_strands)
 
 
 def kmer_filter(hashes: DataFrame, letters: int) -> DataFrame | None:
@@ -104,8 +111,9 @@ def passing(rows: DataFrame, table: DataFrame, letters: int) -> DataFrame:
     return met.where(F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_h").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).drop("_word", "_bits")
 
 
-def _met(r: DataFrame, total: int, small: bool, queries: DataFrame, min_len: int, both_strands: bool) -> DataFrame:
-    """Matches of queries with the references of ``total`` letters whose k-mers are ``r``. Where both sides are shuffled, a filter of the
+def _met(r: DataFrame, total: int, repetitive: bool, small: bool, queries: DataFrame, min_len: int, both_strands: bool) -> DataFrame:
+    """Matches of queries with the references of ``total`` letters whose k-mers are ``r``; ``repetitive`` tells whether keys that keep
+    runs apart are worth their cost, the matches are the same. Where both sides are shuffled, a filter of the
     references' k-mers goes first, so that of the queries' k-mers little more than those that match are shuffled."""
     k, stride = seed_shape(min_len)
     r = r.withColumn("_h", F.xxhash64("kmer"))
@@ -114,7 +122,7 @@ def _met(r: DataFrame, total: int, small: bool, queries: DataFrame, min_len: int
     held = None if small else kmer_filter(r.select("_h"), total)
     if held is not None:
         q = passing(q, held, total)
-    if stride == 1:
+    if stride == 1 and repetitive:
         r, q = _apart(r, q, k)
     r = r.select("ref_id", "_h", *(F.col(n).alias(f"_r_{n}") for n in ("pos", "kmer", "left", "right")))
     hits = q.join(F.broadcast(r) if small else r, "_h").where("kmer = _r_kmer").drop("kmer", "_r_kmer", "_h")
@@ -187,11 +195,11 @@ def locate_reference(positions: DataFrame, offsets: DataFrame, pos: str = "pos",
 
 def _merged(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int) -> DataFrame:
     k, stride = seed_shape(min_len)
-    total = letters_of(refs)
+    total, repetitive = _told_of(refs, k)
     small = total * (k + 2 * stride + ROW_BYTES) <= broadcast_bytes
     pieces = merged_pieces(refs, "N", before=stride, ahead=k - 1 + stride)
     r = kmers_of_pieces(pieces, PIECE, k, 1, stride).withColumn("ref_id", F.lit(0))
-    found = _met(r, total, small, queries, min_len, both_strands)
+    found = _met(r, total, repetitive, small, queries, min_len, both_strands)
     placed = locate_reference(found.drop("ref_id").withColumn("_at", F.col("ref_pos") - 1), merged_offsets(refs), "_at")
     return placed.select("query_id", "strand", "ref_id", (F.col("local_pos") + 1).alias("ref_pos"), "query_pos", "len")
 

@@ -120,6 +120,7 @@ def test_repetitive_runs_make_few_pairs(spark):
         refs, queries = (spark.createDataFrame([(0, t)], "id long, chars string") for t in (ref, query))
         for limit in (0, 10**9) if unit == "AC" else (10**9,):
             assert {(x.ref_pos, x.query_pos, x.len) for x in matches.find_matches(refs, queries, 5, broadcast_bytes=limit).collect()} == mems(ref, query, 5)
+        assert matches._told_of(refs, 5) == (len(ref), True) and matches._told_of(refs.selectExpr("id", "'ACGTTGCANNACAC' AS chars"), 5) == (14, False)
         r, q = (matches.kmers(d, "chars", 5, context=1).withColumn("_h", F.xxhash64("kmer")) for d in (refs, queries))
         plain = r.select("_h").join(q.select("_h"), "_h").count()
         r, q = matches._apart(r, q, 5)
