@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is scanned for three kinds of secrets. Encoded parts (URL escapes, Unicode escapes,
-base64, and gzip, zlib, bzip2 or xz data inside base64) are unwrapped into further layers, which
+base64, and gzip, zlib, bzip2 or xz data whose bytes are written in any of these) are unwrapped into further layers, which
 are scanned and unwrapped in turn until nothing new appears. Every layer knows which source
 interval each of its characters came from, so a secret found at any depth is reported as a
 span of the original text. A layer seen before with the same source interval ends its branch
@@ -10,7 +10,13 @@ span of the original text. A layer seen before with the same source interval end
 Escapes of escapes (``%252541``) are peeled to the last one in one step. Escapes that stand for no
 character stay as they are, and do not keep their neighbours from being read. Decoded bytes form a layer
 if they hold 14 printable ASCII characters in a row, the least that a secret or a further
-encoding needs; other bytes among them are characters that no pattern has.
+encoding needs; other bytes among them are characters that no pattern has. Where every second byte is zero (UTF-16),
+both halves are layers.
+
+A run of base64 is decoded from its first four characters on, so a payload behind any prefix (``id-``, ``data/``) is read in one of
+the four; compressed data are looked for anywhere in the bytes. Raw deflate has no mark by which to find it, and is read where one of the four
+begins with it. Bytes written as escapes among plain characters (URL escapes, ``\\x1f`` or ``\\u001f`` and the short ones of
+strings; escapes of escapes too) are compressed data if they begin like them and yield the least text that matters.
 
 All characters of a decompressed layer stand for the same source interval, so only the kinds found in it
 matter. Compressed data are read as a stream, member after member and through any number of compressions, in
@@ -38,7 +44,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +58,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("passw", "secret", "token", "api")
 #: Nothing shorter can hold a secret or an encoding.
+LEAST = 14
 PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
+WIDE = re.compile(rb"\0(?:[\t\n\r\x20-\x7e]\0){12}")
 WINDOW_BYTES = 16_000_000
 #: Bytes that neighbouring windows of an endless run share.
 OVERLAP = 65_536
 #: The last character of a window: one that no pattern has, in any layer.
-APART = re.compile(rb"[^A-Za-z0-9+/_.=%\\{}\"':\s-]")
+APART = re.compile(rb"[^A-Za-z0-9+/_.=%\\{}\"':\s\0-]")
 BLANKS = re.compile(rb" {3,}")
 NOT_BASE64 = re.compile(rb"[^A-Za-z0-9+/_-]+")
 
@@ -72,6 +80,48 @@ BASE64_PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9
 BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:[ \t]*\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*|(?:\\r)?\\n[ \t]*")
 MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x\x01", zlib.decompressobj), (b"x\x5e", zlib.decompressobj), (b"x\x9c", zlib.decompressobj), (b"x\xda", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
+#: How compressed data begin behind other bytes.
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|x[\x01\x5e\x9c\xda]")
+#: What the first bytes of compressed data are enough to tell.
+PROBE = 1024
+
+
+class Escaped:
+    """One way to write bytes in text: how compressed data begin in it, and what stands for one byte."""
+
+    def __init__(self, mark: str, escape: str, short: str, plain: str):
+        def byte(value: str) -> str:
+            own = chr(int(value, 16))
+            return f"(?:{re.escape(own)}|{escape % f'(?i:{value})'})" if re.fullmatch(plain, own) else escape % f"(?i:{value})"
+
+        def either(values) -> str:
+            return f"(?:{'|'.join(map(byte, values))})"
+
+        starts = (["1f", "8b"], ["fd", "37", "7a", "58", "5a"], ["42", "5a", "68", [f"3{k}" for k in range(1, 10)], "31", "41", "59", "26", "53", "59"], ["78", ["01", "5e", "9c", "da"]])
+        self.mark = mark
+        self.begin = re.compile("|".join("".join(either([v] if isinstance(v, str) else v) for v in start) for start in starts))
+        self.byte = re.compile(f"{escape % '([0-9A-Fa-f]{2})'}{short}|({plain})")
+        self.run = re.compile(f"(?:{escape % '[0-9A-Fa-f]{2}'}{re.sub('[()]', '', short)}|{plain})++")
+
+    def read(self, text: str, start: int, most: int, plus: str) -> tuple[bytes, list[int], int]:
+        """At most ``most`` bytes from ``start`` on, the place behind each of them, and how many lead to the last escape."""
+        stop = self.run.match(text, start, start + 12 * most).end()
+        out, ends, last = bytearray(), [], 0
+        for m in islice(self.byte.finditer(text, start, stop), most):
+            plain = m[m.re.groups]
+            code = m[1] or (m.re.groups == 3 and m[2])
+            out.append(ord(plus if plain == "+" else plain) if plain else int(code, 16) if m[1] else SHORT[code])
+            ends.append(m.end())
+            last = last if plain else len(out)
+        return bytes(out), ends, last
+
+
+#: The short escapes of strings.
+SHORT = {"0": 0, "a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "'": 39, "/": 47, "\\": 92}
+WRITTEN = (
+    Escaped("%", "%%(?:25)*%s", "", r"[A-Za-z0-9_.~!*'()/+-]"),
+    Escaped("\\", r"\\(?:u005[cC]|x5[cC])*(?:x|u00)%s", r"|\\([0abtnvfr\"'/\\])", r"[\x20-\x5b\x5d-\xff]"),
+)
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, int]]:
@@ -287,7 +337,14 @@ def _kinds_in(chunks: Iterator[bytes], window: int, tally: dict, seen: set) -> s
 
 
 def _kinds_here(data: bytes, window: int, tally: dict, seen: set) -> set[int]:
-    return {kind for _, kind, _ in _all_spans(data.decode("latin-1"), window, tally, seen, True)} if PRINTABLE.search(data) else set()
+    return {kind for part in _halves(data) for _, kind, _ in _all_spans(part.decode("latin-1"), window, tally, seen, True)}
+
+
+def _halves(data: bytes) -> Iterator[bytes]:
+    """What of some bytes may be text: all, and every second one of UTF-16."""
+    for part in (data, data[::2], data[1::2]) if WIDE.search(data) else (data,):
+        if PRINTABLE.search(part):
+            yield part
 
 
 def _watched(chunks: Iterator[bytes], window: int, kinds: set[int], tally: dict, seen: set) -> Iterator[bytes]:
@@ -319,26 +376,114 @@ def _decoded(chunks: Iterator[bytes]) -> Iterator[bytes]:
         yield base64.b64decode(rest + b"=" * (-len(rest) % 4))
 
 
+def _begins(data: bytes, make) -> bool | None:
+    """Whether compressed data yield the least that matters, or end; None if more data are needed to tell."""
+    machine = make()
+    try:
+        return len(machine.decompress(data[:PROBE], LEAST)) == LEAST or machine.eof or None
+    except (zlib.error, OSError, lzma.LZMAError):
+        return False
+
+
+def _compressed_in(data: bytes) -> Iterator[int]:
+    """Where compressed data begin in some bytes: at their start by two bytes alone, elsewhere only if they can be read."""
+    if _machine(data):
+        yield 0
+    for m in COMPRESSED.finditer(data, 1):
+        head = data[m.start() : m.start() + PROBE]
+        if m.group()[:1] in b"B\xfd" or _begins(head, _machine(head)):
+            yield m.start()
+
+
+def _extent(data: bytes) -> tuple[int, bool]:
+    """How many bytes compressed members that follow each other take (0 if the first has no end), and whether the data end
+    inside a member."""
+    at = 0
+    while make := _machine(data[at : at + 6]):
+        machine, held = make(), data[at:]
+        try:
+            while not machine.eof:
+                out = machine.decompress(held, 1 << 18)
+                held = getattr(machine, "unconsumed_tail", b"")
+                if not machine.eof and not held and getattr(machine, "needs_input", not out):
+                    return at, True
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            break
+        at = len(data) - len(machine.unused_data)
+    return at, at == len(data)
+
+
+def written_kinds(layer: Layer, window: int, tally: dict, seen: set, inside: bool) -> set[tuple[int, int, int]]:
+    """Spans of secrets in compressed data whose bytes are written as escapes in ``layer``."""
+    found: set[tuple[int, int, int]] = set()
+    for form in WRITTEN:
+        done = 0
+        for m in form.begin.finditer(layer.text) if form.mark in layer.text else ():
+            for plus in "+ " if form.mark == "%" else "+":  # a plus sign may stand for a blank
+                if m.start() < done:
+                    continue
+                for most in (48, PROBE):
+                    head = form.read(layer.text, m.start(), most, plus)[0]
+                    begun = _begins(head, _machine(head) or zlib.decompressobj)
+                    if begun is not None:
+                        break
+                if begun is False or begun is None and head[:1] not in b"B\xfd":
+                    continue
+                size, cut, most = 0, True, PROBE  # more is read only while the data go on
+                while cut:
+                    data, ends, last = form.read(layer.text, m.start(), most, plus)
+                    size, cut = _extent(data)
+                    cut, most = cut and len(data) == most, 4 * most
+                if size:
+                    done = ends[size - 1]
+                data = data[: size or max(last, 1)]
+                source = layer.source(m.start(), ends[len(data) - 1])
+                key = (_digest(data), *((0, 0) if inside else source))
+                if key not in seen:
+                    seen.add(key)
+                    tally["layers"] += 1
+                    found |= {(source[0], kind, source[1]) for kind in _kinds_of(data, window, tally, seen if inside else set())}
+    return found
+
+
 def base64_layers(layer: Layer, window: int, found: set, tally: dict, seen: set, inside: bool) -> Iterator[Layer]:
-    """A layer for each run that decodes to text; of runs that hold compressed data, the kinds of secrets
-    in them go to ``found`` as spans of the source."""
+    """A layer for each run, from each of its first four characters on, that decodes to text; of runs that hold compressed data,
+    the kinds of secrets in them go to ``found`` as spans of the source."""
     for start, end, run in _base64_runs(layer.text):
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        source = layer.source(start, end)
-        if _machine(data):
-            key = (_digest(data), *((0, 0) if inside else source))
-            if key not in seen:
-                seen.add(key)
-                tally["layers"] += 1
-                found |= {(source[0], kind, source[1]) for kind in _kinds_of(data, window, tally, seen if inside else set())}
-        if PRINTABLE.search(data):
-            yield Layer(data.decode("latin-1"), [(0, *source, 0)])
+        for skip in range(4 if len(run) > 18 else len(run) - 15):
+            some = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            if len(some) < 16:
+                continue
+            data = binascii.a2b_base64(some + "=" * (-len(some) % 4))
+            source = layer.source(start + skip, end)
+            raw = b""
+            if _begins(data, lambda: zlib.decompressobj(-15)):
+                raw = next(_raw(data), b"")
+            packed = [(data[at:], None) for at in _compressed_in(data)]
+            if PRINTABLE.match(raw) or WIDE.search(raw[:4096]) or _machine(raw):
+                packed.append((data, _raw))
+            for part, reader in packed:
+                key = (_digest(part), reader is None, *((0, 0) if inside else source))
+                if key not in seen:
+                    seen.add(key)
+                    tally["layers"] += 1
+                    met = seen if inside else set()
+                    kinds = _kinds_of(part, window, tally, met) if reader is None else _kinds_in(reader(part), window, tally, met)
+                    found |= {(source[0], kind, source[1]) for kind in kinds}
+            for half in _halves(data):
+                yield Layer(half.decode("latin-1"), [(0, *source, 0)])
+
+
+def _raw(data: bytes) -> Iterator[bytes]:
+    """What raw deflate holds, in pieces, as far as it goes."""
+    machine = zlib.decompressobj(-15)
+    with contextlib.suppress(zlib.error):
+        while data and not machine.eof:
+            out = machine.decompress(data, 1 << 18)
+            data = machine.unconsumed_tail
+            if out:
+                yield out
 
 
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -383,6 +528,7 @@ def _all_spans(text: str, window: int, tally: dict, seen: set, inside: bool = Fa
     while work:
         layer = work.pop()
         made: list[Layer] = [x for x in (url_layer(layer) if "%" in layer.text else None, unicode_layer(layer) if "\\" in layer.text else None) if x]
+        spans |= written_kinds(layer, window, tally, seen, inside)
         made += base64_layers(layer, window, spans, tally, seen, inside)
         for new in made:
             key = (_digest(new.text.encode(errors="surrogatepass")), *((0, 0) if inside else (new.pieces[0][1], new.pieces[-1][2])))

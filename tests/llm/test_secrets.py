@@ -2,6 +2,7 @@ import base64
 import bz2
 import contextlib
 import gzip
+import json
 import lzma
 import random
 import re
@@ -170,28 +171,104 @@ def brute_layers(text):
                 out.append(cells[i])
                 i += 1
         todo.append(out)
-        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", plain):
-            run = m.group().rstrip("=")
-            if len(run) % 4 != 1:
+        found = list(re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", plain))
+        for m in list(found):  # one that mixes both alphabets is also read by either
+            if re.search("[+/]", m.group()) and re.search("[_-]", m.group()):
+                found += [p for part in (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}") for p in re.compile(part).finditer(plain, m.start(), m.end())]
+        for m in found:
+            for skip in range(4):
+                run = m.group().rstrip("=").replace("-", "+").replace("_", "/")[skip:]
+                run = run[:-1] if len(run) % 4 == 1 else run
+                if len(run) < 16:
+                    continue
                 data = base64.b64decode(run + "=" * (-len(run) % 4))
-                if data[:2] == b"\x1f\x8b":
-                    machine, got = zlib.decompressobj(31), b""
-                    with contextlib.suppress(zlib.error):
-                        for b in data:
-                            got += machine.decompress(bytes((b,)))
-                    data = got or data
-                said = data.decode("latin-1")
-                if re.search("[\t\n\r -~]{14}", said):
-                    todo.append([(c, cells[m.start()][1], cells[m.end() - 1][2]) for c in said])
+                said = [data] + [brute_inflated(data[i:]) for i in range(len(data)) if data[i : i + 3] == b"\x1f\x8b\x08"] + [brute_inflated(data, -15)]
+                for text_ in (x[k::step] for x in said for k, step in ((0, 1), (0, 2), (1, 2))):
+                    if re.search(b"[\t\n\r -~]{14}", text_):
+                        todo.append([(c, cells[m.start() + skip][1], cells[m.end() - 1][2]) for c in text_.decode("latin-1")])
+        todo += brute_written(plain, cells)
     return sorted(spans)
 
 
+def brute_inflated(data, bits=31):
+    machine, got = zlib.decompressobj(bits), b""
+    with contextlib.suppress(zlib.error):
+        for b in data:
+            got += machine.decompress(bytes((b,)))
+    return got
+
+
+def brute_written(plain, cells):
+    """Gzip data written byte by byte as URL escapes or as four digits, perhaps escaped again in places."""
+    out = []
+    for escape, other in ((r"%(?:25)*([0-9A-Fa-f]{2})", r"[A-Za-z0-9_.~!*'()/+-]"), (r"\\(?:u005c)*u00([0-9a-f]{2})", r"[ -\[\]-\xff]")):
+        for start in range(len(plain)):
+            i, data = start, b""
+            while m := re.compile(f"{escape}|{other}").match(plain, i):
+                data += bytes((int(m[1], 16),)) if m[1] else m[0].encode("latin-1")
+                i = m.end()
+                if data[:2] != b"\x1f\x8b"[: len(data)]:
+                    break
+                machine = zlib.decompressobj(31)
+                with contextlib.suppress(zlib.error):
+                    got = machine.decompress(data)
+                    if machine.eof:
+                        out.append([(c, cells[start][1], cells[i - 1][2]) for c in got.decode("latin-1")])
+                        break
+    return out
+
+
+def deflated(data):
+    machine = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return machine.compress(data) + machine.flush()
+
+
+def test_compressed_bytes_in_any_writing():
+    said = b"some words, " * 3 + b"token=abcdefgh12345678"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda d: zlib.compress(d, 1), lambda d: zlib.compress(d, 5)):
+        data = pack(said)
+        for coded in (
+            "".join(f"%{b:02X}" for b in data),
+            urllib.parse.quote(data, safe=""),
+            urllib.parse.quote_plus(data),
+            "".join(f"\\x{b:02x}" for b in data),
+            "".join(f"\\u{b:04X}" for b in data),
+            repr(data)[2:-1],
+            json.dumps(data.decode("latin-1"))[1:-1],
+            json.dumps(data.decode("latin-1"), ensure_ascii=False)[1:-1],
+            "".join(f"%{b:02x}" for b in "".join(f"\\x{b:02x}" for b in data).encode()),
+        ):
+            assert (coded, "assign") in added(f'begin "{coded}" and more words of the text'), coded
+    assert added("x^2 + \\alpha %41 x%9C x%01 " * 50) == []
+
+
+def test_base64_behind_any_prefix():
+    plain = b"token=abcdefgh12345678"
+    wide = plain.decode().encode("utf-16"), plain.decode().encode("utf-16-le"), plain.decode().encode("utf-16-be")
+    packed = [f(plain * 2) for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)] + [gzip.compress(wide[0])]
+    for data in (plain, *wide, *packed):
+        coded = b64(data)
+        for prefix in ("", "a", "ab", "id-", "v1_", "data/", "a-long/path_", "x" * 40):
+            assert any(k == "assign" and text.endswith(coded) for text, k in added(f"in {prefix}{coded} end")), (data, prefix)
+    for prefix in ("", "a", "ab", "id-"):
+        assert any(k == "assign" for _, k in added(f"in {prefix}{b64(deflated(plain * 2))} end"))
+
+
+def test_many_starts_end_in_time():
+    began = time.process_time()
+    for text in ("x^2 + \\alpha " * 20_000, "\\x78\\x9c" * 20_000, "%1F%8B%08%00" * 20_000, "x%01" * 20_000):
+        secrets.scan(text)
+    noise = random.Random(2).randbytes(3_000_000)
+    secrets.scan(b64(noise))
+    assert time.process_time() - began < 60
+
+
 def test_spans_equal_brute_force():
     rng = random.Random(5)
     pieces = ["token = abcdefgh12", "AKIA" + "Q" * 14, "0123456789abcdef" * 2, "password:\"hunter2hunter2\"", "plain words", "api_key=zz", "é漢", "; "]
 
     def wrap(text, depth):
-        kind = rng.randrange(4) if depth else 9
+        kind = rng.randrange(8) if depth else 9
         if kind == 0:
             return wrap("".join(urllib.parse.quote(c, safe="") if rng.random() < 0.3 else c for c in text), depth - 1)
         if kind == 1:
@@ -200,6 +277,14 @@ def test_spans_equal_brute_force():
             return wrap(f"<{b64(text.encode())}>", depth - 1)
         if kind == 3:
             return wrap(f"({b64(gzip.compress(text.encode()))})", depth - 1)
+        if kind == 4:
+            return wrap(f"<{rng.choice(('id-', 'data/', 'v1_', 'q'))}{b64(text.encode())}>", depth - 1)
+        if kind == 5:
+            return "[" + "".join(f"%{b:02X}" for b in gzip.compress(text.encode(), mtime=0)) + "]"
+        if kind == 6:
+            return "[" + "".join(f"\\u{b:04x}" for b in gzip.compress(text.encode(), mtime=0)) + "]"
+        if kind == 7:
+            return wrap(f"<{b64(text.encode('utf-16'))}>", depth - 1)
         return text
 
     for _ in range(400):
