@@ -9,14 +9,17 @@ rarity over all documents, hence the probe is each window's rarest word. A probe
 bound ``i >= p``, length bound ``i - p + m <= number of words``; then the ``m`` words are
 compared one by one.
 
-The windows travel to the tasks in blocks of at most ``block_bytes`` (with what Python adds to them); however large the
-benchmark, each block is joined with all documents in turn and the hits are united, so what is
-broadcast has a fixed bound. Documents are never shuffled while one block suffices. With several, the
-documents' words are counted once for all blocks, so the documents are read once for each block and once more.
+While the windows take at most ``block_bytes`` (with what Python adds to them) they are broadcast and documents are never
+shuffled. A larger benchmark is never gathered: its words are counted by a join with all documents' counts, and windows and documents meet
+in a shuffled join. The necessary prefix is then the rarest word with one of its neighbours (the next one, or the one
+before at the window's end), which splits what frequent words would gather. A Bloom filter of at most 8 MB holds those
+prefixes, so only places of the documents that may have a partner are shuffled, each with the words around it, which decide.
+However large the benchmark, documents are read twice: to count words, and to look for prefixes.
 
 Defined cases
 * null or wordless document: no words, no hits, clean; null or wordless item: no windows;
-* the same window in several items counts for each of them; repeated items count once by id;
+* the same window in several items counts for each of them; repeated items count once by id; an item without an id hits
+  words, but is not among the items;
 * repeated documents are judged one by one; an empty table gives an empty one, an empty benchmark no hits; very long
   texts are judged whole; extra columns, whatever their names, are not read (``drop_contaminated`` returns them
   as they are).
@@ -24,13 +27,16 @@ Defined cases
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
-from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspan.llm.durable import free_names, map_columns, rows_of, stored
+from memspan.llm.fingerprints import mix
+from memspan.llm.membership import bloom_filter, may_hold
 
 WIDTH = 13
 BLOCK_BYTES = 32_000_000
@@ -62,7 +68,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
             yield dict(block)
             block, size = defaultdict(set), 0
         for w in windows:
-            block[w].add(row.i)
+            block[w].update(() if row.i is None else (row.i,))
         size += cost
     if block:
         yield dict(block)
@@ -149,65 +155,132 @@ def _judge(words: list[bytes], index: dict[bytes, list]) -> tuple:
 RESULTS = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
 
 
-def _sent_index(documents: DataFrame, block: dict | None, text_col: str, counted: DataFrame | None = None):
-    index = {}
-    if block:
-        words = {w for window in block for w in window}
-        if counted is None:
-            rarity = word_frequencies(documents, text_col, words)
-        else:  # at most as many rows as the block has words
-            wanted = documents.sparkSession.createDataFrame([(bytearray(w),) for w in sorted(words)], "word binary")
-            rarity = Counter({bytes(r.word): r.n for r in counted.join(wanted, "word").collect()})
-        index = _index(block, rarity)
+def _sent_index(documents: DataFrame, block: dict | None, text_col: str):
+    index = _index(block, word_frequencies(documents, text_col, {w for window in block for w in window})) if block else {}
     return documents.sparkSession.sparkContext.broadcast(index)
 
 
-def _first_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int):
-    """The first block (None without windows) and, if there are several, all of them."""
+def _first_block(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> tuple[dict | None, bool]:
+    """The first block (None without windows), and whether there are others."""
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks, None), next(blocks, None)
-    return first, None if second is None else chain([first, second], blocks)
+    first, more = next(blocks, None), next(blocks, None) is not None
+    blocks.close()
+    return first, more
+
+
+def _prefix_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each word with the next one, and for each word alone."""
+    codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    return mix((codes[:-1] << np.uint64(32)) | codes[1:]).view(np.int64), mix(codes + np.uint64(1 << 40)).view(np.int64)
+
+
+def _item_windows(benchmark: DataFrame, counts: DataFrame) -> DataFrame:
+    """(text_key, key, ahead, m, window) of each window of ``benchmark`` (text_key, text): its prefix's key, the words in
+    front of the prefix, all words."""
+
+    def make_places():
+        def step(keys, texts):
+            for key, text in zip(keys, texts, strict=True):
+                words = words_of(text)
+                yield {"text_key": [key] * len(words), "place": range(len(words)), "word": words}
+
+        return step
+
+    def make_windows():
+        def step(keys, texts, counted):
+            for key, text, n in zip(keys, texts, counted, strict=True):
+                words = words_of(text)
+                pairs, singles = _prefix_keys(words)
+                starts = range(max(1, len(words) - WIDTH + 1))
+                for at in range(0, len(starts), 10_000):
+                    out: dict[str, list] = {"text_key": [], "key": [], "ahead": [], "m": [], "window": []}
+                    for i in starts[at : at + 10_000]:
+                        window = words[i : i + WIDTH]
+                        place = min(range(len(window)), key=lambda p: (n[i + p], window[p]))
+                        ahead = max(0, min(place, len(window) - 2))
+                        row = (key, pairs[i + ahead] if len(window) > 1 else singles[i], ahead, len(window), b" ".join(window).decode())
+                        for name, value in zip(out, row, strict=True):
+                            out[name].append(value)
+                    yield out
+
+        return step
+
+    places = map_columns(benchmark, make_places, "text_key string, place long, word binary")
+    counted = places.join(counts, "word", "left").select("text_key", "place", F.coalesce("n", F.lit(0)).alias("n"))
+    lists = counted.groupBy("text_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("counts"))
+    return map_columns(benchmark.join(lists, "text_key"), make_windows, "text_key string, key long, ahead int, m int, window string")
+
+
+def _joined(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The results for a benchmark of any size, by a shuffled join on prefixes."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").withColumn("text_key", F.md5("text"))
+    texts = stored(items.select("text_key", "text").dropDuplicates(["text_key"]), "items")
+    windows = stored(_item_windows(texts, all_frequencies(documents, text_col)), "windows")
+    bits = documents.sparkSession.sparkContext.broadcast(bloom_filter(windows.select("key")))
+
+    def make_probes():
+        def step(ids, all_texts, hashes):
+            for one, text, hashed in zip(ids, all_texts, hashes, strict=True):
+                words = words_of(text)
+                yield {"_id": [one], "_text": [hashed], "n_words": [len(words)], "key": [None], "place": [None], "lead": [None], "around": [None]}
+                for keys in _prefix_keys(words):
+                    near = np.flatnonzero(may_hold(bits.value, keys)) if len(keys) else keys
+                    for at in range(0, len(near), 10_000):
+                        some = near[at : at + 10_000].tolist()
+                        firsts = [max(0, i - WIDTH + 2) for i in some]
+                        around = [b" ".join(words[a : i + WIDTH]).decode() for a, i in zip(firsts, some, strict=True)]
+                        leads = [i - a for a, i in zip(firsts, some, strict=True)]
+                        yield {"_id": [one] * len(some), "_text": [hashed] * len(some), "n_words": [None] * len(some), "key": keys[some], "place": some, "lead": leads, "around": around}
+
+        return step
+
+    kind = documents.schema[id_col].dataType.simpleString()
+    schema = f"_id {kind}, _text long, n_words long, key long, place long, lead int, around string"
+    probes = stored(map_columns(documents.select(id_col, text_col, F.xxhash64(text_col)), make_probes, schema), "probes")
+    met = probes.where("key IS NOT NULL").join(windows.select("key", "ahead", "m", "window").distinct(), "key")
+    first = F.col("lead") - F.col("ahead")
+    same = F.array_join(F.slice(F.split("around", " "), F.greatest(first, F.lit(0)) + 1, F.col("m")), " ") == F.col("window")
+    start = F.col("place") - F.col("ahead")
+    hits = stored(met.where((first >= 0) & same).select("_id", "_text", start.alias("start"), (start + F.col("m")).alias("end"), "window"), "hits")
+    spans = hits.select("_id", "_text", "start", "end").distinct()
+    named = windows.select("window", "text_key").distinct().join(items.select("text_key", "item").where("item IS NOT NULL"), "text_key").select("window", "item").distinct()
+    met_items = hits.select("_id", "_text", "window").distinct().join(named, "window").select("_id", "_text", "item").distinct()
+    no_items, no_spans = F.array().cast("array<string>"), F.array().cast("array<struct<start:long,end:long>>")
+    found = spans.select("_id", "_text", no_items.alias("items"), F.array(F.struct("start", "end")).alias("spans"))
+    found = found.unionByName(met_items.select("_id", "_text", F.array("item").alias("items"), no_spans.alias("spans")))
+    return _gathered(probes.where("key IS NULL").select("_id", "_text", "n_words"), found)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_words, n_hit, n_items, items (sorted as strings), spans (hit word intervals),
     contaminated for each row of ``documents``."""
-    found = _judged(documents, *_first_blocks(benchmark, item_col, item_text_col, block_bytes), id_col, text_col)
+    first, more = _first_block(benchmark, item_col, item_text_col, block_bytes)
+    found = _joined(documents, benchmark, id_col, text_col, item_col, item_text_col) if more else _judged(documents, first, id_col, text_col)
     return found.drop("_text").withColumnRenamed("_id", id_col)
 
 
-def _judged(documents: DataFrame, first: dict | None, several, id_col: str, text_col: str) -> DataFrame:
-    """The same as _id, and _text, a hash of the text."""
+def _judged(documents: DataFrame, block: dict | None, id_col: str, text_col: str) -> DataFrame:
+    """The same as _id, and _text, a hash of the text, with all windows in one block."""
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, _text long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
+    sent = _sent_index(documents, block, text_col)
 
-    def joined(sent) -> DataFrame:
-        def make():
-            look = sent.value
-
-            def step(ids, texts, hashes):
-                found = [_judge(words_of(t), look) for t in texts]
-                return {"_id": ids, "_text": hashes} | {name: [f[k] for f in found] for k, name in enumerate(RESULTS)}
+    def make():
+        look = sent.value
 
-            return step
+        def step(ids, texts, hashes):
+            found = [_judge(words_of(t), look) for t in texts]
+            return {"_id": ids, "_text": hashes} | {name: [f[k] for f in found] for k, name in enumerate(RESULTS)}
 
-        return map_columns(documents.select(id_col, text_col, F.xxhash64(text_col)), make, schema)
+        return step
 
-    if several is None:
-        return joined(_sent_index(documents, first, text_col))
-    found, counted = None, all_frequencies(documents, text_col)
-    for block in several:
-        sent = _sent_index(documents, block, text_col, counted)
-        hits = stored(joined(sent).where("n_hit > 0").select("_id", "_text", "items", "spans").dropDuplicates(["_id", "_text"]), "hits")
-        sent.destroy()
-        found = hits if found is None else found.unionByName(hits)
-    return _united_blocks(joined(_sent_index(documents, None, text_col)), found)
+    return map_columns(documents.select(id_col, text_col, F.xxhash64(text_col)), make, schema)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, all columns untouched."""
-    first, several = _first_blocks(benchmark, item_col, item_text_col, block_bytes)
-    if several is None:
+    first, more = _first_block(benchmark, item_col, item_text_col, block_bytes)
+    if not more:
         from pyspark.sql.types import BooleanType
 
         sent = _sent_index(documents, first, text_col)
@@ -217,14 +290,14 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str =
             return texts.map(lambda t: not _judge(words_of(t), sent.value)[-1]).astype(bool)
 
         return documents.where(clean(F.col(text_col)))
-    found = _judged(documents, first, several, id_col, text_col)
+    found = _joined(documents, benchmark, id_col, text_col, item_col, item_text_col)
     name, text = free_names(documents, "gone", "text_hash")
     gone = found.where("contaminated").select(F.col("_id").alias(name), F.col("_text").alias(text)).distinct()
     return documents.join(gone, documents[id_col].eqNullSafe(gone[name]) & (F.xxhash64(documents[text_col]) == gone[text]), "left_anti")
 
 
-def _united_blocks(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Hits of several blocks, added up for each document (rows alike in id and text share them)."""
+def _gathered(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Items and spans, added up for each document (rows alike in id and text share them)."""
 
     def make():
         def step(ids, texts, items, spans):

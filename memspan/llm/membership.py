@@ -69,18 +69,23 @@ def bloom_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of ``ids`` may be in the filter."""
+    at = _places(ids, (8 * len(bits)).bit_length() - 1)
+    byte, bit = (at >> np.uint64(3)).astype(np.int64), (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)
+    return ((bits[byte] >> bit) & 1).astype(bool).all(0)
+
+
 def possible_members(df: DataFrame, id_col: str, bits: np.ndarray, absent: bool = False) -> DataFrame:
     """The rows whose id may be in the filter, or with ``absent`` all others; a null id is in none."""
-    sent, size = df.sparkSession.sparkContext.broadcast(bits), (8 * len(bits)).bit_length() - 1
+    sent = df.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf(BooleanType())
     def there(ids):
         import pandas as pd
 
         known = ids.notna().to_numpy()
-        at = _places(ids.fillna(0).to_numpy(np.int64), size)
-        byte, bit = (at >> np.uint64(3)).astype(np.int64), (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)
-        return pd.Series(known & ((sent.value[byte] >> bit) & 1).astype(bool).all(0))
+        return pd.Series(known & may_hold(sent.value, ids.fillna(0).to_numpy(np.int64)))
 
     return df.where(~there(F.col(id_col)) if absent else there(F.col(id_col)))
 

@@ -73,6 +73,27 @@ def test_long_texts_and_other_columns(spark):
         assert kept.columns == documents.columns and sorted(len(r.text) for r in kept.collect()) == sorted(len(t) for _, t in rows if t != items[0][1])
 
 
+def test_large_benchmark_as_small_ones(spark):
+    """200,000 words of items; documents with passages of them, clean ones, a hot window."""
+    rng = random.Random(11)
+    items = [(i, " ".join(f"v{int(rng.paretovariate(0.6)) % 50_000}" for _ in range(500))) for i in range(400)] + [(None, "one two three"), (1000, "one two three")]
+    hot = " ".join(items[0][1].split()[100:130])
+    items += [(i, hot) for i in range(2000, 2050)]
+    docs = []
+    for i in range(300):
+        own = [f"v{int(rng.paretovariate(0.6)) % 50_000}" for _ in range(200)]
+        v = rng.choice(items[:400])[1].split()
+        a = rng.randrange(len(v) - 20)
+        docs.append((i, " ".join(own + (v[a : a + rng.randrange(5, 60)] if i % 3 else []) + (hot.split() if i % 5 == 0 else []) + own[:50])))
+    docs += [(900, "one two three"), (901, "so one two three"), (902, None)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    small = rows(d.contamination(documents, benchmark, block_bytes=1 << 40))
+    large = d.contamination(documents, benchmark, block_bytes=100_000)
+    assert rows(large) == small
+    assert sum(r[2] > 0 for r in small) > 150 and ("1000",) in {r[4] for r in small}
+
+
 def test_empty_sides(spark):
     documents = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     benchmark = spark.createDataFrame([], "item_id long, text string")
