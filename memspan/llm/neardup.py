@@ -15,9 +15,11 @@
    union sketch of two classes turns an overlap into an estimate, and pairs whose estimate is within
    five standard errors of the threshold, or above, are verified on the full sets.
 5. A family of more than ``block_tokens`` hashes or ``block_rows`` classes is searched in blocks of
-   that size. First each block is searched together with the family's first class; what is not connected with it
-   then visits all other blocks, so that a large group of near copies is never gathered and only what
-   is left over moves more than once. Only texts of family members are shuffled (a Bloom filter keeps
+   that size. First each block is searched together with the family's first class, so that a large group of near
+   copies is never gathered. Where something is not connected with it, the family is taken apart by a prefix filter,
+   which loses no link: classes stay together only if they share one of their rarest hashes, so many that a linked pair
+   can't do without. Within what is still as large, classes not connected with the first one
+   visit all other blocks, so that only these move more than once. Only texts of family members are shuffled (a Bloom filter keeps
    most others back).
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased; shorter texts are one
@@ -34,7 +36,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspan.llm.components import connected_components
@@ -206,10 +208,7 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     usable = sketches.where("id IS NOT NULL AND n > 0")
     classes = stored(usable.groupBy("class").agg(F.min(F.struct("id", "text_key")).alias("first"), F.first("n").alias("n")).select("class", "first.id", "first.text_key", "n"), "classes")
     firsts = usable.join(classes.select("class", "id", "text_key"), ["class", "id", "text_key"], "left_semi")  # repeated rows give the same lists
-    lists = firsts.select("class", F.explode(F.array_distinct("keys")).alias("key"))
-    heads = lists.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head <> last").select("key", "head")
-    ties = lists.join(heads, "key").where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
-    families = stored(connected_components(ties).select(F.col("vertex").alias("class"), F.col("component").alias("family")), "families")
+    families = stored(_families(firsts.select("class", F.explode(F.array_distinct("keys")).alias("key"))), "families")
 
     def make_sets():
         def step(classes, fams, texts):
@@ -237,15 +236,22 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     where = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(leader, every).otherwise(F.array(own))
     once = dealt.select("class", "family", "hashes", F.explode(where).alias("block"), F.lit(False).alias("guest"), F.col("class").alias("known"))
     found = stored(_searched(once, percent, parts), "links")
-    # what is not connected with the first class (the smallest, so its component's root) visits all blocks of its family
-    inside = sets.join(large, "family").join(found.where("class <> root"), "class", "left")  # all but the first are in one block
+    # families with members that are not connected with the first class (the smallest, so its component's root) are taken apart
+    inside = sets.join(large.select("family"), "family").join(found.where("class <> root"), "class", "left")  # all but the first are in one block
     state = inside.withColumn("root", F.coalesce("root", "class")).withColumn("apart", F.col("root") != F.col("family"))
-    apart = stored(state.where("apart").groupBy("family").agg(F.sum(F.octet_length("hashes") / 8).alias("apart_tokens"), F.count("*").alias("apart_rows")), "apart")
+    wide = state.join(state.where("apart").select("family").distinct(), "family", "left_semi").drop("family")
+    closer = stored(_families(_prefixes(wide, percent)), "closer")
+    again = stored(wide.join(closer, "class"), "again")
+    tokens = F.octet_length("hashes") / 8
+    apart = again.groupBy("family").agg(F.sum(tokens).alias("tokens"), F.count("*").alias("rows"), F.sum(F.when(F.col("apart"), tokens)).alias("apart_tokens"), F.count_if("apart").alias("apart_rows"))
+    apart = stored(apart.where("apart_rows > 0"), "apart")
     if not apart.limit(1).count():
         return _components(sketches, classes, found)
-    again = state.select("class", "family", "hashes", "root", "apart", "tokens", "rows").join(apart, "family")
-    blocks = F.greatest(F.ceil(F.col("tokens") / (block_tokens / 2)), F.ceil(F.col("rows") / F.greatest(F.lit(block_rows), F.col("apart_rows")))).cast("long")
-    again = again.withColumn("blocks", blocks).withColumn("lots", F.ceil(F.col("apart_tokens") / (block_tokens / 2)).cast("long"))
+    # in those still large, what is not connected with the first class of old visits all blocks
+    again = again.join(apart, "family")
+    whole = (F.col("tokens") <= block_tokens) & (F.col("rows") <= block_rows)
+    blocks = F.greatest(F.ceil(F.col("tokens") / (block_tokens / 2)), F.ceil(F.col("rows") / F.greatest(F.lit(block_rows), F.col("apart_rows"))))
+    again = again.withColumn("blocks", F.when(whole, 1).otherwise(blocks).cast("long")).withColumn("lots", F.when(whole, 1).otherwise(F.ceil(F.col("apart_tokens") / (block_tokens / 2))).cast("long"))
     own, lot = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("long"), F.pmod(F.xxhash64(F.lit(1), "class"), F.col("lots")).cast("long")
 
     def all_of(n):
@@ -259,6 +265,32 @@ def _judged(df: DataFrame, percent: int, width: int, id_col: str, text_col: str,
     return _components(sketches, classes, stored(found.unionByName(more), "links"))
 
 
+def _families(lists: DataFrame) -> DataFrame:
+    """(class, family) of the classes in (class, key) that share a key with another, in components: each member of a key is
+    tied to its smallest class."""
+    heads = lists.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("last")).where("head <> last").select("key", "head")
+    ties = lists.join(heads, "key").where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
+    return connected_components(ties).select(F.col("vertex").alias("class"), F.col("component").alias("family"))
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(class, key): of each set's n hashes the n - ceil(n * percent / 100) + 1 rarest, less those that no other set has. Linked
+    sets have so many hashes in common that the rarest of them is among these on either side."""
+
+    def make_hashes():
+        def step(classes, held):
+            return {"class": classes, "n": [len(h) // 8 for h in held], "keys": [np.frombuffer(h, np.int64) for h in held]}
+
+        return step
+
+    rows = map_columns(sets.select("class", "hashes"), make_hashes, "class long, n long, keys array<long>").select("class", "n", F.explode("keys").alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    counts = counts.select(F.bitwise_not(F.bitwise_not("key")).alias("key"), "held")  # so that a hash of many sets may be split
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.asc_nulls_first("held"), "key"))
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    return rows.join(counts, "key", "left").withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & F.col("held").isNotNull()).select("class", "key")
+
+
 def _searched(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """(class, root) of the links within each block of (class, family, hashes, block, guest, known)."""
 

@@ -137,6 +137,25 @@ def test_large_families_end_in_time():
     assert time.process_time() - began < 10
 
 
+def test_large_families_of_unlike_texts_move_once(spark, monkeypatch):
+    """Short texts around one stock phrase share lists but are unlike: only those with a near copy are searched again."""
+    rng = random.Random(6)
+    stock = "all rights are reserved by the author of this work"
+    rows = [(i, " ".join([stock, *("u%d" % rng.randrange(10**9) for _ in range(14))])) for i in range(600)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:40]]
+    moved = []
+
+    def searched(sets, percent, parts, plain=neardup._searched):
+        moved.append(sets.count())
+        return plain(sets, percent, parts)
+
+    monkeypatch.setattr(neardup, "_searched", searched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, 80, 3, block_rows=50).collect()}
+    assert found == brute(rows, 80, 3)
+    assert len(moved) == 2 and moved[1] <= 80 < 600 < moved[0] < 700
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (None, 3)]
