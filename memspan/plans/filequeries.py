@@ -126,8 +126,9 @@ def stream_matches(spark, sf_dir):
     """All documents as a stream, matched in micro-batches."""
     refs, docs = text_corpus(spark, sf_dir)
     folder = _folder(spark)
-    docs.repartition(3).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    files = docs.rdd.getNumPartitions()
+    (docs if files >= 3 else docs.repartition(3)).write.parquet(f"{folder}/in")  # a file for each split, however many there are
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", max(2, files // 3)).parquet(f"{folder}/in")
     match_stream(refs, stream, f"{folder}/out", f"{folder}/state", TEXT_LEN, available_now=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 

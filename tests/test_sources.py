@@ -256,3 +256,19 @@ def test_stream(spark, tmp_path):
     match_stream(refs, stream, str(tmp_path / "out"), str(tmp_path / "state"), 3, available_now=True).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.ref_pos, r.query_pos, r.len) for r in got.collect()} == {(1, 8, 3), (5, 8, 3), (1, 2, 4), (4, 1, 6)}
+
+
+def test_stream_of_many_splits_is_written_in_as_many_files(spark, tmp_path, monkeypatch):
+    from memspan.plans import filequeries
+
+    for name, key in (("benchmark", "item_id"), ("documents", "doc_id")):
+        rows = [(i, f"{i} " + "some words that are long enough to be a match of fifty letters") for i in range(8)]
+        spark.createDataFrame(rows, f"{key} long, text string").repartition(7).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(filequeries, "_folder", lambda session: str(tmp_path / "stream"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 28))  # a split for each file
+    try:
+        assert filequeries.stream_matches(spark, str(tmp_path)).count() >= 64
+        assert len(list((tmp_path / "stream" / "in").glob("*.parquet"))) > 3
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
