@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 def normalize(chars: Column, acgt_only: bool = False) -> Column:
     """Upper-case ACGT; other ASCII letters become N, or vanish with ``acgt_only``; all other
     characters vanish. Null stays null."""
-    letters = F.upper(F.regexp_replace(chars, "[^A-Za-z]", ""))
-    return F.regexp_replace(letters, "[^ACGT]", "" if acgt_only else "N")
+    if acgt_only:
+        return F.upper(F.regexp_replace(chars, "[^ACGTacgt]+", ""))
+    return F.regexp_replace(F.upper(F.regexp_replace(chars, "[^A-Za-z]+", "")), "[^ACGT]", "N")
+
+
+def first_letters(chars: Column, most: int) -> Column:
+    """``chars`` up to and with its letter number ``most``, or all letters if there are fewer: what :func:`normalize` makes
+    of it begins as what it makes of the whole."""
+    return F.regexp_extract(chars, rf"^(?:[^A-Za-z]*+[A-Za-z]){{1,{most}}}", 0)
 
 
 def reverse_complement(chars: Column) -> Column:

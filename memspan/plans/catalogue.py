@@ -339,7 +339,7 @@ _PATTERNS = """p AS (SELECT doc_id AS id, substr(regexp_replace(upper(regexp_rep
 
 def _patterns(spark, sf_dir):
     """The first 2 to 13 letters of every document."""
-    letters = S.normalize(F.col("text"))
+    letters = S.normalize(S.first_letters(F.col("text"), 13))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left(letters, (2 + F.col("doc_id") % 12).cast("int")).alias("pattern")).where(F.length("pattern") > 0)
 
 

@@ -36,3 +36,10 @@ def test_look_ups(spark):
     assert joined.count() == 0 and unknown.count() == 3
     sized = spark.createDataFrame([(1, 5), (2, 3), (3, 5)], "k long, size long")
     assert [(r.k, r.place) for r in names.ordered_by_size(sized, "size", "k").orderBy("place").collect()] == [(2, 1), (1, 2), (3, 3)]
+
+
+def test_first_letters(spark):
+    for text in ("aC g\tRYx-1é>", "", "1 2 3", "--ab", "é" * 50_000 + "ab" + "-" * 50_000, None):
+        whole = one(spark, S.normalize, text)
+        for n in (1, 3, 13):
+            assert one(spark, lambda c, n=n: F.left(S.normalize(S.first_letters(c, n)), F.lit(n)), text) == (None if whole is None else whole[:n])
