@@ -122,6 +122,8 @@ def _met(r: DataFrame, total: int, repetitive: bool, small: bool, queries: DataF
     held = None if small else kmer_filter(r.select("_h"), total)
     if held is not None:
         q = passing(q, held, total)
+    elif small and stride == 1:  # most are of no use: they go before their context is cut out
+        q = q.join(F.broadcast(r.select("_h").distinct()), "_h", "left_semi")
     if stride == 1 and repetitive:
         r, q = _apart(r, q, k)
     r = r.select("ref_id", "_h", *(F.col(n).alias(f"_r_{n}") for n in ("pos", "kmer", "left", "right")))

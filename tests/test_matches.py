@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from memspan.functions import sequences
 from memspan.operators import kmers, matches
 from tests.brute import mems, occurrences
 
@@ -136,3 +137,21 @@ def test_context(spark):
     strands = matches.with_strands(frame(spark, queries).select("id", "chars"), True)
     found = matches.match_context(matches.find_matches(frame(spark, refs), frame(spark, queries), 4, both_strands=True), frame(spark, refs), strands)
     assert {(r.strand, r.ref_pos, r.query_pos, r.len, r.ref_context, r.query_context) for r in found.collect()} >= {("+", 4, 1, 6, "gTACG...CGTT" + "a", "$TACG...CGTT" + "g"), ("+", 1, 2, 4, "$ACGT...ACGTa", "tACGT...ACGTt")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_normalised_once_for_their_kmers(spark):
+    docs = spark.createDataFrame([(1, "Acg tt"), (2, None), (3, ""), (4, "ACG")], "id long, text string")
+    dna = docs.select("id", sequences.normalize(F.col("text"), True).alias("chars"))
+    made = kmers.kmers(dna, "chars", 4, 1, 1, ("id",))
+    assert plan_of(made).count("regexp_replace") == 1
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 0, "ACGT", "", "T"), (1, 1, "CGTT", "A", "")]
+
+
+def test_kmers_without_a_match_go_before_their_context_is_made(spark):
+    refs = spark.createDataFrame([(1, "ACGTACGTTA")], "id long, chars string")
+    queries = spark.createDataFrame([(1, "TACGTTGACG")], "id long, chars string")
+    assert "LeftSemi" in plan_of(matches.find_matches(refs, queries, 3))
