@@ -268,19 +268,25 @@ def matching_statistics(matches: DataFrame, queries: DataFrame, min_len: int, bl
 
     The longest match at a place ends where the farthest match that starts there or before ends; so places
     between two starts share an end, and each place is made once however many matches cover it. Blocks of a
-    query's positions are worked on by themselves, with the matches that reach into them."""
+    query's positions are worked on by themselves, with the matches that reach into them and a start at the block's
+    beginning, so that every place follows some start: only starts are shuffled, never places."""
     forward = covered_blocks(matches.where("strand = '+'").select("query_id", "query_pos", (F.col("query_pos") + F.col("len")).alias("_end")), "query_pos", "_end", block_size)
     first = F.greatest(F.col("query_pos"), F.col("_block") * block_size)  # a match from an earlier block begins with this one
-    starts = forward.groupBy("query_id", "_block", first.alias("query_pos")).agg(F.max("_end").alias("_end"))
+    starts = forward.select("query_id", "_block", first.alias("query_pos"), "_end", F.lit(None).cast("long").alias("_stop"))
+    sized = queries.select(F.col("id").alias("query_id"), F.length("chars").cast("long").alias("_size"))
+    blocks = sized.where("_size > 0").select("query_id", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_size") / block_size))).alias("_block"))
+    stop = F.least(F.col("_size") + 1, (F.col("_block") + 1) * block_size)
+    every = blocks.select("query_id", "_block", F.greatest(F.col("_block") * block_size, F.lit(1).cast("long")).alias("query_pos"), F.lit(0).cast("long").alias("_end"), stop.alias("_stop"))
+    starts = starts.unionByName(every).repartition("query_id", "_block").groupBy("query_id", "_block", "query_pos").agg(F.max("_end").alias("_end"), F.collect_list("_stop").alias("_stops"))
     order = Window.partitionBy("query_id", "_block").orderBy("query_pos")
     far = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, 0))
     behind = F.coalesce(F.lead("query_pos").over(order), (F.col("_block") + 1) * block_size)
-    steps = starts.select("query_id", "query_pos", far.alias("_far"), behind.alias("_next"))
-    last = F.least(F.col("_far") - min_len, F.col("_next") - 1)
-    places = steps.where(last >= F.col("query_pos")).select("query_id", F.explode(F.sequence("query_pos", last)).alias("pos"), "_far")
-    every = queries.where(F.length("chars") > 0).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.length("chars").cast("long"))).alias("pos"))
-    depth = F.coalesce(F.col("_far") - F.col("pos"), F.lit(0)).cast("long")
-    return every.join(places, ["query_id", "pos"], "left").select("query_id", "pos", depth.alias("depth"))
+    stops = F.first("_stops").over(order.rowsBetween(Window.unboundedPreceding, 0))  # the block's first row has one for each query of this id
+    steps = starts.select("query_id", "query_pos", far.alias("_far"), behind.alias("_next"), stops.alias("_stops"))
+    steps = steps.select("query_id", "query_pos", "_far", F.explode(F.transform("_stops", lambda x: F.least(x, F.col("_next")) - 1)).alias("_last")).where("_last >= query_pos")
+    places = steps.select("query_id", F.explode(F.sequence("query_pos", "_last")).alias("pos"), "_far")
+    depth = F.col("_far") - F.col("pos")
+    return places.select("query_id", "pos", F.when(depth >= min_len, depth).otherwise(0).cast("long").alias("depth"))
 
 
 def _shared_kmers(refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

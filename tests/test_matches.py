@@ -155,3 +155,14 @@ def test_kmers_without_a_match_go_before_their_context_is_made(spark):
     refs = spark.createDataFrame([(1, "ACGTACGTTA")], "id long, chars string")
     queries = spark.createDataFrame([(1, "TACGTTGACG")], "id long, chars string")
     assert "LeftSemi" in plan_of(matches.find_matches(refs, queries, 3))
+
+
+def test_matching_statistics_join_no_places(spark):
+    queries = spark.createDataFrame([(1, "A" * 10), (1, "A" * 4), (2, ""), (3, None), (4, "C")], "id long, chars string")
+    found = spark.createDataFrame([(1, "+", 3, 5), (1, "+", 4, 3)], "query_id long, strand string, query_pos long, len int")
+    for block_size in (4, 1 << 16):
+        made = matches.matching_statistics(found, queries, 3, block_size)
+        assert "Join" not in plan_of(made)
+        depths = {3: 5, 4: 4, 5: 3}
+        expected = [(1, p, depths.get(p, 0)) for n in (10, 4) for p in range(1, n + 1)] + [(4, 1, 0)]
+        assert sorted(tuple(r) for r in made.collect()) == sorted(expected)
