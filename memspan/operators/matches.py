@@ -313,9 +313,19 @@ def match_context(matches: DataFrame, refs: DataFrame, queries: DataFrame, show:
     """Adds ref_context and query_context: the letter before (lower-cased, ``$`` at an end), the first and
     the last ``show`` letters of the match, and the letter behind. ``queries`` have a column strand if both strands were
     searched (see :func:`with_strands`)."""
-    def around(chars: str, pos: str) -> Column:
-        text, start, size = F.col(chars), F.col(pos).cast("int"), F.col("len")
-        before = F.when(start == 1, "$").otherwise(F.lower(F.substr(text, start - 1, F.lit(1))))
+    size = F.col("len")
+
+    def begin(pos: str) -> Column:
+        return F.greatest(F.least(F.col(pos).cast("int") - 1, F.col(pos).cast("int") + size - show), F.lit(1))
+
+    def near(chars: str, pos: str) -> Column:
+        """The match with a letter on either side, and more if it has less than ``show``: letters are counted from a text's start once."""
+        return F.substr(F.col(chars), begin(pos), F.greatest(F.col(pos).cast("int") + size + 1, F.col(pos).cast("int") + show) - begin(pos))
+
+    def around(text: str, pos: str) -> Column:
+        start = F.col(pos).cast("int") - begin(pos) + 1
+        text = F.col(text)
+        before = F.when(F.col(pos) == 1, "$").otherwise(F.lower(F.substr(text, start - 1, F.lit(1))))
         behind = F.when(start + size > F.length(text), "$").otherwise(F.lower(F.substr(text, start + size, F.lit(1))))
         first = F.substr(text, start, F.lit(show))
         last = F.substr(text, F.greatest(start + size - show, F.lit(1)), F.lit(show))
@@ -324,6 +334,7 @@ def match_context(matches: DataFrame, refs: DataFrame, queries: DataFrame, show:
     r = refs.select(F.col("id").alias("ref_id"), F.col("chars").alias("_r"))
     q = queries if "strand" in queries.columns else queries.withColumn("strand", F.lit("+"))
     met = matches.join(q.select(F.col("id").alias("query_id"), "strand", F.col("chars").alias("_q")), ["query_id", "strand"]).join(r, "ref_id")
+    met = met.select(*matches.columns, near("_r", "ref_pos").alias("_r"), near("_q", "query_pos").alias("_q"))
     return met.select(*matches.columns, around("_r", "ref_pos").alias("ref_context"), around("_q", "query_pos").alias("query_context"))
 
 

@@ -166,3 +166,11 @@ def test_matching_statistics_join_no_places(spark):
         depths = {3: 5, 4: 4, 5: 3}
         expected = [(1, p, depths.get(p, 0)) for n in (10, 4) for p in range(1, n + 1)] + [(4, 1, 0)]
         assert sorted(tuple(r) for r in made.collect()) == sorted(expected)
+
+
+def test_contexts_of_short_matches_at_both_ends(spark):
+    refs = spark.createDataFrame([(1, "ACGT"), (2, "GGACGTCC")], "id long, chars string")
+    queries = spark.createDataFrame([(1, "ACGTTTTT")], "id long, chars string")
+    found = spark.createDataFrame([(1, "+", 1, 1, 1, 4), (1, "+", 2, 3, 1, 2)], "query_id long, strand string, ref_id long, ref_pos long, query_pos long, len int")
+    made = {r.ref_id: (r.ref_context, r.query_context) for r in matches.match_context(found, refs, queries).collect()}
+    assert made == {1: ("$ACGT...ACGT$", "$ACGT...ACGTt"), 2: ("gACGT...GGACg", "$ACGT...ACGTg")}
