@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memspan.operators import mapping, matches, names
 from memspan.plans.catalogue import DNA_LEN, TEXT_LEN, _dna, _mem_sql, dna_corpus, query, table, text_corpus
-from memspan.plans.tables import own_folder
+from memspan.plans.tables import own_folder, stored
 from memspan.sources import bitmap, fasta, matchfile
 from memspan.sources.lines import ordered_lines
 from memspan.streaming.matching import match_stream
@@ -58,10 +58,11 @@ def clean_fasta(spark, sf_dir):
 
 def _match_file(spark: SparkSession, sf_dir: str) -> str:
     refs, docs = dna_corpus(spark, sf_dir)
-    refs = refs.select("id", "chars", F.col("id").alias("ord"), F.concat(F.lit("item "), F.col("id").cast("string")).alias("name"))
-    docs = docs.select("id", "chars", F.col("id").alias("ord"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("name"))
+    refs = refs.select("id", "chars", F.concat(F.lit("item "), F.col("id").cast("string")).alias("name"))
+    docs = docs.select("id", "chars", F.concat(F.lit("doc "), F.col("id").cast("string")).alias("name"))
     path = f"{_folder(spark)}/found-mems.txt"
-    matchfile.write_matches(matchfile.match_lines(matches.find_matches(refs, docs, DNA_LEN, both_strands=True), docs, refs, True), path)
+    found = stored(matches.find_matches(refs, docs, DNA_LEN, both_strands=True), "matches")  # sorting by ranges reads them twice
+    matchfile.write_matches(matchfile.match_lines(found, docs, refs, True), path)
     return path
 
 

@@ -281,3 +281,41 @@ def test_the_ruler_of_a_text_measures_it_a_few_times(spark):
     assert marks.groupBy("size").agg(F.min("mark")).count() == 4
     steps = spark.createDataFrame([(n,) for n in (1, 2, 3, 5, 6, 10, 11, 500, 501, 999_999)], "n long").select(mapping._round_number(F.col("n"))).collect()
     assert [r[0] for r in steps] == [1, 2, 5, 5, 10, 10, 20, 500, 1000, 1_000_000]
+
+
+def test_lines_are_not_shuffled(spark, write):
+    """Reading a match file shuffles nothing but a row a split."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = matchfile.read_matches(spark, write("m.txt", ">q\n a b\t1\t2\t3\n>r\n>s\n a\t4\t5\t6\n"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = found.orderBy("block", "place").select("block", "query_name", "ref_name", "place", "ref_pos").collect()
+    assert [tuple(r) for r in rows] == [(1, "q", "a b", 1, 1), (2, "r", None, 1, None), (3, "s", "a", 1, 4)]
+
+
+def test_fields_of_match_lines(spark):
+    import pyarrow as pa
+
+    def fields(*values):
+        name, numbers = matchfile._fields(pa.array(values, pa.string()))
+        return list(zip(name.to_pylist(), *(x.to_pylist() for x in numbers), strict=True))
+
+    assert fields(" a\tb\t1\t2\t3", "  c d \t4\t5\t6", "\t7\t8\t9") == [("a\tb", 1, 2, 3), ("c d", 4, 5, 6), (None, 7, 8, 9)]
+    assert fields("1\t2\t3", "4\t5\t6") == [(None, 1, 2, 3), (None, 4, 5, 6)]
+    assert fields("1 2  3", " n 4 5 6", "x\t1\t-2\t3", "1\t2", "0x1\t2\t3") == [(None, 1, 2, 3), ("n", 4, 5, 6), (None,) * 4, (None,) * 4, (None,) * 4]
+
+
+def test_lines_of_a_match_file_follow_ids(spark, tmp_path):
+    """Without an order of their own, queries and references are ordered by their ids, and matches meet no queries."""
+    refs = spark.createDataFrame([(2, "two", "GGGTACGG"), (1, "one", "ACGTACGTTA")], "id long, name string, chars string")
+    queries = spark.createDataFrame([(8, "none", "AAAA"), (7, "q", "TACGTTGACG")], "id long, name string, chars string")
+    found = matches.find_matches(refs, queries, 3)
+    matchfile.write_matches(matchfile.match_lines(found, queries, refs), str(tmp_path / "m"))
+    back = matchfile.read_matches(spark, str(tmp_path / "m")).orderBy("block", "place").collect()
+    wanted = sorted(((r.query_id, -r.query_pos, -r.len, r.ref_id, r.ref_pos) for r in found.collect()))
+    assert [("q", -q, -n, {1: "one", 2: "two"}[i], p) for _, q, n, i, p in wanted] == [(r.query_name, r.query_pos, r.len, r.ref_name, r.ref_pos) for r in back if r.ref_pos]
+    assert back[-1].query_name == "none" and back[-1].ref_pos is None
