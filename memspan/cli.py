@@ -29,23 +29,23 @@ def _sequences(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     for k, path in enumerate(paths):
         rows = fasta.read_fasta(spark, path, **options)
         files = rows.select("file").distinct().withColumn("_place", F.row_number().over(Window.orderBy("file")) + k * 4096)  # a row a file
-        rows = rows.join(files, "file").withColumn("ord", (F.col("_place").cast("long") * (1 << 40)) + F.col("ord")).drop("_place")
+        rows = rows.join(F.broadcast(files), "file").withColumn("id", (F.col("_place").cast("long") * (1 << 40)) + F.col("ord")).drop("_place", "ord")
         found = rows if found is None else found.unionByName(rows)
-    return found.withColumn("id", F.col("ord"))
+    return found
 
 
 def run_match(spark: SparkSession, a: argparse.Namespace) -> int:
     began = time.perf_counter()
     options = {"acgt_only": a.acgt_only, "min_size": a.min_size}
-    refs = _sequences(spark, [a.reference], name_contains=a.name, **options)
-    queries = _sequences(spark, a.queries, **options)
+    refs = stored(_sequences(spark, [a.reference], name_contains=a.name, **options), "refs")
+    queries = stored(_sequences(spark, a.queries, **options), "queries")  # several steps read them
     if not refs.limit(1).count():
         print("no reference sequence", file=sys.stderr)
         return 1
     if not queries.limit(1).count():
         print("no query sequence", file=sys.stderr)
         return 1
-    found = matches.find_matches(refs, queries, a.length, "mam" if a.mam else "mem", a.both, a.boundary).cache()
+    found = stored(matches.find_matches(refs, queries, a.length, "mam" if a.mam else "mem", a.both, a.boundary), "matches")
     target = a.output or matchfile.output_name(a.reference)
     matchfile.write_matches(matchfile.match_lines(found, queries, refs, a.both), target)
     total = matches.match_stats_global(found, queries).first()

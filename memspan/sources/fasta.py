@@ -28,7 +28,7 @@ def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     order = Window.partitionBy("file").orderBy("_at")
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("file", "_at", "_from", before.alias("_before"), F.first("_lead").over(order).alias("_lead")).where("_lead = 0")  # nothing may stand before the first '>'
-    rows = raw.join(splits, ["file", "_at"]).withColumn("ord", F.col("_before") + F.col("_id") - F.col("_from")).where("ord > 0")
+    rows = raw.join(F.broadcast(splits), ["file", "_at"]).withColumn("ord", F.col("_before") + F.col("_id") - F.col("_from")).where("ord > 0")
     header = F.regexp_extract("value", r"^([^\n\r]*)", 1)
     return rows.select("file", "ord", header.alias("name"), F.substr("value", F.length(header) + 1).alias("body"))
 

@@ -319,3 +319,15 @@ def test_lines_of_a_match_file_follow_ids(spark, tmp_path):
     wanted = sorted(((r.query_id, -r.query_pos, -r.len, r.ref_id, r.ref_pos) for r in found.collect()))
     assert [("q", -q, -n, {1: "one", 2: "two"}[i], p) for _, q, n, i, p in wanted] == [(r.query_name, r.query_pos, r.len, r.ref_name, r.ref_pos) for r in back if r.ref_pos]
     assert back[-1].query_name == "none" and back[-1].ref_pos is None
+
+
+def test_bodies_are_not_shuffled(spark, write):
+    """What tells the place of a split's records is broadcast, whatever Spark thinks of its size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = fasta.read_fasta(spark, write("s.fa", ">a\nAC\n>b\nGT\n"))
+        assert "SortMergeJoin" not in records._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in records.select("ord", "name", "chars").orderBy("ord").collect()] == [(1, "a", "AC"), (2, "b", "GT")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
