@@ -45,7 +45,7 @@ def run_match(spark: SparkSession, a: argparse.Namespace) -> int:
     if not queries.limit(1).count():
         print("no query sequence", file=sys.stderr)
         return 1
-    found = stored(matches.find_matches(refs, queries, a.length, "mam" if a.mam else "mem", a.both, a.boundary), "matches")
+    found = stored(matches.find_matches(refs, queries, a.length, "mam" if a.mam else "mem", a.both, a.boundary, store=True), "matches")
     target = a.output or matchfile.output_name(a.reference)
     matchfile.write_matches(matchfile.match_lines(found, queries, refs, a.both), target)
     total = matches.match_stats_global(found, queries).first()

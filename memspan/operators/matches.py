@@ -22,6 +22,7 @@ from memspan.functions.sequences import common_prefix, reverse_complement
 from memspan.operators.kmers import PIECE, kmers, kmers_of_pieces, spread
 from memspan.operators.pieces import merged_offsets, merged_pieces
 from memspan.operators.scans import BLOCK, covered_blocks, numbered
+from memspan.plans.tables import stored
 
 #: Bytes of the reference's k-mers up to which they are broadcast, and of a row besides its letters.
 BROADCAST_BYTES, ROW_BYTES = 128_000_000, 64
@@ -60,20 +61,21 @@ def with_strands(queries: DataFrame, both: bool) -> DataFrame:
     return queries.withColumn("_s", F.explode(strands)).withColumn("strand", F.col("_s.strand")).withColumn("chars", F.col("_s.chars")).drop("_s")
 
 
-def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: str = "mem", both_strands: bool = False, boundary: str = "isolated", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: str = "mem", both_strands: bool = False, boundary: str = "isolated", broadcast_bytes: int = BROADCAST_BYTES, store: bool = False) -> DataFrame:
     """query_id, strand, ref_id, ref_pos, query_pos (1-based, in the strand's own coordinates), len.
 
     ``refs`` and ``queries`` have columns id and chars. ``kind`` is ``mem``, ``mam`` (the string
     occurs once in all references) or ``mum`` (once in all references and once in the query).
     ``boundary`` 'merged' joins the references into one text with an N between (ordered by
-    column ord if there is one, else by id); a match is then given to the reference it starts in.
+    column ord if there is one, else by id); a match is then given to the reference it starts in. With ``store``, the ends of
+    isolated matches of a short least length are stored first, so that matches of just that length, which are most, are not shuffled.
     """
     if kind not in ("mem", "mam", "mum"):
         raise ValueError(f"no such kind of match: {kind}")
     if boundary == "merged":
         found = _merged(refs, queries, min_len, both_strands, broadcast_bytes)
     elif boundary == "isolated":
-        found = _maximal(refs.select(F.col("id").alias("ref_id"), "chars"), queries, min_len, both_strands, broadcast_bytes)
+        found = _maximal(refs.select(F.col("id").alias("ref_id"), "chars"), queries, min_len, both_strands, broadcast_bytes, store)
     else:
         raise ValueError(f"no such boundary: {boundary}")
     if kind != "mem":
@@ -83,11 +85,11 @@ def find_matches(refs: DataFrame, queries: DataFrame, min_len: int = 20, kind: s
     return found
 
 
-def _maximal(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int) -> DataFrame:
+def _maximal(refs: DataFrame, queries: DataFrame, min_len: int, both_strands: bool, broadcast_bytes: int, store: bool = False) -> DataFrame:
     k, stride = seed_shape(min_len)
     total, repetitive = _told_of(refs, k)
     small = total * (k + 2 * stride + ROW_BYTES) <= broadcast_bytes
-    return _met(kmers(refs if small else spread(refs), "chars", k, 1, stride, ("ref_id",)), total, repetitive, small, queries, min_len, both_strands)
+    return _met(kmers(refs if small else spread(refs), "chars", k, 1, stride, ("ref_id",)), total, repetitive, small, queries, min_len, both_strands, store)
 
 
 def kmer_filter(hashes: DataFrame, letters: int) -> DataFrame | None:
@@ -111,7 +113,7 @@ def passing(rows: DataFrame, table: DataFrame, letters: int) -> DataFrame:
     return met.where(F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_h").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1).drop("_word", "_bits")
 
 
-def _met(r: DataFrame, total: int, repetitive: bool, small: bool, queries: DataFrame, min_len: int, both_strands: bool) -> DataFrame:
+def _met(r: DataFrame, total: int, repetitive: bool, small: bool, queries: DataFrame, min_len: int, both_strands: bool, store: bool = False) -> DataFrame:
     """Matches of queries with the references of ``total`` letters whose k-mers are ``r``; ``repetitive`` tells whether keys that keep
     runs apart are worth their cost, the matches are the same. Where both sides are shuffled, a filter of the
     references' k-mers goes first, so that of the queries' k-mers little more than those that match are shuffled."""
@@ -129,7 +131,7 @@ def _met(r: DataFrame, total: int, repetitive: bool, small: bool, queries: DataF
     r = r.select("ref_id", "_h", *(F.col(n).alias(f"_r_{n}") for n in ("pos", "kmer", "left", "right")))
     hits = q.join(F.broadcast(r) if small else r, "_h").where("kmer = _r_kmer").drop("kmer", "_r_kmer", "_h")
     hits = hits.withColumn("_diag", F.col("_r_pos") - F.col("pos"))
-    return _closed(hits, min_len) if stride == 1 else _runs(hits, min_len, k, stride)
+    return _closed(hits, min_len, store) if stride == 1 else _runs(hits, min_len, k, stride)
 
 
 def _apart(r: DataFrame, q: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -152,13 +154,20 @@ def _apart(r: DataFrame, q: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return r.withColumn("_h", F.when(inside, other).otherwise(F.col("_h"))), q.withColumn("_h", F.explode(keys))
 
 
-def _closed(hits: DataFrame, min_len: int) -> DataFrame:
-    """Matches from hits of the whole least length: first and last hits, paired along each diagonal."""
+def _closed(hits: DataFrame, min_len: int, store: bool = False) -> DataFrame:
+    """Matches from hits of the whole least length: first and last hits, paired along each diagonal. A hit that is both is a match of
+    its own; if the ends are stored, only the others are shuffled."""
     first = (F.col("left") == "") | (F.col("_r_left") == "") | (F.col("left") != F.col("_r_left"))
     last = (F.col("right") == "") | (F.col("_r_right") == "") | (F.col("right") != F.col("_r_right"))
     ends = hits.where(first | last).select(*DIAGONAL, "pos", F.when(first, F.col("pos")).alias("_first"), last.alias("_last"))
+    alone = None
+    if store:
+        ends = stored(ends, "ends")
+        whole = F.col("_first").isNotNull() & F.col("_last")
+        alone, ends = ends.where(whole).withColumn("_from", F.col("pos")), ends.where(~whole)
     opened = F.max("_first").over(Window.partitionBy(*DIAGONAL).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     runs = ends.withColumn("_from", opened).where("_last")
+    runs = runs if alone is None else alone.unionByName(runs)
     length = F.col("pos") - F.col("_from") + min_len
     return runs.select("query_id", "strand", "ref_id", (F.col("_from") + F.col("_diag") + 1).alias("ref_pos"), (F.col("_from") + 1).alias("query_pos"), length.cast("int").alias("len"))
 

@@ -61,7 +61,7 @@ def _match_file(spark: SparkSession, sf_dir: str) -> str:
     refs = refs.select("id", "chars", F.concat(F.lit("item "), F.col("id").cast("string")).alias("name"))
     docs = docs.select("id", "chars", F.concat(F.lit("doc "), F.col("id").cast("string")).alias("name"))
     path = f"{_folder(spark)}/found-mems.txt"
-    found = stored(matches.find_matches(refs, docs, DNA_LEN, both_strands=True), "matches")  # sorting by ranges reads them twice
+    found = stored(matches.find_matches(refs, docs, DNA_LEN, both_strands=True, store=True), "matches")  # sorting by ranges reads them twice
     matchfile.write_matches(matchfile.match_lines(found, docs, refs, True), path)
     return path
 

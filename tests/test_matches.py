@@ -174,3 +174,14 @@ def test_contexts_of_short_matches_at_both_ends(spark):
     found = spark.createDataFrame([(1, "+", 1, 1, 1, 4), (1, "+", 2, 3, 1, 2)], "query_id long, strand string, ref_id long, ref_pos long, query_pos long, len int")
     made = {r.ref_id: (r.ref_context, r.query_context) for r in matches.match_context(found, refs, queries).collect()}
     assert made == {1: ("$ACGT...ACGT$", "$ACGT...ACGTt"), 2: ("gACGT...GGACg", "$ACGT...ACGTg")}
+
+
+def test_stored_ends_give_the_same_matches(spark):
+    """Matches of just the least length leave without a shuffle, longer ones on their diagonals still close."""
+    draw = random.Random(5)
+    text = "".join(draw.choice("AC") for _ in range(300))
+    refs = spark.createDataFrame([(1, text), (2, text[50:90] + "A" * 20)], "id long, chars string")
+    queries = spark.createDataFrame([(1, text[100:200]), (2, "AAAAAA" + text[:40]), (3, "")], "id long, chars string")
+    found = matches.find_matches(refs, queries, 5, both_strands=True).collect()
+    kept = matches.find_matches(refs, queries, 5, both_strands=True, store=True).collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, found)) and len({r.len for r in found}) > 5
