@@ -46,6 +46,8 @@ from memspan.llm.membership import bloom_filter, members_of, possible_members
 
 DEPTH, SKETCH, MISSED = 6, 64, 1e-7
 BLOCK_TOKENS, BLOCK_ROWS = 1_000_000, 400
+#: Classes from which on a hash is frequent, and how many frequent ones are sent to the tasks at most, as a power of two.
+FREQUENT, FREQUENT_BITS = 1000, 19
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -273,22 +275,47 @@ def _families(lists: DataFrame) -> DataFrame:
     return connected_components(ties).select(F.col("vertex").alias("class"), F.col("component").alias("family"))
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def _prefixes(sets: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
     """(class, key): of each set's n hashes the n - ceil(n * percent / 100) + 1 rarest, less those that no other set has. Linked
-    sets have so many hashes in common that the rarest of them is among these on either side."""
+    sets have so many hashes in common that the rarest of them is among these on either side.
+
+    Hashes of ``frequent`` sets or more (of more, if those would be too many to send) come last in that order, so each task ranks them by
+    itself and sends only those that a set needs; all others are counted where they meet, in groups below that size."""
 
     def make_hashes():
+        def step(held):
+            return {"keys": [np.frombuffer(h, np.int64) for h in held]}
+
+        return step
+
+    def make_split():
         def step(classes, held):
-            return {"class": classes, "n": [len(h) // 8 for h in held], "keys": [np.frombuffer(h, np.int64) for h in held]}
+            out: dict[str, list] = {"class": classes, "size": [], "keys": [], "last": []}
+            keys, counts = sent.value
+            for h in held:
+                own = np.frombuffer(h, np.int64)
+                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                often = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                size = len(own) - (len(own) * percent + 99) // 100 + 1
+                last = own[often][np.lexsort((own[often], counts[at[often]]))]
+                out["size"].append(size)
+                out["keys"].append(own[~often])
+                out["last"].append(last[: max(0, size - int((~often).sum()))])
+            return out
 
         return step
 
-    rows = map_columns(sets.select("class", "hashes"), make_hashes, "class long, n long, keys array<long>").select("class", "n", F.explode("keys").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    counts = counts.select(F.bitwise_not(F.bitwise_not("key")).alias("key"), "held")  # so that a hash of many sets may be split
-    place = F.row_number().over(Window.partitionBy("class").orderBy(F.asc_nulls_first("held"), "key"))
-    least = F.floor((F.col("n") * percent + 99) / 100)
-    return rows.join(counts, "key", "left").withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & F.col("held").isNotNull()).select("class", "key")
+    counts = map_columns(sets.select("hashes"), make_hashes, "keys array<long>").select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held"))
+    total = sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    often = counts.where(F.col("held") >= max(frequent, (total // 8 >> FREQUENT_BITS) + 1)).toArrow()
+    keys, held = often["key"].to_numpy(), often["held"].to_numpy()
+    order = np.argsort(keys)
+    sent = sets.sparkSession.sparkContext.broadcast((keys[order], held[order]))
+    rows = stored(map_columns(sets.select("class", "hashes"), make_split, "class long, size long, keys array<long>, last array<long>"), "split")
+    others = rows.select("class", "size", F.explode("keys").alias("key")).withColumn("held", F.count("*").over(Window.partitionBy("key")))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("held", "key"))
+    rare = others.withColumn("place", place).where((F.col("place") <= F.col("size")) & (F.col("held") > 1)).select("class", "key")
+    return stored(rare.unionByName(rows.select("class", F.explode("last").alias("key"))), "prefixes")
 
 
 def _searched(sets: DataFrame, percent: int, parts: int) -> DataFrame:

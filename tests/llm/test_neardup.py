@@ -182,3 +182,29 @@ def test_bloom_filter(spark):
     inside = {r.k for r in membership.possible_members(df, "k", bits).collect()}
     assert set(range(0, 1000, 7)) <= inside and len(inside) < 160 and None not in inside
     assert {r.k for r in membership.possible_members(df, "k", bits, absent=True).collect()} == (set(range(1000)) | {None}) - inside
+
+
+@pytest.mark.parametrize("frequent", [2, 20, 1000])
+def test_prefixes_are_the_rarest_hashes(spark, frequent):
+    """Against a plain count, whichever hashes are frequent ones; no join makes a row for each hash."""
+    rng = np.random.default_rng(3)
+    stock = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(stock, 25), rng.integers(0, 1 << 60, int(rng.integers(0, 12))).astype(np.uint64)))) for _ in range(120)]
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "class long, hashes binary").repartition(3)
+    counts = {}
+    for s in sets:
+        for h in s.view(np.int64).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    wanted = set()
+    for i, s in enumerate(sets):
+        rarest = sorted(s.view(np.int64).tolist(), key=lambda h: (counts[h], h))[: len(s) - -(-len(s) * 85 // 100) + 1]
+        wanted |= {(i, h) for h in rarest if counts[h] > 1}
+    joins = []
+    kept = neardup.stored
+    neardup.stored = lambda made, name: (joins.append("Join" in made._jdf.queryExecution().toString()), kept(made, name))[1]
+    try:
+        found = neardup._prefixes(df, 85, frequent).collect()
+    finally:
+        neardup.stored = kept
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
+    assert joins and not any(joins)
